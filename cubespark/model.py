@@ -11,6 +11,7 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 from cubespark.plans.periods import UpdatePeriod
 
@@ -97,13 +98,17 @@ class FactStorage:
     """One physical table of a fact.
 
     ``partitioned`` tables have string columns ``update_period`` and ``dt``;
-    others are filtered on the fact's time column.
+    others are filtered on the fact's time column. With a ``base`` folder and a
+    ``schema``, only the folders of the chosen partitions are listed and read
+    (their locations come from the manifest), never the whole table.
     """
 
     storage: str
     read: Reader
     periods: tuple[UpdatePeriod, ...]
     partitioned: bool = True
+    base: str | None = None
+    schema: StructType | None = None
 
 
 @dataclass(frozen=True)

@@ -46,14 +46,19 @@ def rollup(
     )
 
 
-def write_partitions(df: DataFrame, path: str) -> None:
+def write_partitions(df: DataFrame, path: str, tasks: int | None = None) -> None:
     """Write partitions, replacing those that are there already (safe to run again).
 
-    Rebalancing gathers small partitions in few files and splits large ones.
+    Rebalancing splits large partitions over tasks and lets one task write many
+    small ones. Where all of them are small, ``tasks`` spreads them instead.
     """
+    placed = (
+        df.repartition(tasks, *PARTITION_COLUMNS)
+        if tasks
+        else df.hint("rebalance", *PARTITION_COLUMNS)
+    )
     (
-        df.hint("rebalance", *PARTITION_COLUMNS)
-        .write.mode("overwrite")
+        placed.write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*PARTITION_COLUMNS)
         .parquet(path)
@@ -65,6 +70,14 @@ def read_partitions(spark: SparkSession, path: str, schema: T.StructType) -> Dat
     return spark.read.schema(schema).parquet(path)
 
 
+def read_period(
+    spark: SparkSession, path: str, schema: T.StructType, period: UpdatePeriod
+) -> DataFrame:
+    """The partitions of one period; folders of other periods are not listed."""
+    reader = spark.read.schema(schema).option("basePath", path)
+    return reader.parquet(f"{path}/update_period={period.name}")
+
+
 def rollup_schema(cube: Cube, dims: list[str]) -> T.StructType:
     fields = [f"`{d}` {cube.field(d).type}" for d in dims]
     fields += [f"`{m.name}` {m.type}" for m in merging_measures(cube)]
@@ -90,7 +103,8 @@ def build_rollups(
     time: str | Column,
     path: str,
     exprs: Mapping[str, str] | None = None,
-) -> DataFrame:
+    tasks: int | None = None,
+) -> None:
     """Write a fact table at several periods, each from the next finer one.
 
     The source is read once, for the finest period.
@@ -102,15 +116,12 @@ def build_rollups(
         if finer is None:
             df = rollup(source, cube, period, dims, time, exprs)
         else:
-            below = read_partitions(spark, path, schema).filter(
-                F.col("update_period") == finer.name
-            )
+            below = read_period(spark, path, schema, finer)
             df = rollup(
                 below, cube, period, dims, period_start(F.lit(finer.name), F.col("dt"))
             )
-        write_partitions(df, path)
+        write_partitions(df, path, tasks)
         written.append(period)
-    return read_partitions(spark, path, schema)
 
 
 def consistency(a: DataFrame, b: DataFrame, keys: list[str], measures: list[str]) -> DataFrame:

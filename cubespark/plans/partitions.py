@@ -132,6 +132,32 @@ def split_spec(df: DataFrame, period: UpdatePeriod, spec: str = "spec") -> DataF
     ).withColumn("other_spec", F.map_filter(spec, lambda k, v: parsed(v).isNull()))
 
 
+def partition_folders(spark: SparkSession, base: str) -> DataFrame:
+    """Period, ``dt`` and folder of each written partition of a table, from file names alone."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base)
+    part = r"update_period=([^/]+)/dt=([^/]+)/[^/]*$"
+    found = files.select(
+        F.regexp_extract("path", part, 1).alias("period"),
+        F.regexp_extract("path", part, 2).alias("dt"),
+    ).distinct()
+    folder = F.concat_ws(
+        "/",
+        F.lit(base.rstrip("/")),
+        F.concat(F.lit("update_period="), "period"),
+        F.concat(F.lit("dt="), "dt"),
+    )
+    return found.withColumn("folder", folder)
+
+
+def with_locations(manifest: DataFrame, folders: DataFrame) -> DataFrame:
+    """Manifest with the folder of each partition; one without rows has none."""
+    return (
+        manifest.join(folders, ["period", "dt"], "left")
+        .withColumn("location", F.coalesce("location", "folder"))
+        .select(MANIFEST_SCHEMA.fieldNames())
+    )
+
+
 # --------------------------------------------------------------------------- cover
 
 
@@ -161,45 +187,43 @@ def cover(
         if max_interval is None or p.rank <= max_interval.rank
     ]
     usable = manifest.filter(inside & F.col("period").isin([p.name for p in allowed]))
-    # the same partition in several storages: the first storage by name
-    usable = usable.groupBy("table", "period", "start", "end", "dt").agg(
-        F.min("storage").alias("storage")
+    weekly = UpdatePeriod.WEEKLY in allowed
+    longer = [p for p in allowed if p.rank > UpdatePeriod.WEEKLY.rank]
+    if weekly and longer:
+        usable = _weeks_apart(usable, longer)
+    # What is left nests: a partition lies in an earlier, larger one exactly when
+    # that one reaches its end. The same partition on a second storage counts as
+    # contained too. Nothing but weeks crosses a year, so years are independent.
+    group = ["table"] if weekly else ["table", F.year("start")]
+    before = (
+        Window.partitionBy(*group)
+        .orderBy("start", F.desc("end"), "storage")
+        .rowsBetween(Window.unboundedPreceding, -1)
+    )
+    reach = usable.withColumn("_reach", F.max("end").over(before))
+    return reach.filter(F.col("_reach").isNull() | (F.col("end") > F.col("_reach"))).select(
+        "table", "period", "start", "end", "dt", "storage", "location"
     )
 
-    def contained(df: DataFrame, containers: DataFrame, larger: list[UpdatePeriod]) -> DataFrame:
-        """Rows of ``df`` whose first or last moment lies in a container of a larger period."""
-        parents = F.array(
-            *[
-                F.when(
-                    F.col("period").isin([q.name for q in UpdatePeriod if q.rank < p.rank]),
-                    F.struct(F.lit(p.name).alias("p"), p.truncate(at).alias("s")),
-                )
-                for p in larger
-                for at in (F.col("start"), F.col("end") - F.expr("interval 1 microsecond"))
-            ]
-        )
-        exploded = df.select("table", "period", "start", F.explode(F.array_compact(parents)).alias("u"))
-        return exploded.select("table", "period", "start", F.col("u.p").alias("p"), F.col("u.s").alias("s")).join(
-            containers.select(
-                F.col("table"), F.col("period").alias("p"), F.col("start").alias("s")
-            ),
-            ["table", "p", "s"],
-            "left_semi",
-        )
 
-    key = ["table", "period", "start"]
-    nested = [p for p in allowed if p is not UpdatePeriod.WEEKLY and p.rank > min(q.rank for q in allowed)]
-    base = usable.filter(F.col("period") != UpdatePeriod.WEEKLY.name)
+def _weeks_apart(usable: DataFrame, longer: list[UpdatePeriod]) -> DataFrame:
+    """Leave out weeks that share days with a usable month, quarter or year."""
     weeks = usable.filter(F.col("period") == UpdatePeriod.WEEKLY.name)
-    long = [p for p in nested if p.rank > UpdatePeriod.WEEKLY.rank]
-    if UpdatePeriod.WEEKLY in allowed:
-        if long:
-            weeks = weeks.join(contained(weeks, base, long), key, "left_anti")
-        usable = base.unionByName(weeks)
-        nested = nested + [UpdatePeriod.WEEKLY]
-    if not nested:
-        return usable
-    return usable.join(contained(usable, usable, nested), key, "left_anti")
+    spans = F.array(
+        *[
+            F.struct(F.lit(p.name).alias("p"), p.truncate(at).alias("s"))
+            for p in longer
+            for at in (F.col("start"), F.col("end") - F.expr("interval 1 microsecond"))
+        ]
+    )
+    held = usable.select("table", F.col("period").alias("p"), F.col("start").alias("s"))
+    shared = (
+        weeks.select("table", "start", F.inline(spans))
+        .join(held, ["table", "p", "s"], "left_semi")
+        .select("table", "start")
+    )
+    apart = weeks.join(shared, ["table", "start"], "left_anti")
+    return usable.filter(F.col("period") != UpdatePeriod.WEEKLY.name).unionByName(apart)
 
 
 def gaps(chosen: DataFrame, frm: str | datetime, to: str | datetime) -> DataFrame:

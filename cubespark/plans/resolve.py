@@ -216,18 +216,20 @@ def scan_fact(
     _, frm, to = span
     fact, result = res.fact, None
     for storage in res.storages:
-        df = storage.read(spark)
-        if storage.partitioned and res.chosen is not None:
-            if res.parts is None:
-                mine = res.chosen.filter(F.col("storage") == storage.storage).select(
-                    F.col("period").alias("update_period"), "dt"
-                )
-                df = df.join(mine, ["update_period", "dt"], "left_semi")
-            else:
-                mine = [r for r in res.parts if r["storage"] == storage.storage]
-                if not mine:
-                    continue
-                df = df.filter(P.partition_predicate(mine, conf.writer, conf.partition_format))
+        if not storage.partitioned or res.chosen is None:
+            df = storage.read(spark)
+        elif res.parts is None:
+            mine = res.chosen.filter(F.col("storage") == storage.storage)
+            labels = mine.select(F.col("period").alias("update_period"), "dt")
+            df = storage.read(spark).join(labels, ["update_period", "dt"], "left_semi")
+        else:
+            mine = [r for r in res.parts if r["storage"] == storage.storage]
+            if storage.base and storage.schema:
+                mine = [r for r in mine if r["location"]]
+            if not mine:
+                continue
+            df = _read_parts(spark, storage, mine)
+            df = df.filter(P.partition_predicate(mine, conf.writer, conf.partition_format))
         rows_decide = (
             not storage.partitioned
             or not fact.aggregated
@@ -237,11 +239,21 @@ def scan_fact(
         if fact.time_column and rows_decide:
             df = df.filter(time_range(fact.time_column, frm, to))
         result = df if result is None else result.unionByName(df)
-    if result is None:  # no partition at all: an empty scan with the right columns
-        result = res.storages[0].read(spark).limit(0)
+    if result is None:  # no partition at all: no rows, with the right columns
+        first = res.storages[0]
+        if first.schema:
+            return spark.createDataFrame([], first.schema)
+        return first.read(spark).filter(F.lit(False))
     return result
 
 
+def _read_parts(spark: SparkSession, storage: FactStorage, parts: list) -> DataFrame:
+    if storage.base and storage.schema:
+        reader = spark.read.schema(storage.schema).option("basePath", storage.base)
+        return reader.parquet(*[r["location"] for r in parts])
+    return storage.read(spark)
+
+
 def check_validity(fields, frm: datetime, to: datetime) -> list[str]:
     """Names of fields that are not valid over the whole range."""
     return [

@@ -18,6 +18,9 @@ def query(key: str, oracle: str | None = None):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             spark.conf.set("spark.sql.session.timeZone", "UTC")
+            # list folders with some tasks per core, not with one task per folder
+            listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+            spark.conf.set(listing, 4 * spark.sparkContext.defaultParallelism)
             return fn(spark, sf_dir.rstrip("/"))
 
         if key in QUERIES:

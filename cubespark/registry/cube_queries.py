@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.model import Cube
+from cubespark.functions.scalar import register
+from cubespark.model import Cube, Fact, FactStorage, Model
 from cubespark.operators import rollup as RU
 from cubespark.operators import star
 from cubespark.operators.joins import unique_join
 from cubespark.operators.query import Query, union_all
 from cubespark.plans import partitions as P
-from cubespark.plans.periods import UpdatePeriod, period_start, time_range
+from cubespark.plans.periods import period_start, time_range
 from cubespark.registry.base import query
 from cubespark.registry.warehouse import (
     ACTIVITY,
@@ -27,6 +30,9 @@ from cubespark.registry.warehouse import (
 # Nearly the whole month of events; starts and ends inside a day.
 FROM, TO = "2024-01-01-05", "2024-01-29-07"
 IN_RANGE = "ts >= timestamp '2024-01-01 05:00:00' and ts < timestamp '2024-01-29 07:00:00'"
+# Whole days: four weeks and a day.
+ALIGNED = ("2024-01-01", "2024-01-30")
+IN_ALIGNED = "ts >= timestamp '2024-01-01 00:00:00' and ts < timestamp '2024-01-30 00:00:00'"
 # All whole months of lineitem, and a span that starts and ends inside a month.
 MONTHS = ("1995-01", "2001-11")
 IN_MONTHS = "l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '2001-11-01'"
@@ -38,10 +44,13 @@ select event_type, round(sum(value), 2) as value, max(value) as max_value,
        min(value) as min_value, count(*) as n
 from events where {IN_RANGE} group by event_type
 """
+BY_TYPE_ALIGNED = BY_TYPE.replace(IN_RANGE, IN_ALIGNED)
 
 
-def activity(spark: SparkSession, sf: str, cube: Cube = ACTIVITY) -> Query:
-    return Query.of(warehouse(spark, sf).activity(spark), cube).time_range("ts", FROM, TO)
+def activity(
+    spark: SparkSession, sf: str, cube: Cube = ACTIVITY, span: tuple[str, str] = (FROM, TO)
+) -> Query:
+    return Query.of(warehouse(spark, sf).activity(spark), cube).time_range("ts", *span)
 
 
 def sales(spark: SparkSession, sf: str, span: tuple[str, str] = MONTHS) -> Query:
@@ -80,35 +89,33 @@ def _(spark, sf):
 
 @query("cover_fallback", BY_TYPE)
 def _(spark, sf):
-    """Two days and a week are missing as such: their hours and days step in."""
+    """Two days are missing as such: their hours step in."""
     model = warehouse(spark, sf).activity(spark)
     manifest = P.drop_by_filter(
         model.manifest(spark),
-        "table = 'activity_type' and ((period = 'DAILY' and dt in ('2024-01-03', '2024-01-17'))"
-        " or (period = 'WEEKLY' and dt = '2024-01-15'))",
+        "table = 'activity_user' and period = 'DAILY' and dt in ('2024-01-03', '2024-01-17')",
     )
-    from dataclasses import replace
-
     model = replace(model, manifest=lambda s: manifest)
-    q = Query.of(model, ACTIVITY).time_range("ts", FROM, TO).conf(valid_facts=("activity_type",))
+    q = Query.of(model, ACTIVITY).time_range("ts", FROM, TO).conf(valid_facts=("activity_user",))
     return by_type(q, spark)
 
 
-@query("max_interval", BY_TYPE)
+@query("max_interval", BY_TYPE_ALIGNED)
 def _(spark, sf):
-    return by_type(activity(spark, sf).conf(max_interval=HOURLY), spark)
+    """Days, although weeks are there."""
+    return by_type(activity(spark, sf, span=ALIGNED).conf(max_interval=DAILY), spark)
 
 
 @query("valid_periods", BY_TYPE)
 def _(spark, sf):
-    only = {("activity_type", "lake"): ["HOURLY", "WEEKLY"]}
+    only = {("activity_user", "lake"): ["HOURLY"]}
     return by_type(activity(spark, sf).conf(valid_update_periods=only), spark)
 
 
-@query("valid_facts", BY_TYPE)
+@query("valid_facts", BY_TYPE_ALIGNED)
 def _(spark, sf):
-    q = activity(spark, sf).conf(valid_facts=("activity_user",), valid_storages=("lake",))
-    return by_type(q, spark)
+    q = activity(spark, sf, span=ALIGNED)
+    return by_type(q.conf(valid_facts=("activity_user",), valid_storages=("lake",)), spark)
 
 
 @query(
@@ -122,9 +129,16 @@ def _(spark, sf):
     return rounded(q.to_df(spark), "value")
 
 
-@query("lightest_fact", BY_TYPE)
+@query("lightest_fact", BY_TYPE_ALIGNED)
 def _(spark, sf):
-    return by_type(activity(spark, sf).conf(lightest_first=True, fail_if_partial=True), spark)
+    """Weeks and a day of the lightest fact fill the range."""
+    return by_type(activity(spark, sf, span=ALIGNED).conf(fail_if_partial=True), spark)
+
+
+@query("lightest_first", BY_TYPE_ALIGNED)
+def _(spark, sf):
+    q = activity(spark, sf, span=ALIGNED).conf(lightest_first=True, fail_if_partial=True)
+    return by_type(q, spark)
 
 
 @query(
@@ -172,8 +186,6 @@ def _(spark, sf):
 )
 def _(spark, sf):
     """Rows arrive up to three hours late; partitions two hours ahead are read too."""
-    from cubespark.model import Fact, FactStorage, Model
-
     def late(s):
         delay = F.make_interval(hours=(F.col("event_id") % 4).cast("int"))
         pt = HOURLY.truncate(F.col("ts") + delay)
@@ -739,8 +751,6 @@ def _(spark, sf):
         where {IN_RANGE} group by 1""",
 )
 def _(spark, sf):
-    from cubespark.functions.scalar import register
-
     register(spark, "twice_plus_one", lambda v: v * 2 + 1, "double")
     q = activity(spark, sf).select("event_type", "sum(twice_plus_one(amount)) as scaled")
     return rounded(q.to_df(spark), "scaled")

@@ -23,9 +23,15 @@ from cubespark.model import (
     Model,
     Ref,
 )
-from cubespark.operators.rollup import build_rollups, read_partitions, rollup_schema
-from cubespark.plans.partitions import manifest_of_span
-from cubespark.plans.periods import UpdatePeriod, parse_instant, period_end, period_start
+from cubespark.operators.results import persisted_size
+from cubespark.operators.rollup import (
+    build_rollups,
+    read_partitions,
+    read_period,
+    rollup_schema,
+)
+from cubespark.plans.partitions import manifest_of_span, partition_folders, with_locations
+from cubespark.plans.periods import UpdatePeriod, instant, parse_instant, period_start
 from cubespark.session import new_dir
 
 HOURLY, DAILY, WEEKLY = UpdatePeriod.HOURLY, UpdatePeriod.DAILY, UpdatePeriod.WEEKLY
@@ -148,17 +154,14 @@ def _dims(sf_dir: str) -> tuple[Dim, ...]:
     )
 
 
-def _partitioned(path: str, cube: Cube, dims: list[str]) -> Callable[[SparkSession], DataFrame]:
-    schema = rollup_schema(cube, dims)
-    return lambda spark: read_partitions(spark, path, schema)
+def _loaded(folders: DataFrame, finest: UpdatePeriod) -> tuple:
+    """First and last loaded period of a table."""
+    start = period_start(F.lit(finest.name), F.col("dt"))
+    return folders.filter(F.col("period") == finest.name).agg(F.min(start), F.max(start)).first()
 
 
-def _loaded_span(fact: DataFrame, finest: UpdatePeriod) -> DataFrame:
-    """First and last period of a fact, from its partition column only."""
-    start = period_start(F.lit(finest.name), F.col("dt"))
-    return fact.filter(F.col("update_period") == finest.name).agg(
-        F.min(start).alias("first"), F.max(start).alias("last")
-    )
+def _span(spark: SparkSession, first, last) -> DataFrame:
+    return spark.range(1).select(instant(first).alias("first"), instant(last).alias("last"))
 
 
 class Warehouse:
@@ -184,46 +187,70 @@ class Warehouse:
     def _manifest(self, spark, name: str, span: DataFrame, tables: list, until) -> Callable:
         """Write the manifest of whole loaded periods and return its reader."""
         rows = None
-        for fact, periods in tables:
+        for fact, periods, rolled in tables:
+            mine = None
             for p in periods:
                 m = manifest_of_span(span, fact, "lake", p).filter(F.col("end") <= until)
-                rows = m if rows is None else rows.unionByName(m)
+                mine = m if mine is None else mine.unionByName(m)
+            if rolled is not None:
+                mine = with_locations(mine, rolled)
+            rows = mine if rows is None else rows.unionByName(mine)
         path = self.path(f"{name}_manifest")
         rows.coalesce(1).write.parquet(path)  # one short row per partition
         schema = rows.schema
         return lambda s: s.read.schema(schema).parquet(path)
 
+    def _rolled(self, fact: str, cube: Cube, dims: list[str], periods: tuple) -> FactStorage:
+        path, schema = self.path(fact), rollup_schema(cube, dims)
+        return FactStorage(
+            "lake", lambda s: read_partitions(s, path, schema), periods, base=path, schema=schema
+        )
+
+    def _write_tasks(self, spark: SparkSession, name: str) -> int | None:
+        """Below a gigabyte of source the rollups' partitions are small: spread them."""
+        size = persisted_size(spark, f"{self.sf_dir}/{name}.parquet")
+        return spark.sparkContext.defaultParallelism if size < 1 << 30 else None
+
     def _build_activity(self, spark: SparkSession) -> Model:
         events = table(spark, self.sf_dir, "events")
         user_dims, type_dims = ["event_type", "user_id"], ["event_type"]
-        by_user = build_rollups(
-            events, ACTIVITY, [HOURLY, DAILY], user_dims, "ts", self.path("activity_user"), ACTIVITY_EXPRS
+        tasks = self._write_tasks(spark, "events")
+        build_rollups(
+            events,
+            ACTIVITY,
+            [HOURLY, DAILY],
+            user_dims,
+            "ts",
+            self.path("activity_user"),
+            ACTIVITY_EXPRS,
+            tasks,
         )
         # the coarser fact comes from the finer one, events are not read again
-        hours = by_user.filter(F.col("update_period") == HOURLY.name)
+        days = read_period(
+            spark, self.path("activity_user"), rollup_schema(ACTIVITY, user_dims), DAILY
+        )
         build_rollups(
-            hours,
+            days,
             ACTIVITY,
-            [HOURLY, DAILY, WEEKLY],
+            [DAILY, WEEKLY],
             type_dims,
-            period_start(F.lit(HOURLY.name), F.col("dt")),
+            period_start(F.lit(DAILY.name), F.col("dt")),
             self.path("activity_type"),
+            tasks=tasks,
         )
-        last = _loaded_span(by_user, HOURLY).first()
-        span = spark.sql(
-            f"select timestamp_ntz'{last['first']}' as first, timestamp_ntz'{last['last']}' as last"
-        )
-        until = HOURLY.shift(F.expr(f"timestamp_ntz'{last['last']}'"))
+        by_user = partition_folders(spark, self.path("activity_user"))
+        by_type = partition_folders(spark, self.path("activity_type"))
+        first, last = _loaded(by_user, HOURLY)
         manifest = self._manifest(
             spark,
             "activity",
-            span,
+            _span(spark, first, last),
             [
-                ("activity_raw", [HOURLY]),
-                ("activity_user", [HOURLY, DAILY]),
-                ("activity_type", [HOURLY, DAILY, WEEKLY]),
+                ("activity_raw", [HOURLY], None),
+                ("activity_user", [HOURLY, DAILY], by_user),
+                ("activity_type", [DAILY, WEEKLY], by_type),
             ],
-            until,
+            HOURLY.shift(instant(last)),
         )
         merged = ("value", "max_value", "min_value", "n")
         facts = (
@@ -242,11 +269,7 @@ class Warehouse:
                 "activity",
                 ("event_type", "user_id") + merged,
                 (
-                    FactStorage(
-                        "lake",
-                        _partitioned(self.path("activity_user"), ACTIVITY, user_dims),
-                        (HOURLY, DAILY),
-                    ),
+                    self._rolled("activity_user", ACTIVITY, user_dims, (HOURLY, DAILY)),
                 ),
                 200,
             ),
@@ -255,11 +278,7 @@ class Warehouse:
                 "activity",
                 ("event_type",) + merged,
                 (
-                    FactStorage(
-                        "lake",
-                        _partitioned(self.path("activity_type"), ACTIVITY, type_dims),
-                        (HOURLY, DAILY, WEEKLY),
-                    ),
+                    self._rolled("activity_type", ACTIVITY, type_dims, (DAILY, WEEKLY)),
                 ),
                 100,
             ),
@@ -269,7 +288,7 @@ class Warehouse:
     def _build_sales(self, spark: SparkSession) -> Model:
         lineitem = table(spark, self.sf_dir, "lineitem")
         dims = ["l_suppkey", "l_returnflag"]
-        monthly = build_rollups(
+        build_rollups(
             lineitem,
             SALES,
             [MONTHLY, QUARTERLY, YEARLY],
@@ -277,24 +296,22 @@ class Warehouse:
             "l_shipdate",
             self.path("sales_supplier"),
             SALES_EXPRS,
+            self._write_tasks(spark, "lineitem"),
         )
-        edge = _loaded_span(monthly, MONTHLY).first()
+        folders = partition_folders(spark, self.path("sales_supplier"))
+        first, last = _loaded(folders, MONTHLY)
         # days are known to be loaded up to the last one with rows of the last month
-        last_day = (
-            lineitem.filter(F.col("l_shipdate") >= F.expr(f"timestamp_ntz'{edge['last']}'"))
-            .agg(F.max("l_shipdate"))
-            .first()[0]
-        )
-        span = spark.sql(
-            f"select timestamp_ntz'{edge['first']}' as first, timestamp_ntz'{last_day}' as last"
-        )
-        until = DAILY.shift(F.expr(f"timestamp_ntz'{last_day}'"))
+        recent = lineitem.filter(F.col("l_shipdate") >= instant(last))
+        last_day = recent.agg(F.max("l_shipdate")).first()[0]
         manifest = self._manifest(
             spark,
             "sales",
-            span,
-            [("sales_raw", [DAILY]), ("sales_supplier", [MONTHLY, QUARTERLY, YEARLY])],
-            until,
+            _span(spark, first, last_day),
+            [
+                ("sales_raw", [DAILY], None),
+                ("sales_supplier", [MONTHLY, QUARTERLY, YEARLY], folders),
+            ],
+            DAILY.shift(instant(last_day)),
         )
         measures = ("quantity", "revenue", "max_price", "min_price", "lines", "tax")
         facts = (
@@ -313,11 +330,7 @@ class Warehouse:
                 "sales",
                 ("l_suppkey", "l_returnflag") + measures,
                 (
-                    FactStorage(
-                        "lake",
-                        _partitioned(self.path("sales_supplier"), SALES, dims),
-                        (MONTHLY, QUARTERLY, YEARLY),
-                    ),
+                    self._rolled("sales_supplier", SALES, dims, (MONTHLY, QUARTERLY, YEARLY)),
                 ),
                 100,
             ),
