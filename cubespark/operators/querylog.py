@@ -11,10 +11,12 @@ from pyspark.sql import types as T
 from cubespark.operators.ordering import number_within, previous_within
 from cubespark.plans.periods import time_range
 
-STATS_SCHEMA = T.StructType.fromDDL(
-    "handle string, userQuery string, submitter string, clusterUser string, sessionId string, "
-    "submissionTime bigint, startTime bigint, endTime bigint, result string, cause string, "
-    "status map<string,string>, driverStats map<string,string>"
+_TEXT = T.StringType()
+STATS_SCHEMA = T.StructType(
+    [T.StructField(n, _TEXT) for n in ("handle", "userQuery", "submitter", "clusterUser", "sessionId")]
+    + [T.StructField(n, T.LongType()) for n in ("submissionTime", "startTime", "endTime")]
+    + [T.StructField(n, _TEXT) for n in ("result", "cause")]
+    + [T.StructField(n, T.MapType(_TEXT, _TEXT)) for n in ("status", "driverStats")]
 )
 
 # States a query may pass to from each state.

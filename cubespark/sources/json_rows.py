@@ -27,8 +27,10 @@ def parse_json_rows(
     """
     document = F.from_json(F.col(column), "map<string,string>", {"mode": mode})
     entries = F.map_entries("_document")
-    columns = []
-    for f in schema:
-        named = F.filter(entries, lambda e, n=f.name.lower(): F.lower(e["key"]) == n)
-        columns.append(_field(F.element_at(named, -1)["value"], f.dataType).alias(f.name))
+
+    def named(name: str) -> Column:
+        same = F.filter(entries, lambda e: F.lower(e["key"]) == F.lit(name.lower()))
+        return F.try_element_at(same, F.lit(-1))["value"]
+
+    columns = [_field(named(f.name), f.dataType).alias(f.name) for f in schema]
     return df.select(document.alias("_document")).select(*columns)
