@@ -100,7 +100,8 @@ class FactStorage:
     ``partitioned`` tables have string columns ``update_period`` and ``dt``;
     others are filtered on the fact's time column. With a ``base`` folder and a
     ``schema``, only the folders of the chosen partitions are listed and read
-    (their locations come from the manifest), never the whole table.
+    (their locations come from the manifest), never the whole table. Partitions
+    that lie anywhere are opened by ``open_parts(spark, manifest rows)``.
     """
 
     storage: str
@@ -109,6 +110,7 @@ class FactStorage:
     partitioned: bool = True
     base: str | None = None
     schema: StructType | None = None
+    open_parts: Callable[[SparkSession, list], DataFrame] | None = None
 
 
 @dataclass(frozen=True)

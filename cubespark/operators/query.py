@@ -403,7 +403,7 @@ class Query:
         for condition in early:
             df = df.filter(F.expr(condition))
 
-        eager = aggregated and bool(steps) and self._can_pre_aggregate(names, fact_first)
+        eager = aggregated and bool(steps) and self._can_pre_aggregate(names, steps, fact_first)
         if eager:
             held = self._held_columns(
                 mine, names, groups, outputs, orders, steps, on_filters, wheres, early
@@ -426,10 +426,13 @@ class Query:
             df, outputs, orders = self._aggregate(df, outputs, groups, havings, orders, names, eager)
         return self._finish(df, outputs, orders)
 
-    def _can_pre_aggregate(self, names: _Names, fact_first: bool) -> bool:
-        if not self.options.eager or not isinstance(self.root, Cube):
+    def _can_pre_aggregate(self, names: _Names, steps, fact_first: bool) -> bool:
+        if self.options.eager is False or not isinstance(self.root, Cube):
             return False
         mine = f"{self._root}__"
+        keys = {left for _, pairs in steps for left, _ in pairs if mine in left}
+        if self.options.eager is None and len(keys) != 1:
+            return False
         for (fn, distinct, _), call in names.calls.items():
             touched = names.call_columns[call]
             if distinct or not all(c.startswith(mine) for c in touched):

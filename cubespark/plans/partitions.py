@@ -202,7 +202,7 @@ def cover(
     )
     reach = usable.withColumn("_reach", F.max("end").over(before))
     return reach.filter(F.col("_reach").isNull() | (F.col("end") > F.col("_reach"))).select(
-        "table", "period", "start", "end", "dt", "storage", "location"
+        "table", "period", "start", "end", "dt", "storage", "location", "format"
     )
 
 
@@ -320,18 +320,22 @@ def _python_pattern(pattern: str) -> str:
 
 def scan_partitions(
     spark: SparkSession,
-    manifest: DataFrame,
+    manifest: DataFrame | list,
     schema: T.StructType,
     readers: dict | None = None,
     max_partitions: int = 100_000,
 ) -> DataFrame:
     """Read the listed partitions wherever they lie and attach their values.
 
+    ``manifest`` may be rows of a manifest already chosen.
     One read per distinct format. ``readers`` maps a format name to a function
     of (spark, paths, schema); other formats go to ``spark.read.format``. Only
     the list of locations is held on the driver.
     """
-    rows = manifest.select("location", "format", "period", "dt").limit(max_partitions + 1).collect()
+    rows = manifest
+    if isinstance(manifest, DataFrame):
+        listed = manifest.select("location", "format", "period", "dt")
+        rows = listed.limit(max_partitions + 1).collect()
     if len(rows) > max_partitions:
         raise CubeError(f"more than {max_partitions} partitions listed: narrow the filter")
     if not rows:

@@ -23,7 +23,12 @@ MAX_LISTED = 10_000
 
 @dataclass(frozen=True)
 class QueryConf:
-    """Options of a query."""
+    """Options of a query.
+
+    ``eager``: aggregate the fact by its join keys before the joins. By default
+    this is done where the fact has one join key, so that the joins see few rows
+    per key and no key is hot; several keys together seldom repeat.
+    """
 
     join_type: str = "inner"
     auto_join: bool = True
@@ -47,7 +52,7 @@ class QueryConf:
     validity: str = "reject"
     dim_as_of: str | None = None
     via: Mapping[str, str] = field(default_factory=dict)
-    eager: bool = True
+    eager: bool | None = None
 
 
 @dataclass(frozen=True)
@@ -248,6 +253,8 @@ def scan_fact(
 
 
 def _read_parts(spark: SparkSession, storage: FactStorage, parts: list) -> DataFrame:
+    if storage.open_parts:
+        return storage.open_parts(spark, parts)
     if storage.base and storage.schema:
         reader = spark.read.schema(storage.schema).option("basePath", storage.base)
         return reader.parquet(*[r["location"] for r in parts])

@@ -612,6 +612,33 @@ def _(spark, sf):
 
 @query(
     "eager_agg",
+    """select n_name, l_returnflag, round(sum(l_quantity), 2) as total, round(avg(l_quantity), 6) as mean,
+              count(l_quantity) as rows, max(l_extendedprice) as top
+       from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
+       group by 1, 2""",
+)
+def _(spark, sf):
+    """The joins see one row per supplier and flag instead of every line."""
+    suppliers = table(spark, sf, "supplier").join(
+        table(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey")
+    )
+    df = star.eager_agg(
+        table(spark, sf, "lineitem"),
+        [(suppliers.select("s_suppkey", "n_name"), [("l_suppkey", "s_suppkey")])],
+        ["n_name", "l_returnflag"],
+        [
+            ("sum", "l_quantity", "total"),
+            ("avg", "l_quantity", "mean"),
+            ("count", "l_quantity", "rows"),
+            ("max", "l_extendedprice", "top"),
+        ],
+        ["l_returnflag"],
+    )
+    return rounded(rounded(df, "total"), "mean", places=6)
+
+
+@query(
+    "eager_agg_two_dims",
     """select n_name, p_brand, round(sum(l_quantity), 2) as total, round(avg(l_quantity), 6) as mean,
               count(l_quantity) as rows, max(l_extendedprice) as top
        from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey

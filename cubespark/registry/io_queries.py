@@ -136,7 +136,9 @@ def _(spark, sf):
         F.col("event_type").alias("mistyped"),
         F.lit("a\nb").alias("text"),
     )
-    lines = table(spark, sf, "events").select(F.to_json(document).alias("value"))
+    path = new_dir(spark, "json-rows")
+    table(spark, sf, "events").select(F.to_json(document).alias("value")).write.text(path)
+    lines = spark.read.text(path)
     schema = (
         "event_id bigint, event_type string, value double, tags array<bigint>, "
         "inner struct<id: bigint>, props map<string, int>, missing string, mistyped int, text string"

@@ -26,11 +26,13 @@ def parse_json_rows(
     ``PERMISSIVE``. Line breaks in strings come out as ``\\n`` in two characters.
     """
     document = F.from_json(F.col(column), "map<string,string>", {"mode": mode})
-    entries = F.map_entries("_document")
+    parsed = df.select(document.alias("_document")).select(
+        # the last of several keys that differ in case only comes first
+        F.reverse(F.transform(F.map_keys("_document"), F.lower)).alias("_keys"),
+        F.reverse(F.map_values("_document")).alias("_values"),
+    )
 
     def named(name: str) -> Column:
-        same = F.filter(entries, lambda e: F.lower(e["key"]) == F.lit(name.lower()))
-        return F.try_element_at(same, F.lit(-1))["value"]
+        return F.get("_values", F.array_position("_keys", name.lower()) - 1)
 
-    columns = [_field(named(f.name), f.dataType).alias(f.name) for f in schema]
-    return df.select(document.alias("_document")).select(*columns)
+    return parsed.select(*[_field(named(f.name), f.dataType).alias(f.name) for f in schema])

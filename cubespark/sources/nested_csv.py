@@ -37,8 +37,11 @@ def _tokens(col: Column, sep: str) -> Column:
     return F.filter(F.split(col, literal_regex(sep)), lambda t: t != "")
 
 
-def _parse(col: Column, kind: T.DataType, o: CsvOptions, metadata: dict) -> Column:
-    col = F.nullif(col, F.lit(o.null))
+def _parse(
+    col: Column, kind: T.DataType, o: CsvOptions, metadata: dict, nulls_read: bool = False
+) -> Column:
+    if not nulls_read:
+        col = F.nullif(col, F.lit(o.null))
     if isinstance(kind, T.ArrayType):
         pair = kind.elementType
         if isinstance(pair, T.StructType) and pair.fieldNames() == ["key", "value"]:
@@ -90,7 +93,10 @@ def parse_nested_csv(
     )
     return df.select(raw.alias("_raw")).select(
         *[
-            _parse(F.col(f"_raw.c{i}"), f.dataType, o, f.metadata).alias(f.name)
+            # the CSV parser has read the null word of whole fields
+            _parse(F.col(f"_raw.c{i}"), f.dataType, o, f.metadata, True).alias(
+                f.name, metadata=f.metadata
+            )
             for i, f in enumerate(schema)
         ]
     )

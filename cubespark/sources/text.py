@@ -12,6 +12,9 @@ NULL = r"\N"
 
 
 def literal_regex(text: str) -> str:
+    """Pattern that matches a text literally; one character needs no regex machine to split."""
+    if len(text) == 1 and not text.isalnum():
+        return "\\" + text if text in ".$|()[{^?*+\\" else text
     return "\\Q" + text + "\\E"
 
 

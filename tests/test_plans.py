@@ -1,0 +1,186 @@
+"""Periods, covers, manifests, paths and names."""
+
+import random
+from datetime import datetime, timedelta
+
+import pytest
+from pyspark.sql import functions as F
+
+from cubespark import Attr, Cube, CubeError, Dim, Model, Ref, UpdatePeriod
+from cubespark.plans import partitions as P
+from cubespark.plans.names import lift_aggregates, map_names
+from cubespark.plans.periods import parse_instant
+
+U = UpdatePeriod
+
+
+def test_instants():
+    assert parse_instant("2014-06-24-23") == datetime(2014, 6, 24, 23)
+    assert parse_instant("2014-06-24-23:05:06,789") == datetime(2014, 6, 24, 23, 5, 6, 789000)
+    assert parse_instant("2014") == datetime(2014, 1, 1)
+    with pytest.raises(ValueError):
+        parse_instant("2014-6-24")
+
+
+def manifest(spark, periods, first, last, table="f"):
+    span = spark.sql(f"select timestamp_ntz'{first}' as first, timestamp_ntz'{last}' as last")
+    rows = None
+    for p in periods:
+        m = P.manifest_of_span(span, table, "s", p)
+        rows = m if rows is None else rows.unionByName(m)
+    return rows
+
+
+def chosen(df):
+    return sorted((r["start"], r["end"], r["period"]) for r in df.collect())
+
+
+def brute_cover(rows, frm, to):
+    """Largest partitions first, each taken if it lies inside and overlaps nothing taken."""
+    rank = {p.name: p.rank for p in U}
+    rank["WEEKLY"] = 4.5
+    taken = []
+    for r in sorted(rows, key=lambda r: -rank[r["period"]]):
+        inside = frm <= r["start"] and r["end"] <= to
+        if inside and all(r["end"] <= t[0] or t[1] <= r["start"] for t in taken):
+            taken.append((r["start"], r["end"], r["period"]))
+    return sorted(taken)
+
+
+@pytest.mark.parametrize(
+    "periods",
+    [
+        [U.HOURLY],
+        [U.HOURLY, U.DAILY],
+        [U.DAILY, U.WEEKLY],
+        [U.DAILY, U.WEEKLY, U.MONTHLY],
+        [U.DAILY, U.MONTHLY, U.QUARTERLY, U.YEARLY],
+        [U.HOURLY, U.DAILY, U.WEEKLY, U.MONTHLY, U.QUARTERLY],
+    ],
+)
+def test_cover_equals_brute_force(spark, periods):
+    hourly = U.HOURLY in periods
+    first, last = ("2023-12-20", "2024-02-20") if hourly else ("2022-10-01", "2024-06-30")
+    rng = random.Random(len(periods))
+    full = manifest(spark, periods, first, last).cache()
+    for trial in range(3):
+        holes = full if trial == 0 else full.filter(f"abs(hash(period, dt, {trial})) % 5 != 0")
+        rows = holes.collect()
+        days = (datetime.fromisoformat(last) - datetime.fromisoformat(first)).days
+        a, b = sorted(rng.sample(range(days), 2))
+        frm = datetime.fromisoformat(first) + timedelta(days=a, hours=rng.randrange(24) if hourly else 0)
+        to = datetime.fromisoformat(first) + timedelta(days=b, hours=rng.randrange(1, 24) if hourly else 0)
+        got = chosen(P.cover(holes, frm, to, periods))
+        assert got == brute_cover(rows, frm, to)
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:])), "disjoint"
+        missing = P.missing_partitions(holes, frm, to, periods[0], periods).collect()
+        if trial == 0 and hourly:
+            assert sum((e - s for s, e, _ in got), timedelta()) == to - frm, "complete"
+            assert missing == []
+
+
+def test_cover_prefers_one_storage(spark):
+    two = manifest(spark, [U.DAILY], "2024-01-01", "2024-01-03")
+    both = two.unionByName(two.withColumn("storage", F.lit("a")))
+    got = P.cover(both, "2024-01-01", "2024-01-03").collect()
+    assert [r["storage"] for r in got] == ["a", "a"]
+
+
+def test_predicates(spark):
+    rows = P.cover(
+        manifest(spark, [U.HOURLY, U.DAILY], "2024-01-01", "2024-01-09"),
+        "2024-01-01-22", "2024-01-05-03",
+    ).collect()
+    table = manifest(spark, [U.HOURLY, U.DAILY], "2024-01-01", "2024-01-09").select(
+        F.col("period").alias("update_period"), "dt"
+    )
+    want = sorted((r["period"], r["dt"]) for r in rows)
+    for writer in ("or", "between"):
+        got = table.filter(P.partition_predicate(rows, writer)).collect()
+        assert sorted((r[0], r[1]) for r in got) == want
+    other = table.select("update_period", F.replace("dt", F.lit("-"), F.lit("")).alias("dt"))
+    rows = [r for r in rows if r["period"] == "DAILY"]
+    got = other.filter(P.partition_predicate(rows, "or", "yyyyMMdd")).collect()
+    assert sorted(r[1] for r in got) == ["20240102", "20240103", "20240104"]
+
+
+def test_manifest_operations(spark):
+    m = manifest(spark, [U.DAILY], "2024-01-01", "2024-01-05")
+    assert P.drop_by_values(m, ["period", "dt"], ["DAILY", "2024-01-02"]).count() == 4
+    with pytest.raises(CubeError, match="2 partition columns"):
+        P.drop_by_values(m, ["period", "dt"], ["DAILY"])
+    with pytest.raises(CubeError, match="no partition"):
+        P.drop_by_values(m, ["period", "dt"], ["DAILY", "2025-01-02"])
+    with pytest.raises(CubeError, match="more than one"):
+        P.drop_by_values(m, ["period"], ["DAILY"])
+    again = P.add_partitions(m, manifest(spark, [U.DAILY], "2024-01-04", "2024-01-07"))
+    assert again.count() == 7
+    split = P.split_spec(
+        spark.sql("select map('dt', '2024-01-01-05', 'et', 'x', 'n', '7') as spec"), U.HOURLY
+    ).first()
+    assert split["time_spec"] == {"dt": datetime(2024, 1, 1, 5)}
+    assert split["other_spec"] == {"et": "x", "n": "7"}
+
+
+def test_scan_of_files_and_folders_in_several_formats(spark, tmp_path):
+    (tmp_path / "a").mkdir()
+    (tmp_path / "a" / "x.csv").write_text("1,one\n")
+    (tmp_path / "b.csv").write_text("2,two\n3,three\n")
+    spark.sql("select 4 as id, 'four' as name").write.json(str(tmp_path / "c"))
+    rows = [
+        ("t", "s", "DAILY", "2024-01-01", str(tmp_path / "a"), "csv"),
+        ("t", "s", "DAILY", "2024-01-02", str(tmp_path / "b.csv"), "csv"),
+        ("t", "s", "DAILY", "2024-01-03", str(tmp_path / "c"), "json"),
+    ]
+    m = P.manifest_rows(
+        spark.createDataFrame(
+            rows, "table string, storage string, period string, dt string, location string, format string"
+        )
+    )
+    schema = spark.createDataFrame([], "id int, name string").schema
+    got = sorted(tuple(r) for r in P.scan_partitions(spark, m, schema).select("id", "name", "dt").collect())
+    assert got == [
+        (1, "one", "2024-01-01"), (2, "two", "2024-01-02"), (3, "three", "2024-01-02"), (4, "four", "2024-01-03"),
+    ]
+
+
+def test_pruning_counts_partitions(spark, tmp_path):
+    """Five of ten partitions are asked for and five are read."""
+    data = spark.sql("select concat('p', id div 5) as dt, 'x' as et, id from range(50)")
+    data.write.partitionBy("dt", "et").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    asked = df.filter(F.col("dt").isin("p0", "p1", "p2", "p3", "p4"))
+    used = P.partitions_used(asked, ["dt", "et"]).collect()
+    assert sorted(r["dt"] for r in used) == ["p0", "p1", "p2", "p3", "p4"]
+    assert P.partitions_used(df, ["dt", "et"]).count() == 10
+
+
+def test_paths():
+    c = Dim("c", (Attr("id"), Attr("n", refs=(Ref("n", "id"),))), ())
+    s = Dim("s", (Attr("id"), Attr("n", refs=(Ref("n", "id"),))), ())
+    n = Dim("n", (Attr("id"), Attr("r", refs=(Ref("r", "id"),))), ())
+    r = Dim("r", (Attr("id"),), ())
+    cube = Cube("f", (), (Attr("ck", refs=(Ref("c", "id"),)), Attr("sk", refs=(Ref("s", "id"),))))
+    model = Model((cube,), (), (c, s, n, r))
+    assert [x[2] for x in model.path("f", "c")] == ["c"]
+    with pytest.raises(CubeError, match="several"):
+        model.path("f", "n")
+    assert [x[2] for x in model.path("f", "n", via="s")] == ["s", "n"]
+    assert [x[2] for x in model.path("f", "r", via="c")] == ["c", "n", "r"]
+    with pytest.raises(CubeError, match="no reference path"):
+        model.path("r", "f")
+
+
+def test_names_in_text():
+    seen = []
+    map_names("a.b + sum(c) - 'd e' || `f` + 1e5 > x", seen.append)
+    assert seen == ["a.b", "c", "x"]
+    calls = []
+
+    def lift(fn, distinct, arg):
+        calls.append((fn, distinct, arg))
+        return "X"
+
+    text = lift_aggregates("sum(a + f(b)) / COUNT(distinct c) + 'sum(x)' + resum(y)", lift)
+    assert text == "X / X + 'sum(x)' + resum(y)"
+    assert calls == [("sum", False, "a + f(b)"), ("count", True, "c")]
