@@ -31,16 +31,20 @@ def join_type(word: str) -> str:
         raise CubeError(f"unknown join type: {word}") from None
 
 
-def outer_join(left: DataFrame, right: DataFrame, on: Column, how: str) -> DataFrame:
+def outer_join(
+    left: DataFrame, right: DataFrame, on: Column, how: str, left_columns: list[str]
+) -> DataFrame:
     """Right and full joins as a join of the left side plus the unmatched right rows.
 
-    Spark can split a hot key of an inner, left or anti join over many tasks at
-    run time, but not that of a full join. Column names of the sides differ.
+    Spark can split a hot key of an inner or left join over many tasks at run
+    time, but not that of a full join. Unmatched rows are found against the
+    distinct ``left_columns``, all that ``on`` uses of the left side, so a hot
+    key shrinks to one row before it moves. Column names of the sides differ.
     """
     if how not in ("right", "full"):
         return left.join(right, on, how)
     matched = left.join(right, on, "inner" if how == "right" else "left")
-    alone = right.join(left, on, "left_anti")
+    alone = right.join(left.select(*left_columns).distinct(), on, "left_anti")
     return matched.unionByName(alone, allowMissingColumns=True)
 
 
@@ -56,7 +60,7 @@ def unique_join(inputs: list[DataFrame], key: str, how: str = "full") -> DataFra
 
     def merge(a: DataFrame, b: DataFrame) -> DataFrame:
         b = b.withColumnRenamed(key, "_key")
-        merged = outer_join(a, b, F.col(key) == F.col("_key"), "full")
+        merged = outer_join(a, b, F.col(key) == F.col("_key"), "full", [key])
         return merged.withColumn(key, F.coalesce(key, "_key")).drop("_key")
 
     return reduce(merge, inputs)

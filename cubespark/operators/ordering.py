@@ -38,18 +38,21 @@ def number_within(
     (key, bucket) and shifted by the counts of the key's earlier buckets, so a
     task holds one bucket of a key and not the whole key.
     """
-    df = df.withColumn("_bucket", bucket)
-    counts = df.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # one struct as key: null keys match, and the join keeps the window's partitioning
+    df = df.withColumn("_at", F.struct(*keys, bucket.alias("_bucket")))
+    counts = df.groupBy("_at").agg(F.count(F.lit(1)).alias("_n"))
     before = (
-        Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        Window.partitionBy(*[F.col("_at")[k] for k in keys])
+        .orderBy("_at._bucket")
+        .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = Window.partitionBy(*keys, "_bucket").orderBy(*order)
+    offsets = counts.select("_at", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy("_at").orderBy(*order)
     numbered = df.withColumn("_rn", F.row_number().over(inside))
-    on = [numbered[k].eqNullSafe(offsets[k]) for k in keys + ["_bucket"]]
-    return numbered.join(offsets, on).select(
-        *[numbered[c] for c in df.columns if c != "_bucket"],
-        (F.col("_rn") + F.col("_before")).alias(name),
+    return (
+        numbered.join(offsets, "_at")
+        .withColumn(name, F.col("_rn") + F.col("_before"))
+        .drop("_at", "_rn", "_before")
     )
 
 
@@ -66,18 +69,14 @@ def previous_within(
     Looks back inside (key, bucket); the first row of a bucket takes the last
     value of the key's previous bucket, of which there is one row per bucket.
     """
-    df = df.withColumn("_bucket", bucket)
-    at = F.struct(*order)
-    last = df.groupBy(key, "_bucket").agg(F.max_by(F.struct(value), at).alias("_last"))
-    carried = last.withColumn(
-        "_carry", F.lag("_last").over(Window.partitionBy(key).orderBy("_bucket"))
-    ).drop("_last")
-    w = Window.partitionBy(key, "_bucket").orderBy(*order)
-    inside = df.withColumn("_prev", F.lag(F.struct(value)).over(w))
-    joined = inside.join(
-        carried, inside[key].eqNullSafe(carried[key]) & inside["_bucket"].eqNullSafe(carried["_bucket"])
-    )
-    return joined.select(
-        *[inside[c] for c in df.columns if c != "_bucket"],
-        F.coalesce(F.col("_prev"), F.col("_carry"))[value].alias(name),
+    df = df.withColumn("_at", F.struct(F.col(key).alias("_key"), bucket.alias("_bucket")))
+    last = df.groupBy("_at").agg(F.max_by(F.struct(value), F.struct(*order)).alias("_last"))
+    earlier = Window.partitionBy("_at._key").orderBy("_at._bucket")
+    carried = last.select("_at", F.lag("_last").over(earlier).alias("_carry"))
+    inside = Window.partitionBy("_at").orderBy(*order)
+    found = df.withColumn("_prev", F.lag(F.struct(value)).over(inside))
+    return (
+        found.join(carried, "_at")
+        .withColumn(name, F.coalesce("_prev", "_carry")[value])
+        .drop("_at", "_prev", "_carry")
     )

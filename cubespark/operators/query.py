@@ -412,13 +412,15 @@ class Query:
 
         for given, pairs in steps:
             dim = self._read_dim(spark, given.dim, names.columns.get(given.dim, set()))
-            on: Column = F.lit(True)
-            for left, right in pairs:
-                on = on & (F.expr(left) == F.col(right))
+            conditions = [f"{left} = {right}" for left, right in pairs]
             if given.dim in on_filters:
-                on = on & F.expr(on_filters[given.dim][0])
-            # a pre-aggregated side has no hot key left
-            df = df.join(dim, on, given.how) if eager else outer_join(df, dim, on, given.how)
+                conditions.append(f"({on_filters[given.dim][0]})")
+            on = F.expr(" and ".join(conditions))
+            if eager:  # a pre-aggregated side has no hot key left
+                df = df.join(dim, on, given.how)
+            else:
+                used = _words(conditions)
+                df = outer_join(df, dim, on, given.how, [c for c in df.columns if c in used])
         for condition in late:
             df = df.filter(F.expr(condition))
 
@@ -449,15 +451,7 @@ class Query:
         texts += [left for _, pairs in steps for left, _ in pairs]
         texts += [text for text, _ in on_filters.values()]
         texts += [w for w, _ in wheres if w not in early]
-        held: set[str] = set()
-
-        def note(word: str) -> None:
-            if word.startswith(mine):
-                held.add(word)
-
-        for text in texts:
-            map_names(text, note)
-        return held
+        return {word for word in _words(texts) if word.startswith(mine)}
 
     def _aggregate(self, df, outputs, groups, havings, orders, names: _Names, eager: bool):
         keys = list(dict.fromkeys(groups))
@@ -516,6 +510,13 @@ class Query:
         return df.drop(*hidden.values())
 
 
+def _words(texts: list[str]) -> set[str]:
+    found: set[str] = set()
+    for text in texts:
+        map_names(text, found.add)
+    return found
+
+
 def _call_column(fn: str, distinct: bool, arg: str) -> Column:
     return F.expr(f"{fn}({'distinct ' if distinct else ''}{arg})")
 

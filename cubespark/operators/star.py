@@ -17,7 +17,7 @@ def reduce_fact(
     valid for dimensions that are inner joined later on.
     """
     for i, (dim, fk, pk, condition) in enumerate(filtered):
-        keys = dim.filter(condition).select(F.col(pk).alias(f"_reduce{i}")).distinct()
+        keys = dim.filter(condition).select(F.col(pk).alias(f"_reduce{i}"))
         fact = fact.join(keys, F.col(fk) == F.col(f"_reduce{i}"), "left_semi")
     return fact
 
