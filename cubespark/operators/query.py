@@ -240,6 +240,12 @@ class Query:
         """The text of the selected item that ``text`` names by its alias."""
         return next((t for t, a in outputs if a.lower() == text.strip().lower()), None)
 
+    def _group_text(self, text: str, outputs, names: _Names) -> str:
+        aliased = self._with_aliases(text, outputs)
+        if aliased and _BARE.match(text) and self._find(text, self._root) is None:
+            return aliased
+        return self._text(text, names)[0]
+
     def _having_text(self, text: str, outputs, names: _Names) -> str:
         aliased = {a.lower(): t for t, a in outputs}
         marks: dict[str, str] = {}
@@ -328,7 +334,7 @@ class Query:
         if not self.items:
             raise CubeError("nothing is selected")
         outputs = self._outputs(names)
-        groups = [self._text(g, names)[0] for g in self.groups]
+        groups = [self._group_text(g, outputs, names) for g in self.groups]
         wheres = [self._text(w, names) for w in self.wheres]
         havings = [self._having_text(h, outputs, names) for h in self.havings]
         orders = []

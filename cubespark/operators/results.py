@@ -93,6 +93,8 @@ def write_lines_result(
     spark = lines.sparkSession
     if options.split:
         return _write_split(lines, names, path, options)
+    # an earlier result may have other sections: empty the folder first
+    spark.range(0).select(F.lit("").alias("value")).write.mode("overwrite").text(path)
     if options.header:
         _write_lines(header_line(spark, names, options), f"{path}/section=0", options)
     seen = Observation()

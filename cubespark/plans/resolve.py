@@ -107,11 +107,16 @@ def candidate_facts(
             continue
         if (raw_only and fact.aggregated) or not fact.has(columns):
             continue
+        if conf.process_time_col is not None and fact.time_column is None:
+            continue  # its rows could not be told from those of other event times
         storages = tuple(
             s
             for s in fact.storages
             if _allowed(conf, s.storage, fact.name) and periods_of(fact, s, conf)
         )
+        whole = tuple(s for s in storages if not s.partitioned)
+        if whole or model.manifest is None:  # each holds all rows: read one of them
+            storages = (whole or storages)[:1]
         if storages:
             found.append((fact, storages))
     return found
@@ -183,29 +188,38 @@ def resolve_fact(
     chosen = P.cover(manifest.filter(keep), frm, until, periods, widen=widened)
     rows = chosen.limit(MAX_LISTED + 1).collect()
     by_table: dict[str, float] = {}
-    parts: list | None = rows
-    if len(rows) <= MAX_LISTED:
+    counts: dict[str, int] = {}
+    listed = len(rows) <= MAX_LISTED
+    if listed:
         for r in rows:
             seconds = (min(r["end"], to) - max(r["start"], frm)).total_seconds()
             by_table[r["table"]] = by_table.get(r["table"], 0.0) + max(seconds, 0.0)
     else:
-        parts = None
         clipped = F.least("end", instant(to)).cast("timestamp").cast("long") - F.greatest(
             "start", instant(frm)
         ).cast("timestamp").cast("long")
-        for r in chosen.groupBy("table").agg(F.sum(F.greatest(clipped, F.lit(0))).alias("s")).collect():
-            by_table[r["table"]] = float(r["s"])
+        totals = chosen.groupBy("table").agg(
+            F.sum(F.greatest(clipped, F.lit(0))).alias("seconds"), F.count(F.lit(1)).alias("n")
+        )
+        for r in totals.collect():  # one row per candidate fact
+            by_table[r["table"]], counts[r["table"]] = float(r["seconds"]), r["n"]
     full = [c for c in candidates if by_table.get(c[0].name, 0.0) >= wanted]
     if not full and conf.fail_if_partial:
         raise CubeError(f"no fact of {cube.name} has all partitions of {frm} .. {to}")
     fact, storages = (
         full[0] if full else max(candidates, key=lambda c: by_table.get(c[0].name, 0.0))
     )
+    mine = chosen.filter(F.col("table") == fact.name)
+    parts = None
+    if listed:
+        parts = [r for r in rows if r["table"] == fact.name]
+    elif counts.get(fact.name, 0) <= MAX_LISTED and storages[0].partitioned:
+        parts = mine.collect()
     return Resolution(
         fact,
         storages,
-        chosen.filter(F.col("table") == fact.name),
-        None if parts is None else [r for r in parts if r["table"] == fact.name],
+        mine,
+        parts,
         by_table.get(fact.name, 0.0),
         wanted,
     )

@@ -157,14 +157,13 @@ def _(spark, sf):
     )
 
 
-@query("native_name_map", "select n_nationkey, n_name, n_regionkey from nation")
+@query("native_name_map", "select c_custkey, c_name, c_nationkey from customer")
 def _(spark, sf):
     """A logical name whose properties give the physical table."""
-    physical = fresh("nation")
-    TB.ctas(table(spark, sf, "nation"), physical, path=new_dir(spark, "native"))
-    return TB.scan_native(
-        spark, "geo.nation", {TB.DB_PROPERTY: "default", TB.TABLE_PROPERTY: physical}
-    )
+    physical = fresh("customer")
+    TB.ctas(table(spark, sf, "customer"), physical, path=new_dir(spark, "native"))
+    logical = {TB.DB_PROPERTY: "default", TB.TABLE_PROPERTY: physical}
+    return TB.scan_native(spark, "crm.customer", logical).select("c_custkey", "c_name", "c_nationkey")
 
 
 @query(

@@ -169,6 +169,8 @@ def test_result_with_header_and_footer(spark, result, tmp_path):
     given = RS.ResultOptions(header="# given", footer="the end", ext="txt")
     path = RS.write_result(result, str(tmp_path / "g"), given)
     assert text_of(spark, path) == ["# given"] + CSV_GOLDEN + ["the end"]
+    RS.write_result(result, path, RS.ResultOptions())
+    assert text_of(spark, path) == CSV_GOLDEN, "nothing of the earlier result is left"
 
 
 def test_result_encoding_and_compression(spark, result, tmp_path):

@@ -155,6 +155,43 @@ def test_partitions_are_replaced_when_written_again(spark, tmp_path):
     assert as_rows(spark.read.parquet(path).select("v")) == [(1,), (3,)]
 
 
+def test_partitions_on_two_storages_count_once(spark):
+    """A day on both storages is read from one of them; more partitions than fit a list are joined."""
+    from cubespark.plans import resolve as R
+    from cubespark.plans.partitions import manifest_of_span
+
+    cube = Cube("c", (Measure("v", "bigint", "sum"),), (Attr("g", "int"),))
+
+    def days(lo, hi):
+        return lambda s: s.sql(
+            f"select cast(id % 2 as int) as g, 1L as v, 'DAILY' as update_period, "
+            f"date_format(date_add(date'2024-01-01', cast(id as int)), 'yyyy-MM-dd') as dt from range({lo}, {hi})"
+        )
+
+    def manifest(s):
+        spans = {"a": (1, 20), "b": (15, 31)}
+        rows = None
+        for storage, (lo, hi) in spans.items():
+            span = s.sql(f"select timestamp_ntz'2024-01-{lo:02}' as first, timestamp_ntz'2024-01-{hi:02}' as last")
+            m = manifest_of_span(span, "f", storage, U.DAILY)
+            rows = m if rows is None else rows.unionByName(m)
+        return rows
+
+    fact = Fact("f", "c", ("g", "v"), (FactStorage("a", days(0, 20), (U.DAILY,)), FactStorage("b", days(14, 31), (U.DAILY,))))
+    q = Query.of(Model((cube,), (fact,), (), manifest), "c").select("v").time_range("t", "2024-01-01", "2024-02-01")
+    assert as_rows(q.to_df(spark)) == [(31,)]
+    limit, R.MAX_LISTED = R.MAX_LISTED, 5
+    try:
+        res = q.resolve(spark)
+        assert res.parts is None and res.complete
+        assert as_rows(q.to_df(spark)) == [(31,)]
+    finally:
+        R.MAX_LISTED = limit
+    assert as_rows(q.select("case when g = 0 then 'x' else 'y' end as band").group_by("band").to_df(spark)) == [
+        (15, "y"), (16, "x"),
+    ]
+
+
 # ------------------------------------------------------------------- skewed ordering
 
 
