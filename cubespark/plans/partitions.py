@@ -20,7 +20,7 @@ from cubespark.model import CubeError
 from cubespark.plans.periods import (
     UpdatePeriod,
     instant,
-    parse_instant,
+    instant_sql,
     period_end,
     period_start,
 )
@@ -176,17 +176,16 @@ def cover(
     precedence over weeks, which do not nest in them. Tables named in ``widen``
     filter rows themselves, so they also get the partitions that overlap an edge.
     """
-    lower, upper = instant(frm), instant(to)
-    inside = (F.col("start") >= lower) & (F.col("end") <= upper)
+    lower, upper = instant_sql(frm), instant_sql(to)
+    inside = f"(start >= {lower} and `end` <= {upper})"
     if widen:
-        overlap = (F.col("start") < upper) & (F.col("end") > lower)
-        inside = inside | (F.col("table").isin(list(widen)) & overlap)
+        inside = f"({inside} or table in ({_texts(widen)}) and start < {upper} and `end` > {lower})"
     allowed = [
         p
         for p in (periods or list(UpdatePeriod))
         if max_interval is None or p.rank <= max_interval.rank
     ]
-    usable = manifest.filter(inside & F.col("period").isin([p.name for p in allowed]))
+    usable = manifest.filter(f"{inside} and period in ({_texts(p.name for p in allowed)})")
     weekly = UpdatePeriod.WEEKLY in allowed
     longer = [p for p in allowed if p.rank > UpdatePeriod.WEEKLY.rank]
     if weekly and longer:
@@ -194,16 +193,18 @@ def cover(
     # What is left nests: a partition lies in an earlier, larger one exactly when
     # that one reaches its end. The same partition on a second storage counts as
     # contained too. Nothing but weeks crosses a year, so years are independent.
-    group = ["table"] if weekly else ["table", F.year("start")]
-    before = (
-        Window.partitionBy(*group)
-        .orderBy("start", F.desc("end"), "storage")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    reach = usable.withColumn("_reach", F.max("end").over(before))
-    return reach.filter(F.col("_reach").isNull() | (F.col("end") > F.col("_reach"))).select(
-        "table", "period", "start", "end", "dt", "storage", "location", "format"
+    group = "table" if weekly else "table, year(start)"
+    columns = ["table", "period", "start", "`end`", "dt", "storage", "location", "format"]
+    reach = usable.selectExpr(
+        *columns,
+        f"max(`end`) over (partition by {group} order by start, `end` desc, storage "
+        "rows between unbounded preceding and 1 preceding) as _reach",
     )
+    return reach.filter("_reach is null or `end` > _reach").drop("_reach")
+
+
+def _texts(values) -> str:
+    return ", ".join("'" + str(v).replace("\\", "\\\\").replace("'", "\\'") + "'" for v in values)
 
 
 def _weeks_apart(usable: DataFrame, longer: list[UpdatePeriod]) -> DataFrame:
@@ -282,22 +283,23 @@ def partition_predicate(
     by_period: dict[str, list] = {}
     for row in sorted(parts, key=lambda r: r["start"]):
         by_period.setdefault(row["period"], []).append(row)
-    result = F.lit(False)
+    choices = []
     for name, rows in by_period.items():
         pattern_of = py_pattern or UpdatePeriod[name].py_pattern
         labels = [r["start"].strftime(pattern_of) for r in rows]
         if writer == "between":
-            cond, first = F.lit(False), 0
+            runs, first = [], 0
             for i in range(len(rows)):
                 if i + 1 == len(rows) or rows[i]["end"] != rows[i + 1]["start"]:
-                    cond = cond | F.col(dt_col).between(labels[first], labels[i])
+                    runs.append(f"{dt_col} between '{labels[first]}' and '{labels[i]}'")
                     first = i + 1
+            cond = " or ".join(runs)
         elif writer == "or":
-            cond = F.col(dt_col).isin(labels)
+            cond = f"{dt_col} in ({_texts(labels)})"
         else:
             raise CubeError(f"unknown range writer: {writer}")
-        result = result | ((F.col(period_col) == name) & cond)
-    return result
+        choices.append(f"({period_col} = '{name}' and ({cond}))")
+    return F.expr(" or ".join(choices) or "false")
 
 
 def _python_pattern(pattern: str) -> str:

@@ -84,9 +84,13 @@ def parse_instant(text: str | datetime) -> datetime:
     return datetime.strptime(text, pattern)
 
 
+def instant_sql(value: str | datetime) -> str:
+    """Zone-less timestamp literal as text; does not depend on the driver's time zone."""
+    return f"timestamp_ntz'{parse_instant(value).isoformat(sep=' ')}'"
+
+
 def instant(value: str | datetime) -> Column:
-    """Zone-less timestamp literal; does not depend on the driver's time zone."""
-    return F.expr(f"timestamp_ntz'{parse_instant(value).isoformat(sep=' ')}'")
+    return F.expr(instant_sql(value))
 
 
 def period_start(period: Column, dt: Column) -> Column:

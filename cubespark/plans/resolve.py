@@ -169,14 +169,12 @@ def resolve_fact(
         fact, storages = candidates[0]
         return Resolution(fact, storages, None, None, wanted, wanted)
 
-    manifest, keep, ends = model.manifest(spark), F.lit(False), set()
+    manifest, keep, ends = model.manifest(spark), [], set()
     for fact, storages in candidates:
         for s in storages:
-            names = [p.name for p in periods_of(fact, s, conf)]
-            keep = keep | (
-                (F.col("table") == fact.name)
-                & (F.col("storage") == s.storage)
-                & F.col("period").isin(names)
+            names = ", ".join(f"'{p.name}'" for p in periods_of(fact, s, conf))
+            keep.append(
+                f"(table = '{fact.name}' and storage = '{s.storage}' and period in ({names}))"
             )
             ends.add(look_ahead(to, periods_of(fact, s, conf), conf))
     periods = sorted(
@@ -185,7 +183,7 @@ def resolve_fact(
     )
     widened = [f.name for f, _ in candidates if f.time_column and not f.aggregated]
     until = max(ends)
-    chosen = P.cover(manifest.filter(keep), frm, until, periods, widen=widened)
+    chosen = P.cover(manifest.filter(" or ".join(keep)), frm, until, periods, widen=widened)
     rows = chosen.limit(MAX_LISTED + 1).collect()
     by_table: dict[str, float] = {}
     counts: dict[str, int] = {}

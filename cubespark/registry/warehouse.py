@@ -218,7 +218,7 @@ class Warehouse:
         build_rollups(
             events,
             ACTIVITY,
-            [HOURLY, DAILY],
+            [HOURLY, DAILY, WEEKLY],
             user_dims,
             "ts",
             self.path("activity_user"),
@@ -247,7 +247,7 @@ class Warehouse:
             _span(spark, first, last),
             [
                 ("activity_raw", [HOURLY], None),
-                ("activity_user", [HOURLY, DAILY], by_user),
+                ("activity_user", [HOURLY, DAILY, WEEKLY], by_user),
                 ("activity_type", [DAILY, WEEKLY], by_type),
             ],
             HOURLY.shift(instant(last)),
@@ -269,7 +269,7 @@ class Warehouse:
                 "activity",
                 ("event_type", "user_id") + merged,
                 (
-                    self._rolled("activity_user", ACTIVITY, user_dims, (HOURLY, DAILY)),
+                    self._rolled("activity_user", ACTIVITY, user_dims, (HOURLY, DAILY, WEEKLY)),
                 ),
                 200,
             ),
