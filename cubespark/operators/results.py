@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from cubespark.operators.ordering import row_index
-from cubespark.sources.nested_csv import CsvOptions, quoted, to_nested_csv
+from cubespark.sources.nested_csv import CsvOptions, nested_csv_fields, to_nested_csv
 from cubespark.sources.text import FIELD, to_hive_text
 
 
@@ -39,104 +39,121 @@ class ResultOptions:
     csv: CsvOptions = field(default_factory=CsvOptions)
 
 
-def header_line(spark: SparkSession, names: list[str], options: ResultOptions) -> DataFrame:
-    """The header as a one-row frame: the given text, or the column names."""
-    row = spark.range(1)
+def _field_columns(df: DataFrame, options: ResultOptions) -> DataFrame:
+    """Every column as its unquoted CSV text; Spark's CSV writer quotes them."""
+    fields = nested_csv_fields(df, options.csv)
+    return df.select(*[f.alias(f"c{i}") for i, f in enumerate(fields)])
+
+
+def _header_text(names: list[str], options: ResultOptions) -> str | None:
+    """The header as one line, for rows that are lines."""
     if isinstance(options.header, str):
-        return row.select(F.lit(options.header).alias("value"))
+        return options.header
     if options.formatter is text_rows:
-        return row.select(F.lit(FIELD.join(names)).alias("value"))
-    cells = [quoted(F.lit(n), options.csv) for n in names]
-    return row.select(F.concat_ws(options.csv.sep, *cells).alias("value"))
+        return FIELD.join(names)
+    o = options.csv
+    marks = {c: o.escape + c for c in (o.escape, o.quote)}
+    return o.sep.join(o.quote + "".join(marks.get(c, c) for c in n) + o.quote for n in names)
+
 
+def _footer_text(options: ResultOptions, rows: int) -> str:
+    return options.footer if isinstance(options.footer, str) else f"Total rows:{rows}"
 
-def _footer_text(options: ResultOptions, rows: Column) -> Column:
-    if isinstance(options.footer, str):
-        return F.lit(options.footer)
-    return F.concat(F.lit("Total rows:"), rows.cast("string"))
 
+def _one_line(spark: SparkSession, text: str) -> DataFrame:
+    return spark.range(1).select(F.lit(text).alias("value"))
 
-def _write_lines(df: DataFrame, path: str, options: ResultOptions, by: str | None = None) -> None:
-    """Write a text column verbatim, in any encoding, with any extension."""
+
+def _write(df: DataFrame, path: str, options: ResultOptions, by: str | None = None) -> None:
+    """Write a column ``value`` of lines as they are, or CSV columns with all fields quoted."""
     compression = options.codec if options.compress else "none"
-    if options.encoding.upper() in ("UTF-8", "UTF8") and options.ext == "txt":
-        writer = df.write.mode("overwrite").option("compression", compression)
-        (writer.partitionBy(by) if by else writer).text(path)
-        return
-    # the text writer knows UTF-8 only: write a CSV of one column without any quoting
-    keep = [by] if by else []
-    lines = df.select(*keep, F.explode(F.split("value", "\n")).alias("value"))
-    empty = F.raise_error(F.lit("an empty line cannot be written in this encoding"))
-    lines = lines.withColumn("value", F.when(F.col("value") == "", empty).otherwise(F.col("value")))
-    writer = lines.write.mode("overwrite").options(
-        sep="\x04",
-        quote="",
-        escape="",
-        comment="\x05",
-        escapeQuotes="false",
-        ignoreLeadingWhiteSpace="false",
-        ignoreTrailingWhiteSpace="false",
-        encoding=options.encoding,
-        compression=compression,
-        extension=options.ext,
-    )
-    (writer.partitionBy(by) if by else writer).csv(path)
+    common = {
+        "ignoreLeadingWhiteSpace": "false",
+        "ignoreTrailingWhiteSpace": "false",
+        "encoding": options.encoding,
+        "compression": compression,
+        "extension": options.ext,
+        "emptyValue": "",
+        "lineSep": "\n",
+    }
+    writer = lambda d: d.write.mode("overwrite").partitionBy(*([by] if by else []))
+    if "value" not in df.columns:
+        o = options.csv
+        quoting = {"sep": o.sep, "quote": o.quote, "escape": o.escape, "quoteAll": "true"}
+        writer(df).options(**common, **quoting).csv(path)
+    elif options.encoding.upper() in ("UTF-8", "UTF8") and options.ext == "txt":
+        writer(df).option("compression", compression).text(path)
+    else:
+        # the text writer knows one encoding and extension: write a CSV of one column
+        # without quotes, and refuse the few lines that the CSV writer would quote
+        keep = [by] if by else []
+        lines = df.select(*keep, F.explode(F.split("value", "\n")).alias("value"))
+        unfit = (F.col("value") == "") | F.col("value").rlike("[\\r\\x00\\x04\\x05]")
+        refuse = F.raise_error(F.lit("empty lines and control characters need UTF-8 and ext='txt'"))
+        lines = lines.withColumn("value", F.when(unfit, refuse).otherwise(F.col("value")))
+        plain = {"sep": "\x04", "quote": "", "escape": "", "comment": "\x05", "escapeQuotes": "false"}
+        writer(lines).options(**common, **plain).csv(path)
 
 
-def write_lines_result(
-    lines: DataFrame, names: list[str], path: str, options: ResultOptions
-) -> str:
-    """Header, lines and footer below ``path``, in folders that sort in this order.
+def write_result(df: DataFrame, path: str, options: ResultOptions = ResultOptions()) -> str:
+    """Write a result; the order of a sorted frame is kept from file to file."""
+    line_header = options.split and isinstance(options.header, str)
+    if options.formatter is csv_rows and not line_header:
+        rows = _field_columns(df, options)
+    else:
+        rows = options.formatter(df)
+    return _write_rows(rows, df.columns, path, options)
+
+
+def _header_row(rows: DataFrame, names: list[str], options: ResultOptions) -> DataFrame:
+    one = rows.sparkSession.range(1)
+    if "value" in rows.columns or isinstance(options.header, str):
+        return one.select(F.lit(_header_text(names, options)).alias("value"))
+    return one.select(*[F.lit(n).alias(c) for n, c in zip(names, rows.columns)])
+
+
+def _write_rows(rows: DataFrame, names: list[str], path: str, options: ResultOptions) -> str:
+    """Header, rows and footer below ``path``, in folders that sort in this order.
 
     Rows are counted while they are written, never twice.
     """
-    spark = lines.sparkSession
+    spark = rows.sparkSession
     if options.split:
-        return _write_split(lines, names, path, options)
+        return _write_split(rows, names, path, options)
     # an earlier result may have other sections: empty the folder first
     spark.range(0).select(F.lit("").alias("value")).write.mode("overwrite").text(path)
     if options.header:
-        _write_lines(header_line(spark, names, options), f"{path}/section=0", options)
+        _write(_header_row(rows, names, options), f"{path}/section=0", options)
     seen = Observation()
-    counted = lines.observe(seen, F.count(F.lit(1)).alias("rows"))
-    _write_lines(counted, f"{path}/section=1", options)
+    _write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/section=1", options)
     if options.footer:
-        footer = spark.range(1).select(_footer_text(options, F.lit(seen.get["rows"])).alias("value"))
-        _write_lines(footer, f"{path}/section=2", options)
+        footer = _one_line(spark, _footer_text(options, seen.get["rows"]))
+        _write(footer, f"{path}/section=2", options)
     return path
 
 
-def write_result(df: DataFrame, path: str, options: ResultOptions = ResultOptions()) -> str:
-    """Write a result; the order of a sorted frame is kept from file to file."""
-    return write_lines_result(options.formatter(df), df.columns, path, options)
-
-
-def _write_split(lines: DataFrame, names: list[str], path: str, options: ResultOptions) -> str:
+def _write_split(rows: DataFrame, names: list[str], path: str, options: ResultOptions) -> str:
     """Parts of ``max_rows`` rows, each with the header, the last with the footer."""
-    spark, size = lines.sparkSession, options.max_rows
-    indexed = row_index(lines, "_row").withColumn("part", F.floor(F.col("_row") / size))
+    spark, size = rows.sparkSession, options.max_rows
+    indexed = row_index(rows, "_row").withColumn("part", F.floor(F.col("_row") / size))
     total = indexed.count()
     parts = max(1, -(-total // size))
-    pieces = indexed.select("part", "_row", "value")
+    pieces = indexed
     if options.header:
-        header = header_line(spark, names, options)
-        text = header.first()[0]
+        header = _header_row(rows, names, options).first()
         pieces = pieces.unionByName(
             spark.range(parts).select(
-                F.col("id").alias("part"), F.lit(-1).cast("long").alias("_row"), F.lit(text).alias("value")
-            )
-        )
-    if options.footer:
-        pieces = pieces.unionByName(
-            spark.range(1).select(
-                F.lit(parts - 1).cast("long").alias("part"),
-                F.lit(total).cast("long").alias("_row"),
-                _footer_text(options, F.lit(total)).alias("value"),
+                F.col("id").alias("part"),
+                F.lit(-1).cast("long").alias("_row"),
+                *[F.lit(header[c]).alias(c) for c in rows.columns],
             )
         )
     # parts are of equal size, so hashing them over the tasks is even
     placed = pieces.repartition("part").sortWithinPartitions("part", "_row").drop("_row")
-    _write_lines(placed, path, options, by="part")
+    _write(placed, path, options, by="part")
+    if options.footer:
+        footer = _one_line(spark, _footer_text(options, total))
+        _write(footer, f"{path}/part={parts - 1}/section=2", options)
     return path
 
 
@@ -156,16 +173,18 @@ def merge_parts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
                 ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False,
             )
         )
+    file = F.col("_metadata.file_path")
     number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long")
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/(?:section|part)=(\d+)/", 1).try_cast("long")
+    folder = lambda kind: F.regexp_extract(file, f"/{kind}=(\\d+)/", 1).try_cast("long")
     return lines.select(
-        folder.alias("folder"),
+        folder("part").alias("part"),
+        F.coalesce(folder("section"), F.lit(1)).alias("section"),
         number.alias("file"),
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         "value",
-    ).orderBy(F.col("folder").asc_nulls_first(), "file", "name", "block", "line")
+    ).orderBy(F.col("part").asc_nulls_first(), "section", "file", "name", "block", "line")
 
 
 def persisted_size(spark: SparkSession, path: str) -> int:
@@ -187,7 +206,7 @@ def format_persisted(
     """
     if persisted_size(spark, source) > options.size_threshold:
         return source
-    return write_lines_result(merge_parts(spark, source).select("value"), names, path, options)
+    return _write_rows(merge_parts(spark, source).select("value"), names, path, options)
 
 
 def page(df: DataFrame, order: list[Column | str], start: int, size: int) -> DataFrame:

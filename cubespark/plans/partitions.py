@@ -228,7 +228,10 @@ def _weeks_apart(usable: DataFrame, longer: list[UpdatePeriod]) -> DataFrame:
 
 
 def gaps(chosen: DataFrame, frm: str | datetime, to: str | datetime) -> DataFrame:
-    """Spans of ``[frm, to)`` that the chosen partitions of one table leave open."""
+    """Spans of ``[frm, to)`` that the chosen partitions of one table leave open.
+
+    The window holds one short row per chosen partition.
+    """
     spark = chosen.sparkSession
     edge = spark.range(1).select(instant(frm).alias("start"), instant(frm).alias("end"))
     w = Window.partitionBy(F.lit(1)).orderBy("start", "end")

@@ -291,7 +291,7 @@ def _(spark, sf):
     options = RS.ResultOptions(header=True, footer=True, split=True, max_rows=4000)
     path = RS.write_result(orders_result(spark, sf), new_dir(spark, "split"), options)
     return RS.merge_parts(spark, path).select(
-        F.col("folder").alias("part"), F.col("value").alias("line")
+        "part", F.col("value").alias("line")
     )
 
 

@@ -56,7 +56,9 @@ def create_text_table(
     """A table of delimited text with a declared schema."""
     spark.sql(
         f"CREATE TABLE IF NOT EXISTS {table} ({ddl}) USING csv "
-        f"OPTIONS (sep '{sep}', nullValue '{_sql_text(null)}') LOCATION '{path}'"
+        f"OPTIONS (sep '{_sql_text(sep)}', nullValue '{_sql_text(null)}', "
+        "ignoreLeadingWhiteSpace 'false', ignoreTrailingWhiteSpace 'false') "
+        f"LOCATION '{_sql_text(path)}'"
     )
 
 
@@ -76,8 +78,9 @@ def insert_overwrite(df: DataFrame, table: str) -> None:
 
 
 def write_directory(df: DataFrame, path: str, sep: str = ",", null: str = NULL) -> None:
-    """Replace a directory by delimited text."""
-    df.write.mode("overwrite").csv(path, sep=sep, nullValue=null, emptyValue="")
+    """Replace a directory by delimited text, values as they are, without quotes."""
+    fields = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit(null)) for c in df.columns]
+    df.select(F.concat_ws(sep, *fields).alias("value")).write.mode("overwrite").text(path)
 
 
 def load_into(

@@ -187,10 +187,18 @@ def test_result_encoding_and_compression(spark, result, tmp_path):
 
 
 def test_line_break_in_other_encoding(spark, tmp_path):
-    df = spark.createDataFrame([("a\nb", "#x"), (" c ", "")], "x string, y string").coalesce(1)
-    path = RS.write_result(df, str(tmp_path / "u"), RS.ResultOptions(encoding="UTF-16LE"))
-    (file,) = glob.glob(f"{path}/*/part-*.csv")
-    assert open(file, "rb").read().decode("utf-16-le") == '"a\nb","#x"\n" c ",""\n'
+    df = spark.createDataFrame(
+        [("a\nb", "#x"), (" c\r ", ""), ('say "x"\\', None)], "x string, y string"
+    ).coalesce(1)
+    want = '"a\nb","#x"\n" c\r ",""\n"say ""x""\\","NULL"\n'
+    for encoding in ("UTF-16LE", "UTF-8"):
+        path = RS.write_result(df, str(tmp_path / encoding), RS.ResultOptions(encoding=encoding))
+        (file,) = glob.glob(f"{path}/*/part-*.csv")
+        assert open(file, "rb").read().decode(encoding) == want
+    assert "".join(r[0] + "\n" for r in RS.csv_rows(df).collect()) == want
+    lines = RS.ResultOptions(formatter=lambda d: d.select(F.col("y").alias("value")))
+    with pytest.raises(Exception, match="need UTF-8"):
+        RS.write_result(df.filter("y = ''"), str(tmp_path / "no"), lines)
 
 
 def test_result_split(spark, result, tmp_path):
@@ -263,6 +271,12 @@ def test_names_and_tables(spark, tmp_path):
     assert sorted(map(tuple, spark.table("test_text").collect())) == [(1, "one"), (2, None)]
     text = "".join(open(f).read() for f in glob.glob(str(tmp_path / "t" / "part-*")))
     assert "2,-NA-" in text
+    spaced = spark.createDataFrame([(1, " a, b "), (2, ""), (3, None)], "id int, name string")
+    TB.insert_overwrite(spaced, "test_text")
+    assert sorted(map(tuple, spark.table("test_text").collect())) == [(1, " a, b "), (2, ""), (3, None)]
+    TB.write_directory(spaced, str(tmp_path / "d"), sep="|")
+    back = read_delimited(spark, str(tmp_path / "d"), spaced.schema, sep="|")
+    assert sorted(map(tuple, back.collect())) == [(1, " a, b "), (2, ""), (3, None)]
     with pytest.raises(ValueError):
         TB.insert_overwrite(df.select("k"), "test_text")
     TB.drop_table(spark, "test_text")

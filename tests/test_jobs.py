@@ -15,7 +15,7 @@ from cubespark.operators.joins import outer_join, unique_join
 from cubespark.operators.ordering import number_within, previous_within
 from cubespark.session import shared_dir
 from cubespark.sources.database import read_db
-from cubespark.streaming.stats import ingest_stats
+from cubespark.streaming.stats import ingest_stats, rolled_logs
 
 U = UpdatePeriod
 
@@ -259,7 +259,7 @@ def test_stream_of_rolled_logs(spark, tmp_path):
     logs.mkdir()
 
     def log(name, *handles):
-        (logs / name).write_text("".join(json.dumps({"handle": h, "status": {"status": "OK"}}) + "\n" for h in handles))
+        (logs / name).write_text("".join(json.dumps({"handle": h, "status": {"status": "OPEN"}}) + "\n" for h in handles))
 
     log("test.log.2014-08-05-11-28", "a", "b")
     log("test.log", "live")
@@ -274,6 +274,13 @@ def test_stream_of_rolled_logs(spark, tmp_path):
     log("test.log.2014-08-05-11-29", "c")
     ingest_stats(spark, str(logs), out, checkpoint)
     assert handles()[-1] == ("2014-08-05-11-29", "c") and len(handles()) == 3
+    counters = QL.status_counters(
+        rolled_logs(spark, str(logs)).select(F.col("status")["status"].alias("status"))
+    )
+    run = counters.writeStream.outputMode("complete").format("memory").queryName("counters").start()
+    run.processAllAvailable()
+    run.stop()
+    assert tuple(spark.table("counters").first()) == (0, 0, 0, 0, 0)
     # seen again, by a fresh stream: its own partition is replaced
     log("test.log.2014-08-05-11-28", "d")
     ingest_stats(spark, str(logs), out, str(tmp_path / "cp2"))
