@@ -174,12 +174,14 @@ def merge_parts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
             )
         )
     file = F.col("_metadata.file_path")
-    number = F.regexp_extract(F.col("_metadata.file_name"), r"(\d+)", 1).try_cast("long")
-    folder = lambda kind: F.regexp_extract(file, f"/{kind}=(\\d+)/", 1).try_cast("long")
+
+    def number(text: Column, pattern: str) -> Column:
+        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).try_cast("long")
+
     return lines.select(
-        folder("part").alias("part"),
-        F.coalesce(folder("section"), F.lit(1)).alias("section"),
-        number.alias("file"),
+        number(file, r"/part=(\d+)/").alias("part"),
+        F.coalesce(number(file, r"/section=(\d+)/"), F.lit(1)).alias("section"),
+        number(F.col("_metadata.file_name"), r"(\d+)").alias("file"),
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),

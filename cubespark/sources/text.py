@@ -26,7 +26,7 @@ def cast_text(col: Column, to: T.DataType) -> Column:
         return F.substring(col, 1, to.length)
     if isinstance(to, T.StringType):
         return col
-    return col.try_cast(to)
+    return F.nullif(col, F.lit("")).try_cast(to)  # a null is cheaper than a failing cast
 
 
 def read_delimited(
