@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cubespark.llm.words import hashed, shingles, spelled, words
+from cubespark.llm.words import hashed, shingles, spelled
 from cubespark.session import new_dir
 
 SHARE = (4, 5)  # 0.8 as a fraction
@@ -39,7 +39,7 @@ def _needed(q):
 
 def item_minima(items: DataFrame) -> DataFrame:
     """(item, hash): the smallest hashes of each item, as many as its size partition asks."""
-    sets = items.select("item", F.array_distinct(shingles(words(F.col("item_text")), hashed)).alias("set"))
+    sets = items.select("item", F.array_distinct(shingles(F.col("item_text"), hashed)).alias("set"))
     q = F.size("set")
     largest = F.pow(F.lit(2), F.floor(F.log2(q)) + 1).cast("int") - 1
     taken = largest - _needed(largest) + 1
@@ -57,21 +57,20 @@ def contained(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", i
     path = new_dir(spark, "item-minima")
     item_minima(items).write.parquet(path)
     minima = spark.read.parquet(path)
-    found = docs.select("doc", F.explode(shingles(words(F.col("text")), hashed)).alias("hash"))
+    # the outer form: the inner one would compute the shingles once more, to drop empty lists
+    found = docs.select("doc", F.explode_outer(shingles(F.col("text"), hashed)).alias("hash"))
     path = new_dir(spark, "candidates")
     pairs = found.join(_small(minima, minima.count()), "hash").select("doc", "item").distinct()
     pairs.write.parquet(path)
     pairs = spark.read.parquet(path)
     n_pairs = pairs.count()
-    spelled_items = items.select("item", F.array_distinct(shingles(words(F.col("item_text")), spelled)).alias("wanted"))
+    spelled_items = items.select("item", F.array_distinct(shingles(F.col("item_text"), spelled)).alias("wanted"))
     wanted = pairs.join(spelled_items, pairs["item"].eqNullSafe(spelled_items["item"])).select(
         "doc", pairs["item"].alias("item"), "wanted"
     )
     ids = pairs.select(F.col("doc").alias("d")).distinct()
-    sets = (
-        docs.join(_small(ids, n_pairs), F.col("doc").eqNullSafe(F.col("d")), "left_semi")
-        .select(F.col("doc").alias("d"), F.array_distinct(shingles(words(F.col("text")), spelled)).alias("set"))
-    )
+    held = docs.join(_small(ids, n_pairs), F.col("doc").eqNullSafe(F.col("d")), "left_semi").withColumnRenamed("doc", "d")
+    sets = held.select("d", F.array_distinct(shingles(F.col("text"), spelled)).alias("set"))
     decided = (
         sets.join(wanted, F.col("d").eqNullSafe(F.col("doc")))
         .select("doc", "item", F.size("wanted").alias("q"), F.size(F.array_intersect("wanted", "set")).alias("shared"))

@@ -18,15 +18,20 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, "[ \\x09-\\x0D]+"))
 
 
-def shingles(words: Column, name, n: int = SHINGLE_WORDS) -> Column:
+def shingles(text: Column, name, n: int = SHINGLE_WORDS) -> Column:
     """One value per run of n words, or for all words if there are fewer; none without words.
 
-    ``name`` makes the value of a list of words.
+    ``name`` makes the value of a list of words. The list is bound to a lambda's variable,
+    else a text would be split again for each run.
     """
-    size = F.size(words)
-    runs = F.transform(F.sequence(F.lit(0), size - n), lambda i: name([F.get(words, i + k) for k in range(n)]))
-    short = F.array(name([F.get(words, F.lit(k)) for k in range(n)]))
-    return F.when(size >= n, runs).when(size > 0, short).otherwise(F.array().cast(_kind(name)))
+
+    def of(w: Column) -> Column:
+        size = F.size(w)
+        runs = F.transform(F.sequence(F.lit(0), size - n), lambda i: name([F.get(w, i + k) for k in range(n)]))
+        short = F.array(name([F.get(w, F.lit(k)) for k in range(n)]))
+        return F.when(size >= n, runs).when(size > 0, short).otherwise(F.array().cast(_kind(name)))
+
+    return F.get(F.transform(F.array(words(text)), of), F.lit(0))
 
 
 def hashed(parts: list[Column]) -> Column:
