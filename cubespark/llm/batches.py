@@ -38,3 +38,68 @@ def pieces(offsets: np.ndarray, limit: int = PIECE_BYTES) -> Iterator[tuple[int,
         end = min(max(end, row + 1), n)
         yield row, end
         row = end
+
+
+MIX = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9))
+BYTE_CODES = np.random.default_rng(5).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A 64-bit finalizer; one to one."""
+    x = (x ^ (x >> np.uint64(31))) * MIX[1]
+    return x ^ (x >> np.uint64(29))
+
+
+def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of texts (runs without ASCII white space, A-Z lower-cased),
+    and where each text's words begin, with the end."""
+    low, high = int(offsets[0]), int(offsets[-1])
+    raw = flat[low:high]
+    at = offsets - low
+    visible = ~IS_SPACE[raw]
+    begins = visible.copy()
+    begins[1:] &= ~visible[:-1]
+    first = at[:-1][at[:-1] < at[1:]]
+    begins[first] = visible[first]  # a word does not reach into the next text
+    starts = np.flatnonzero(begins)
+    bounds = np.searchsorted(starts, at)
+    if not len(starts):
+        return np.zeros(0, np.uint64), bounds
+    inside = _inside(starts, len(raw))
+    scale = np.full(int(inside.max()) + 1, MIX[0], np.uint64)
+    scale[0] = 1
+    np.multiply.accumulate(scale, out=scale)
+    codes = BYTE_CODES[LOWER[raw]] * scale[inside]
+    codes[~visible] = 0
+    return mixed(np.add.reduceat(codes, starts)), bounds
+
+
+def _inside(starts: np.ndarray, n: int) -> np.ndarray:
+    """Distance of each byte from the start of its word; bytes before the first count from 0."""
+    if len(starts) == 0 or starts[0] != 0:
+        starts = np.concatenate([[0], starts])
+    return np.arange(n) - np.repeat(starts, np.diff(np.append(starts, n)))
+
+
+def shingle_hashes(words: np.ndarray, bounds: np.ndarray, n: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all runs of n words of each text (of all its words, if fewer), and each run's text."""
+    counts = np.diff(bounds)
+    total = len(words)
+    if not total:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(len(counts)), counts)
+    left = bounds[1:][rows] - np.arange(total)
+    found = words.copy()
+    for k in range(1, n):
+        shifted = np.zeros(total, np.uint64)
+        shifted[: total - k] = words[k:] if k < total else 0
+        shifted[left <= k] = 0
+        found = mixed(found * MIX[0] + shifted)
+    first = np.zeros(total, bool)
+    first[bounds[:-1][counts > 0]] = True
+    keep = (left >= n) | (first & (counts[rows] < n))
+    return found[keep], rows[keep]

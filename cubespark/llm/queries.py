@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cubespark.llm import bpe, decontaminate, shards
+from cubespark.llm import bpe, decontaminate, near_dup, shards
 from cubespark.llm.batches import table
 
 
@@ -27,9 +27,14 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its component of near duplicates."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op9_decontamination)}
+    return {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op9_decontamination, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontaminate.ORACLE_SQL}
+    return {"op9_decontamination": decontaminate.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL}
