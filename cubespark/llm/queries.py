@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from cubespark.llm import bpe, decontaminate, near_dup, shards
+from cubespark.llm import bpe, decontaminate, near_dup, shards, suffix_dedup
 from cubespark.llm.batches import table
 
 
@@ -17,6 +17,11 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of repeated 400-byte strings, as digests."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return shards.shard_by_size(table(spark, sf_dir, "documents"), 24)
@@ -33,7 +38,7 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_sharding, op5_byte_bpe, op9_decontamination, op10_near_dup)}
+    return {f.__name__: f for f in (op1_suffix_dedup, op4_sharding, op5_byte_bpe, op9_decontamination, op10_near_dup)}
 
 
 def oracle_sql() -> dict[str, str]:
