@@ -176,6 +176,10 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             unequal += np.bitwise_count(d & np.uint64(0x1111111111111111))
         ok = (unequal <= MINIMA - least) & (label[left][:, None] != label[right][None, :])
         i, j = np.nonzero(ok)
+        # a pair that shares several bands is given in the first of them
+        bands_i, bands_j = rows["bands"][left][i], rows["bands"][right][j]
+        here = bands_i[np.arange(len(i)), np.argmax(bands_i == bands_j, 1)] == rows["band"][0]
+        i, j = i[here], j[here]
         a, b = node[left][i], node[right][j]
         pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
@@ -192,11 +196,13 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     "node": np.array(cols[1], np.int64),
                     "label": np.array(cols[2], np.int64),
                     "block": np.array(cols[0], np.int64),
+                    "band": np.array(cols[4], np.int64),
+                    "bands": np.array(cols[5], np.int64),
                 }
             )
 
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("group", "block", "node", "label", "bits")]
+        columns = [batch.column(n).to_pylist() for n in ("group", "block", "node", "label", "bits", "band", "bands")]
         for group, *row in zip(*columns):
             if group != key:
                 yield from flush()
@@ -218,22 +224,27 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     sketched = kept(sketches(docs), "sketches")
     known = sketched.where("id is not null and digest is not null")
     by_set = kept(known.groupBy("digest").agg(F.min("id").alias("node")), "sets")
-    named = known.join(by_set, ["digest"]).where("id = node")
     # rows that share an id may have several sets: each is a node of that name
-    buckets = named.select("node", "digest", "bits", F.explode("bands").alias("band"))
-    shared = buckets.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.min("digest").alias("d")).where("n > 1")
-    members = kept(buckets.join(shared.select("band", "n"), "band"), "members")
+    nodes = known.join(by_set, "digest").where("id = node").select("node", "bands", "bits")
+    # only numbers are shuffled per band; packed bits join the pairs that are left
+    by_band = nodes.select("node", F.explode("bands").alias("band"))
+    shared = by_band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = kept(by_band.join(shared, "band"), "members")
 
     # 1. each member with the bucket's best connected one
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    ranked = members.join(degrees, "node")
-    best = ranked.groupBy("band").agg(F.max_by(F.struct("node", "bits"), F.struct("degree", -F.col("node"))).alias("pivot"))
+    best = (
+        members.join(degrees, "node")
+        .groupBy("band")
+        .agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
+    )
+    stars = members.join(best, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    bits = nodes.select("node", "bits")
     stars = (
-        members.join(best, "band")
-        .where("node <> pivot.node")
-        .where(_matches(F.col("bits"), F.col("pivot.bits")) >= least_matches())
-        .select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))
-        .distinct()
+        stars.join(bits.withColumnsRenamed({"node": "a", "bits": "bits_a"}), "a")
+        .join(bits.withColumnsRenamed({"node": "b", "bits": "bits_b"}), "b")
+        .where(_matches(F.col("bits_a"), F.col("bits_b")) >= least_matches())
+        .select("a", "b")
     )
     stars = kept(stars, "stars")
     texts = docs.where("id is not null")
@@ -243,13 +254,18 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     # 2. members of a bucket in different components so far
     labelled = members.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
     mixed_bands = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
+    left = labelled.join(mixed_bands.select("band"), "band").join(nodes, "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    spread = (
-        labelled.join(mixed_bands.select("band"), "band")
-        .select("band", "node", "label", "bits", own.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .withColumn("group", F.concat_ws("/", "band", F.least("block", "other"), F.greatest("block", "other")))
-        .select("group", "block", "node", "label", "bits")
+    other = F.explode(F.sequence(F.lit(0), blocks - 1))
+    spread = left.select("band", "node", "label", "bits", "bands", own.alias("block"), other.alias("other")).select(
+        F.concat_ws("/", "band", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
+        "band",
+        "block",
+        "node",
+        "label",
+        "bits",
+        "bands",
     )
     close = spread.repartition("group").sortWithinPartitions("group").mapInArrow(_close_pairs, "a bigint, b bigint").distinct()
     close = kept(close, "close")
