@@ -46,6 +46,7 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 IS_SPACE = np.zeros(256, bool)
 IS_SPACE[[9, 10, 11, 12, 13, 32]] = True
+IS_MARK = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -54,13 +55,19 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(
+    flat: np.ndarray, offsets: np.ndarray, between: np.ndarray = IS_SPACE, prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, ...]:
     """64-bit hashes of the words of texts (runs without ASCII white space, A-Z lower-cased),
-    and where each text's words begin, with the end."""
+    and where each text's words begin, with the end.
+
+    ``between`` says which bytes separate words. For each length in ``prefixes`` the hashes of
+    the words' first bytes follow.
+    """
     low, high = int(offsets[0]), int(offsets[-1])
     raw = flat[low:high]
     at = offsets - low
-    visible = ~IS_SPACE[raw]
+    visible = ~between[raw]
     begins = visible.copy()
     begins[1:] &= ~visible[:-1]
     first = at[:-1][at[:-1] < at[1:]]
@@ -68,14 +75,15 @@ def word_hashes(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     starts = np.flatnonzero(begins)
     bounds = np.searchsorted(starts, at)
     if not len(starts):
-        return np.zeros(0, np.uint64), bounds
+        return np.zeros(0, np.uint64), bounds, *[np.zeros(0, np.uint64)] * len(prefixes)
     inside = _inside(starts, len(raw))
     scale = np.full(int(inside.max()) + 1, MIX[0], np.uint64)
     scale[0] = 1
     np.multiply.accumulate(scale, out=scale)
     codes = BYTE_CODES[LOWER[raw]] * scale[inside]
     codes[~visible] = 0
-    return mixed(np.add.reduceat(codes, starts)), bounds
+    whole = mixed(np.add.reduceat(codes, starts))
+    return whole, bounds, *[mixed(np.add.reduceat(np.where(inside < n, codes, 0), starts) + np.uint64(n)) for n in prefixes]
 
 
 def _inside(starts: np.ndarray, n: int) -> np.ndarray:

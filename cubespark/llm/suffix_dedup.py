@@ -12,9 +12,10 @@ positions are sampled by content first, without losing a repeat:
   hold the same 320 bytes from position x on. Spark sorts the pairs (rank of 80 bytes at
   x, the same at x + 80) into ranks of 160 bytes, then the pairs at offset 160 into ranks
   of 320 bytes. After each round positions of unique rank are left.
-* The last step reaches the threshold: a cell's windows cover bytes around the 320. Cells
+* The last steps reach the threshold: a cell's windows cover bytes around the 320. Cells
   of equal rank and equal surroundings repeat whole. Where cells of a rank differ, one cell
-  of each kind is ranked again window by window.
+  of each kind is ranked again in parts of ten windows (391 bytes in common), and parts
+  that share their rank but not their surroundings window by window (400 bytes).
 
 A rank is the hash of what it ranks, so ranks need no global numbering and a task that runs
 again gives the same ones. Ranks are 64 bits, and equal windows agree in seven of them.
@@ -35,9 +36,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.llm.batches import BYTE_CODES, mixed, pieces, text_bytes
-from cubespark.session import new_dir
+from cubespark.llm.steps import Steps
 
-LENGTH, SEED, CELL = 400, 40, 80
+LENGTH, SEED, CELL, PART = 400, 40, 80, 10
 CORE = 4 * CELL
 KGRAMS = LENGTH - SEED + 1
 SEGMENT = 1 << 21
@@ -168,34 +169,51 @@ def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.join(several, keys, "left_semi")
 
 
-def _window_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A name for each window of the cells listed with a text."""
+def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The listed cells of each text in parts of ``PART`` windows: a rank for what all windows of a
+    part share, a name for what they cover besides, and a name for each window."""
     for batch in batches:
         flat, offsets = text_bytes(batch, "text")
-        listed = batch.column("cells")
-        for i, cells in enumerate(listed):
-            lo = np.array([c["lo"].as_py() for c in cells], np.int64)
-            hi = np.array([c["hi"].as_py() for c in cells], np.int64)
-            rank = np.array([c["rank"].as_py() for c in cells], np.int64)
-            single = np.array([c["single"].as_py() for c in cells], bool)
-            for low in range(0, len(lo), 1 << 14):
-                part = slice(low, low + (1 << 14))
-                counts = hi[part] - lo[part] + 1
-                before = np.cumsum(counts) - counts
-                p = np.arange(int(counts.sum())) + np.repeat(lo[part] - before, counts)
-                begin, end = int(lo[part].min()), int(hi[part].max()) + LENGTH
+        for i, cells in enumerate(batch.column("cells")):
+            listed = np.array([(c["x"].as_py(), c["lo"].as_py(), c["hi"].as_py(), c["rank"].as_py(), c["single"].as_py()) for c in cells], np.int64)
+            for low in range(0, len(listed), 1 << 12):
+                x, lo, hi, rank, single = listed[low : low + (1 << 12)].T
+                begin, end = int(lo.min()), int(hi.max()) + LENGTH
                 names = Names(flat[offsets[i] + begin : offsets[i] + end])
-                n = len(p)
+                # parts are cut by the distance to x, so equal windows fall into equal parts
+                counts = hi - lo + 1
+                before = np.cumsum(counts) - counts
+                p = np.arange(int(counts.sum())) + np.repeat(lo - before, counts)
+                cell = np.repeat(np.arange(len(x)), counts)
+                part = (x[cell] - p) // PART
+                change = np.ones(len(p), bool)
+                change[1:] = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])
+                first = np.flatnonzero(change)
+                last = np.append(first[1:], len(p)) - 1
+                of, k = cell[first], part[first]
+                core_low = x[of] - PART * k - begin
+                core_high = x[of] - PART * (k + 1) + 1 + LENGTH - begin
+                core = names.of(core_low, core_high)
+                around = mixed(
+                    names.of(p[first] - begin, core_low) * np.uint64(3) + names.of(core_high, p[last] + LENGTH - begin)
+                )
+                every = names.of(p - begin, p - begin + LENGTH)
+                take = pa.array(np.full(len(first), i))
+                bounds = pa.array(np.append(first, len(p)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("id").take(pa.array(np.full(n, i))),
-                        batch.column("body").take(pa.array(np.full(n, i))),
-                        pa.array(np.repeat(rank[part], counts)),
-                        pa.array(names.of(p - begin, p - begin + LENGTH).view(np.int64)),
-                        pa.array(p.astype(np.int32)),
-                        pa.array(np.repeat(single[part], counts)),
+                        batch.column("id").take(take),
+                        batch.column("body").take(take),
+                        pa.array(mixed(rank[of].view(np.uint64) * np.uint64(PART) + k.astype(np.uint64)).view(np.int64)),
+                        pa.array(core.view(np.int64)),
+                        pa.array(around.view(np.int64)),
+                        pa.array((x[of] - p[last]).astype(np.int32)),
+                        pa.array((x[of] - p[first]).astype(np.int32)),
+                        pa.array(p[first].astype(np.int32)),
+                        pa.array(single[of].astype(bool)),
+                        pa.ListArray.from_arrays(bounds, pa.array(every.view(np.int64))),
                     ],
-                    names=["id", "body", "rank", "name", "p", "single"],
+                    names=["id", "body", "rank", "core", "u", "j0", "j1", "lo", "single", "names"],
                 )
 
 
@@ -239,65 +257,92 @@ def _cut_rows(with_text: bool):
 
 def repeated_windows(docs: DataFrame) -> DataFrame:
     """(id, body, lo, hi): runs of window starts that repeat, of rows (id, body, text)."""
-    spark = docs.sparkSession
+    steps = Steps(docs.sparkSession)
     id_kind = docs.schema["id"].dataType.simpleString()
-
-    def kept(df: DataFrame, label: str) -> DataFrame:
-        path = new_dir(spark, label)
-        df.write.parquet(path)
-        return spark.read.parquet(path)
-
+    # ranks of 40 bytes
     found = docs.mapInArrow(
         _anchor_rows,
         f"id {id_kind}, body bigint, seed bigint, anchor int, first int, last int, blocks array<bigint>, around array<bigint>",
     )
-    alive = _repeated(kept(found, "anchors"), ["seed"])
-    cells = alive.select("*", F.posexplode("around").alias("i", "u"))
+    found = steps.kept(found, "anchors")
+    cells = _repeated(found, ["seed"]).select("*", F.posexplode("around").alias("i", "u"))
     x = F.expr(f"anchor - {CELL} * (floor((anchor - first) / {CELL}) - i)").cast("int")
     cells = cells.withColumn("x", x).select(
         "id",
         "body",
         "x",
-        F.greatest(F.col("first"), F.col("x") - (CELL - 1)).alias("lo"),
-        F.least("last", "x").alias("hi"),
+        (F.col("x") - F.least("last", "x")).cast("tinyint").alias("j0"),
+        (F.col("x") - F.greatest(F.col("first"), F.col("x") - (CELL - 1))).cast("tinyint").alias("j1"),
         "u",
         *(F.get("blocks", F.col("i") + k).alias(f"b{k}") for k in range(4)),
     )
     # ranks of 160 bytes from pairs at offset 80, at x and at x + 160
     cells = cells.select(
-        "id", "body", "x", "lo", "hi", "u", F.xxhash64("b0", "b1").alias("rank"), F.xxhash64("b2", "b3").alias("next")
+        "id", "body", "x", "j0", "j1", "u", F.xxhash64("b0", "b1").alias("rank"), F.xxhash64("b2", "b3").alias("next")
     )
-    cells = _repeated(cells, ["rank"])
+    cells = steps.kept(cells, "ranks-160")
+    steps.drop("anchors")
     # ranks of 320 bytes from pairs at offset 160
-    cells = cells.withColumn("rank", F.xxhash64("rank", "next")).drop("next")
-    cells = kept(_repeated(cells, ["rank"]), "cells")
-
-    # the last step: whole cells
-    kind = [F.col("rank"), (F.col("x") - F.col("hi")).alias("j0"), (F.col("x") - F.col("lo")).alias("j1"), F.col("u")]
-    position = F.struct("id", "body", "lo", "hi")
-    kinds = cells.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(position).alias("at"))
-    kinds = kept(kinds, "kinds")
-    whole = kinds.where("n > 1").select("rank", "j0", "j1", "u")
-    placed = cells.withColumn("j0", F.col("x") - F.col("hi")).withColumn("j1", F.col("x") - F.col("lo"))
-    whole_cells = placed.join(whole, ["rank", "j0", "j1", "u"], "left_semi").select("id", "body", "lo", "hi")
-
-    # the last step: windows of one cell of each kind, where a rank has several kinds
+    cells = _repeated(cells, ["rank"]).withColumn("rank", F.xxhash64("rank", "next")).drop("next")
+    cells = steps.kept(cells, "ranks-320")
+    steps.drop("ranks-160")
+    cells = steps.kept(_repeated(cells, ["rank"]), "cells")
+    steps.drop("ranks-320")
+
+    # the threshold: cells that repeat whole
+    kind = ["rank", "j0", "j1", "u"]
+    kinds = cells.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "body", "x")).alias("at"))
+    kinds = steps.kept(kinds, "kinds")
+    whole = cells.join(kinds.where("n > 1").select(*kind), kind, "left_semi")
+    whole = whole.select("id", "body", (F.col("x") - F.col("j1")).alias("lo"), (F.col("x") - F.col("j0")).alias("hi"))
+    whole = steps.kept(whole, "whole")
+
+    # where a rank has several kinds of cells, one of each kind by parts
     several = kinds.groupBy("rank").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
     asked = kinds.join(several.select("rank"), "rank", "left_semi").select(
-        F.col("at.id").alias("id"), F.col("at.body").alias("body"),
-        F.struct(F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"), "rank", (F.col("n") == 1).alias("single")).alias("cell"),
+        F.col("at.id").alias("id"),
+        F.col("at.body").alias("body"),
+        F.struct(
+            F.col("at.x").alias("x"),
+            (F.col("at.x") - F.col("j1")).alias("lo"),
+            (F.col("at.x") - F.col("j0")).alias("hi"),
+            "rank",
+            (F.col("n") == 1).cast("int").alias("single"),
+        ).alias("cell"),
     )
-    asked = kept(asked.groupBy("id", "body").agg(F.collect_set("cell").alias("cells")), "asked")
-    small = asked.count() <= BROADCAST_ROWS
+    asked = steps.kept(asked.groupBy("id", "body").agg(F.collect_list("cell").alias("cells")), "asked")
+    steps.drop("cells", "kinds")
+    n = asked.count()
     ids = asked.select("id").distinct()
-    texts = docs.join(F.broadcast(ids) if small else ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
+    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
     same = (texts["body"] == asked["body"]) & texts["id"].eqNullSafe(asked["id"])
     texts = texts.join(asked, same).select(texts["id"], texts["body"], "text", "cells")
-    windows = texts.mapInArrow(_window_rows, f"id {id_kind}, body bigint, rank bigint, name bigint, p int, single boolean")
-    # repeated rows of one text are one place here, as copies repeat whole anyway
-    places = windows.distinct()
-    singles = _repeated(places, ["rank", "name"]).where("single").select("id", "body", F.col("p").alias("lo"), F.col("p").alias("hi"))
-    return whole_cells.union(singles)
+    parts = texts.mapInArrow(
+        _part_rows,
+        f"id {id_kind}, body bigint, rank bigint, core bigint, u bigint, j0 int, j1 int, lo int, single boolean, names array<bigint>",
+    )
+    parts = steps.kept(parts, "parts")
+    steps.drop("asked")
+    parts = steps.kept(_repeated(parts, ["rank", "core"]), "parts-shared")
+    steps.drop("parts")
+    kind = ["rank", "core", "u", "j0", "j1"]
+    several = parts.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"))
+    counted = parts.join(several, kind)
+    own = F.col("single")
+    whole_parts = counted.where(own & (F.col("n") > 1)).select(
+        "id", "body", "lo", (F.col("lo") + F.col("j1") - F.col("j0")).alias("hi")
+    )
+    # windows one by one; of parts of one kind each has the same names
+    windows = counted.select("id", "body", "rank", "lo", own.alias("single"), "n", F.posexplode("names").alias("i", "name"))
+    singles = _repeated_in(windows).select("id", "body", (F.col("lo") + F.col("i")).alias("lo"))
+    singles = singles.select("id", "body", "lo", F.col("lo").alias("hi"))
+    return steps.kept(whole.union(whole_parts).union(singles), "runs")
+
+
+def _repeated_in(windows: DataFrame) -> DataFrame:
+    """Windows of single parts that another window of their rank equals."""
+    several = windows.groupBy("rank", "name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rank", "name")
+    return windows.where(F.col("single") & (F.col("n") == 1)).join(several, ["rank", "name"], "left_semi")
 
 
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
