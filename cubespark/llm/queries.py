@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from cubespark.llm import bpe, decontaminate, near_dup, shards, suffix_dedup
+from cubespark.llm import bpe, decontaminate, near_dup, quality, shards, suffix_dedup, toxicity
 from cubespark.llm.batches import table
 
 
@@ -22,11 +23,29 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def _judged(scores: DataFrame, limit: float) -> DataFrame:
+    return scores.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted")
+    )
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, by a model of the labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return _judged(toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"))), 0.5)
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 24 shards of near equal bytes."""
     return shards.shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, by a network trained on labels outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    return _judged(quality.score(docs, quality.fit(docs, table(spark, sf_dir, "labels"))), 0.3)
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with each benchmark item that it holds."""
     return decontaminate.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -38,7 +57,16 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_suffix_dedup, op4_sharding, op5_byte_bpe, op9_decontamination, op10_near_dup)}
+    operators = (
+        op1_suffix_dedup,
+        op3_toxicity,
+        op4_sharding,
+        op5_byte_bpe,
+        op8_quality,
+        op9_decontamination,
+        op10_near_dup,
+    )
+    return {f.__name__: f for f in operators}
 
 
 def oracle_sql() -> dict[str, str]:
