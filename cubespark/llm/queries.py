@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm import bpe, decontaminate, near_dup, quality, shards, suffix_dedup, toxicity
+from cubespark.llm import bpe, decontaminate, html_text, near_dup, quality, shards, suffix_dedup, toxicity
 from cubespark.llm.batches import table
 
 
@@ -40,6 +40,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shards.shard_by_size(table(spark, sf_dir, "documents"), 24)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by a network trained on labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -62,6 +67,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op3_toxicity,
         op4_sharding,
         op5_byte_bpe,
+        op6_html_text,
         op8_quality,
         op9_decontamination,
         op10_near_dup,
