@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm import bpe, decontaminate, html_text, near_dup, quality, shards, suffix_dedup, toxicity
+from cubespark.llm import bpe, decontaminate, html_text, lm_score, near_dup, quality, shards, suffix_dedup, topk, toxicity
 from cubespark.llm.batches import table
 
 
@@ -23,6 +23,12 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
 
 
+def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best inner products of every fiftieth vector with all others."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
 def _judged(scores: DataFrame, limit: float) -> DataFrame:
     return scores.select(
         "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= limit).cast("int").alias("predicted")
@@ -45,6 +51,12 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Loss of every document under a model of good texts less that under one of all texts."""
+    good = table(spark, sf_dir, "labels").where("quality = 1").select("doc_id")
+    return lm_score.score(table(spark, sf_dir, "documents"), good)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of every document, by a network trained on labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
@@ -64,10 +76,12 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_suffix_dedup,
+        op2_topk,
         op3_toxicity,
         op4_sharding,
         op5_byte_bpe,
         op6_html_text,
+        op7_lm_score,
         op8_quality,
         op9_decontamination,
         op10_near_dup,
@@ -76,4 +90,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontaminate.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL}
+    return {"op2_topk": topk.ORACLE_SQL, "op9_decontamination": decontaminate.ORACLE_SQL, "op10_near_dup": near_dup.ORACLE_SQL}
