@@ -1,32 +1,61 @@
-"""The corpus pipeline: stages on documents, each written and read again."""
+"""The corpus pipeline: five stages on documents, each written and read again."""
 
 from __future__ import annotations
 
 import os
 import sys
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
+from cubespark.llm import bpe, decontaminate, near_dup, quality, suffix_dedup  # noqa: E402
 from cubespark.llm.batches import table  # noqa: E402
 from cubespark.session import new_dir  # noqa: E402
 
 
-def _encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    from cubespark.llm.queries import digests
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier does not reject."""
+    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
-    return digests(docs)
 
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return near_dup.keep_one(docs)
 
-STAGES = [("byte-level BPE encoding and decoding", _encode)]
 
+def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without passages of 400 bytes that are there more than once."""
+    return suffix_dedup.rewrite(docs)
+
+
+def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item."""
+    return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Number of tokens and digests of the ids and of the decoded bytes."""
+    return bpe.digests(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", good),
+    ("MinHash near-dedup", distinct),
+    ("suffix-array dedup", unrepeated),
+    ("benchmark decontamination", uncontaminated),
+    ("byte-level BPE encoding and decoding", encoded),
+]
+
+# training, components and doubling rounds are no SQL; tests hold the rows against brute force
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages in turn; each result is written to the shared folder and read again."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for _, stage in STAGES:
         path = new_dir(spark, "stage")
         stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)

@@ -20,16 +20,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from cubespark.llm.steps import Steps, small
 from cubespark.llm.words import hashed, shingles, spelled
-from cubespark.session import new_dir
 
 SHARE = (4, 5)  # 0.8 as a fraction
-BROADCAST_ROWS = 1_000_000
-
-
-def _small(df: DataFrame, rows: int) -> DataFrame:
-    """Sent to all executors if it has few rows; beyond that Spark shuffles."""
-    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
 def _needed(q):
@@ -51,25 +45,21 @@ def item_minima(items: DataFrame) -> DataFrame:
 
 def contained(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", item_id="item_id", item_text="text") -> DataFrame:
     """(doc, item, shingles of the item, how many of them the document has)."""
-    spark = docs.sparkSession
+    steps = Steps(docs.sparkSession)
     docs = docs.select(F.col(doc_id).alias("doc"), F.col(text).alias("text"))
     items = items.select(F.col(item_id).alias("item"), F.col(item_text).alias("item_text")).distinct()
-    path = new_dir(spark, "item-minima")
-    item_minima(items).write.parquet(path)
-    minima = spark.read.parquet(path)
+    minima = steps.kept(item_minima(items), "item-minima")
     # the outer form: the inner one would compute the shingles once more, to drop empty lists
     found = docs.select("doc", F.explode_outer(shingles(F.col("text"), hashed)).alias("hash"))
-    path = new_dir(spark, "candidates")
-    pairs = found.join(_small(minima, minima.count()), "hash").select("doc", "item").distinct()
-    pairs.write.parquet(path)
-    pairs = spark.read.parquet(path)
+    pairs = found.join(small(minima, minima.count()), "hash").select("doc", "item").distinct()
+    pairs = steps.kept(pairs, "candidates")
     n_pairs = pairs.count()
     spelled_items = items.select("item", F.array_distinct(shingles(F.col("item_text"), spelled)).alias("wanted"))
     wanted = pairs.join(spelled_items, pairs["item"].eqNullSafe(spelled_items["item"])).select(
         "doc", pairs["item"].alias("item"), "wanted"
     )
     ids = pairs.select(F.col("doc").alias("d")).distinct()
-    held = docs.join(_small(ids, n_pairs), F.col("doc").eqNullSafe(F.col("d")), "left_semi").withColumnRenamed("doc", "d")
+    held = docs.join(small(ids, n_pairs), F.col("doc").eqNullSafe(F.col("d")), "left_semi").withColumnRenamed("doc", "d")
     sets = held.select("d", F.array_distinct(shingles(F.col("text"), spelled)).alias("set"))
     decided = (
         sets.join(wanted, F.col("d").eqNullSafe(F.col("doc")))
@@ -86,7 +76,8 @@ def contained(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", i
 def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     """The documents that hold no item, with all their columns."""
     held = contained(docs, items, doc_id=doc_id).select(F.col(doc_id).alias("_held")).distinct()
-    return docs.join(held, docs[doc_id].eqNullSafe(held["_held"]), "left_anti")
+    held = Steps(docs.sparkSession).kept(held, "held")
+    return docs.join(small(held, held.count()), docs[doc_id].eqNullSafe(held["_held"]), "left_anti")
 
 
 ORACLE_SQL = r"""

@@ -32,14 +32,13 @@ from pyspark.sql import functions as F
 
 from cubespark.llm.batches import mixed, pieces, shingle_hashes, text_bytes, word_hashes
 from cubespark.llm.components import components
-from cubespark.session import new_dir
+from cubespark.llm.steps import Steps, small
 
 BANDS, ROWS, BITS = 44, 8, 4
 MINIMA = BANDS * ROWS
 LIMIT = (85, 100)
 ERRORS = 5.0
 BLOCK = 512
-BROADCAST_ROWS = 1_000_000
 _draw = np.random.default_rng(17)
 FACTORS = _draw.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint32(1)
 SHIFTS = _draw.integers(0, 1 << 32, MINIMA, np.uint32)
@@ -213,13 +212,7 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, n_shingles, component_id, kept) of each row."""
-    spark = df.sparkSession
-
-    def kept(rows: DataFrame, label: str) -> DataFrame:
-        path = new_dir(spark, label)
-        rows.write.parquet(path)
-        return spark.read.parquet(path)
-
+    kept = Steps(df.sparkSession).kept
     docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
     sketched = kept(sketches(docs), "sketches")
     known = sketched.where("id is not null and digest is not null")
@@ -295,15 +288,15 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
 def _sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Full sets of the nodes in pairs, from their texts."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    n = nodes.count()
-    wanted = texts.join(F.broadcast(nodes) if n <= BROADCAST_ROWS else nodes, "id", "left_semi")
+    wanted = texts.join(small(nodes, nodes.count()), "id", "left_semi")
     return shingle_sets(wanted).withColumnRenamed("id", "node")
 
 
 def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of each component, with all its columns."""
+    """One row of each component, with all its columns; rows without an id stay."""
     gone = near_duplicates(df, id_column, text).where("not kept").select(F.col(id_column).alias("_gone")).distinct()
-    return df.join(gone, df[id_column].cast("long") == F.col("_gone"), "left_anti")
+    gone = Steps(df.sparkSession).kept(gone, "near-duplicates")
+    return df.join(small(gone, gone.count()), df[id_column].cast("long") == gone["_gone"], "left_anti")
 
 
 ORACLE_SQL = r"""

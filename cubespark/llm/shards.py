@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cubespark.session import new_dir
+from cubespark.llm.steps import Steps
 
 SAMPLES_PER_RANGE = 64
 RANGES_PER_SHARD = 8
@@ -67,18 +67,15 @@ def _longs(values: list[int]) -> Column:
 
 def shard_by_size(df: DataFrame, shards: int, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Shard and slot of every row, sizes near equal."""
-    spark = df.sparkSession
-    path = new_dir(spark, "shard-rows")
-    sized(df, id_column, text).write.parquet(path)
-    rows = spark.read.parquet(path)
+    steps = Steps(df.sparkSession)
+    rows = steps.kept(sized(df, id_column, text), "shard-rows")
     total, largest = rows.agg(F.sum("size"), F.max("size")).first()
     total, largest = total or 1, largest or 1
     cuts = splitters(rows, total, shards * RANGES_PER_SHARD)
     rows = rows.withColumn("range", _count_at_most(cuts, F.col("key")))
-    placed = _place(rows, cuts)
-    path = new_dir(spark, "shard-cells")
-    placed.write.parquet(path)
-    return _assign(spark.read.parquet(path), shards, total, max(largest, total // shards // 10))
+    placed = steps.kept(_place(rows, cuts), "shard-cells")
+    steps.drop("shard-rows")
+    return _assign(steps, placed, shards, total, max(largest, total // shards // 10))
 
 
 def _place(rows: DataFrame, cuts: list[int]) -> DataFrame:
@@ -103,7 +100,7 @@ def _place(rows: DataFrame, cuts: list[int]) -> DataFrame:
     )
 
 
-def _assign(rows: DataFrame, shards: int, total: int, unit: int) -> DataFrame:
+def _assign(steps: Steps, rows: DataFrame, shards: int, total: int, unit: int) -> DataFrame:
     per_cell = rows.groupBy("range", "cell").agg(F.sum("size").alias("bytes"), F.count(F.lit(1)).alias("rows"))
     per_range = per_cell.groupBy("range").agg(F.sum("bytes").alias("bytes"), F.sum("rows").alias("rows"))
 
@@ -148,10 +145,8 @@ def _assign(rows: DataFrame, shards: int, total: int, unit: int) -> DataFrame:
     rows = rows.select(
         "doc_id", "size", "text_crc32", shard.alias("shard"), (F.col("cell_row") + F.col("_row") - 1).alias("row")
     )
-    spark = rows.sparkSession
-    path = new_dir(spark, "shard-positions")
-    rows.write.parquet(path)
-    rows = spark.read.parquet(path)
+    rows = steps.kept(rows, "shard-positions")
+    steps.drop("shard-cells")
     firsts = rows.groupBy("shard").agg(F.min("row").alias("first"))  # one row per shard
     return rows.join(F.broadcast(firsts), "shard").select(
         "doc_id",

@@ -5,9 +5,17 @@ from __future__ import annotations
 import gc
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cubespark.session import new_dir
 
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """A few numbers per row, for all executors if there are few rows; beyond that Spark shuffles."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
 
 class Steps:
     """Writes a step's result and reads it again, so a lost executor costs one step at most.

@@ -36,13 +36,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.llm.batches import BYTE_CODES, mixed, pieces, text_bytes
-from cubespark.llm.steps import Steps
+from cubespark.llm.steps import Steps, small
 
 LENGTH, SEED, CELL, PART = 400, 40, 80, 10
 CORE = 4 * CELL
 KGRAMS = LENGTH - SEED + 1
 SEGMENT = 1 << 21
-BROADCAST_ROWS = 1_000_000
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 
@@ -312,9 +311,8 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     )
     asked = steps.kept(asked.groupBy("id", "body").agg(F.collect_list("cell").alias("cells")), "asked")
     steps.drop("cells", "kinds")
-    n = asked.count()
     ids = asked.select("id").distinct()
-    texts = docs.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, docs["id"].eqNullSafe(ids["id"]), "left_semi")
+    texts = docs.join(small(ids, asked.count()), docs["id"].eqNullSafe(ids["id"]), "left_semi")
     same = (texts["body"] == asked["body"]) & texts["id"].eqNullSafe(asked["id"])
     texts = texts.join(asked, same).select(texts["id"], texts["body"], "text", "cells")
     parts = texts.mapInArrow(
