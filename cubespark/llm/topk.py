@@ -52,7 +52,7 @@ def slices(values: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     for d in range(values.shape[1]):
         bits = int(above[:, d].max()).bit_length()
         planes = [np.packbits((above[:, d] >> np.uint64(i)) & np.uint64(1) != 0, bitorder="little") for i in range(bits)]
-        out.append(np.array([_words(p, len(values)) for p in planes], np.uint64).reshape(bits, -1))
+        out.append(np.array([_words(p, len(values)) for p in planes], np.uint64).reshape(bits, -(-len(values) // 64)))
     return least, out
 
 
