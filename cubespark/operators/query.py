@@ -19,7 +19,7 @@ from cubespark.operators.joins import join_type, outer_join
 from cubespark.plans import partitions as P
 from cubespark.plans import resolve as R
 from cubespark.plans.names import lift_aggregates, map_names
-from cubespark.plans.periods import parse_instant
+from cubespark.plans.periods import instant_sql, parse_instant
 
 _ALIAS = re.compile(r"^(.*\S)\s+as\s+(\w+)$", re.IGNORECASE | re.DOTALL)
 _BARE = re.compile(r"^(?:(\w+)\.)?(\w+)$")
@@ -86,9 +86,20 @@ class Query:
         return replace(self, is_distinct=True)
 
     def time_range(self, column: str, frm: str | datetime, to: str | datetime) -> Query:
+        """Range of a timed dimension of the cube, ``from`` inclusive and ``to`` exclusive.
+
+        The first one chooses partitions; one of another timed dimension filters rows.
+        The same name again replaces its range.
+        """
         lower, upper = parse_instant(frm), parse_instant(to)
         if lower >= upper:
             raise CubeError(f"empty time range: {lower} .. {upper}")
+        timed = {t.lower() for t in getattr(self.root, "timed", ())}
+        if timed and column.lower() not in timed:
+            raise CubeError(f"{column} is not a timed dimension of {self.root.name}: {sorted(timed)}")
+        if self.span is not None and self.span[0].lower() != column.lower():
+            rows = f"{column} >= {instant_sql(lower)} and {column} < {instant_sql(upper)}"
+            return replace(self, wheres=self.wheres + (rows,))
         return replace(self, span=(column, lower, upper))
 
     def where(self, condition: str) -> Query:
@@ -155,10 +166,8 @@ class Query:
             raise CubeError(f"{name} is in several joined dimensions: qualify it")
         return joined[0] if joined else None
 
-    def _expand(self, text: str, home: str, depth: int = 0) -> str:
+    def _expand(self, text: str, home: str, around: tuple = ()) -> str:
         """Text with expression columns replaced by what they stand for."""
-        if depth > 20:
-            raise CubeError(f"expression columns refer to each other: {text}")
 
         def swap(word: str) -> str | None:
             hit = self._find(word, home)
@@ -166,7 +175,10 @@ class Query:
                 return None
             table, found = hit
             if isinstance(found, Expr):
-                inner = self._expand(found.text, table, depth + 1)
+                name = (table, found.name.lower())
+                if name in around:
+                    raise CubeError(f"expression columns refer to each other: {found.text}")
+                inner = self._expand(found.text, table, (*around, name))
                 return f"cast(({inner}) as {found.type})"
             return f"{table}.{found.name}"
 

@@ -33,9 +33,10 @@ class ResultOptions:
     codec: str = "gzip"
     ext: str = "csv"
     split: bool = False
-    # Default rows per part and bytes above which rows stay as they are.
+    # Fixed value: default rows per part.
     max_rows: int = 100_000
-    size_threshold: int = 10_737_418_240
+    # bytes above which persisted rows stay as they are, if asked for
+    size_threshold: int | None = None
     csv: CsvOptions = field(default_factory=CsvOptions)
 
 
@@ -204,27 +205,17 @@ def format_persisted(
 ) -> str:
     """Turn persisted part files into a formatted result.
 
-    Above the size threshold the directory stays as it is and is the result.
+    Above a given size threshold the directory stays as it is and is the result.
     """
-    if persisted_size(spark, source) > options.size_threshold:
+    if options.size_threshold is not None and persisted_size(spark, source) > options.size_threshold:
         return source
     return _write_rows(merge_parts(spark, source).select("value"), names, path, options)
 
 
 def page(df: DataFrame, order: list[Column | str], start: int, size: int) -> DataFrame:
-    """``size`` rows from position ``start`` in an order.
-
-    The first million rows come from a top-k selection; deeper pages from
-    numbered rows, since top-k would keep all rows before the page in memory.
-    """
-    if start + size <= 1_000_000:
-        return df.orderBy(*order).offset(start).limit(size)
-    numbered = row_index(df.orderBy(*order), "_row")
-    return (
-        numbered.filter((F.col("_row") >= start) & (F.col("_row") < start + size))
-        .orderBy("_row")
-        .drop("_row")
-    )
+    """``size`` rows from position ``start`` in an order; ties are broken by the other columns."""
+    total = [*order, *[F.col(f"`{c}`") for c in df.columns]]
+    return df.orderBy(*total).offset(start).limit(size)
 
 
 def result_schema(df: DataFrame) -> DataFrame:

@@ -40,6 +40,8 @@ MANIFEST_SCHEMA = T.StructType(
 )
 
 IDENTITY = ["table", "storage", "period", "dt"]
+# Short rows; a longer list of locations is shuffled like any other table.
+BROADCAST_LOCATIONS = 100_000
 
 
 def manifest_rows(df: DataFrame) -> DataFrame:
@@ -291,6 +293,8 @@ def partition_predicate(
         pattern_of = py_pattern or UpdatePeriod[name].py_pattern
         labels = [r["start"].strftime(pattern_of) for r in rows]
         if writer == "between":
+            if labels != sorted(labels):
+                raise CubeError(f"values of the format {pattern} do not sort by time: no ranges of them")
             runs, first = [], 0
             for i in range(len(rows)):
                 if i + 1 == len(rows) or rows[i]["end"] != rows[i + 1]["start"]:
@@ -315,6 +319,11 @@ def _python_pattern(pattern: str) -> str:
         "mm": "%M",
         "ss": "%S",
     }
+    rest = pattern
+    for letter in letters:
+        rest = rest.replace(letter, "")
+    if any(c.isalpha() for c in rest):
+        raise CubeError(f"unknown letters in a partition format: {pattern}")
     for letter, directive in letters.items():
         pattern = pattern.replace(letter, directive)
     return pattern
@@ -323,35 +332,35 @@ def _python_pattern(pattern: str) -> str:
 # ---------------------------------------------------------------------------- scans
 
 
+def _plain(path: Column) -> Column:
+    """A path without the scheme of local files and without a slash at its end."""
+    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "/+$", "")
+
+
 def scan_partitions(
     spark: SparkSession,
     manifest: DataFrame | list,
     schema: T.StructType,
     readers: dict | None = None,
-    max_partitions: int = 100_000,
 ) -> DataFrame:
     """Read the listed partitions wherever they lie and attach their values.
 
-    ``manifest`` may be rows of a manifest already chosen.
-    One read per distinct format. ``readers`` maps a format name to a function
-    of (spark, paths, schema); other formats go to ``spark.read.format``. Only
-    the list of locations is held on the driver.
+    ``manifest`` may be rows of a manifest already chosen. A location may be a
+    folder or a single file, in any number. One read per distinct format.
+    ``readers`` maps a format name to a function of (spark, paths, schema); other
+    formats go to ``spark.read.format``, which needs the list of locations.
     """
     rows = manifest
     if isinstance(manifest, DataFrame):
-        listed = manifest.select("location", "format", "period", "dt")
-        rows = listed.limit(max_partitions + 1).collect()
-    if len(rows) > max_partitions:
-        raise CubeError(f"more than {max_partitions} partitions listed: narrow the filter")
+        rows = manifest.select("location", "format", "period", "dt").collect()
     if not rows:
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("update_period", F.lit("")).withColumn("dt", F.lit(""))
-    values = F.broadcast(  # at most max_partitions short rows, checked above
-        spark.createDataFrame(
-            [(r["location"].rstrip("/"), r["period"], r["dt"]) for r in rows],
-            "_location string, update_period string, dt string",
-        )
-    )
+    listed = [(r["location"], r["period"], r["dt"]) for r in rows]
+    values = spark.createDataFrame(listed, "_location string, update_period string, dt string")
+    values = values.withColumn("_location", _plain(F.col("_location")))
+    if len(rows) <= BROADCAST_LOCATIONS:
+        values = F.broadcast(values)
     parts = None
     for fmt in sorted({r["format"] for r in rows}):
         paths = [r["location"] for r in rows if r["format"] == fmt]
@@ -361,14 +370,20 @@ def scan_partitions(
             if read
             else spark.read.format(fmt).schema(schema).load(paths)
         )
-        fields = [F.col(f.name) for f in schema]
-        # a location may be a folder or a single file
-        path = F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/")
-        folder = F.regexp_replace(path, "/[^/]*$", "")
-        at = F.when(path.isin(paths), path).otherwise(folder) if len(paths) <= 1000 else folder
-        df = df.select(*fields, at.alias("_location"))
+        file = _plain(F.col("_metadata.file_path"))
+        df = df.select(*[F.col(f.name) for f in schema], file.alias("_file"))
         parts = df if parts is None else parts.unionByName(df)
-    return parts.join(values, "_location").drop("_location")
+    # a file is listed by itself or through its folder
+    as_file = values.select(F.col("_location").alias("_file"), F.struct("update_period", "dt").alias("_own"))
+    as_folder = values.select(F.col("_location").alias("_folder"), F.struct("update_period", "dt").alias("_held"))
+    found = (
+        parts.withColumn("_folder", F.regexp_replace("_file", "/[^/]*$", ""))
+        .join(as_file, "_file", "left")
+        .join(as_folder, "_folder", "left")
+        .withColumn("_at", F.coalesce("_own", "_held"))
+        .filter(F.col("_at").isNotNull())
+    )
+    return found.select(*[f.name for f in schema], "_at.update_period", "_at.dt")
 
 
 def partitions_used(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -16,10 +16,6 @@ from cubespark.model import Cube, CubeError, Dim, DimStorage, Fact, FactStorage,
 from cubespark.plans import partitions as P
 from cubespark.plans.periods import UpdatePeriod, instant, time_range
 
-# At most this many partitions are written out as literals of the scan filter;
-# beyond it the scan is joined with the partition list instead.
-MAX_LISTED = 10_000
-
 
 @dataclass(frozen=True)
 class QueryConf:
@@ -62,7 +58,7 @@ class Resolution:
     fact: Fact
     storages: tuple[FactStorage, ...]
     chosen: DataFrame | None  # cover over all candidate facts
-    parts: list | None  # chosen partitions; None when there are too many to list
+    parts: list | None  # chosen partitions; None where nothing is partitioned
     covered: float  # seconds
     wanted: float
 
@@ -84,8 +80,22 @@ def _allowed(conf: QueryConf, storage: str, table: str) -> bool:
     )
 
 
+def _text(name: str) -> str:
+    """A lower-case SQL literal."""
+    return "'" + name.lower().replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def check_names(model: Model, cube: Cube, conf: QueryConf) -> None:
+    """Refuse options that name facts or storages the cube does not have."""
+    known = {(f.name.lower(), s.storage.lower()) for f in model.facts_of(cube) for s in f.storages}
+    unknown = {(f.lower(), s.lower()) for f, s in conf.valid_update_periods} - known
+    if unknown:
+        raise CubeError(f"no such fact and storage: {sorted(unknown)}")
+
+
 def periods_of(fact: Fact, storage: FactStorage, conf: QueryConf) -> list[UpdatePeriod]:
-    only = conf.valid_update_periods.get((fact.name, storage.storage))
+    asked = {(f.lower(), s.lower()): v for (f, s), v in conf.valid_update_periods.items()}
+    only = asked.get((fact.name.lower(), storage.storage.lower()))
     allowed = None if only is None else {UpdatePeriod.of(p) for p in only}
     limit = conf.max_interval and UpdatePeriod.of(conf.max_interval).rank
     return [
@@ -155,6 +165,7 @@ def resolve_fact(
 
     If none is complete: an error, or the fact that covers most of it.
     """
+    check_names(model, cube, conf)
     candidates = candidate_facts(model, cube, columns, raw_only, conf)
     if not candidates:
         raise CubeError(
@@ -174,7 +185,7 @@ def resolve_fact(
         for s in storages:
             names = ", ".join(f"'{p.name}'" for p in periods_of(fact, s, conf))
             keep.append(
-                f"(table = '{fact.name}' and storage = '{s.storage}' and period in ({names}))"
+                f"(lower(table) = {_text(fact.name)} and lower(storage) = {_text(s.storage)} and period in ({names}))"
             )
             ends.add(look_ahead(to, periods_of(fact, s, conf), conf))
     periods = sorted(
@@ -184,41 +195,27 @@ def resolve_fact(
     widened = [f.name for f, _ in candidates if f.time_column and not f.aggregated]
     until = max(ends)
     chosen = P.cover(manifest.filter(" or ".join(keep)), frm, until, periods, widen=widened)
-    rows = chosen.limit(MAX_LISTED + 1).collect()
+    # partitions are few against their rows; the reader needs the list of folders anyway
+    rows = chosen.collect()
     by_table: dict[str, float] = {}
-    counts: dict[str, int] = {}
-    listed = len(rows) <= MAX_LISTED
-    if listed:
-        for r in rows:
-            seconds = (min(r["end"], to) - max(r["start"], frm)).total_seconds()
-            by_table[r["table"]] = by_table.get(r["table"], 0.0) + max(seconds, 0.0)
-    else:
-        clipped = F.least("end", instant(to)).cast("timestamp").cast("long") - F.greatest(
-            "start", instant(frm)
-        ).cast("timestamp").cast("long")
-        totals = chosen.groupBy("table").agg(
-            F.sum(F.greatest(clipped, F.lit(0))).alias("seconds"), F.count(F.lit(1)).alias("n")
-        )
-        for r in totals.collect():  # one row per candidate fact
-            by_table[r["table"]], counts[r["table"]] = float(r["seconds"]), r["n"]
-    full = [c for c in candidates if by_table.get(c[0].name, 0.0) >= wanted]
+    for r in rows:
+        seconds = (min(r["end"], to) - max(r["start"], frm)).total_seconds()
+        name = r["table"].lower()
+        by_table[name] = by_table.get(name, 0.0) + max(seconds, 0.0)
+    full = [c for c in candidates if by_table.get(c[0].name.lower(), 0.0) >= wanted]
     if not full and conf.fail_if_partial:
         raise CubeError(f"no fact of {cube.name} has all partitions of {frm} .. {to}")
     fact, storages = (
-        full[0] if full else max(candidates, key=lambda c: by_table.get(c[0].name, 0.0))
+        full[0] if full else max(candidates, key=lambda c: by_table.get(c[0].name.lower(), 0.0))
     )
-    mine = chosen.filter(F.col("table") == fact.name)
-    parts = None
-    if listed:
-        parts = [r for r in rows if r["table"] == fact.name]
-    elif counts.get(fact.name, 0) <= MAX_LISTED and storages[0].partitioned:
-        parts = mine.collect()
+    mine = chosen.filter(F.lower("table") == fact.name.lower())
+    parts = [r for r in rows if r["table"].lower() == fact.name.lower()]
     return Resolution(
         fact,
         storages,
         mine,
         parts,
-        by_table.get(fact.name, 0.0),
+        by_table.get(fact.name.lower(), 0.0),
         wanted,
     )
 
@@ -235,12 +232,8 @@ def scan_fact(
     for storage in res.storages:
         if not storage.partitioned or res.chosen is None:
             df = storage.read(spark)
-        elif res.parts is None:
-            mine = res.chosen.filter(F.col("storage") == storage.storage)
-            labels = mine.select(F.col("period").alias("update_period"), "dt")
-            df = storage.read(spark).join(labels, ["update_period", "dt"], "left_semi")
         else:
-            mine = [r for r in res.parts if r["storage"] == storage.storage]
+            mine = [r for r in res.parts if r["storage"].lower() == storage.storage.lower()]
             if storage.base and storage.schema:
                 mine = [r for r in mine if r["location"]]
             if not mine:

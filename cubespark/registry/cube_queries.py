@@ -27,33 +27,31 @@ from cubespark.registry.warehouse import (
     warehouse,
 )
 
-# Nearly the whole month of events; starts and ends inside a day.
+# A span that starts and ends inside a day, for queries about the edges of a range.
 FROM, TO = "2024-01-01-05", "2024-01-29-07"
-IN_RANGE = "ts >= timestamp '2024-01-01 05:00:00' and ts < timestamp '2024-01-29 07:00:00'"
-# Whole days: four weeks and a day.
-ALIGNED = ("2024-01-01", "2024-01-30")
-IN_ALIGNED = "ts >= timestamp '2024-01-01 00:00:00' and ts < timestamp '2024-01-30 00:00:00'"
-# All whole months of lineitem, and a span that starts and ends inside a month.
-MONTHS = ("1995-01", "2001-11")
-IN_MONTHS = "l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '2001-11-01'"
-DAYS = ("1995-01-10", "2001-10-20")
-IN_DAYS = "l_shipdate >= timestamp '1995-01-10' and l_shipdate < timestamp '2001-10-20'"
+EDGES = (FROM, TO)
+IN_EDGES = "ts >= timestamp '2024-01-01 05:00:00' and ts < timestamp '2024-01-29 07:00:00'"
+# All events, and all of lineitem.
+WHOLE = ("2024-01-01", "2024-01-31")
+IN_RANGE = "ts >= timestamp '2024-01-01' and ts < timestamp '2024-01-31'"
+SOLD = ("1995-01-01", "2001-11-05")
+IN_SOLD = "l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '2001-11-05'"
 
 BY_TYPE = f"""
 select event_type, round(sum(value), 2) as value, max(value) as max_value,
        min(value) as min_value, count(*) as n
 from events where {IN_RANGE} group by event_type
 """
-BY_TYPE_ALIGNED = BY_TYPE.replace(IN_RANGE, IN_ALIGNED)
+BY_TYPE_EDGES = BY_TYPE.replace(IN_RANGE, IN_EDGES)
 
 
 def activity(
-    spark: SparkSession, sf: str, cube: Cube = ACTIVITY, span: tuple[str, str] = (FROM, TO)
+    spark: SparkSession, sf: str, cube: Cube = ACTIVITY, span: tuple[str, str] = WHOLE
 ) -> Query:
     return Query.of(warehouse(spark, sf).activity(spark), cube).time_range("ts", *span)
 
 
-def sales(spark: SparkSession, sf: str, span: tuple[str, str] = MONTHS) -> Query:
+def sales(spark: SparkSession, sf: str, span: tuple[str, str] = SOLD) -> Query:
     return Query.of(warehouse(spark, sf).sales(spark), SALES).time_range("l_shipdate", *span)
 
 
@@ -75,19 +73,19 @@ def by_type(q: Query, spark: SparkSession) -> DataFrame:
 
 @query(
     "time_range",
-    f"select event_type, round(sum(value), 2) as value from events where {IN_RANGE} group by 1",
+    f"select event_type, round(sum(value), 2) as value from events where {IN_EDGES} group by 1",
 )
 def _(spark, sf):
     events = table(spark, sf, "events").filter(time_range("ts", FROM + ":00:00", TO + ":00:00,000"))
     return events.groupBy("event_type").agg(F.round(F.sum("value"), 2).alias("value"))
 
 
-@query("partition_cover", BY_TYPE)
+@query("partition_cover", BY_TYPE_EDGES)
 def _(spark, sf):
-    return by_type(activity(spark, sf), spark)
+    return by_type(activity(spark, sf, span=EDGES), spark)
 
 
-@query("cover_fallback", BY_TYPE)
+@query("cover_fallback", BY_TYPE_EDGES)
 def _(spark, sf):
     """Two days and a week are missing as such: hours and days step in."""
     model = warehouse(spark, sf).activity(spark)
@@ -101,21 +99,21 @@ def _(spark, sf):
     return by_type(q, spark)
 
 
-@query("max_interval", BY_TYPE_ALIGNED)
+@query("max_interval", BY_TYPE)
 def _(spark, sf):
     """Days, although weeks are there."""
-    return by_type(activity(spark, sf, span=ALIGNED).conf(max_interval=DAILY), spark)
+    return by_type(activity(spark, sf).conf(max_interval=DAILY), spark)
 
 
-@query("valid_periods", BY_TYPE)
+@query("valid_periods", BY_TYPE_EDGES)
 def _(spark, sf):
     only = {("activity_user", "lake"): ["HOURLY"]}
-    return by_type(activity(spark, sf).conf(valid_update_periods=only), spark)
+    return by_type(activity(spark, sf, span=EDGES).conf(valid_update_periods=only), spark)
 
 
-@query("valid_facts", BY_TYPE_ALIGNED)
+@query("valid_facts", BY_TYPE)
 def _(spark, sf):
-    q = activity(spark, sf, span=ALIGNED)
+    q = activity(spark, sf)
     return by_type(q.conf(valid_facts=("activity_user",), valid_storages=("lake",)), spark)
 
 
@@ -130,15 +128,15 @@ def _(spark, sf):
     return rounded(q.to_df(spark), "value")
 
 
-@query("lightest_fact", BY_TYPE_ALIGNED)
+@query("lightest_fact", BY_TYPE)
 def _(spark, sf):
     """Weeks and a day of the lightest fact fill the range."""
-    return by_type(activity(spark, sf, span=ALIGNED).conf(fail_if_partial=True), spark)
+    return by_type(activity(spark, sf).conf(fail_if_partial=True), spark)
 
 
-@query("lightest_first", BY_TYPE_ALIGNED)
+@query("lightest_first", BY_TYPE)
 def _(spark, sf):
-    q = activity(spark, sf, span=ALIGNED).conf(lightest_first=True, fail_if_partial=True)
+    q = activity(spark, sf).conf(lightest_first=True, fail_if_partial=True)
     return by_type(q, spark)
 
 
@@ -181,7 +179,7 @@ def _(spark, sf):
     f"""
     with late as (select *, ts + interval 1 hour * (event_id % 4) as pt from events)
     select event_type, round(sum(value), 2) as value, count(*) as n from late
-    where {IN_RANGE} and date_trunc('hour', pt) < timestamp '2024-01-29 07:00:00' + interval 2 hour
+    where {IN_EDGES} and date_trunc('hour', pt) < timestamp '2024-01-29 07:00:00' + interval 2 hour
     group by 1
     """,
 )
@@ -214,6 +212,19 @@ def _(spark, sf):
     return rounded(q.conf(process_time_col="pt", lookahead=2).to_df(spark), "value")
 
 
+@query(
+    "time_range_two_dims",
+    """select l_returnflag, round(sum(l_quantity), 2) as quantity
+       from lineitem join orders on l_orderkey = o_orderkey
+       where l_shipdate >= timestamp '1995-01-01' and l_shipdate < timestamp '2001-11-05'
+         and o_orderdate >= timestamp '1996-03-01' and o_orderdate < timestamp '2000-02-15' group by 1""",
+)
+def _(spark, sf):
+    """A range of the ship date and one of the order date; the latter filters rows."""
+    q = sales(spark, sf).time_range("orders.o_orderdate", "1996-03", "2000-02-15")
+    return rounded(q.select("l_returnflag", "quantity").to_df(spark), "quantity")
+
+
 @query("timedim_replace", BY_TYPE)
 def _(spark, sf):
     """Filtered on the event time itself instead of a partition column."""
@@ -251,11 +262,11 @@ def _(spark, sf):
     "field_validity",
     f"""select l_returnflag, round(sum(case when l_shipdate >= timestamp '1996-01-01' then l_tax end), 2) as tax,
                round(sum(l_quantity), 2) as quantity
-        from lineitem where {IN_DAYS} group by 1""",
+        from lineitem where {IN_SOLD} group by 1""",
 )
 def _(spark, sf):
     """A measure that starts later than the range: its values before that are null."""
-    q = sales(spark, sf, DAYS).select("l_returnflag", "tax", "quantity").conf(validity="null")
+    q = sales(spark, sf).select("l_returnflag", "tax", "quantity").conf(validity="null")
     return rounded(q.to_df(spark), "tax", "quantity")
 
 
@@ -274,7 +285,7 @@ def _(spark, sf):
 @query(
     "single_table",
     f"""select l_returnflag, round(sum(l_quantity), 2) as quantity
-        from lineitem where {IN_MONTHS} group by 1""",
+        from lineitem where {IN_SOLD} group by 1""",
 )
 def _(spark, sf):
     q = sales(spark, sf).select("l_returnflag", "quantity").conf(multi_table=False)
@@ -368,7 +379,7 @@ def _(spark, sf):
     "cube_join_cube",
     f"""with a as (select user_id, sum(value) as value from events where {IN_RANGE} group by 1),
              s as (select o_custkey, sum(l_quantity) as quantity from lineitem
-                   join orders on l_orderkey = o_orderkey where {IN_MONTHS} group by 1)
+                   join orders on l_orderkey = o_orderkey where {IN_SOLD} group by 1)
         select user_id, round(value, 2) as value, round(quantity, 2) as quantity
         from a join s on user_id = o_custkey""",
 )
@@ -385,7 +396,7 @@ def _(spark, sf):
 @query(
     "auto_join",
     f"""select s_name, round(sum(l_quantity), 2) as quantity, count(*) as lines
-        from lineitem join supplier on l_suppkey = s_suppkey where {IN_MONTHS} group by 1""",
+        from lineitem join supplier on l_suppkey = s_suppkey where {IN_SOLD} group by 1""",
 )
 def _(spark, sf):
     q = sales(spark, sf).select("supplier.s_name", "quantity", "lines")
@@ -396,7 +407,7 @@ def _(spark, sf):
     "chain_join",
     f"""select r_name, round(sum(l_extendedprice * (1 - l_discount)), 4) as revenue
         from lineitem join supplier on l_suppkey = s_suppkey join nation on s_nationkey = n_nationkey
-        join region on n_regionkey = r_regionkey where {IN_MONTHS} group by 1""",
+        join region on n_regionkey = r_regionkey where {IN_SOLD} group by 1""",
 )
 def _(spark, sf):
     q = sales(spark, sf).select("region.r_name", "revenue")
@@ -407,21 +418,21 @@ def _(spark, sf):
     "chain_join_via",
     f"""select n_name, round(sum(l_quantity), 2) as quantity
         from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
-        join nation on c_nationkey = n_nationkey where {IN_DAYS} group by 1""",
+        join nation on c_nationkey = n_nationkey where {IN_SOLD} group by 1""",
 )
 def _(spark, sf):
     """The nation of the customer instead of the nearer one of the supplier."""
-    q = sales(spark, sf, DAYS).select("nation.n_name", "quantity").conf(via={"nation": "customer"})
+    q = sales(spark, sf).select("nation.n_name", "quantity").conf(via={"nation": "customer"})
     return rounded(q.to_df(spark), "quantity")
 
 
 @query(
     "join_infer_on",
     f"""select p_brand, round(sum(l_quantity), 2) as quantity
-        from lineitem join part on l_partkey = p_partkey where {IN_DAYS} group by 1""",
+        from lineitem join part on l_partkey = p_partkey where {IN_SOLD} group by 1""",
 )
 def _(spark, sf):
-    q = sales(spark, sf, DAYS).join("part").select("p_brand", "quantity")
+    q = sales(spark, sf).join("part").select("p_brand", "quantity")
     return rounded(q.to_df(spark), "quantity")
 
 
@@ -497,11 +508,11 @@ def _(spark, sf):
     "join_multi_key",
     f"""select o_orderstatus, round(sum(l_quantity), 2) as quantity, count(*) as lines from lineitem
         join orders on l_orderkey = o_orderkey and l_shipdate = o_orderdate + interval 30 day
-        where {IN_DAYS} group by 1""",
+        where {IN_SOLD} group by 1""",
 )
 def _(spark, sf):
     q = (
-        sales(spark, sf, DAYS)
+        sales(spark, sf)
         .join(
             "orders",
             on=[("l_orderkey", "o_orderkey"), ("l_shipdate - interval 30 days", "o_orderdate")],
@@ -514,7 +525,7 @@ def _(spark, sf):
 @query(
     "join_on_filter",
     f"""select s_name, round(sum(l_quantity), 2) as quantity from
-        (select * from lineitem where {IN_MONTHS}) l
+        (select * from lineitem where {IN_SOLD}) l
         left join supplier on l_suppkey = s_suppkey and s_acctbal > 2000 and l_returnflag != 'N'
         group by 1""",
 )
@@ -711,17 +722,17 @@ def _(spark, sf):
 
 @query(
     "rollup_consistency",
-    f"""select l_suppkey, 2::bigint as rows, round(sum(l_quantity), 2) as quantity_left,
-               round(sum(l_quantity), 2) as quantity_right, 0.0::double as quantity_difference
-        from lineitem where {IN_MONTHS} group by 1""",
+    f"""select user_id, 2::bigint as rows, round(sum(value), 2) as value_left,
+               round(sum(value), 2) as value_right, 0.0::double as value_difference
+        from events where {IN_RANGE} group by 1""",
 )
 def _(spark, sf):
-    q = sales(spark, sf).select("l_suppkey", "quantity")
-    rolled = q.conf(valid_facts=("sales_supplier",)).to_df(spark)
-    raw = q.conf(valid_facts=("sales_raw",)).to_df(spark)
-    df = RU.consistency(rolled, raw, ["l_suppkey"], ["quantity"])
-    df = rounded(df, "quantity_left", "quantity_right")
-    return df.withColumn("quantity_difference", F.abs(F.round("quantity_difference", 2)))
+    q = activity(spark, sf).select("user_id", "value")
+    rolled = q.conf(valid_facts=("activity_user",)).to_df(spark)
+    raw = q.conf(valid_facts=("activity_raw",)).to_df(spark)
+    df = RU.consistency(rolled, raw, ["user_id"], ["value"])
+    df = rounded(df, "value_left", "value_right")
+    return df.withColumn("value_difference", F.abs(F.round("value_difference", 2)))
 
 
 # --------------------------------------------------------------- order, limit, union
@@ -730,7 +741,7 @@ def _(spark, sf):
 @query(
     "order_by",
     f"""select s_name, l_returnflag, round(sum(l_quantity), 2) as quantity from lineitem
-        join supplier on l_suppkey = s_suppkey where {IN_MONTHS} group by 1, 2""",
+        join supplier on l_suppkey = s_suppkey where {IN_SOLD} group by 1, 2""",
 )
 def _(spark, sf):
     q = sales(spark, sf).select("supplier.s_name", "l_returnflag", "quantity")
@@ -758,7 +769,7 @@ def _(spark, sf):
     f"""select label, sum(n)::bigint as n from (
           select event_type as label, count(*) as n from events where {IN_RANGE} group by 1
           union all
-          select l_returnflag, count(*) from lineitem where {IN_MONTHS} group by 1
+          select l_returnflag, count(*) from lineitem where {IN_SOLD} group by 1
           union all
           select r_name, count(*) from region group by 1) group by 1""",
 )

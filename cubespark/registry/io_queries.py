@@ -318,7 +318,7 @@ def _(spark, sf):
     RS.csv_rows(orders_result(spark, sf)).write.text(source)
     names = ["o_orderkey", "o_custkey", "o_orderstatus"]
     result = None
-    for threshold in (RS.ResultOptions.size_threshold, 10):
+    for threshold in (None, 10):
         options = RS.ResultOptions(footer=True, size_threshold=threshold)
         path = RS.format_persisted(spark, source, names, new_dir(spark, "gated"), options)
         outcome = F.lit("as it is" if path == source else "formatted").alias("outcome")

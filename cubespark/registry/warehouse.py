@@ -78,7 +78,7 @@ SALES = Cube(
         Attr("l_shipdate", "timestamp_ntz"),
     ),
     exprs=(Expr("unit_revenue", "double", "revenue / quantity"),),
-    timed=("l_shipdate",),
+    timed=("l_shipdate", "orders.o_orderdate"),
 )
 
 SALES_EXPRS = {

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,14 +18,21 @@ def rolled_logs(spark: SparkSession, path: str, max_files: int | None = None) ->
 
     Hidden files are left out by Spark, the live log by its name.
     """
-    reader = spark.readStream.schema(STATS_SCHEMA).option("recursiveFileLookup", True)
+    reader = (
+        spark.readStream.schema(STATS_SCHEMA)
+        .option("recursiveFileLookup", True)
+        # a file is new when it is found, however old its time is
+        .option("maxFileAge", "36500d")
+    )
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    file = F.col("_metadata.file_path")
+    file = F.regexp_replace("_metadata.file_path", "^file:/+", "/")
+    root = re.sub("^file:/+", "/", path).rstrip("/") + "/"
     rows = reader.json(path).select(
         *STATS_SCHEMA.fieldNames(),
         F.regexp_extract(file, ROLLED, 1).alias("dt"),
-        F.col("_metadata.file_name").alias("log_file"),
+        # the path below the root: hosts may use the same file names
+        F.when(file.startswith(root), F.substring(file, len(root) + 1, 1 << 20)).otherwise(file).alias("log_file"),
     )
     return rows.filter(F.col("dt") != "")
 

@@ -1,6 +1,7 @@
 """Star joins, joins, rollups, query log, ordering under skew, streaming, plans."""
 
 import json
+import os
 import random
 
 import duckdb
@@ -180,13 +181,7 @@ def test_partitions_on_two_storages_count_once(spark):
     fact = Fact("f", "c", ("g", "v"), (FactStorage("a", days(0, 20), (U.DAILY,)), FactStorage("b", days(14, 31), (U.DAILY,))))
     q = Query.of(Model((cube,), (fact,), (), manifest), "c").select("v").time_range("t", "2024-01-01", "2024-02-01")
     assert as_rows(q.to_df(spark)) == [(31,)]
-    limit, R.MAX_LISTED = R.MAX_LISTED, 5
-    try:
-        res = q.resolve(spark)
-        assert res.parts is None and res.complete
-        assert as_rows(q.to_df(spark)) == [(31,)]
-    finally:
-        R.MAX_LISTED = limit
+    assert q.resolve(spark).complete and len(q.resolve(spark).parts) == 31
     assert as_rows(q.select("case when g = 0 then 'x' else 'y' end as band").group_by("band").to_df(spark)) == [
         (15, "y"), (16, "x"),
     ]
@@ -321,3 +316,39 @@ def test_shared_folder_comes_from_the_session():
     assert shared_dir(Session("hdfs://x/shared/", "yarn")) == "hdfs://x/shared"
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(Session(None, "yarn"))
+
+
+def test_a_range_needs_a_timed_dimension(spark):
+    cube = Cube("c", (Measure("v", "bigint", "sum"),), (Attr("t", "timestamp_ntz"), Attr("u", "timestamp_ntz")), timed=("t", "u"))
+
+    def rows(s):
+        return s.sql(
+            "select * from values (timestamp_ntz'2024-01-01', timestamp_ntz'2024-02-01', 1L), "
+            "(timestamp_ntz'2024-01-02', timestamp_ntz'2024-02-05', 2L), "
+            "(timestamp_ntz'2024-03-01', timestamp_ntz'2024-02-01', 4L) as x(t, u, v)"
+        )
+
+    fact = Fact("f", "c", ("t", "u", "v"), (FactStorage("a", rows, (U.DAILY,), partitioned=False),), aggregated=False, time_column="t")
+    q = Query.of(Model((cube,), (fact,), (), None), "c").select("v")
+    assert as_rows(q.time_range("t", "2024-01", "2024-02").to_df(spark)) == [(3,)]
+    both = q.time_range("T", "2024-01", "2024-02").time_range("u", "2024-02-01", "2024-02-02")
+    assert as_rows(both.to_df(spark)) == [(1,)]
+    with pytest.raises(CubeError):
+        q.time_range("no_such_column", "2024-01", "2024-02")
+    with pytest.raises(CubeError):
+        q.time_range("t", "2024-01", "2024-02").conf(valid_update_periods={("nothing", "a"): ["DAILY"]}).to_df(spark)
+
+
+def test_old_logs_and_equal_names_of_two_hosts(spark, tmp_path):
+    row = '{"handle": "%s", "status": {"status": "S"}}\n'
+    logs, out = tmp_path / "logs", str(tmp_path / "out")
+    for host in ("h1", "h2"):
+        (logs / host).mkdir(parents=True)
+    (logs / "h1" / "q.log.2024-01-01-00").write_text(row % "a")
+    os.utime(logs / "h1" / "q.log.2024-01-01-00", (10**9, 10**9))
+    (logs / "h1" / "q.log.2024-01-02-00").write_text(row % "b")
+    ingest_stats(spark, str(logs), out, str(tmp_path / "cp"))
+    (logs / "h2" / "q.log.2024-01-01-00").write_text(row % "c")
+    os.utime(logs / "h2" / "q.log.2024-01-01-00", (10**9, 10**9))
+    ingest_stats(spark, str(logs), out, str(tmp_path / "cp"))
+    assert {r["handle"] for r in spark.read.json(out).collect()} == {"a", "b", "c"}

@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from cubespark import Attr, Cube, CubeError, Dim, Model, Ref, UpdatePeriod
 from cubespark.plans import partitions as P
@@ -184,3 +185,36 @@ def test_names_in_text():
     text = lift_aggregates("sum(a + f(b)) / COUNT(distinct c) + 'sum(x)' + resum(y)", lift)
     assert text == "X / X + 'sum(x)' + resum(y)"
     assert calls == [("sum", False, "a + f(b)"), ("count", True, "c")]
+
+
+def test_scan_of_many_single_files(spark, tmp_path):
+    """Locations that are files, one that is a folder, and another with a slash at its end."""
+    rows = []
+    for i in range(1100):
+        path = tmp_path / f"p{i}.json"
+        path.write_text(f'{{"id": {i}}}\n')
+        day = f"{2000 + i // 360}-{1 + i % 12:02}-{1 + i // 12 % 28:02}"
+        rows.append((f"t{i}", "s", "DAILY", day, str(path), "json"))
+    for name in ("folder", "other"):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "part.json").write_text('{"id": -1}\n{"id": -2}\n')
+    rows += [("a", "s", "DAILY", "1999-01-01", f"{tmp_path}/folder", "json")]
+    rows += [("b", "s", "DAILY", "1999-01-02", f"file://{tmp_path}/other/", "json")]
+    columns = "table string, storage string, period string, dt string, location string, format string"
+    m = P.manifest_rows(spark.createDataFrame(rows, columns))
+    got = P.scan_partitions(spark, m, T.StructType([T.StructField("id", T.IntegerType())])).collect()
+    assert len(got) == 1104 and len({r["id"] for r in got}) == 1102
+    assert {(r["id"], r["dt"]) for r in got if r["id"] >= 0} == {(i, r[3]) for i, r in enumerate(rows[:1100])}
+
+
+def test_partition_formats_that_cannot_be_ranges():
+    from datetime import datetime
+
+    rows = [
+        {"period": "DAILY", "start": datetime(2024, 1, d), "end": datetime(2024, 1, d + 1)} for d in range(28, 31)
+    ] + [{"period": "DAILY", "start": datetime(2024, 2, 1), "end": datetime(2024, 2, 2)}]
+    with pytest.raises(CubeError):
+        P.partition_predicate(rows, "between", "dd-MM-yyyy")
+    with pytest.raises(CubeError):
+        P.partition_predicate(rows, "or", "yyyy-QQQ")
+    P.partition_predicate(rows, "or", "dd-MM-yyyy")
