@@ -9,7 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-PIECE_BYTES = 1 << 21
+# numpy works on some ten arrays of eight bytes per byte of a piece
+PIECE_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +24,16 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
 
 def text_bytes(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and the n + 1 offsets; null is empty."""
-    column = pc.fill_null(batch.column(name), "").cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    column = batch.column(name)
+    if column.null_count:
+        column = pc.fill_null(column, "")
+    wide = pa.types.is_large_string(column.type)
+    at = np.frombuffer(column.buffers()[1], np.int64 if wide else np.int32)
+    offsets = at[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    # what earlier batches held goes back before this one's arrays are made
+    pa.default_memory_pool().release_unused()
     return flat, offsets
 
 

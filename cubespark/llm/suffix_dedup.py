@@ -41,7 +41,7 @@ from cubespark.llm.steps import Steps, small
 LENGTH, SEED, CELL, PART = 400, 40, 80, 10
 CORE = 4 * CELL
 KGRAMS = LENGTH - SEED + 1
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
 
