@@ -32,16 +32,24 @@ def join_type(word: str) -> str:
 
 
 def outer_join(
-    left: DataFrame, right: DataFrame, on: Column, how: str, left_columns: list[str]
+    left: DataFrame,
+    right: DataFrame,
+    on: Column,
+    how: str,
+    left_columns: list[str],
+    skewed: bool = False,
 ) -> DataFrame:
-    """Right and full joins as a join of the left side plus the unmatched right rows.
+    """A join of rows; with ``skewed``, right and full joins in two parts.
+
+    The parts are a join of the left side, and the unmatched right rows.
 
     Spark can split a hot key of an inner or left join over many tasks at run
     time, but not that of a full join. Unmatched rows are found against the
     distinct ``left_columns``, all that ``on`` uses of the left side, so a hot
-    key shrinks to one row before it moves. Column names of the sides differ.
+    key shrinks to one row before it moves; the left side is read twice for it, so
+    nested joins should not do this. Column names of the sides differ.
     """
-    if how not in ("right", "full"):
+    if how not in ("right", "full") or not skewed:
         return left.join(right, on, how)
     matched = left.join(right, on, "inner" if how == "right" else "left")
     alone = right.join(left.select(*left_columns).distinct(), on, "left_anti")
@@ -58,9 +66,5 @@ def unique_join(inputs: list[DataFrame], key: str, how: str = "full") -> DataFra
     if how != "full":
         raise CubeError(f"unique join is full or inner, not {how}")
 
-    def merge(a: DataFrame, b: DataFrame) -> DataFrame:
-        b = b.withColumnRenamed(key, "_key")
-        merged = outer_join(a, b, F.col(key) == F.col("_key"), "full", [key])
-        return merged.withColumn(key, F.coalesce(key, "_key")).drop("_key")
-
-    return reduce(merge, inputs)
+    # keys are unique, so none is hot; each input is read once
+    return reduce(lambda a, b: a.join(b, key, "full"), inputs)

@@ -18,7 +18,7 @@ from cubespark.model import Attr, Cube, CubeError, Dim, Expr, Measure, Model
 from cubespark.operators.joins import join_type, outer_join
 from cubespark.plans import partitions as P
 from cubespark.plans import resolve as R
-from cubespark.plans.names import lift_aggregates, map_names
+from cubespark.plans.names import MERGING, lift_aggregates, map_names
 from cubespark.plans.periods import instant_sql, parse_instant
 
 _ALIAS = re.compile(r"^(.*\S)\s+as\s+(\w+)$", re.IGNORECASE | re.DOTALL)
@@ -41,7 +41,7 @@ class _Names:
 
     columns: dict[str, set[str]] = field(default_factory=dict)
     fields: dict[str, object] = field(default_factory=dict)
-    calls: dict[tuple[str, bool, str], str] = field(default_factory=dict)
+    calls: dict[tuple[str, bool, str, str | None], str] = field(default_factory=dict)
     call_columns: dict[str, set[str]] = field(default_factory=dict)
     raw_only: bool = False
 
@@ -203,9 +203,10 @@ class Query:
 
             return swap
 
-        def lift(fn: str, distinct: bool, arg: str) -> str:
+        def lift(fn: str, distinct: bool, arg: str, condition: str | None = None) -> str:
             touched: set[str] = set()
             inner = map_names(arg, column(touched, None))
+            only = None if condition is None else map_names(condition, column(touched, None))
             bare = _BARE.match(arg)
             hit = self._find(arg, self._root) if bare else None
             default = (
@@ -213,10 +214,11 @@ class Query:
                 and isinstance(hit[1], Measure)
                 and (hit[1].aggr or "").lower() == fn
                 and not distinct
+                and condition is None
             )
             if not default:
                 names.raw_only = True
-            key = (fn, distinct, inner)
+            key = (fn, distinct, inner, only)
             call = names.calls.setdefault(key, f"_agg{len(names.calls)}")
             names.call_columns[call] = touched
             return call
@@ -273,8 +275,9 @@ class Query:
         # aliases only outside aggregate calls: inside, a name is a column
         calls: list[str] = []
 
-        def hide(fn: str, distinct: bool, arg: str) -> str:
-            calls.append(f"{fn}({'distinct ' if distinct else ''}{arg})")
+        def hide(fn: str, distinct: bool, arg: str, condition: str | None = None) -> str:
+            only = "" if condition is None else f" filter (where {condition})"
+            calls.append(f"{fn}({'distinct ' if distinct else ''}{arg}){only}")
             return f"_call{len(calls) - 1}"
 
         text = map_names(lift_aggregates(text, hide), swap)
@@ -453,9 +456,9 @@ class Query:
         keys = {left for _, pairs in steps for left, _ in pairs if mine in left}
         if self.options.eager is None and len(keys) != 1:
             return False
-        for (fn, distinct, _), call in names.calls.items():
+        for (fn, distinct, _, condition), call in names.calls.items():
             touched = names.call_columns[call]
-            if distinct or not all(c.startswith(mine) for c in touched):
+            if distinct or condition is not None or fn not in MERGING or not all(c.startswith(mine) for c in touched):
                 return False
             if not touched and not fact_first:
                 return False  # count(*) also counts unmatched dimension rows
@@ -489,8 +492,8 @@ class Query:
             text: text if re.fullmatch(r"\w+", text) else f"_key{i}" for i, text in enumerate(keys)
         }
         calls = [
-            (_merge_column(fn, call) if eager else _call_column(fn, distinct, arg)).alias(call)
-            for (fn, distinct, arg), call in names.calls.items()
+            (_merge_column(fn, call) if eager else _call_column(fn, distinct, arg, condition)).alias(call)
+            for (fn, distinct, arg, condition), call in names.calls.items()
         ]
         grouped = df.groupBy(*[F.expr(t).alias(key_name[t]) for t in keys])
         df = grouped.agg(*calls) if calls else df.select(
@@ -535,14 +538,15 @@ def _words(texts: list[str]) -> set[str]:
     return found
 
 
-def _call_column(fn: str, distinct: bool, arg: str) -> Column:
-    return F.expr(f"{fn}({'distinct ' if distinct else ''}{arg})")
+def _call_column(fn: str, distinct: bool, arg: str, condition: str | None) -> Column:
+    only = "" if condition is None else f" filter (where {condition})"
+    return F.expr(f"{fn}({'distinct ' if distinct else ''}{arg}){only}")
 
 
 def _pre_aggregate(df: DataFrame, keys: list[str], names: _Names) -> DataFrame:
     """First stage: partial aggregates per join key, so joins see few rows per key."""
     partials = []
-    for (fn, _, arg), call in names.calls.items():
+    for (fn, _, arg, _), call in names.calls.items():
         if fn == "avg":
             partials += [F.expr(f"sum({arg})").alias(f"{call}_sum")]
             partials += [F.expr(f"count({arg})").alias(f"{call}_n")]

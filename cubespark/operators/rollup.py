@@ -15,7 +15,14 @@ PARTITION_COLUMNS = ("update_period", "dt")
 
 
 def merging_measures(cube: Cube) -> list[Measure]:
-    """Measures whose default aggregate of aggregates is the aggregate of rows."""
+    """Measures whose default aggregate of aggregates is the aggregate of rows.
+
+    Measures without a default aggregate are not part of rollups. Counts and averages
+    do not merge under their own name and are refused.
+    """
+    other = [m.name for m in cube.measures if m.aggr and m.aggr.lower() not in ("sum", "min", "max")]
+    if other:
+        raise CubeError(f"these measures do not merge, declare sums and counts of ones instead: {other}")
     return [m for m in cube.measures if (m.aggr or "").lower() in ("sum", "min", "max")]
 
 

@@ -13,7 +13,15 @@ from collections.abc import Callable
 _WORD = re.compile(
     r"""'(?:[^'\\]|\\.)*'|"(?:[^"\\]|\\.)*"|`[^`]*`|(?<![\w.])[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)?"""
 )
-AGGREGATES = ("sum", "min", "max", "avg", "count")
+# The first five merge from partial results; the others need all rows.
+MERGING = ("sum", "min", "max", "avg", "count")
+AGGREGATES = MERGING + tuple(
+    "mean stddev stddev_samp stddev_pop std variance var_samp var_pop skewness kurtosis corr covar_pop covar_samp "
+    "collect_list collect_set array_agg approx_count_distinct count_if percentile percentile_approx approx_percentile "
+    "median mode first last any_value max_by min_by bool_and bool_or every bit_and bit_or bit_xor "
+    "regr_slope regr_intercept regr_r2 regr_count listagg string_agg".split()
+)
+_FILTER = re.compile(r"\s*filter\s*\(\s*where\b", re.IGNORECASE)
 _CALL = re.compile(r"(?<![\w.])(%s)\s*\(" % "|".join(AGGREGATES), re.IGNORECASE)
 
 
@@ -52,8 +60,11 @@ def _closing(text: str, at: int) -> int:
     raise ValueError(f"unbalanced parentheses: {text}")
 
 
-def lift_aggregates(text: str, lift: Callable[[str, bool, str], str]) -> str:
-    """Text with each aggregate call replaced by ``lift(function, distinct, argument)``."""
+def lift_aggregates(text: str, lift: Callable[..., str]) -> str:
+    """Text with each aggregate call replaced by ``lift(function, distinct, argument)``.
+
+    The condition of a ``filter (where ...)`` is a fourth argument.
+    """
     out, at = [], 0
     quoted = [m.span() for m in _WORD.finditer(text) if m.group(0)[0] in "'\"`"]
     for match in _CALL.finditer(text):
@@ -65,6 +76,11 @@ def lift_aggregates(text: str, lift: Callable[[str, bool, str], str]) -> str:
         distinct = re.match(r"distinct\b", arg, re.IGNORECASE)
         if distinct:
             arg = arg[distinct.end() :].strip()
-        out += [text[at:start], lift(match.group(1).lower(), bool(distinct), arg)]
+        condition = None
+        if kept := _FILTER.match(text, close + 1):
+            end = _closing(text, text.index("(", close + 1))
+            condition, close = text[kept.end() : end].strip(), end
+        call = (match.group(1).lower(), bool(distinct), arg)
+        out += [text[at:start], lift(*call) if condition is None else lift(*call, condition)]
         at = close + 1
     return "".join(out) + text[at:]

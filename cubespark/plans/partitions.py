@@ -21,6 +21,7 @@ from cubespark.plans.periods import (
     UpdatePeriod,
     instant,
     instant_sql,
+    parse_label,
     period_end,
     period_start,
 )
@@ -124,12 +125,12 @@ def drop_by_values(manifest: DataFrame, columns: list[str], values: list) -> Dat
 
 def split_spec(df: DataFrame, period: UpdatePeriod, spec: str = "spec") -> DataFrame:
     """Split a map of partition values: those that parse by the period's pattern are time."""
-    parsed = lambda v: F.try_to_timestamp(v, F.lit(period.pattern))
+    parsed = lambda v: parse_label(v, period.pattern)
     return df.withColumn(
         "time_spec",
         F.transform_values(
             F.map_filter(spec, lambda k, v: parsed(v).isNotNull()),
-            lambda k, v: parsed(v).cast("timestamp_ntz"),
+            lambda k, v: parsed(v),
         ),
     ).withColumn("other_spec", F.map_filter(spec, lambda k, v: parsed(v).isNull()))
 

@@ -6,6 +6,7 @@ written ``yyyy-MM-dd-HH:mm:ss,SSS`` or any shorter prefix of it.
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from enum import Enum
 
@@ -51,15 +52,27 @@ class UpdatePeriod(Enum):
         return name if isinstance(name, cls) else cls[name.upper()]
 
     def truncate(self, instant: Column) -> Column:
-        """Start of the period an instant lies in, as a zone-less timestamp."""
-        return F.date_trunc(self.unit, instant).cast("timestamp_ntz")
+        """Start of the period an instant lies in, as a zone-less timestamp.
+
+        No step goes through a zoned timestamp, so hours that clock changes skip or
+        repeat are hours like others.
+        """
+        at = instant.cast("timestamp_ntz")
+        if self.rank >= UpdatePeriod.DAILY.rank:
+            day = at.cast("date")
+            return (day if self is UpdatePeriod.DAILY else F.trunc(day, self.unit)).cast("timestamp_ntz")
+        zero = F.lit(0)
+        minute = zero if self is UpdatePeriod.HOURLY else F.minute(at)
+        second = F.second(at) if self is UpdatePeriod.SECONDLY else zero
+        return F.make_timestamp_ntz(F.year(at), F.month(at), F.day(at), F.hour(at), minute, second)
 
     def shift(self, instant: Column, n: int = 1) -> Column:
         return instant + F.expr(self.interval) * F.lit(n)
 
     def label(self, start: Column) -> Column:
         """The ``dt`` partition value of the period that begins at ``start``."""
-        return F.date_format(start, self.pattern)
+        text = start.cast("timestamp_ntz").cast("string")
+        return F.translate(F.substring(text, 1, len(self.pattern)), " :", "--")
 
 
 # The accepted patterns of an instant, shortest first.
@@ -93,15 +106,25 @@ def instant(value: str | datetime) -> Column:
     return F.expr(instant_sql(value))
 
 
+def parse_label(dt: Column, pattern: str) -> Column:
+    """Instant of a ``dt`` value of a period's pattern; null if it is none."""
+    digits = "^" + re.sub("[A-Za-z]", r"[0-9]", pattern) + "$"
+    # Where the parts of a value begin.
+    begins = ((1, 4), (6, 2), (9, 2), (12, 2), (15, 2), (18, 2))
+    parts = [
+        F.substring(dt, at, n).cast("int") if at <= len(pattern) else F.lit(least)
+        for (at, n), least in zip(begins, (1, 1, 1, 0, 0, 0))
+    ]
+    return F.when(dt.rlike(digits), F.try_make_timestamp_ntz(*parts))
+
+
 def period_start(period: Column, dt: Column) -> Column:
     """Parse a ``dt`` partition value by the pattern of its period; null if it does not parse."""
+    by_pattern: dict[str, list[str]] = {}
+    for p in UpdatePeriod:
+        by_pattern.setdefault(p.pattern, []).append(p.name)
     return F.coalesce(
-        *[
-            F.when(
-                period == p.name, F.try_to_timestamp(dt, F.lit(p.pattern)).cast("timestamp_ntz")
-            )
-            for p in UpdatePeriod
-        ]
+        *[F.when(period.isin(names), parse_label(dt, pattern)) for pattern, names in by_pattern.items()]
     )
 
 

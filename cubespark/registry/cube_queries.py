@@ -225,6 +225,42 @@ def _(spark, sf):
     return rounded(q.select("l_returnflag", "quantity").to_df(spark), "quantity")
 
 
+@query(
+    "agg_stddev",
+    f"""select event_type, round(stddev_samp(value), 4) as spread, round(var_pop(value), 2) as variance,
+               round(corr(value, user_id), 6) as correlation
+        from events where {IN_RANGE} group by 1""",
+)
+def _(spark, sf):
+    q = activity(spark, sf).select(
+        "event_type", "stddev(amount) as spread", "var_pop(amount) as variance", "corr(amount, user_id) as correlation"
+    )
+    return rounded(rounded(rounded(q.to_df(spark), "spread", places=4), "variance"), "correlation", places=6)
+
+
+@query(
+    "agg_collect",
+    f"""select user_id, count(distinct event_type)::int as kinds, max(value) as best from events where {IN_RANGE} group by 1""",
+)
+def _(spark, sf):
+    q = activity(spark, sf).select(
+        "user_id", "size(collect_set(event_type)) as kinds", "max_by(amount, amount) as best"
+    )
+    return q.to_df(spark)
+
+
+@query(
+    "agg_filter",
+    f"""select event_type, count(*) filter (where user_id < 50) as low, round(sum(value) filter (where value > 10), 2) as large
+        from events where {IN_RANGE} group by 1 having count(*) filter (where user_id >= 50) > 0""",
+)
+def _(spark, sf):
+    q = activity(spark, sf).select(
+        "event_type", "count(1) filter (where user_id < 50) as low", "sum(amount) filter (where amount > 10) as large"
+    )
+    return rounded(q.having("count(1) filter (where user_id >= 50) > 0").to_df(spark), "large")
+
+
 @query("timedim_replace", BY_TYPE)
 def _(spark, sf):
     """Filtered on the event time itself instead of a partition column."""

@@ -95,7 +95,7 @@ def test_joins_agree_with_and_without_early_aggregation(spark, how):
         .time_range("t", "2024", "2025")
         .join("d", how)
     )
-    plain = outer_join(fact, dim, F.col("k") == F.col("pk"), how, ["k"])
+    plain = outer_join(fact, dim, F.col("k") == F.col("pk"), how, ["k"], skewed=True)
     want = as_rows(
         plain.groupBy("name").agg(F.sum("v"), F.avg("v"), F.count("v"), F.min("v"))
     )
@@ -352,3 +352,21 @@ def test_old_logs_and_equal_names_of_two_hosts(spark, tmp_path):
     os.utime(logs / "h2" / "q.log.2024-01-01-00", (10**9, 10**9))
     ingest_stats(spark, str(logs), out, str(tmp_path / "cp"))
     assert {r["handle"] for r in spark.read.json(out).collect()} == {"a", "b", "c"}
+
+
+def test_unique_join_reads_each_input_once(spark, tmp_path):
+    inputs = []
+    for i in range(5):
+        spark.range(i, i + 4).withColumn(f"v{i}", F.lit(i)).write.parquet(str(tmp_path / f"t{i}"))
+        inputs.append(spark.read.parquet(str(tmp_path / f"t{i}")))
+    df = unique_join(inputs, "id")
+    assert df.count() == 8
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan parquet") <= 10
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("parquet") == 5
+
+
+def test_measures_that_do_not_merge_are_refused(spark):
+    cube = Cube("c", (Measure("v", "double", "avg"),), (Attr("g"),))
+    rows = spark.sql("select timestamp_ntz'2024-01-01' as t, 'a' as g, 1.0d as v")
+    with pytest.raises(CubeError):
+        RU.rollup(rows, cube, U.DAILY, ["g"], "t")

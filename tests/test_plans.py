@@ -218,3 +218,21 @@ def test_partition_formats_that_cannot_be_ranges():
     with pytest.raises(CubeError):
         P.partition_predicate(rows, "or", "yyyy-QQQ")
     P.partition_predicate(rows, "or", "dd-MM-yyyy")
+
+
+def test_hours_of_a_clock_change(spark):
+    """New York has no 02:00 on 2024-03-10, and 01:00 twice on 2024-11-03."""
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        for day in ("2024-03-10", "2024-11-03"):
+            span = spark.sql(f"select timestamp_ntz'{day} 00:10:00' as first, timestamp_ntz'{day} 23:50:00' as last")
+            rows = P.manifest_of_span(span, "f", "s", U.HOURLY).orderBy("start").collect()
+            assert [r["dt"] for r in rows] == [f"{day}-{h:02}" for h in range(24)]
+            assert [r["start"].hour for r in rows] == list(range(24))
+            assert all((r["end"] - r["start"]).total_seconds() == 3600 for r in rows)
+        at = spark.sql("select timestamp_ntz'2024-03-10 02:34:56.789' as t")
+        for p, text in ((U.SECONDLY, "2024-03-10-02-34-56"), (U.MINUTELY, "2024-03-10-02-34"), (U.WEEKLY, "2024-03-04"), (U.QUARTERLY, "2024-01"), (U.YEARLY, "2024")):
+            assert at.select(p.label(p.truncate(F.col("t")))).first()[0] == text
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
