@@ -73,12 +73,12 @@ def shard_by_size(df: DataFrame, shards: int, id_column: str = "doc_id", text: s
     total, largest = total or 1, largest or 1
     cuts = splitters(rows, total, shards * RANGES_PER_SHARD)
     rows = rows.withColumn("range", _count_at_most(cuts, F.col("key")))
-    placed = steps.kept(_place(rows, cuts), "shard-cells")
+    placed = steps.kept(_place(steps, rows, cuts), "shard-cells")
     steps.drop("shard-rows")
     return _assign(steps, placed, shards, total, max(largest, total // shards // 10))
 
 
-def _place(rows: DataFrame, cuts: list[int]) -> DataFrame:
+def _place(steps: Steps, rows: DataFrame, cuts: list[int]) -> DataFrame:
     """The cell of each row: (range, part of the range, hot key, part of its rows)."""
     found = dict(rows.groupBy("range").count().collect())  # one row per range
     cells = [max(1, -(-found.get(i, 0) // CELL_ROWS)) for i in range(len(cuts) + 1)]
@@ -91,6 +91,7 @@ def _place(rows: DataFrame, cuts: list[int]) -> DataFrame:
     last = F.element_at(F.array(*[F.lit(n - 1) for n in cells]), at)
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > CELL_ROWS)
     hot = hot.select("key", F.col("key").alias("hot"), F.ceil(F.col("copies") / CELL_ROWS).alias("salts"))
+    hot = steps.kept(hot, "hot-keys")  # a table, so that Spark can split the join's hot keys
     salt = F.pmod(F.xxhash64("doc_id"), F.col("salts"))
     return (
         rows.withColumn("part", F.greatest(F.lit(0), F.least(part, last)))

@@ -162,10 +162,14 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _repeated(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The rows whose keys are there more than once; counts combine before the shuffle."""
+def _repeated(steps: Steps, rows: DataFrame, keys: list[str], only: str = "true") -> DataFrame:
+    """The rows whose keys are there more than once; of them those that ``only`` names.
+
+    Counts combine before the shuffle. The keys are a table of their own, so that both sides
+    of the join come straight from a shuffle and Spark can split a hot key over tasks.
+    """
     several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    return rows.join(several, keys, "left_semi")
+    return rows.where(only).join(steps.kept(several, "keys"), keys, "left_semi")
 
 
 def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,7 +268,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
         f"id {id_kind}, body bigint, seed bigint, anchor int, first int, last int, blocks array<bigint>, around array<bigint>",
     )
     found = steps.kept(found, "anchors")
-    cells = _repeated(found, ["seed"]).select("*", F.posexplode("around").alias("i", "u"))
+    cells = _repeated(steps, found, ["seed"]).select("*", F.posexplode("around").alias("i", "u"))
     x = F.expr(f"anchor - {CELL} * (floor((anchor - first) / {CELL}) - i)").cast("int")
     cells = cells.withColumn("x", x).select(
         "id",
@@ -282,22 +286,23 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     cells = steps.kept(cells, "ranks-160")
     steps.drop("anchors")
     # ranks of 320 bytes from pairs at offset 160
-    cells = _repeated(cells, ["rank"]).withColumn("rank", F.xxhash64("rank", "next")).drop("next")
+    cells = _repeated(steps, cells, ["rank"]).withColumn("rank", F.xxhash64("rank", "next")).drop("next")
     cells = steps.kept(cells, "ranks-320")
     steps.drop("ranks-160")
-    cells = steps.kept(_repeated(cells, ["rank"]), "cells")
+    cells = steps.kept(_repeated(steps, cells, ["rank"]), "cells")
     steps.drop("ranks-320")
 
     # the threshold: cells that repeat whole
     kind = ["rank", "j0", "j1", "u"]
     kinds = cells.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "body", "x")).alias("at"))
     kinds = steps.kept(kinds, "kinds")
-    whole = cells.join(kinds.where("n > 1").select(*kind), kind, "left_semi")
+    whole = cells.join(kinds.where("n > 1").select(*kind), kind, "left_semi")  # both are tables
     whole = whole.select("id", "body", (F.col("x") - F.col("j1")).alias("lo"), (F.col("x") - F.col("j0")).alias("hi"))
     whole = steps.kept(whole, "whole")
 
     # where a rank has several kinds of cells, one of each kind by parts
     several = kinds.groupBy("rank").agg(F.count(F.lit(1)).alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1")
+    several = steps.kept(several, "mixed-ranks")
     asked = kinds.join(several.select("rank"), "rank", "left_semi").select(
         F.col("at.id").alias("id"),
         F.col("at.body").alias("body"),
@@ -321,10 +326,10 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     )
     parts = steps.kept(parts, "parts")
     steps.drop("asked")
-    parts = steps.kept(_repeated(parts, ["rank", "core"]), "parts-shared")
+    parts = steps.kept(_repeated(steps, parts, ["rank", "core"]), "parts-shared")
     steps.drop("parts")
     kind = ["rank", "core", "u", "j0", "j1"]
-    several = parts.groupBy(*kind).agg(F.count(F.lit(1)).alias("n"))
+    several = steps.kept(parts.groupBy(*kind).agg(F.count(F.lit(1)).alias("n")), "part-kinds")
     counted = parts.join(several, kind)
     own = F.col("single")
     whole_parts = counted.where(own & (F.col("n") > 1)).select(
@@ -332,17 +337,11 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     )
     # windows one by one; of parts of one kind each has the same names
     windows = counted.select("id", "body", "rank", "lo", own.alias("single"), "n", F.posexplode("names").alias("i", "name"))
-    singles = _repeated_in(windows).select("id", "body", (F.col("lo") + F.col("i")).alias("lo"))
+    singles = _repeated(steps, windows, ["rank", "name"], "single and n = 1").select("id", "body", (F.col("lo") + F.col("i")).alias("lo"))
     singles = singles.select("id", "body", "lo", F.col("lo").alias("hi"))
     return steps.kept(whole.union(whole_parts).union(singles), "runs")
 
 
-def _repeated_in(windows: DataFrame) -> DataFrame:
-    """Windows of single parts that another window of their rank equals."""
-    several = windows.groupBy("rank", "name").agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("rank", "name")
-    return windows.where(F.col("single") & (F.col("n") == 1)).join(several, ["rank", "name"], "left_semi")
-
-
 def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans) of each row, and what is left: ``kept_text``, or without
     text ``kept_sha256``, the digest of the remaining bytes."""
