@@ -12,6 +12,7 @@ from cubespark.operators.ordering import number_within, previous_within
 from cubespark.plans.periods import time_range
 
 _TEXT = T.StringType()
+# The fields of a row of statistics.
 STATS_SCHEMA = T.StructType(
     [T.StructField(n, _TEXT) for n in ("handle", "userQuery", "submitter", "clusterUser", "sessionId")]
     + [T.StructField(n, T.LongType()) for n in ("submissionTime", "startTime", "endTime")]
@@ -114,7 +115,8 @@ def queue_order(
     bucket: Column | None = None,
 ) -> DataFrame:
     """Place of each waiting query within its priority: earlier submissions first."""
-    bucket = F.date_trunc("day", submitted) if bucket is None else bucket
+    # minutes: a day of one priority may be a fifth of all rows
+    bucket = F.date_trunc("minute", submitted) if bucket is None else bucket
     ranked = df.withColumn("priority_rank", priority_rank(priority))
     return number_within(
         ranked, ["priority_rank"], bucket, [F.col(submitted), F.col(tie)], "place"
@@ -137,30 +139,16 @@ def retain(
 
 
 def task_progress(df: DataFrame, tasks: str = "tasks") -> DataFrame:
-    """Share of finished tasks and a message on failed ones, from a JSON array of states."""
-    state = lambda t: F.upper(t["taskState"])
-    parsed = F.from_json(F.col(tasks), TASKS_TYPE)
-
-    def message(t: Column) -> Column:
-        handle = F.when(
-            t["externalHandle"].isNotNull(), F.concat(t["externalHandle"], F.lit(":"))
-        ).otherwise("")
-        return F.concat(
-            F.coalesce(t["taskId"], F.lit("null")),
-            F.lit("("),
-            F.coalesce(t["type"], F.lit("null")),
-            F.lit("):"),
-            handle,
-            F.lit(" has failed! "),
-        )
-
-    done = F.size(F.filter("_tasks", lambda t: state(t) == "FINISHED_STATE"))
-    failed = F.filter("_tasks", lambda t: state(t) == "FAILED_STATE")
-    count = F.size("_tasks")
+    """Share of finished tasks, and the failed ones as structs, from a JSON array of states.
+
+    Rows without tasks have progress 0 and no failed task.
+    """
+    parsed = F.coalesce(F.from_json(F.col(tasks), TASKS_TYPE), F.array().cast(TASKS_TYPE))
+    in_state = lambda name: F.filter("_tasks", lambda t: F.upper(t["taskState"]) == name)
+    share = F.try_divide(F.size(in_state("FINISHED_STATE")), F.size("_tasks"))
     return (
         df.withColumn("_tasks", parsed)
-        .withColumn("progress", F.when(count > 0, done / count).otherwise(F.lit(0.0)))
-        .withColumn("failed_tasks", F.transform(failed, lambda t: t["taskId"]))
-        .withColumn("error", F.nullif(F.array_join(F.transform(failed, message), ""), F.lit("")))
+        .withColumn("progress", F.coalesce(share, F.lit(0.0)))
+        .withColumn("failed_tasks", in_state("FAILED_STATE"))
         .drop("_tasks")
     )

@@ -204,8 +204,7 @@ def _(spark, sf):
                        else 'RUNNING_STATE' end as state from t)
        select event_id, round(sum((state = 'FINISHED_STATE')::int) / max(n), 6) as progress,
               count(*) filter (state = 'FAILED_STATE') as n_failed,
-              string_agg('task' || i || '(MAP): has failed! ', '' order by i)
-                filter (state = 'FAILED_STATE') as error
+              string_agg('task' || i, ',' order by i) filter (state = 'FAILED_STATE') as failed
        from s group by 1""",
 )
 def _(spark, sf):
@@ -221,7 +220,7 @@ def _(spark, sf):
         "event_id",
         F.round("progress", 6).alias("progress"),
         F.size("failed_tasks").cast("long").alias("n_failed"),
-        "error",
+        F.nullif(F.array_join("failed_tasks.taskId", ","), F.lit("")).alias("failed"),
     )
 
 

@@ -14,6 +14,7 @@ from cubespark.sources.text import read_delimited
 HOURLY, DAILY, MONTHLY = UpdatePeriod.HOURLY, UpdatePeriod.DAILY, UpdatePeriod.MONTHLY
 I = range(1, 9)
 
+# Names, rows and partitions of the sample cube.
 CUBE = Cube(
     "sample_cube",
     measures=(

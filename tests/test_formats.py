@@ -35,6 +35,9 @@ def nested(spark):
     )
 
 
+# The rows and texts below are what the formats must give.
+
+
 def test_csv_read(spark, nested):
     flat = schema(spark, "a string, b varchar(20), c int, d char(10)")
     df = parse_nested_csv(
