@@ -21,8 +21,8 @@ def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
-    return near_dup.keep_one(docs)
+    """One document of each group of near duplicates, linked from a similarity of 0.8 on."""
+    return near_dup.keep_one(docs, limit=(80, 100))
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

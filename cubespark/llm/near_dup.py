@@ -1,8 +1,9 @@
 """Near duplicates by b-bit MinHash, with links confirmed on full sets.
 
-A text's set is its distinct five-word shingles. 352 permutations give its minima.
-Bands of eight minima, 44 of them, name the buckets it falls into; two sets of
-similarity 0.85 share none with a chance below 1e-6. Of each minimum the low four bits
+A text's set is its distinct five-word shingles. Permutations, 352 at most, give its minima.
+Bands of minima name the buckets it falls into; their number and length follow from the
+limit, so that two sets as similar as that share none with a chance below 1e-6: 44 bands of
+eight for 0.85, 48 of six for 0.8. Of each minimum the low four bits
 are kept and packed; the share of equal ones, corrected for chance matches, estimates
 the similarity of two candidates, and pairs five standard errors below the limit are left.
 
@@ -22,7 +23,9 @@ have one node. Columns besides id and text are not read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +37,7 @@ from cubespark.llm.batches import mixed, pieces, shingle_hashes, text_bytes, wor
 from cubespark.llm.components import components
 from cubespark.llm.steps import Steps, small
 
-BANDS, ROWS, BITS = 44, 8, 4
-MINIMA = BANDS * ROWS
+MINIMA, BITS, MISSED = 352, 4, 1e-6
 LIMIT = (85, 100)
 ERRORS = 5.0
 BLOCK = 512
@@ -44,6 +46,38 @@ FACTORS = _draw.integers(0, 1 << 31, MINIMA, np.uint32) * np.uint32(2) + np.uint
 SHIFTS = _draw.integers(0, 1 << 32, MINIMA, np.uint32)
 
 
+class Banding(NamedTuple):
+    """How many bands of how many minima each, for links of a similarity of at least ``limit``."""
+
+    limit: tuple[int, int]
+    bands: int
+    rows: int
+
+    @property
+    def minima(self) -> int:
+        return self.bands * self.rows
+
+    def least_matches(self) -> int:
+        """Equal low bits below which a pair is no candidate."""
+        chance = 2.0**-BITS
+        match = chance + (1 - chance) * self.limit[0] / self.limit[1]
+        return int(self.minima * match - ERRORS * (self.minima * match * (1 - match)) ** 0.5)
+
+
+def banding(limit: tuple[int, int] = LIMIT) -> Banding:
+    """The longest bands that miss a pair at the limit with a chance of ``MISSED`` at most."""
+    j = limit[0] / limit[1]
+    if not 0 < j <= 1:
+        raise ValueError(f"a limit is above 0 and at most 1, not {limit[0]} / {limit[1]}")
+    for rows in range(8, 0, -1):
+        bands = 1 if j == 1 else math.ceil(math.log(MISSED) / math.log1p(-(j**rows)))
+        while bands * rows % 16:  # packed words are full
+            bands += 1
+        if bands * rows <= MINIMA:
+            return Banding(limit, bands, rows)
+    raise ValueError(f"{MINIMA} minima are too few for a limit of {limit[0]} / {limit[1]}")
+
+
 def distinct_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct shingle hashes of each text in a row, and where each text's begin."""
     words, bounds = word_hashes(flat, offsets)
@@ -56,43 +90,35 @@ def distinct_sets(flat: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     return hashes, np.searchsorted(rows, np.arange(len(offsets)))
 
 
-def minima(hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+def minima(hashes: np.ndarray, bounds: np.ndarray, count: int) -> np.ndarray:
     """Minima (texts x permutations) of the texts that have shingles."""
     starts = bounds[:-1][np.diff(bounds) > 0]
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((MINIMA, len(starts)), np.uint32)
-    for i in range(MINIMA):
+    out = np.empty((count, len(starts)), np.uint32)
+    for i in range(count):
         np.minimum.reduceat(x * FACTORS[i] + SHIFTS[i], starts, out=out[i])
     return np.ascontiguousarray(out.T)
 
 
-def band_keys(m: np.ndarray) -> np.ndarray:
-    key = np.zeros((len(m), BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-    parts = m.reshape(len(m), BANDS, ROWS).astype(np.uint64)
-    for i in range(ROWS):
+def band_keys(m: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    key = np.zeros((len(m), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    parts = m.reshape(len(m), bands, rows).astype(np.uint64)
+    for i in range(rows):
         key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
     return key
 
 
 def packed(m: np.ndarray) -> np.ndarray:
     """Low bits of the minima, sixteen to a word."""
-    low = (m & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(m), MINIMA // 16, 16)
+    low = (m & np.uint32((1 << BITS) - 1)).astype(np.uint64).reshape(len(m), m.shape[1] // 16, 16)
     return np.bitwise_or.reduce(low << (np.arange(16, dtype=np.uint64) * np.uint64(BITS)), axis=2)
 
 
-def least_matches() -> int:
-    """Equal low bits below which a pair is no candidate."""
-    chance = 2.0**-BITS
-    j = LIMIT[0] / LIMIT[1]
-    match = chance + (1 - chance) * j
-    return int(MINIMA * match - ERRORS * (MINIMA * match * (1 - match)) ** 0.5)
-
-
 def _id_kind(df: DataFrame) -> str:
     return df.schema["id"].dataType.simpleString()
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, n_bands: int, n_rows: int) -> DataFrame:
     """(id, n_shingles, digest of the set, bands, packed bits) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,11 +128,11 @@ def sketches(docs: DataFrame) -> DataFrame:
                 hashes, bounds = distinct_sets(flat, offsets[low : high + 1])
                 counts = np.diff(bounds)
                 some = np.flatnonzero(counts > 0)
-                m = minima(hashes, bounds)
+                m = minima(hashes, bounds, n_bands * n_rows)
                 digests: list = [None] * len(counts)
                 bands: list = [None] * len(counts)
                 bits: list = [None] * len(counts)
-                for row, keys, word in zip(some, band_keys(m).view(np.int64), packed(m).view(np.int64)):
+                for row, keys, word in zip(some, band_keys(m, n_bands, n_rows).view(np.int64), packed(m).view(np.int64)):
                     digests[row] = xxhash.xxh3_128_digest(hashes[bounds[row] : bounds[row + 1]])
                     bands[row], bits[row] = keys, word
                 yield pa.RecordBatch.from_arrays(
@@ -138,8 +164,8 @@ def shingle_sets(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, f"id {_id_kind(docs)}, set array<bigint>")
 
 
-def _matches(x: Column, y: Column) -> Column:
-    """How many packed values are equal."""
+def _unequal(x: Column, y: Column) -> Column:
+    """How many packed values differ."""
 
     def unequal(a: Column, b: Column) -> Column:
         d = a.bitwiseXOR(b)
@@ -147,21 +173,20 @@ def _matches(x: Column, y: Column) -> Column:
         d = d.bitwiseOR(F.shiftrightunsigned(d, 2))
         return F.bit_count(d.bitwiseAND(F.lit(0x1111111111111111)))
 
-    return MINIMA - F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda s, v: s + v)
+    return F.aggregate(F.zip_with(x, y, unequal), F.lit(0), lambda s, v: s + v)
 
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> DataFrame:
     """The pairs whose full sets are similar enough."""
     left = sets.select(F.col("node").alias("a"), F.col("set").alias("set_a"))
     right = sets.select(F.col("node").alias("b"), F.col("set").alias("set_b"))
     shared = F.size(F.array_intersect("set_a", "set_b"))
     union = F.size("set_a") + F.size("set_b") - shared
-    return pairs.join(right, "b").join(left, "a").where(shared * LIMIT[1] >= union * LIMIT[0]).select("a", "b")
+    return pairs.join(right, "b").join(left, "a").where(shared * limit[1] >= union * limit[0]).select("a", "b")
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs in different components, of members of one bucket that come in a row."""
-    least = least_matches()
+def _close_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """Pairs in different components, of members of one bucket that come in a row; ``most`` packed values differ."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def compare(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
@@ -173,7 +198,7 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             d |= d >> np.uint64(1)
             d |= d >> np.uint64(2)
             unequal += np.bitwise_count(d & np.uint64(0x1111111111111111))
-        ok = (unequal <= MINIMA - least) & (label[left][:, None] != label[right][None, :])
+        ok = (unequal <= most) & (label[left][:, None] != label[right][None, :])
         i, j = np.nonzero(ok)
         # a pair that shares several bands is given in the first of them
         bands_i, bands_j = rows["bands"][left][i], rows["bands"][right][j]
@@ -210,11 +235,15 @@ def _close_pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from flush()
 
 
-def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_shingles, component_id, kept) of each row."""
+def near_duplicates(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", limit: tuple[int, int] = LIMIT
+) -> DataFrame:
+    """(id, n_shingles, component_id, kept) of each row; ``limit`` is the least similarity of a link, as a fraction."""
+    plan = banding(limit)
+    most = plan.minima - plan.least_matches()
     kept = Steps(df.sparkSession).kept
     docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = kept(sketches(docs), "sketches")
+    sketched = kept(sketches(docs, plan.bands, plan.rows), "sketches")
     known = sketched.where("id is not null and digest is not null")
     by_set = kept(known.groupBy("digest").agg(F.min("id").alias("node")), "sets")
     # rows that share an id may have several sets: each is a node of that name
@@ -236,12 +265,12 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
     stars = (
         stars.join(bits.withColumnsRenamed({"node": "a", "bits": "bits_a"}), "a")
         .join(bits.withColumnsRenamed({"node": "b", "bits": "bits_b"}), "b")
-        .where(_matches(F.col("bits_a"), F.col("bits_b")) >= least_matches())
+        .where(_unequal(F.col("bits_a"), F.col("bits_b")) <= most)
         .select("a", "b")
     )
     stars = kept(stars, "stars")
     texts = docs.where("id is not null")
-    links = kept(_confirmed(stars, _sets_of(texts, stars)), "links")
+    links = kept(_confirmed(stars, _sets_of(texts, stars), limit), "links")
     first = components(links)
 
     # 2. members of a bucket in different components so far
@@ -260,9 +289,10 @@ def near_duplicates(df: DataFrame, id_column: str = "doc_id", text: str = "text"
         "bits",
         "bands",
     )
-    close = spread.repartition("group").sortWithinPartitions("group").mapInArrow(_close_pairs, "a bigint, b bigint").distinct()
+    close = spread.repartition("group").sortWithinPartitions("group")
+    close = close.mapInArrow(lambda batches: _close_pairs(batches, most), "a bigint, b bigint").distinct()
     close = kept(close, "close")
-    more = kept(_confirmed(close, _sets_of(texts, close)), "more-links")
+    more = kept(_confirmed(close, _sets_of(texts, close), limit), "more-links")
     named_labels = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = components(more.union(named_labels))
 
@@ -292,9 +322,11 @@ def _sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return shingle_sets(wanted).withColumnRenamed("id", "node")
 
 
-def keep_one(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def keep_one(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", limit: tuple[int, int] = LIMIT
+) -> DataFrame:
     """One row of each component, with all its columns; rows without an id stay."""
-    gone = near_duplicates(df, id_column, text).where("not kept").select(F.col(id_column).alias("_gone")).distinct()
+    gone = near_duplicates(df, id_column, text, limit).where("not kept").select(F.col(id_column).alias("_gone")).distinct()
     gone = Steps(df.sparkSession).kept(gone, "near-duplicates")
     return df.join(small(gone, gone.count()), df[id_column].cast("long") == gone["_gone"], "left_anti")
 

@@ -3,6 +3,7 @@ import re
 import numpy as np
 from texts import corpus, prose
 
+import corpus_pipeline
 from cubespark.llm import near_dup
 from cubespark.llm.components import components
 
@@ -86,3 +87,32 @@ def test_components_of_a_long_path(spark):
     links = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 400), (400, 400)], "a long, b long")
     got = {r["node"]: r["label"] for r in components(links).collect()}
     assert got == {i: 0 for i in range(201)} | {400: 400, 500: 400}
+
+
+def between_limits():
+    """Two texts whose similarity is between 0.8 and 0.85, and one unlike them."""
+    words = prose(21, 200).split(" ")
+    other = words.copy()
+    for at in (20, 60, 100, 140):
+        other[at] = f"other{at}"
+    a, b = " ".join(words), " ".join(other)
+    assert 0.8 <= len(shingle_set(a) & shingle_set(b)) / len(shingle_set(a) | shingle_set(b)) < 0.85
+    return [(1, a), (2, b), (3, prose(22, 200))]
+
+
+def test_limit_of_links(spark, documents):
+    docs = documents(between_limits())
+    got = {limit: {r["doc_id"]: r["component_id"] for r in near_dup.near_duplicates(docs, limit=limit).collect()} for limit in ((85, 100), (80, 100))}
+    assert got == {(85, 100): {1: 1, 2: 2, 3: 3}, (80, 100): {1: 1, 2: 1, 3: 3}}
+
+
+def test_pipeline_stage_links_from_four_fifths(spark, documents):
+    out = corpus_pipeline.distinct(spark, documents(between_limits()), "")
+    assert sorted(r["doc_id"] for r in out.collect()) == [1, 3]
+
+
+def test_bands_miss_few_pairs_at_the_limit():
+    assert near_dup.banding((85, 100))[1:] == (44, 8)
+    for percent in (50, 70, 80, 85, 95, 100):
+        plan = near_dup.banding((percent, 100))
+        assert (1 - (percent / 100) ** plan.rows) ** plan.bands <= 1e-6 and plan.minima <= near_dup.MINIMA
