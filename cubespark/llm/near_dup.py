@@ -18,7 +18,8 @@ Pairs that are already connected add nothing to a component, so none is lost.
 
 Null and empty texts have no shingles and link with nothing. Rows without an id are
 not linked: component null, kept. Rows that share an id count as linked. Repeated rows
-have one node. Columns besides id and text are not read.
+have one node. Columns besides id and text are not read. ``keep_one`` leaves one row of each
+group of similar texts, whatever their ids.
 """
 
 from __future__ import annotations
@@ -325,10 +326,44 @@ def _sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
 def keep_one(
     df: DataFrame, id_column: str = "doc_id", text: str = "text", limit: tuple[int, int] = LIMIT
 ) -> DataFrame:
-    """One row of each component, with all its columns; rows without an id stay."""
-    gone = near_duplicates(df, id_column, text, limit).where("not kept").select(F.col(id_column).alias("_gone")).distinct()
-    gone = Steps(df.sparkSession).kept(gone, "near-duplicates")
-    return df.join(small(gone, gone.count()), df[id_column].cast("long") == gone["_gone"], "left_anti")
+    """One row of each component, with all its columns; that of the smallest id, those without an id last.
+
+    Texts alone link here. A row's name is its id, or a hash of its text where it has no id or
+    its id has several texts: so rows without an id go as well if their text is there already,
+    and a text stays that only shares its id with others. Repeated rows leave one of them. Rows
+    without an id and without shingles have nothing to compare and all stay.
+    """
+    kept = Steps(df.sparkSession).kept
+    own = df.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    texts = F.xxhash64("_text")
+    several = own.where("_id is not null").groupBy("_id").agg(F.min(texts).alias("lo"), F.max(texts).alias("hi"))
+    several = kept(several.where("lo <> hi").select(F.col("_id").alias("_several")), "ids-of-several-texts")
+    several = small(several, several.count())
+
+    def named(rows: DataFrame, id_: Column, text_: Column) -> DataFrame:
+        # behind usual ids, so that the smallest name is an id if there is one
+        by_text = F.xxhash64(F.lit("text"), F.coalesce(text_, F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
+        rows = rows.withColumn("_id", id_.cast("long")).join(several, F.col("_id") == F.col("_several"), "left")
+        name = F.when(F.col("_id").isNull() | F.col("_several").isNotNull(), by_text).otherwise(F.col("_id"))
+        return rows.withColumn("_name", name).drop("_several")
+
+    rows = named(df, F.col(id_column), F.col(text))
+    keys = kept(rows.groupBy("_id", "_name").agg(F.count(F.lit(1)).alias("_n")), "row-names")
+    found = near_duplicates(rows.select("_name", F.col(text).alias("_text")), "_name", "_text", limit)
+    # rows of one name have one text
+    found = found.groupBy("_name").agg(F.max("n_shingles").alias("_size"), F.min("component_id").alias("_component"))
+    keys = kept(keys.join(found, "_name").where("_id is not null or _size > 0"), "row-components")
+    order = F.struct(F.col("_id").isNull().alias("none"), F.col("_id").alias("id"), F.col("_name").alias("name"))
+    firsts = keys.groupBy("_component").agg(F.min(order).alias("_first"))
+    marked = keys.join(firsts, "_component").withColumn("_stays", F.col("_id").eqNullSafe(F.col("_first.id")) & (F.col("_name") == F.col("_first.name")))
+    marked = marked.select(F.col("_id").alias("_own"), F.col("_name").alias("_own_name"), "_n", "_stays")
+    marked = kept(marked.where("not _stays or _n > 1"), "near-duplicates")
+    marked = small(marked, marked.count())
+    same = F.col("_id").eqNullSafe(F.col("_own")) & (F.col("_name") == F.col("_own_name"))
+    single = rows.join(marked, same, "left_anti")
+    # one of each set of repeated rows; aggregation combines them in the tasks, so none is hot
+    tied = rows.join(marked.where("_stays"), same, "left_semi").dropDuplicates(["_id", "_name"])
+    return single.union(tied).select(df.columns)
 
 
 ORACLE_SQL = r"""

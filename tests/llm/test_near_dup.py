@@ -116,3 +116,16 @@ def test_bands_miss_few_pairs_at_the_limit():
     for percent in (50, 70, 80, 85, 95, 100):
         plan = near_dup.banding((percent, 100))
         assert (1 - (percent / 100) ** plan.rows) ** plan.bands <= 1e-6 and plan.minima <= near_dup.MINIMA
+
+
+def test_keep_one_counts_rows(spark, documents):
+    """Repeated rows, rows that share an id, and rows without one leave a single row of each text."""
+    a, b, c, d = (prose(i, 80) for i in (31, 32, 33, 34))
+    close = d.rsplit(" ", 1)[0] + " end"
+    pairs = [(1, a), (1, a), (1, a), (5, a), (None, a), (None, b), (None, b), (6, c), (6, d), (6, close), (7, ""), (7, None), (None, None), (None, "")]
+    out = near_dup.keep_one(documents(pairs))
+    assert out.columns == documents([]).columns
+    got = sorted((str(r["doc_id"]), r["text"] or "") for r in out.collect())
+    six = [t for i, t in got if i == "6"]
+    assert len(six) == 2 and c in six and (d in six or close in six)
+    assert [x for x in got if x[0] != "6"] == sorted([("1", a), ("None", b), ("7", ""), ("None", ""), ("None", "")])
