@@ -3,11 +3,14 @@
 The parser streams tags and text. Blocks (what stands between block-level tags or line
 breaks) are the lines; each has its characters outside links over its number of tags.
 These ratios are smoothed with a Gaussian along the page, and lines above the standard
-deviation are content, others not. The content lines choose a region: the article that
-holds most of their text, else the innermost container with nine tenths of it. All blocks of the
-region are the text, short ones too, save those that the markup itself names as something
-else: menus, page headers and footers, sidebars, notices, adverts, forms, scripts, styles,
-reader comments, and hidden parts.
+deviation are content, others not. The region of the text are the articles and mains that are
+in no other one, with the headings beside them if they have none of the first rank; without
+such elements, or if no content line is in them, the smallest container that holds all content
+lines. All blocks of the region are the text, short ones too, save those that the markup itself
+names as something else: menus, page headers and footers, sidebars, notices, adverts, forms,
+scripts, styles, reader comments, and hidden parts. A class or an id names an element so only
+if it holds at most half of the page's text outside links; reader comments may hold more, but
+not all of it.
 
 Character references are decoded, white space inside a block is one space, blocks are joined
 by one space. Null and empty pages, and pages without text, give the empty text. Pages are
@@ -41,6 +44,7 @@ DROPPED = frozenset(
 )
 # an element of these closes an open one of the same group
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 STOPS = frozenset("ul ol dl table tbody body div article section".split())
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 NAMED = frozenset(
@@ -50,11 +54,23 @@ NAMED = frozenset(
     "recommendations share sharing sidebar sidebars social sponsor sponsored sponsors toolbar widget widgets login signup "
     "signin masthead topbar".split()
 )
+COMMENTS = frozenset("comment comments commentlist reply replies respond disqus".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 
 
+def _named(attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether an element's class or id has a word for something else than text."""
+    return any(value and name in ("class", "id") and any(w.lower() in NAMED for w in WORDS.findall(value)) for name, value in attributes)
+
+
+def _comments(attributes: list[tuple[str, str | None]]) -> bool:
+    """Whether a class or id names comments, and not something that has them, such as ``with-comments``."""
+    tokens = [WORDS.findall(token.lower()) for name, value in attributes if value and name in ("class", "id") for token in value.split()]
+    return any(words and words[0] not in ("has", "with", "no") and not COMMENTS.isdisjoint(words) for words in tokens)
+
+
 def _set_aside(attributes: list[tuple[str, str | None]]) -> bool:
-    """Whether an element's attributes name it as something else than text."""
+    """Whether an element's other attributes say that it is no text."""
     for name, value in attributes:
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
             return True
@@ -62,34 +78,56 @@ def _set_aside(attributes: list[tuple[str, str | None]]) -> bool:
             continue
         if name == "role" and value.strip().lower() in ROLES:
             return True
-        if name in ("class", "id") and any(w.lower() in NAMED for w in WORDS.findall(value)):
-            return True
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
             return True
     return False
 
 
 class Blocks(HTMLParser):
-    """Lines of a page: text, characters in links, tags, and the containers around."""
+    """Lines of a page: pieces of text, tags, rank of the heading, and the containers around."""
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, bool]] = []  # tag, whether it is set aside
+        self.open: list[tuple[str, bool, bool]] = []  # tag, whether it is set aside, whether its name may set it aside
         self.path: tuple[int, ...] = ()  # containers around, innermost last
         self.names: list[str] = []  # tag of each container
         self.aside = self.links = self.articles = 0
-        self.lines: list[tuple[str, int, int, tuple[int, ...]]] = []
-        self.text: list[str] = []
-        self.linked = self.tags = 0
+        self.marks: tuple[int, ...] = ()  # elements around that their names may set aside
+        self.marked = 0
+        self.comments: set[int] = set()  # marks of reader comments
+        self.rank = 0  # of the heading around
+        self.pieces: list[tuple[list[tuple[str, bool, tuple[int, ...]]], int, int, tuple[int, ...]]] = []
+        self.text: list[tuple[str, bool, tuple[int, ...]]] = []  # text, whether in a link, marks
+        self.tags = 0
 
     def line_ends(self) -> None:
-        if self.text:
-            text = " ".join("".join(self.text).split())
+        if any(not text.isspace() for text, *_ in self.text):
+            self.pieces.append((self.text, self.tags, self.rank, self.path))
+            self.tags = 0
+        self.text = []
+
+    def lines(self) -> list[tuple[str, int, int, int, tuple[int, ...]]]:
+        """(text, characters in links, tags, rank of the heading, containers) of each line that is not set aside."""
+        plain: dict[int, int] = {}
+        total = outside = 0
+        for parts, *_ in self.pieces:
+            for text, link, marks in parts:
+                n = 0 if link else len("".join(text.split()))
+                total += n
+                outside += n if self.comments.isdisjoint(marks) else 0
+                for mark in marks:
+                    plain[mark] = plain.get(mark, 0) + n
+        aside = {mark for mark, n in plain.items() if 2 * n <= total or outside and mark in self.comments}
+        out = []
+        before = 0  # tags of what is set aside count for the next line
+        for parts, tags, rank, path in self.pieces:
+            parts = [part for part in parts if aside.isdisjoint(part[2])]
+            text = " ".join("".join(text for text, *_ in parts).split())
+            before += tags
             if text:
-                self.lines.append((text, self.linked, self.tags, self.path))
-                self.tags = 0
-            self.text = []
-        self.linked = 0
+                out.append((text, sum(len(text) for text, link, _ in parts if link), before, rank, path))
+                before = 0
+        return out
 
     def handle_starttag(self, tag, attributes) -> None:
         if tag in BLOCK:
@@ -99,9 +137,18 @@ class Blocks(HTMLParser):
         if tag in VOID:
             return
         # a header inside an article is its own heading, outside it is the page's
-        aside = tag in DROPPED or (tag == "header" and not self.articles) or (bool(attributes) and tag not in ("html", "body") and _set_aside(attributes))
-        self.open.append((tag, aside))
+        inner = bool(attributes) and tag not in ("html", "body")
+        aside = tag in DROPPED or (tag == "header" and not self.articles) or (inner and _set_aside(attributes))
+        named = inner and _named(attributes)
+        self.open.append((tag, aside, named))
         self.aside += aside
+        if named:
+            self.marks += (self.marked,)
+            if _comments(attributes):
+                self.comments.add(self.marked)
+            self.marked += 1
+        if tag in HEADINGS:
+            self.rank = int(tag[1])
         self.links += tag == "a"
         self.articles += tag in ("article", "main")
         if tag in CONTAINER:
@@ -133,8 +180,12 @@ class Blocks(HTMLParser):
                 return
 
     def pop_to(self, i: int) -> None:
-        for tag, aside in self.open[i:]:
+        for tag, aside, named in self.open[i:]:
             self.aside -= aside
+            if named:
+                self.marks = self.marks[:-1]
+            if tag in HEADINGS:
+                self.rank = 0
             self.links -= tag == "a"
             self.articles -= tag in ("article", "main")
             if tag in CONTAINER:
@@ -143,9 +194,7 @@ class Blocks(HTMLParser):
 
     def handle_data(self, data) -> None:
         if not self.aside:
-            self.text.append(data)
-            if self.links:
-                self.linked += len(data)
+            self.text.append((data, self.links > 0, self.marks))
 
 
 def smoothed(ratios: np.ndarray, sigma: float = SIGMA) -> np.ndarray:
@@ -164,33 +213,34 @@ def main_text(html: str | None) -> str:
     page.feed(html)
     page.close()
     page.line_ends()
-    lines = page.lines
+    lines = page.lines()
     if not lines:
         return ""
     sizes = np.array([len(text) for text, *_ in lines], float)
     plain = np.maximum(sizes - np.array([linked for _, linked, *_ in lines]), 0)
-    ratios = smoothed(plain / np.maximum(np.array([tags for _, _, tags, _ in lines]), 1))
+    ratios = smoothed(plain / np.maximum(np.array([tags for _, _, tags, *_ in lines]), 1))
     content = ratios >= ratios.std()
     weights = np.where(content, plain, 0)
     if not weights.sum():
         weights = sizes
-    held: dict[int, float] = {}
-    for (*_, path), weight in zip(lines, weights):
-        for container in path:
-            held[container] = held.get(container, 0.0) + weight
-    root = _region(page.names, lines, held, weights.sum())
-    return " ".join(text for text, _, _, path in lines if root is None or root in path)
-
-
-def _region(names: list[str], lines: list, held: dict[int, float], total: float) -> int | None:
-    """The container that is the text: an article, else main, else the innermost with nine tenths of the content."""
-    for kind in ("article", "main"):
-        # an article inside another one has no more text, and the outer comes first
-        best = max((c for c in held if names[c] == kind), key=lambda c: (held[c], -c), default=None)
-        if best is not None and held[best] > 0:
-            return best
-    most = [c for c, weight in held.items() if weight >= 0.9 * total]
-    return max(most, default=None)
+    return " ".join(line[0] for line, inside in zip(lines, _region(page.names, lines, weights, plain)) if inside)
+
+
+def _region(names: list[str], lines: list, weights: np.ndarray, plain: np.ndarray) -> list[bool]:
+    """Which lines are the text."""
+    paths = [path for *_, path in lines]
+    # articles and mains in no other one, with any text outside links
+    outer = [next((c for c in path if names[c] in ("article", "main")), None) for path in paths]
+    chosen = {c for c, n in zip(outer, plain) if c is not None and n > 0}
+    inside = [c in chosen for c in outer]
+    if weights[inside].sum() > 0:
+        if not any(is_in and rank == 1 for is_in, (_, _, _, rank, _) in zip(inside, lines)):
+            around = {path[: path.index(c)] for c, path in zip(outer, paths) if c in chosen}
+            inside = [is_in or (rank > 0 and path in around) for is_in, (_, _, _, rank, path) in zip(inside, lines)]
+        return inside
+    content = [path for path, weight in zip(paths, weights) if weight > 0]
+    root = [c for c in content[0] if all(c in path for path in content)]
+    return [not root or root[-1] in path for path in paths]
 
 
 def extract(pages: DataFrame, id_column: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -184,6 +184,27 @@ def test_main_text_of_odd_pages(html, text):
     assert html_text.main_text(html) == text
 
 
+LONG = "A line of text that is long enough to be content, and then some more of it."
+
+
+@pytest.mark.parametrize(
+    "html,text",
+    [
+        (f"<body><article><p>{LONG}</p></article><article><p>{LONG} Twice.</p><p>Short.</p></article></body>", f"{LONG} {LONG} Twice. Short."),
+        (f"<main><h1>Title</h1><article><p>{LONG}</p></article></main>", f"Title {LONG}"),
+        (f"<div><h1>Title</h1><article><p>{LONG}</p></article></div>", f"Title {LONG}"),
+        (f"<body><div><h1>A title of some length</h1><div class=body><p>{LONG * 9}</p></div></div></body>", f"A title of some length {LONG * 9}"),
+        (f"<div class='has-sidebar'><p>{LONG}</p><p>{LONG}</p><div class=sidebar>Side.</div></div>", f"{LONG} {LONG}"),
+        (f"<div id='social-science'><article><p>{LONG}</p></article></div>", LONG),
+        (f"<article><p>{LONG}</p></article><div class='comment-list'><article><p>{LONG * 5}</p></article></div>", LONG),
+        (f"<div class='with-comments'><p>{LONG}</p><p>{LONG}</p><div class=comments>First!</div></div>", f"{LONG} {LONG}"),
+        (f"<article><p>{LONG} <span class='ad'>Buy!</span>End.</p></article>", f"{LONG} End."),
+    ],
+)
+def test_main_text_is_whole(html, text):
+    assert html_text.main_text(html) == text
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article>a</article>", "x"), (1, "u", "<article>a</article>", "x"), (None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
