@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cubespark.llm.batches import pieces, text_bytes
-from cubespark.llm.toxicity import labelled
+from cubespark.llm.toxicity import in_one_task, labelled
 
 CHUNK, STEP = 512, 448
 WIDTH, STRIDE, DEPTH, FILTERS = 8, 2, 8, 24
@@ -161,7 +161,7 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = ROWS) -> Model:
-    found = labelled(docs, labels, label, rows).coalesce(1).mapInArrow(_train_rows, "name string, weights binary").collect()
+    found = in_one_task(labelled(docs, labels, label, rows)).mapInArrow(_train_rows, "name string, weights binary").collect()
     shapes = {k: v.shape for k, v in start().items()}
     return {r["name"]: np.frombuffer(r["weights"], np.float32).reshape(shapes[r["name"]]) for r in found} or start()
 

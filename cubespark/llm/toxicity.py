@@ -98,6 +98,11 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def in_one_task(sample: DataFrame) -> DataFrame:
+    """A bounded sample in one partition; what finds its rows still runs in all partitions."""
+    return sample.repartition(1)
+
+
 def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     samples: list[tuple[int, np.ndarray, int]] = []
     for batch in batches:
@@ -118,7 +123,7 @@ def _train_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """The model: coordinates and weights, at most 2^20 + 1 of them."""
     sample = labelled(docs, labels, label, rows)
-    found = sample.coalesce(1).mapInArrow(_train_rows, "at bigint, weight double").toArrow()
+    found = in_one_task(sample).mapInArrow(_train_rows, "at bigint, weight double").toArrow()
     return found.column("at").to_numpy(), found.column("weight").to_numpy()
 
 

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from texts import corpus, prose
 
 from cubespark.llm import quality, toxicity
@@ -86,6 +87,11 @@ def test_odd_rows(spark, documents, operator):
     assert operator.score(documents([]), model).collect() == []
 
 
+def test_rows_are_found_in_all_partitions(spark):
+    found = toxicity.in_one_task(spark.range(0, 100, 1, 5).select(F.spark_partition_id().alias("p")))
+    assert {r["p"] for r in found.collect()} == set(range(5)) and found.rdd.getNumPartitions() == 1
+
+
 def test_held_out_is_the_same_as_in_python(spark):
     ids = spark.createDataFrame([(i,) for i in [*range(200), None]], "doc_id long")
     for r in ids.select("doc_id", toxicity.held_out(ids["doc_id"]).alias("h")).collect():
