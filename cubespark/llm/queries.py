@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.llm import bpe, decontaminate, html_text, lm_score, near_dup, quality, shards, suffix_dedup, topk, toxicity
+from cubespark.llm import (
+    bpe,
+    conversations,
+    decontaminate,
+    fingerprints,
+    html_text,
+    lm_score,
+    near_dup,
+    periodic,
+    quality,
+    shards,
+    suffix_dedup,
+    topk,
+    toxicity,
+)
 from cubespark.llm.batches import table
 
 
@@ -73,6 +87,48 @@ def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def _crc(*parts: Column) -> Column:
+    """Of values with a colon between them; null is one space."""
+    return F.crc32(F.concat_ws(":", *[F.coalesce(p.cast("string"), F.lit(" ")) for p in parts]).cast("binary"))
+
+
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by a rule, with its faults and its cheapest repair."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", *[F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")])
+    damage = _crc(F.col("conv_id"), F.col("turn")) % 20
+    damaged = rows.select(
+        "conv_id",
+        "turn",
+        F.when(damage == 4, "user").otherwise(F.col("role")).alias("role"),
+        F.when(damage == 1, "").when(damage == 2, F.translate("text", ".!?", "")).otherwise(F.col("text")).alias("text"),
+        F.when(damage == 0, 0).when(damage == 3, 2).otherwise(1).alias("times"),
+    )
+    return conversations.repair(damaged, times="times")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, a tenth of them with a tail made periodic, with its runs as digests."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g = F.floor(h / 10)
+    text = F.when(h % 10 == 0, periodic.periodic_tail(F.col("text"), g, 3 + g % 8)).otherwise(F.col("text"))
+    found = periodic.periodic_runs(docs.withColumn("text", text)).withColumn("top", periodic.longest(F.col("runs")))
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return found.select(
+        "doc_id",
+        F.size("runs").cast("bigint").alias("n_runs"),
+        *[F.col("top")[c].alias(c) for c in ("start", "length", "period")],
+        F.floor(F.col("top")["length"] * 1000 / F.col("top")["period"]).alias("exponent_milli"),
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("runs_sha256"),
+        F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"),
+    )
+
+
+def op13_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and how like they and its neighbour's are."""
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     operators = (
         op1_suffix_dedup,
@@ -85,6 +141,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_quality,
         op9_decontamination,
         op10_near_dup,
+        op11_conversation_repair,
+        op12_periodic_runs,
+        op13_fingerprints,
     )
     return {f.__name__: f for f in operators}
 
