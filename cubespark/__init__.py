@@ -5,6 +5,7 @@ from cubespark.model import (
     Cube,
     Dim,
     DimStorage,
+    DimTable,
     Expr,
     Fact,
     FactStorage,
@@ -21,6 +22,7 @@ __all__ = [
     "CubeError",
     "Dim",
     "DimStorage",
+    "DimTable",
     "Expr",
     "Fact",
     "FactStorage",

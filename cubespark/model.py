@@ -24,10 +24,15 @@ class CubeError(ValueError):
 
 @dataclass(frozen=True)
 class Ref:
-    """Target of a foreign key: a column of a dimension."""
+    """Target of a foreign key: a column of a dimension.
+
+    ``role`` is a further name of the dimension as reached by this key, so that one query
+    can join it several times.
+    """
 
     table: str
     column: str
+    role: str | None = None
 
 
 @dataclass(frozen=True)
@@ -102,6 +107,9 @@ class FactStorage:
     ``schema``, only the folders of the chosen partitions are listed and read
     (their locations come from the manifest), never the whole table. Partitions
     that lie anywhere are opened by ``open_parts(spark, manifest rows)``.
+
+    ``dt`` belongs to the cube's first range. ``others`` says of further timed dimensions in
+    which partition column, and at which period, their values are kept.
     """
 
     storage: str
@@ -111,10 +119,14 @@ class FactStorage:
     base: str | None = None
     schema: StructType | None = None
     open_parts: Callable[[SparkSession, list], DataFrame] | None = None
+    others: Mapping[str, tuple[str, UpdatePeriod]] = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
 class Fact:
+    """A table of a cube's measures. Aggregated ones hold what ``operators.rollup`` writes: counts
+    as numbers to add up, averages as a struct of sum and count."""
+
     name: str
     cube: str
     columns: tuple[str, ...]
@@ -137,17 +149,38 @@ class DimStorage:
     period: UpdatePeriod | None = None
 
 
+@dataclass(frozen=True)
+class DimTable:
+    """Some columns of a dimension, its key among them, kept by themselves."""
+
+    name: str
+    columns: tuple[str, ...]
+    storages: tuple[DimStorage, ...]
+    weight: float = 0.0
+
+    def has(self, names: set[str]) -> bool:
+        return names <= {c.lower() for c in self.columns}
+
+
 @dataclass(frozen=True)
 class Dim:
+    """A dimension in one table, its ``storages``, or in several ``tables`` of different columns."""
+
     name: str
     attrs: tuple[Attr, ...]
-    storages: tuple[DimStorage, ...]
+    storages: tuple[DimStorage, ...] = ()
     exprs: tuple[Expr, ...] = ()
     weight: float = 0.0
+    tables: tuple[DimTable, ...] = ()
 
     def field(self, name: str) -> Attr | Expr | None:
         return _named(self.exprs + self.attrs, name)
 
+    def choices(self) -> list[DimTable]:
+        """Its tables, lightest first."""
+        own = DimTable(self.name, tuple(a.name for a in self.attrs), self.storages, self.weight)
+        return sorted(self.tables + ((own,) if self.storages else ()), key=lambda t: (t.weight, t.name))
+
 
 @dataclass(frozen=True)
 class Model:
@@ -167,6 +200,19 @@ class Model:
     def dim(self, name: str) -> Dim | None:
         return _named(self.dims, name)
 
+    def role(self, name: str) -> tuple[str, Attr, Ref] | None:
+        """Table, attribute and reference that give a dimension this name."""
+        found = [
+            (t.name.lower(), attr, ref)
+            for t in self.cubes + self.dims
+            for attr in t.attrs
+            for ref in attr.refs
+            if (ref.role or "").lower() == name.lower()
+        ]
+        if len({(owner, attr.name) for owner, attr, _ in found}) > 1:
+            raise CubeError(f"several references are called {name}")
+        return found[0] if found else None
+
     def facts_of(self, cube: Cube) -> list[Fact]:
         return [f for f in self.facts if f.cube.lower() == cube.base_name]
 

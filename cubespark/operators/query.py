@@ -8,8 +8,10 @@ partitions, aggregates of measures, grouping columns and join conditions.
 from __future__ import annotations
 
 import re
+import warnings
 from dataclasses import dataclass, field, replace
 from datetime import datetime
+from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -44,12 +46,26 @@ class _Names:
     calls: dict[tuple[str, bool, str, str | None], str] = field(default_factory=dict)
     call_columns: dict[str, set[str]] = field(default_factory=dict)
     raw_only: bool = False
+    states: dict[str, str] = field(default_factory=dict)  # columns that hold counts or averages of parts
 
     def use(self, table: str, column: str) -> str:
         self.columns.setdefault(table, set()).add(column)
         return f"{table}__{column}"
 
 
+class PartialAnswer(UserWarning):
+    """No fact has all partitions of a query's range."""
+
+
+class Answer(NamedTuple):
+    """A result, and how much of the range it is of; ``missing`` lists partitions, if any are."""
+
+    df: DataFrame
+    fact: str | None
+    complete: bool
+    missing: DataFrame | None
+
+
 @dataclass(frozen=True)
 class Query:
     model: Model
@@ -61,6 +77,8 @@ class Query:
     orders: tuple[str, ...] = ()
     joins: tuple[_Join, ...] = ()
     span: tuple[str, datetime, datetime] | None = None
+    ranges: tuple[tuple[str, datetime, datetime], ...] = ()
+    roles: tuple[tuple[str, str, str | None], ...] = ()
     n: int | None = None
     is_distinct: bool = False
     options: R.QueryConf = field(default_factory=R.QueryConf)
@@ -88,7 +106,8 @@ class Query:
     def time_range(self, column: str, frm: str | datetime, to: str | datetime) -> Query:
         """Range of a timed dimension of the cube, ``from`` inclusive and ``to`` exclusive.
 
-        The first one chooses partitions; one of another timed dimension filters rows.
+        The first one chooses partitions by ``dt``; one of another timed dimension chooses
+        partitions of facts that keep it as a partition column, and filters rows otherwise.
         The same name again replaces its range.
         """
         lower, upper = parse_instant(frm), parse_instant(to)
@@ -98,8 +117,8 @@ class Query:
         if timed and column.lower() not in timed:
             raise CubeError(f"{column} is not a timed dimension of {self.root.name}: {sorted(timed)}")
         if self.span is not None and self.span[0].lower() != column.lower():
-            rows = f"{column} >= {instant_sql(lower)} and {column} < {instant_sql(upper)}"
-            return replace(self, wheres=self.wheres + (rows,))
+            others = tuple(r for r in self.ranges if r[0].lower() != column.lower())
+            return replace(self, ranges=(*others, (column, lower, upper)))
         return replace(self, span=(column, lower, upper))
 
     def where(self, condition: str) -> Query:
@@ -133,6 +152,16 @@ class Query:
         joined = _Join(dim.lower(), join_type(how), on and tuple(on), on_filter)
         return replace(self, joins=self.joins + (joined,))
 
+    def role(self, name: str, dim: str, via: str | None = None) -> Query:
+        """A further name for a dimension, as reached through the dimension or role ``via``.
+
+        Each role is joined by itself, so one dimension may be there several times. References
+        of the model that have a role need no declaration here.
+        """
+        if self.model.dim(dim) is None:
+            raise CubeError(f"unknown dimension: {dim}")
+        return replace(self, roles=(*self.roles, (name.lower(), dim.lower(), via and via.lower())))
+
     def conf(self, **options) -> Query:
         return replace(self, options=replace(self.options, **options))
 
@@ -142,25 +171,54 @@ class Query:
     def _root(self) -> str:
         return self.root.name.lower()
 
+    def _dim(self, name: str) -> Dim | None:
+        """The dimension that a name or a role stands for."""
+        declared = next((dim for role, dim, _ in self.roles if role == name), None)
+        if declared is None and self.model.dim(name) is None:
+            edge = self.model.role(name)
+            declared = edge and edge[2].table
+        return self.model.dim(declared or name)
+
+    def _path(self, target: str) -> list[tuple]:
+        """References from the root to a dimension or role, the last one named by it."""
+        for role, dim, via in self.roles:
+            if role != target:
+                continue
+            if via is not None and self.model.dim(via) is None:  # behind another role
+                home = self._dim(via)
+                if home is None:
+                    raise CubeError(f"unknown dimension or role: {via}")
+                start, onward = home.name.lower(), self.model.path(home.name, dim)
+                steps = self._path(via) + [(via if t == start else t, *rest) for t, *rest in onward]
+            else:
+                steps = self.model.path(self._root, dim, via)
+            return [*steps[:-1], (*steps[-1][:2], target, steps[-1][3])]
+        edge = None if self.model.dim(target) else self.model.role(target)
+        if edge:
+            owner, attr, ref = edge
+            before = [] if owner == self._root else self._path(owner)
+            return [*before, (owner, attr.name, target, ref.column)]
+        return self.model.path(self._root, target, self.options.via.get(target))
+
     def _find(self, word: str, home: str) -> tuple[str, object] | None:
         """Table and field a name stands for."""
         table, _, name = word.lower().rpartition(".")
         if table:
-            owner = self.root if table == self._root else self.model.dim(table)
+            owner = self.root if table == self._root else self._dim(table)
             if owner is None:
                 return None
             found = owner.field(name)
             if found is None:
                 raise CubeError(f"{owner.name} has no column {name}")
             return table, found
-        owner = self.root if home == self._root else self.model.dim(home)
+        owner = self.root if home == self._root else self._dim(home)
         found = owner.field(name)
         if found is not None:
             return home, found
         joined = [
-            (j.dim, self.model.dim(j.dim).field(name))
+            (j.dim, self._dim(j.dim).field(name))
             for j in self.joins
-            if self.model.dim(j.dim) and self.model.dim(j.dim).field(name)
+            if self._dim(j.dim) and self._dim(j.dim).field(name)
         ]
         if len(joined) > 1:
             raise CubeError(f"{name} is in several joined dimensions: qualify it")
@@ -315,9 +373,7 @@ class Query:
                     pairs.append((text, names.use(dim, right.rpartition(".")[2].lower())))
                 add(dim, pairs)
                 return
-            for table, column, target, key in self.model.path(
-                self._root, dim, self.options.via.get(dim)
-            ):
+            for table, column, target, key in self._path(dim):
                 add(target, [(names.use(table, column.lower()), names.use(target, key.lower()))])
 
         for j in self.joins:
@@ -332,18 +388,47 @@ class Query:
 
     def resolve(self, spark: SparkSession) -> R.Resolution:
         """The fact and partitions this query would use."""
-        names = _Names()
-        self._analyse(names)
-        return self._resolve(spark, names)
+        settled, names = self._settled(spark), _Names()
+        settled._analyse(names)
+        return settled._resolve(spark, names)
 
     def missing_partitions(self, spark: SparkSession) -> DataFrame:
-        """Partitions the chosen fact lacks for the range, at its finest period."""
-        res = self.resolve(spark)
-        _, frm, to = self.span
+        """Partitions the chosen fact lacks for the range, at its finest period; with process time
+        also those that it would have to look ahead for."""
+        return self._missing(spark, self.resolve(spark))
+
+    def _missing(self, spark: SparkSession, res: R.Resolution) -> DataFrame:
+        frm = self.span[1]
         periods = {p for s in res.storages for p in R.periods_of(res.fact, s, self.options)}
         finest = min(periods, key=lambda p: p.rank)
-        manifest = self.model.manifest(spark).filter(F.col("table") == res.fact.name)
-        return P.missing_partitions(manifest, frm, to, finest, sorted(periods, key=lambda p: p.rank))
+        manifest = self.model.manifest(spark).filter(F.lower("table") == res.fact.name.lower())
+        return P.missing_partitions(manifest, frm, res.until, finest, sorted(periods, key=lambda p: p.rank))
+
+    def answer(self, spark: SparkSession) -> Answer:
+        """The result with the fact it comes from and the partitions that it lacks."""
+        settled, names = self._settled(spark), _Names()
+        if not isinstance(self.root, Cube) or self.model.manifest is None:
+            return Answer(settled._plan(spark), None, True, None)
+        settled._analyse(names)
+        res = settled._resolve(spark, names)
+        missing = None if res.complete else settled._missing(spark, res)
+        return Answer(settled._plan(spark, res), res.fact.name, res.complete, missing)
+
+    def _settled(self, spark: SparkSession) -> Query:
+        """Further ranges decided by partitions alone where a complete fact allows it; else they
+        choose partitions as far as these go and are conditions on rows as well."""
+        if not self.ranges:
+            return self
+        pruned = replace(self, ranges=(), options=replace(self.options, other_ranges=self.ranges))
+        try:
+            exact, names = pruned.conf(exact_ranges=True), _Names()
+            exact._analyse(names)
+            if exact._resolve(spark, names).complete:
+                return exact
+        except CubeError:  # no fact keeps them so
+            pass
+        rows = [f"{c} >= {instant_sql(low)} and {c} < {instant_sql(high)}" for c, low, high in self.ranges]
+        return replace(pruned, wheres=(*self.wheres, *rows))
 
     def _analyse(self, names: _Names):
         if not self.items:
@@ -388,41 +473,95 @@ class Query:
             self.options,
         )
 
-    def _read_root(self, spark: SparkSession, names: _Names) -> DataFrame:
+    def _read_root(self, spark: SparkSession, names: _Names, res: R.Resolution | None) -> DataFrame:
         columns = sorted(names.columns.get(self._root, set()))
+        aggregated = False
         if isinstance(self.root, Dim):
-            df, exprs, at = R.read_dim(spark, self.root, self.options), {}, None
+            df, exprs, at = R.read_dim(spark, self.root, set(columns), self.options), {}, None
         else:
-            res = self._resolve(spark, names)
+            if res is None:
+                res = self._resolve(spark, names)
+                if not res.complete:
+                    had = f"{res.fact.name} has {res.covered:.0f} of {res.wanted:.0f} seconds of the range"
+                    warnings.warn(f"{had}: see missing_partitions", PartialAnswer, stacklevel=4)
             df = R.scan_fact(spark, res, self.span, self.options)
             exprs = {k.lower(): v for k, v in res.fact.exprs.items()}
-            at = res.fact.time_column
+            at, aggregated = res.fact.time_column, res.fact.aggregated
         selected = []
         for name in columns:
             declared = self.root.field(name)
-            col = F.expr(exprs.get(name, f"`{name}`")).cast(declared.type)
+            col = F.expr(exprs.get(name, f"`{name}`"))
+            fn = (getattr(declared, "aggr", None) or "").lower()
+            if aggregated and fn in ("count", "avg"):
+                names.states[f"{self._root}__{name}"] = fn
+            else:
+                col = col.cast(declared.type)
             if at and self.options.validity == "null" and (declared.start or declared.end):
                 col = R.valid_only(declared, col, F.col(at))
             selected.append(col.alias(f"{self._root}__{name}"))
         return df.select(*selected)
 
     def _read_dim(self, spark: SparkSession, name: str, columns: set[str]) -> DataFrame:
-        dim = self.model.table(name)
-        return R.read_dim(spark, dim, self.options).select(
+        dim = self._dim(name)
+        if dim is None:
+            raise CubeError(f"unknown dimension: {name}")
+        return R.read_dim(spark, dim, columns, self.options, self.span).select(
             *[F.col(c).cast(dim.field(c).type).alias(f"{name}__{c}") for c in sorted(columns)]
         )
 
+    def _reduced(self, spark: SparkSession, df: DataFrame, names: _Names, steps, late, on_filters) -> DataFrame:
+        """Fact rows whose keys are in the filtered dimensions.
+
+        Only through inner and semi joins, which drop the other rows anyway, and only where the
+        keys fit a broadcast, so that the fact does not move for it.
+        """
+        if self.options.reduce is False or not isinstance(self.root, Cube):
+            return df
+        conditions = [*late, *(on_filters[given.dim] for given, _ in steps if given.dim in on_filters)]
+        for given, pairs in steps:
+            lefts = _words([left for left, _ in pairs])
+            if given.how not in ("inner", "left_semi") or {w.partition("__")[0] for w in lefts} != {self._root}:
+                continue
+            keys = self._read_dim(spark, given.dim, names.columns[given.dim])
+            members = {given.dim}
+            # what is reached through this dimension alone may filter it
+            for later, more in steps:
+                behind = {w.partition("__")[0] for w in _words([left for left, _ in more])}
+                if later.dim not in members and later.how == "inner" and behind and behind <= members:
+                    table = self._read_dim(spark, later.dim, names.columns[later.dim])
+                    keys = keys.join(table, F.expr(" and ".join(f"{x} = {y}" for x, y in more)))
+                    members.add(later.dim)
+            mine = [t for t, cols in conditions if cols and {c.partition("__")[0] for c in cols} <= members]
+            if not mine:
+                continue
+            for condition in mine:
+                keys = keys.filter(F.expr(condition))
+            rights = [right for _, right in pairs]
+            keys = keys.select(*[F.col(r).alias(f"{r}__key") for r in rights])
+            if self.options.reduce or R.fits_broadcast(spark, keys):
+                on = " and ".join(f"{left} = {right}__key" for left, right in pairs)
+                df = df.join(keys, F.expr(on), "left_semi")
+        return df
+
     def to_df(self, spark: SparkSession) -> DataFrame:
+        """The result. If no fact has all partitions of the range, that of the fact with most of
+        them, with a warning (``PartialAnswer``); ``fail_if_partial`` refuses it, ``answer`` tells
+        what is missing."""
+        return self._settled(spark)._plan(spark)
+
+    def _plan(self, spark: SparkSession, res: R.Resolution | None = None) -> DataFrame:
         names = _Names()
         outputs, groups, wheres, havings, orders, on_filters, steps, aggregated = self._analyse(names)
         mine = f"{self._root}__"
         fact_first = all(step[0].how in ("inner", "left", "left_semi") for step in steps)
         early = [w for w, cols in wheres if fact_first and all(c.startswith(mine) for c in cols)]
-        late = [w for w, cols in wheres if w not in early]
+        late = [(w, cols) for w, cols in wheres if w not in early]
 
-        df = self._read_root(spark, names)
+        df = self._read_root(spark, names, res)
         for condition in early:
             df = df.filter(F.expr(condition))
+        if fact_first:
+            df = self._reduced(spark, df, names, steps, late, on_filters)
 
         eager = aggregated and bool(steps) and self._can_pre_aggregate(names, steps, fact_first)
         if eager:
@@ -442,7 +581,7 @@ class Query:
             else:
                 used = _words(conditions)
                 df = outer_join(df, dim, on, given.how, [c for c in df.columns if c in used])
-        for condition in late:
+        for condition, _ in late:
             df = df.filter(F.expr(condition))
 
         if aggregated:
@@ -492,7 +631,7 @@ class Query:
             text: text if re.fullmatch(r"\w+", text) else f"_key{i}" for i, text in enumerate(keys)
         }
         calls = [
-            (_merge_column(fn, call) if eager else _call_column(fn, distinct, arg, condition)).alias(call)
+            (_merge_column(fn, call) if eager else _call_column(fn, distinct, arg, condition, names)).alias(call)
             for (fn, distinct, arg, condition), call in names.calls.items()
         ]
         grouped = df.groupBy(*[F.expr(t).alias(key_name[t]) for t in keys])
@@ -538,7 +677,11 @@ def _words(texts: list[str]) -> set[str]:
     return found
 
 
-def _call_column(fn: str, distinct: bool, arg: str, condition: str | None) -> Column:
+def _call_column(fn: str, distinct: bool, arg: str, condition: str | None, names: _Names) -> Column:
+    if arg in names.states:  # only default aggregates of a measure come here
+        if fn == "avg":
+            return F.try_divide(F.sum(F.col(arg)["sum"]), F.sum(F.col(arg)["n"]))
+        return F.coalesce(F.sum(arg), F.lit(0))
     only = "" if condition is None else f" filter (where {condition})"
     return F.expr(f"{fn}({'distinct ' if distinct else ''}{arg}){only}")
 
@@ -547,9 +690,11 @@ def _pre_aggregate(df: DataFrame, keys: list[str], names: _Names) -> DataFrame:
     """First stage: partial aggregates per join key, so joins see few rows per key."""
     partials = []
     for (fn, _, arg, _), call in names.calls.items():
+        total, n = (f"sum({arg}.sum)", f"sum({arg}.n)") if names.states.get(arg) == "avg" else (f"sum({arg})", f"count({arg})")
         if fn == "avg":
-            partials += [F.expr(f"sum({arg})").alias(f"{call}_sum")]
-            partials += [F.expr(f"count({arg})").alias(f"{call}_n")]
+            partials += [F.expr(total).alias(f"{call}_sum"), F.expr(n).alias(f"{call}_n")]
+        elif arg in names.states:
+            partials.append(F.sum(arg).alias(f"{call}_part"))
         else:
             partials.append(F.expr(f"{fn}({arg})").alias(f"{call}_part"))
     return df.groupBy(*keys).agg(*partials)

@@ -10,20 +10,49 @@ from pyspark.sql import types as T
 
 from cubespark.model import Cube, CubeError, Measure
 from cubespark.plans.periods import UpdatePeriod, period_start
+from cubespark.session import settings
 
 PARTITION_COLUMNS = ("update_period", "dt")
 
 
+# Default aggregates that rollups can hold.
+MERGED = ("sum", "min", "max", "count", "avg")
+AVERAGE = "struct<sum:double,n:bigint>"
+
+
 def merging_measures(cube: Cube) -> list[Measure]:
-    """Measures whose default aggregate of aggregates is the aggregate of rows.
+    """Measures whose default aggregate can be had from aggregates of parts.
 
-    Measures without a default aggregate are not part of rollups. Counts and averages
-    do not merge under their own name and are refused.
+    Measures without a default aggregate are not part of rollups.
     """
-    other = [m.name for m in cube.measures if m.aggr and m.aggr.lower() not in ("sum", "min", "max")]
+    other = [m.name for m in cube.measures if m.aggr and m.aggr.lower() not in MERGED]
     if other:
-        raise CubeError(f"these measures do not merge, declare sums and counts of ones instead: {other}")
-    return [m for m in cube.measures if (m.aggr or "").lower() in ("sum", "min", "max")]
+        raise CubeError(f"these measures cannot be merged from parts: {other}")
+    return [m for m in cube.measures if m.aggr]
+
+
+def state_type(measure: Measure) -> str:
+    """Type of what a rollup holds of a measure: an average is kept as its sum and count."""
+    return {"avg": AVERAGE, "count": "bigint"}.get(measure.aggr.lower(), measure.type)
+
+
+def state_of(measure: Measure, value: str, merged: bool) -> Column:
+    """Aggregate of a measure's values, or of what finer periods hold of it."""
+    fn = measure.aggr.lower()
+    if fn == "avg":
+        total, n = (f"{value}.sum", f"sum({value}.n)") if merged else (value, f"count({value})")
+        state = F.struct(F.expr(f"cast(sum({total}) as double)").alias("sum"), F.expr(n).alias("n"))
+    elif fn == "count":
+        state = F.expr(f"sum({value})" if merged else f"count({value})")
+    else:
+        state = F.expr(f"{fn}({value})")
+    return state.cast(state_type(measure)).alias(measure.name)
+
+
+def read_state(measure: Measure, column: str | Column) -> Column:
+    """The value of one row's state."""
+    state = F.col(column) if isinstance(column, str) else column
+    return F.try_divide(state["sum"], state["n"]) if measure.aggr.lower() == "avg" else state
 
 
 def rollup(
@@ -33,17 +62,16 @@ def rollup(
     dims: list[str],
     time: str | Column,
     exprs: Mapping[str, str] | None = None,
+    merged: bool = False,
 ) -> DataFrame:
     """One row per period and combination of ``dims`` with the measures' default aggregates.
 
-    ``exprs`` gives measures that the source does not hold under their own name.
+    ``exprs`` gives measures that the source does not hold under their own name;
+    ``merged`` says that the source is a rollup itself.
     The aggregation combines before the shuffle, so a hot combination is cheap.
     """
     at = F.col(time) if isinstance(time, str) else time
-    aggs = [
-        F.expr(f"{m.aggr}({(exprs or {}).get(m.name, m.name)})").cast(m.type).alias(m.name)
-        for m in merging_measures(cube)
-    ]
+    aggs = [state_of(m, (exprs or {}).get(m.name, m.name), merged) for m in merging_measures(cube)]
     return (
         df.groupBy(period.truncate(at).alias("_start"), *dims)
         .agg(*aggs)
@@ -53,23 +81,20 @@ def rollup(
     )
 
 
-def write_partitions(df: DataFrame, path: str, tasks: int | None = None) -> None:
+def write_partitions(df: DataFrame, path: str, columns: tuple[str, ...] = PARTITION_COLUMNS) -> None:
     """Write partitions, replacing those that are there already (safe to run again).
 
-    Rebalancing splits large partitions over tasks and lets one task write many
-    small ones. Where all of them are small, ``tasks`` spreads them instead.
+    Rebalancing splits large partitions over tasks and lets one task write many small ones, but
+    not all of them while others are idle: opening files is most of the work for these.
     """
-    placed = (
-        df.repartition(tasks, *PARTITION_COLUMNS)
-        if tasks
-        else df.hint("rebalance", *PARTITION_COLUMNS)
-    )
-    (
-        placed.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(*PARTITION_COLUMNS)
-        .parquet(path)
-    )
+    with settings(df.sparkSession, spark_sql_adaptive_coalescePartitions_minPartitionSize="16k"):
+        (
+            df.hint("rebalance", *columns)
+            .write.mode("overwrite")
+            .option("partitionOverwriteMode", "dynamic")
+            .partitionBy(*columns)
+            .parquet(path)
+        )
 
 
 def read_partitions(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
@@ -87,12 +112,12 @@ def read_period(
 
 def rollup_schema(cube: Cube, dims: list[str]) -> T.StructType:
     fields = [f"`{d}` {cube.field(d).type}" for d in dims]
-    fields += [f"`{m.name}` {m.type}" for m in merging_measures(cube)]
+    fields += [f"`{m.name}` {state_type(m)}" for m in merging_measures(cube)]
     fields += [f"{c} string" for c in PARTITION_COLUMNS]
     return T.StructType.fromDDL(", ".join(fields))
 
 
-def _source_period(period: UpdatePeriod, written: list[UpdatePeriod]) -> UpdatePeriod | None:
+def source_period(period: UpdatePeriod, written: list[UpdatePeriod]) -> UpdatePeriod | None:
     """Coarsest period already written whose partitions nest in ``period``."""
     nests = [
         p
@@ -110,24 +135,23 @@ def build_rollups(
     time: str | Column,
     path: str,
     exprs: Mapping[str, str] | None = None,
-    tasks: int | None = None,
+    merged: bool = False,
 ) -> None:
     """Write a fact table at several periods, each from the next finer one.
 
-    The source is read once, for the finest period.
+    The source is read once, for the finest period; ``merged`` says that it is a rollup itself.
     """
     spark = source.sparkSession
     schema, written = rollup_schema(cube, dims), []
     for period in sorted(periods, key=lambda p: p.rank):
-        finer = _source_period(period, written)
+        finer = source_period(period, written)
         if finer is None:
-            df = rollup(source, cube, period, dims, time, exprs)
+            df = rollup(source, cube, period, dims, time, exprs, merged)
         else:
             below = read_period(spark, path, schema, finer)
-            df = rollup(
-                below, cube, period, dims, period_start(F.lit(finer.name), F.col("dt"))
-            )
-        write_partitions(df, path, tasks)
+            at = period_start(F.lit(finer.name), F.col("dt"))
+            df = rollup(below, cube, period, dims, at, merged=True)
+        write_partitions(df, path)
         written.append(period)
 
 

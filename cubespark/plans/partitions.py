@@ -10,6 +10,7 @@ A manifest is a DataFrame with one row per partition of a physical table:
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -41,8 +42,6 @@ MANIFEST_SCHEMA = T.StructType(
 )
 
 IDENTITY = ["table", "storage", "period", "dt"]
-# Short rows; a longer list of locations is shuffled like any other table.
-BROADCAST_LOCATIONS = 100_000
 
 
 def manifest_rows(df: DataFrame) -> DataFrame:
@@ -182,7 +181,8 @@ def cover(
     lower, upper = instant_sql(frm), instant_sql(to)
     inside = f"(start >= {lower} and `end` <= {upper})"
     if widen:
-        inside = f"({inside} or table in ({_texts(widen)}) and start < {upper} and `end` > {lower})"
+        named = _texts(w.lower() for w in widen)
+        inside = f"({inside} or lower(table) in ({named}) and start < {upper} and `end` > {lower})"
     allowed = [
         p
         for p in (periods or list(UpdatePeriod))
@@ -193,17 +193,23 @@ def cover(
     longer = [p for p in allowed if p.rank > UpdatePeriod.WEEKLY.rank]
     if weekly and longer:
         usable = _weeks_apart(usable, longer)
-    # What is left nests: a partition lies in an earlier, larger one exactly when
-    # that one reaches its end. The same partition on a second storage counts as
-    # contained too. Nothing but weeks crosses a year, so years are independent.
-    group = "table" if weekly else "table, year(start)"
+    # What is left nests: a partition lies in an earlier, larger one exactly when that one
+    # reaches its end; the same partition on a second storage counts as contained too. Only
+    # weeks cross a year, and they hold what starts in a week of the same year. So years are
+    # independent: by the start for larger partitions, by the start's week for weeks.
+    years = ["year(start)"] + (["year(trunc(cast(start as date), 'week'))"] if weekly else [])
     columns = ["table", "period", "start", "`end`", "dt", "storage", "location", "format"]
     reach = usable.selectExpr(
         *columns,
-        f"max(`end`) over (partition by {group} order by start, `end` desc, storage "
-        "rows between unbounded preceding and 1 preceding) as _reach",
+        *[
+            f"max(`end`) over (partition by table, {year} order by start, `end` desc, storage "
+            f"rows between unbounded preceding and 1 preceding) as _reach{i}"
+            for i, year in enumerate(years)
+        ],
     )
-    return reach.filter("_reach is null or `end` > _reach").drop("_reach")
+    for i in range(len(years)):
+        reach = reach.filter(f"_reach{i} is null or `end` > _reach{i}")
+    return reach.select(*columns)
 
 
 def _texts(values) -> str:
@@ -233,14 +239,18 @@ def _weeks_apart(usable: DataFrame, longer: list[UpdatePeriod]) -> DataFrame:
 def gaps(chosen: DataFrame, frm: str | datetime, to: str | datetime) -> DataFrame:
     """Spans of ``[frm, to)`` that the chosen partitions of one table leave open.
 
-    The window holds one short row per chosen partition.
+    Partitions are followed year by year; a year's last one looks at the first one of the next
+    year that has any, of which there is one row per year.
     """
     spark = chosen.sparkSession
     edge = spark.range(1).select(instant(frm).alias("start"), instant(frm).alias("end"))
-    w = Window.partitionBy(F.lit(1)).orderBy("start", "end")
-    spans = edge.unionByName(chosen.select("start", "end"))
+    spans = edge.unionByName(chosen.select("start", "end")).withColumn("year", F.year("start"))
+    firsts = spans.groupBy("year").agg(F.min("start").alias("first"))
+    following = firsts.select("year", F.lead("first").over(Window.orderBy("year")).alias("later"))
+    inside = Window.partitionBy("year").orderBy("start", "end")
+    followed = spans.withColumn("near", F.lead("start").over(inside)).join(following, "year")
     return (
-        spans.withColumn("next", F.coalesce(F.lead("start").over(w), instant(to)))
+        followed.withColumn("next", F.coalesce("near", "later", instant(to)))
         .filter(F.col("end") < F.col("next"))
         .select(F.col("end").alias("gap_start"), F.col("next").alias("gap_end"))
     )
@@ -333,9 +343,18 @@ def _python_pattern(pattern: str) -> str:
 # ---------------------------------------------------------------------------- scans
 
 
-def _plain(path: Column) -> Column:
-    """A path without the scheme of local files and without a slash at its end."""
-    return F.regexp_replace(F.regexp_replace(path, "^file:/+", "/"), "/+$", "")
+def qualified(spark: SparkSession, path: str) -> str:
+    """A path with the scheme and authority of its file system, as Spark names files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(conf).makeQualified(at).toString().rstrip("/")
+
+
+def decoded_path(path: Column) -> Column:
+    """A file's name as it is written, with no slashes after the scheme of local files."""
+    # only % begins an escape in Spark's names of files; a plus stands for itself
+    text = F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(text, "^file:/+", "file:/")
 
 
 def scan_partitions(
@@ -346,10 +365,11 @@ def scan_partitions(
 ) -> DataFrame:
     """Read the listed partitions wherever they lie and attach their values.
 
-    ``manifest`` may be rows of a manifest already chosen. A location may be a
-    folder or a single file, in any number. One read per distinct format.
-    ``readers`` maps a format name to a function of (spark, paths, schema); other
-    formats go to ``spark.read.format``, which needs the list of locations.
+    ``manifest`` may be rows of a manifest already chosen. A location may be a folder, with
+    folders inside, or a single file, in any number; a file belongs to the longest location
+    that its path begins with, and one that belongs to none is an error. One read per
+    distinct format. ``readers`` maps a format name to a function of (spark, paths, schema);
+    other formats go to ``spark.read.format``, which needs the list of locations.
     """
     rows = manifest
     if isinstance(manifest, DataFrame):
@@ -357,11 +377,9 @@ def scan_partitions(
     if not rows:
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("update_period", F.lit("")).withColumn("dt", F.lit(""))
-    listed = [(r["location"], r["period"], r["dt"]) for r in rows]
+    listed = [(_local(qualified(spark, r["location"])), r["period"], r["dt"]) for r in rows]
     values = spark.createDataFrame(listed, "_location string, update_period string, dt string")
-    values = values.withColumn("_location", _plain(F.col("_location")))
-    if len(rows) <= BROADCAST_LOCATIONS:
-        values = F.broadcast(values)
+    values = values.select("_location", F.struct("update_period", "dt").alias("_at"))
     parts = None
     for fmt in sorted({r["format"] for r in rows}):
         paths = [r["location"] for r in rows if r["format"] == fmt]
@@ -369,22 +387,23 @@ def scan_partitions(
         df = (
             read(spark, paths, schema)
             if read
-            else spark.read.format(fmt).schema(schema).load(paths)
+            else spark.read.format(fmt).schema(schema).option("recursiveFileLookup", True).load(paths)
         )
-        file = _plain(F.col("_metadata.file_path"))
-        df = df.select(*[F.col(f.name) for f in schema], file.alias("_file"))
+        df = df.select(*[F.col(f.name) for f in schema], decoded_path(F.col("_metadata.file_path")).alias("_file"))
         parts = df if parts is None else parts.unionByName(df)
-    # a file is listed by itself or through its folder
-    as_file = values.select(F.col("_location").alias("_file"), F.struct("update_period", "dt").alias("_own"))
-    as_folder = values.select(F.col("_location").alias("_folder"), F.struct("update_period", "dt").alias("_held"))
-    found = (
-        parts.withColumn("_folder", F.regexp_replace("_file", "/[^/]*$", ""))
-        .join(as_file, "_file", "left")
-        .join(as_folder, "_folder", "left")
-        .withColumn("_at", F.coalesce("_own", "_held"))
-        .filter(F.col("_at").isNotNull())
-    )
-    return found.select(*[f.name for f in schema], "_at.update_period", "_at.dt")
+    # the depths of locations, a handful, say how far up a file's path has to be looked at
+    depths = sorted({x[0].count("/") + 1 for x in listed}, reverse=True)
+    found = parts
+    for i, depth in enumerate(depths):
+        mine = values.filter(F.size(F.split("_location", "/")) == depth).withColumnsRenamed({"_location": f"_folder{i}", "_at": f"_at{i}"})
+        found = found.withColumn(f"_folder{i}", F.substring_index("_file", "/", depth)).join(mine, f"_folder{i}", "left")
+    unknown = F.raise_error(F.concat(F.lit("a file of no listed partition: "), F.col("_file")))
+    held = F.coalesce(*[F.col(f"_at{i}") for i in range(len(depths))], unknown)
+    return found.withColumn("_at", held).select(*[f.name for f in schema], "_at.update_period", "_at.dt")
+
+
+def _local(path: str) -> str:
+    return re.sub("^file:/+", "file:/", path)
 
 
 def partitions_used(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -395,14 +414,18 @@ def partitions_used(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count(F.lit(1)).alias("rows"))
 
 
-def dim_snapshot(df: DataFrame, as_of: str | None = None, dt_col: str = "dt") -> DataFrame:
-    """Rows of the latest dump, or of the latest one not after ``as_of``.
-
-    The choice reads the partition column alone; its single value then prunes
-    the scan.
-    """
+def latest_dump(df: DataFrame, as_of: str | datetime | None = None, period: UpdatePeriod | None = None, dt_col: str = "dt") -> str | None:
+    """Value of the latest dump, of those not after ``as_of``: a value, or with a period an instant
+    before which the dump begins. Only the partition column is read."""
     dumps = df.select(dt_col)
-    if as_of is not None:
+    if isinstance(as_of, datetime):
+        dumps = dumps.filter(parse_label(F.col(dt_col), period.pattern) < instant(as_of))
+    elif as_of is not None:
         dumps = dumps.filter(F.col(dt_col) <= F.lit(as_of))
-    latest = dumps.agg(F.max(dt_col)).first()[0]
+    return dumps.agg(F.max(dt_col)).first()[0]
+
+
+def dim_snapshot(df: DataFrame, as_of: str | None = None, dt_col: str = "dt") -> DataFrame:
+    """Rows of the latest dump, or of the latest one not after ``as_of``; its value prunes the scan."""
+    latest = latest_dump(df, as_of, dt_col=dt_col)
     return df.filter(F.col(dt_col) == F.lit(latest)) if latest is not None else df.limit(0)

@@ -7,7 +7,7 @@ written ``yyyy-MM-dd-HH:mm:ss,SSS`` or any shorter prefix of it.
 from __future__ import annotations
 
 import re
-from datetime import datetime
+from datetime import datetime, timedelta
 from enum import Enum
 
 from pyspark.sql import Column
@@ -75,6 +75,37 @@ class UpdatePeriod(Enum):
         return F.translate(F.substring(text, 1, len(self.pattern)), " :", "--")
 
 
+def floor_instant(at: datetime, period: UpdatePeriod) -> datetime:
+    """Start of the period that an instant lies in."""
+    if period is UpdatePeriod.WEEKLY:
+        at = at - timedelta(days=at.weekday())
+    units = ("year", "month", "day", "hour", "minute", "second")
+    # How many of the units a start may have.
+    kept = {"second": 6, "minute": 5, "hour": 4, "day": 3, "week": 3, "month": 2, "quarter": 2, "year": 1}[period.unit]
+    values = [getattr(at, u) for u in units[:kept]] + [1, 1, 1, 0, 0, 0][kept:]
+    if period is UpdatePeriod.QUARTERLY:
+        values[1] = values[1] - (values[1] - 1) % 3
+    return datetime(*values)
+
+
+def shift_instant(at: datetime, period: UpdatePeriod, n: int = 1) -> datetime:
+    """An instant some periods on; days that a month lacks become its last one."""
+    months = {"month": 1, "quarter": 3, "year": 12}.get(period.unit)
+    if months is None:
+        seconds = {"second": 1, "minute": 60, "hour": 3600, "day": 86400, "week": 604800}[period.unit]
+        return at + timedelta(seconds=seconds * n)
+    year, month = divmod(at.year * 12 + at.month - 1 + months * n, 12)
+    first = datetime(year, month + 1, 1)
+    days = (datetime(year + month // 11, (month + 1) % 12 + 1, 1) - first).days
+    return at.replace(year=year, month=month + 1, day=min(at.day, days))
+
+
+def ceil_instant(at: datetime, period: UpdatePeriod) -> datetime:
+    """The next start of a period that is not before an instant."""
+    start = floor_instant(at, period)
+    return start if start == at else shift_instant(start, period)
+
+
 # The accepted patterns of an instant, shortest first.
 INSTANT_PATTERNS = {
     4: "%Y",

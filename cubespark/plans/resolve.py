@@ -7,14 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from dataclasses import dataclass, field
-from datetime import datetime, timedelta
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.model import Cube, CubeError, Dim, DimStorage, Fact, FactStorage, Model
+from cubespark.model import Cube, CubeError, Dim, DimStorage, DimTable, Fact, FactStorage, Model
 from cubespark.plans import partitions as P
-from cubespark.plans.periods import UpdatePeriod, instant, time_range
+from cubespark.plans.periods import UpdatePeriod, ceil_instant, floor_instant, instant, instant_sql, shift_instant, time_range
 
 
 @dataclass(frozen=True)
@@ -24,6 +24,13 @@ class QueryConf:
     ``eager``: aggregate the fact by its join keys before the joins. By default
     this is done where the fact has one join key, so that the joins see few rows
     per key and no key is hot; several keys together seldom repeat.
+
+    ``reduce``: keep only fact rows whose keys the filtered dimensions hold, before any
+    aggregation or join. By default this is done where the keys are small enough for a
+    broadcast by Spark's estimate; beyond that Spark's own Bloom filters do it at run time.
+
+    ``other_ranges``: further time ranges (timed dimension, from, to) that partitions of the
+    fact can be chosen by; ``exact_ranges`` asks for facts whose partitions end where they do.
     """
 
     join_type: str = "inner"
@@ -46,9 +53,12 @@ class QueryConf:
     writer: str = "or"
     partition_format: str | None = None
     validity: str = "reject"
-    dim_as_of: str | None = None
+    dim_as_of: str | None = None  # a dump's value, or "range": as of the end of the time range
     via: Mapping[str, str] = field(default_factory=dict)
     eager: bool | None = None
+    reduce: bool | None = None
+    other_ranges: tuple = ()
+    exact_ranges: bool = False
 
 
 @dataclass(frozen=True)
@@ -57,10 +67,11 @@ class Resolution:
 
     fact: Fact
     storages: tuple[FactStorage, ...]
-    chosen: DataFrame | None  # cover over all candidate facts
+    chosen: DataFrame | None  # its cover
     parts: list | None  # chosen partitions; None where nothing is partitioned
     covered: float  # seconds
     wanted: float
+    until: datetime | None = None  # end of the partitions asked for
 
     @property
     def complete(self) -> bool:
@@ -122,7 +133,7 @@ def candidate_facts(
         storages = tuple(
             s
             for s in fact.storages
-            if _allowed(conf, s.storage, fact.name) and periods_of(fact, s, conf)
+            if _allowed(conf, s.storage, fact.name) and periods_of(fact, s, conf) and _exact(s, conf)
         )
         whole = tuple(s for s in storages if not s.partitioned)
         if whole or model.manifest is None:  # each holds all rows: read one of them
@@ -132,24 +143,29 @@ def candidate_facts(
     return found
 
 
+def _exact(storage: FactStorage, conf: QueryConf) -> bool:
+    """Whether partitions alone decide the further ranges, if that is asked for."""
+    if not conf.exact_ranges:
+        return True
+    kept = {name.lower(): period for name, (_, period) in storage.others.items()}
+    return all(
+        (period := kept.get(name.lower())) and all(floor_instant(at, period) == at for at in (frm, to))
+        for name, frm, to in conf.other_ranges
+    )
+
+
 def look_ahead(to: datetime, periods: list[UpdatePeriod], conf: QueryConf) -> datetime:
-    """End of the process-time range that may hold rows of the event-time range."""
+    """End of the process-time range that may hold rows of the event-time range.
+
+    Some of a fact's finest periods further on, by the calendar.
+    """
     if conf.process_time_col is None:
         return to
     finest = min(periods, key=lambda p: p.rank)
     n = conf.lookahead
     if not isinstance(n, int):
         n = n.get(finest, n.get(finest.name, 1))
-    step = {
-        UpdatePeriod.SECONDLY: timedelta(seconds=1),
-        UpdatePeriod.MINUTELY: timedelta(minutes=1),
-        UpdatePeriod.HOURLY: timedelta(hours=1),
-        UpdatePeriod.DAILY: timedelta(days=1),
-        UpdatePeriod.WEEKLY: timedelta(days=7),
-    }.get(finest)
-    if step is None:
-        raise CubeError("look-ahead needs a period of fixed length")
-    return to + n * step
+    return shift_instant(ceil_instant(to, finest), finest, n)
 
 
 def resolve_fact(
@@ -175,49 +191,51 @@ def resolve_fact(
     if conf.lightest_first:
         candidates = candidates[:1]
     _, frm, to = span
-    wanted = (to - frm).total_seconds()
     if model.manifest is None:
         fact, storages = candidates[0]
-        return Resolution(fact, storages, None, None, wanted, wanted)
+        wanted = (to - frm).total_seconds()
+        return Resolution(fact, storages, None, None, wanted, wanted, to)
 
-    manifest, keep, ends = model.manifest(spark), [], set()
+    manifest, keep, until = model.manifest(spark), [], {}
     for fact, storages in candidates:
+        name = fact.name.lower()
         for s in storages:
-            names = ", ".join(f"'{p.name}'" for p in periods_of(fact, s, conf))
-            keep.append(
-                f"(lower(table) = {_text(fact.name)} and lower(storage) = {_text(s.storage)} and period in ({names}))"
-            )
-            ends.add(look_ahead(to, periods_of(fact, s, conf), conf))
+            periods = periods_of(fact, s, conf)
+            until[name] = max(until.get(name, to), look_ahead(to, periods, conf))
+            names = ", ".join(f"'{p.name}'" for p in periods)
+            keep.append(f"lower(table) = {_text(fact.name)} and lower(storage) = {_text(s.storage)} and period in ({names})")
+    # a fact that looks ahead less takes no partitions beyond its own end
+    ends = [f"lower(table) = {_text(n)} and start < {instant_sql(end)}" for n, end in until.items()]
+    usable = manifest.filter(" or ".join(f"({k})" for k in keep)).filter(" or ".join(f"({e})" for e in ends))
     periods = sorted(
         {p for f, ss in candidates for s in ss for p in periods_of(f, s, conf)},
         key=lambda p: p.rank,
     )
     widened = [f.name for f, _ in candidates if f.time_column and not f.aggregated]
-    until = max(ends)
-    chosen = P.cover(manifest.filter(" or ".join(keep)), frm, until, periods, widen=widened)
-    # partitions are few against their rows; the reader needs the list of folders anyway
-    rows = chosen.collect()
-    by_table: dict[str, float] = {}
-    for r in rows:
-        seconds = (min(r["end"], to) - max(r["start"], frm)).total_seconds()
-        name = r["table"].lower()
-        by_table[name] = by_table.get(name, 0.0) + max(seconds, 0.0)
-    full = [c for c in candidates if by_table.get(c[0].name.lower(), 0.0) >= wanted]
+    chosen = None
+    for end in sorted(set(until.values())):
+        mine = usable.filter(F.lower("table").isin([n for n, e in until.items() if e == end]))
+        mine = P.cover(mine, frm, end, periods, widen=widened).withColumn("until", instant(end))
+        chosen = mine if chosen is None else chosen.unionByName(mine)
+    seconds = F.expr(f"timestampdiff(microsecond, greatest(start, {instant_sql(frm)}), least(`end`, until)) / 1e6")
+    sums = chosen.groupBy(F.lower("table").alias("table")).agg(F.sum(F.greatest(seconds, F.lit(0.0))).alias("seconds"))
+    by_table = {r["table"]: r["seconds"] for r in sums.collect()}  # a number per candidate
+
+    def asked(candidate: tuple) -> float:
+        return (until[candidate[0].name.lower()] - frm).total_seconds()
+
+    def share(candidate: tuple) -> float:
+        return by_table.get(candidate[0].name.lower(), 0.0) / asked(candidate)
+
+    full = [c for c in candidates if by_table.get(c[0].name.lower(), 0.0) >= asked(c)]
     if not full and conf.fail_if_partial:
         raise CubeError(f"no fact of {cube.name} has all partitions of {frm} .. {to}")
-    fact, storages = (
-        full[0] if full else max(candidates, key=lambda c: by_table.get(c[0].name.lower(), 0.0))
-    )
-    mine = chosen.filter(F.lower("table") == fact.name.lower())
-    parts = [r for r in rows if r["table"].lower() == fact.name.lower()]
-    return Resolution(
-        fact,
-        storages,
-        mine,
-        parts,
-        by_table.get(fact.name.lower(), 0.0),
-        wanted,
-    )
+    fact, storages = full[0] if full else max(candidates, key=share)
+    name = fact.name.lower()
+    mine = chosen.filter(F.lower("table") == name).drop("until")
+    # the reader needs the list of the folders it reads
+    parts = mine.collect()
+    return Resolution(fact, storages, mine, parts, by_table.get(name, 0.0), asked((fact, storages)), until[name])
 
 
 def scan_fact(
@@ -240,6 +258,8 @@ def scan_fact(
                 continue
             df = _read_parts(spark, storage, mine)
             df = df.filter(P.partition_predicate(mine, conf.writer, conf.partition_format))
+            for condition in _by_others(storage, conf):
+                df = df.filter(condition)
         rows_decide = (
             not storage.partitioned
             or not fact.aggregated
@@ -257,6 +277,18 @@ def scan_fact(
     return result
 
 
+def _by_others(storage: FactStorage, conf: QueryConf) -> list[str]:
+    """Predicates on the partition columns of further timed dimensions; values sort by time."""
+    kept = {name.lower(): place for name, place in storage.others.items()}
+    found = []
+    for name, frm, to in conf.other_ranges:
+        if name.lower() in kept:
+            column, period = kept[name.lower()]
+            first, end = (at.strftime(period.py_pattern) for at in (floor_instant(frm, period), ceil_instant(to, period)))
+            found.append(f"`{column}` >= '{first}' and `{column}` < '{end}'")
+    return found
+
+
 def _read_parts(spark: SparkSession, storage: FactStorage, parts: list) -> DataFrame:
     if storage.open_parts:
         return storage.open_parts(spark, parts)
@@ -285,22 +317,43 @@ def valid_only(field_, column: Column, at: Column) -> Column:
     return F.when(cond, column)
 
 
-def choose_dim_storage(dim: Dim, conf: QueryConf) -> DimStorage:
-    """First storage of a dimension that the options allow."""
-    tables = conf.valid_dim_tables
-    for s in dim.storages:
-        name = storage_table(s.storage, dim.name).lower()
-        if tables is not None and name not in {t.lower() for t in tables}:
-            continue
-        if conf.valid_storages is None or s.storage.lower() in {
-            v.lower() for v in conf.valid_storages
-        }:
-            return s
-    raise CubeError(f"no storage of dimension {dim.name} is allowed")
-
-
-def read_dim(spark: SparkSession, dim: Dim, conf: QueryConf) -> DataFrame:
+def choose_dim(
+    spark: SparkSession, dim: Dim, columns: set[str], conf: QueryConf, span: tuple | None = None
+) -> tuple[DimTable, DimStorage, str | None]:
+    """Lightest table of a dimension that has the columns and, if it is kept as dumps, one in force;
+    with the storage and the dump's value."""
+    tables, allowed = conf.valid_dim_tables, False
+    for table in dim.choices():
+        for s in table.storages:
+            if tables is not None and storage_table(s.storage, table.name).lower() not in {t.lower() for t in tables}:
+                continue
+            if conf.valid_storages is not None and s.storage.lower() not in {v.lower() for v in conf.valid_storages}:
+                continue
+            allowed = True
+            if not table.has(columns):
+                continue
+            if s.period is None:
+                return table, s, None
+            as_of = span[2] if conf.dim_as_of == "range" and span else conf.dim_as_of
+            dump = P.latest_dump(s.read(spark), None if as_of == "range" else as_of, s.period)
+            if dump is not None:
+                return table, s, dump
+    if not allowed:
+        raise CubeError(f"no storage of dimension {dim.name} is allowed")
+    raise CubeError(f"no table of dimension {dim.name} has {sorted(columns)} and a dump in force")
+
+
+def read_dim(
+    spark: SparkSession, dim: Dim, columns: set[str], conf: QueryConf, span: tuple | None = None
+) -> DataFrame:
     """A dimension as one snapshot, so that its key stays unique."""
-    storage = choose_dim_storage(dim, conf)
+    _, storage, dump = choose_dim(spark, dim, columns, conf, span)
     df = storage.read(spark)
-    return df if storage.period is None else P.dim_snapshot(df, conf.dim_as_of)
+    return df if dump is None else df.filter(F.col("dt") == F.lit(dump))
+
+
+def fits_broadcast(spark: SparkSession, df: DataFrame) -> bool:
+    """Whether Spark estimates a frame as small enough to broadcast."""
+    size = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    limit = spark._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(size) <= limit

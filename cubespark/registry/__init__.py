@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cubespark.registry import cube_queries, io_queries, log_queries  # noqa: F401
+from cubespark.registry import cube_queries, io_queries, log_queries, model_queries  # noqa: F401
 from cubespark.registry.base import ORACLES, QUERIES
 
 

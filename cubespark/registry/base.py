@@ -7,6 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cubespark.session import settings
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,11 +19,10 @@ def query(key: str, oracle: str | None = None):
     def add(fn: Callable[[SparkSession, str], DataFrame]):
         @wraps(fn)
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            spark.conf.set("spark.sql.session.timeZone", "UTC")
-            # list folders with some tasks per core, not with one task per folder
-            listing = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-            spark.conf.set(listing, 4 * spark.sparkContext.defaultParallelism)
-            return fn(spark, sf_dir.rstrip("/"))
+            # folders are listed here, with some tasks per core and not with one task per folder
+            tasks = 4 * spark.sparkContext.defaultParallelism
+            with settings(spark, spark_sql_sources_parallelPartitionDiscovery_parallelism=tasks):
+                return fn(spark, sf_dir.rstrip("/"))
 
         if key in QUERIES:
             raise KeyError(f"registered twice: {key}")

@@ -251,14 +251,14 @@ def _(spark, sf):
 
 @query(
     "agg_filter",
-    f"""select event_type, count(*) filter (where user_id < 50) as low, round(sum(value) filter (where value > 10), 2) as large
-        from events where {IN_RANGE} group by 1 having count(*) filter (where user_id >= 50) > 0""",
+    f"""select event_type, count(*) filter (where user_id < 8) as low, round(sum(value) filter (where value > 10), 2) as large
+        from events where {IN_RANGE} group by 1 having count(*) filter (where user_id >= 8) > 0""",
 )
 def _(spark, sf):
     q = activity(spark, sf).select(
-        "event_type", "count(1) filter (where user_id < 50) as low", "sum(amount) filter (where amount > 10) as large"
+        "event_type", "count(1) filter (where user_id < 8) as low", "sum(amount) filter (where amount > 10) as large"
     )
-    return rounded(q.having("count(1) filter (where user_id >= 50) > 0").to_df(spark), "large")
+    return rounded(q.having("count(1) filter (where user_id >= 8) > 0").to_df(spark), "large")
 
 
 @query("timedim_replace", BY_TYPE)
@@ -735,7 +735,7 @@ def _(spark, sf):
     fine = warehouse(spark, sf).activity(spark).facts[1].storages[0].read(spark)
     hours = fine.filter(F.col("update_period") == HOURLY.name)
     at = period_start(F.lit(HOURLY.name), F.col("dt"))
-    return rounded(RU.rollup(hours, ACTIVITY, DAILY, ["event_type"], at), "value")
+    return rounded(RU.rollup(hours, ACTIVITY, DAILY, ["event_type"], at, merged=True), "value")
 
 
 @query(

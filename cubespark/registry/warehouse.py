@@ -23,7 +23,6 @@ from cubespark.model import (
     Model,
     Ref,
 )
-from cubespark.operators.results import persisted_size
 from cubespark.operators.rollup import (
     build_rollups,
     read_partitions,
@@ -45,6 +44,8 @@ ACTIVITY = Cube(
         Measure("min_value", "double", "min"),
         Measure("n", "bigint", "sum"),
         Measure("amount", "double"),
+        Measure("mean", "double", "avg"),
+        Measure("users", "bigint", "count"),
     ),
     attrs=(
         Attr("event_type"),
@@ -94,6 +95,8 @@ ACTIVITY_EXPRS = {
     "min_value": "value",
     "n": "1",
     "amount": "value",
+    "mean": "value",
+    "users": "nullif(user_id, 7)",
 }
 
 
@@ -114,7 +117,7 @@ def _dims(sf_dir: str) -> tuple[Dim, ...]:
             "supplier",
             Attr("s_suppkey", "bigint"),
             Attr("s_name"),
-            Attr("s_nationkey", "int", (Ref("nation", "n_nationkey"),)),
+            Attr("s_nationkey", "int", (Ref("nation", "n_nationkey", "supplier_nation"),)),
             Attr("s_acctbal", "double"),
         ),
         dim(
@@ -139,7 +142,7 @@ def _dims(sf_dir: str) -> tuple[Dim, ...]:
             "customer",
             Attr("c_custkey", "bigint"),
             Attr("c_name"),
-            Attr("c_nationkey", "int", (Ref("nation", "n_nationkey"),)),
+            Attr("c_nationkey", "int", (Ref("nation", "n_nationkey", "customer_nation"),)),
             Attr("c_acctbal", "double"),
             Attr("c_mktsegment"),
             exprs=(Expr("in_debt", "boolean", "c_acctbal < 0"),),
@@ -206,15 +209,9 @@ class Warehouse:
             "lake", lambda s: read_partitions(s, path, schema), periods, base=path, schema=schema
         )
 
-    def _write_tasks(self, spark: SparkSession, name: str) -> int | None:
-        """Below a gigabyte of source the rollups' partitions are small: spread them."""
-        size = persisted_size(spark, f"{self.sf_dir}/{name}.parquet")
-        return spark.sparkContext.defaultParallelism if size < 1 << 30 else None
-
     def _build_activity(self, spark: SparkSession) -> Model:
         events = table(spark, self.sf_dir, "events")
         user_dims, type_dims = ["event_type", "user_id"], ["event_type"]
-        tasks = self._write_tasks(spark, "events")
         build_rollups(
             events,
             ACTIVITY,
@@ -223,7 +220,6 @@ class Warehouse:
             "ts",
             self.path("activity_user"),
             ACTIVITY_EXPRS,
-            tasks,
         )
         # the coarser fact comes from the finer one, events are not read again
         days = read_period(
@@ -236,7 +232,7 @@ class Warehouse:
             type_dims,
             period_start(F.lit(DAILY.name), F.col("dt")),
             self.path("activity_type"),
-            tasks=tasks,
+            merged=True,
         )
         by_user = partition_folders(spark, self.path("activity_user"))
         by_type = partition_folders(spark, self.path("activity_type"))
@@ -252,7 +248,7 @@ class Warehouse:
             ],
             HOURLY.shift(instant(last)),
         )
-        merged = ("value", "max_value", "min_value", "n")
+        merged = ("value", "max_value", "min_value", "n", "mean", "users")
         facts = (
             Fact(
                 "activity_raw",
@@ -296,7 +292,6 @@ class Warehouse:
             "l_shipdate",
             self.path("sales_supplier"),
             SALES_EXPRS,
-            self._write_tasks(spark, "lineitem"),
         )
         folders = partition_folders(spark, self.path("sales_supplier"))
         first, last = _loaded(folders, MONTHLY)

@@ -3,6 +3,7 @@
 import json
 import os
 import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -14,9 +15,11 @@ from cubespark.operators import rollup as RU
 from cubespark.operators import star
 from cubespark.operators.joins import outer_join, unique_join
 from cubespark.operators.ordering import number_within, previous_within
+from cubespark.plans import partitions as P
 from cubespark.session import shared_dir
 from cubespark.sources.database import read_db
-from cubespark.streaming.stats import ingest_stats, rolled_logs
+from cubespark.streaming.rollup import stream_manifest, stream_rollup
+from cubespark.streaming.stats import changed_logs, ingest_stats, rolled_logs
 
 U = UpdatePeriod
 
@@ -134,7 +137,7 @@ def test_rollups_nest(spark, tmp_path):
     )
     exprs = {"s": "v", "hi": "v", "lo": "v"}
     path = str(tmp_path / "facts")
-    RU.build_rollups(rows, cube, [U.HOURLY, U.DAILY, U.WEEKLY, U.MONTHLY], ["g"], "t", path, exprs, tasks=4)
+    RU.build_rollups(rows, cube, [U.HOURLY, U.DAILY, U.WEEKLY, U.MONTHLY], ["g"], "t", path, exprs)
     written = RU.read_partitions(spark, path, RU.rollup_schema(cube, ["g"]))
     for period in (U.HOURLY, U.DAILY, U.WEEKLY, U.MONTHLY):
         direct = RU.rollup(rows, cube, period, ["g"], "t", exprs)
@@ -368,7 +371,146 @@ def test_unique_join_reads_each_input_once(spark, tmp_path):
 
 
 def test_measures_that_do_not_merge_are_refused(spark):
-    cube = Cube("c", (Measure("v", "double", "avg"),), (Attr("g"),))
+    cube = Cube("c", (Measure("v", "double", "stddev"),), (Attr("g"),))
     rows = spark.sql("select timestamp_ntz'2024-01-01' as t, 'a' as g, 1.0d as v")
     with pytest.raises(CubeError):
         RU.rollup(rows, cube, U.DAILY, ["g"], "t")
+
+
+def test_counts_and_averages_of_parts(spark, tmp_path):
+    """States of hours add up to those of days and months, with nulls and groups without values."""
+    cube = Cube("c", (Measure("mean", "double", "avg"), Measure("seen", "bigint", "count")), (Attr("g", "int"),))
+    rows = spark.sql(
+        "select timestamp_ntz'2024-01-29 00:00:00' + make_interval(0,0,0,0,cast(id * 7 % 900 as int),0,0) as t, "
+        "cast(id % 3 as int) as g, if(id % 5 = 0 or id % 3 = 2, null, cast(id as double)) as v from range(2000)"
+    )
+    exprs, path = {"mean": "v", "seen": "v"}, str(tmp_path / "facts")
+    RU.build_rollups(rows, cube, [U.HOURLY, U.DAILY, U.MONTHLY], ["g"], "t", path, exprs)
+    written = RU.read_partitions(spark, path, RU.rollup_schema(cube, ["g"]))
+    for period in (U.HOURLY, U.DAILY, U.MONTHLY):
+        direct = RU.rollup(rows, cube, period, ["g"], "t", exprs)
+        mine = written.filter(F.col("update_period") == period.name)
+        assert as_rows(mine.select(direct.columns)) == as_rows(direct), period
+        plain = rows.groupBy(period.truncate(F.col("t")).alias("s"), "g").agg(F.avg("v").alias("m"), F.count("v").alias("n"))
+        read = mine.select(P.period_start(F.lit(period.name), F.col("dt")).alias("s"), "g", RU.read_state(cube.measures[0], "mean").alias("m"), F.col("seen").alias("n"))
+        assert as_rows(read) == as_rows(plain)
+
+
+# -------------------------------------------------------------------- streamed rollups
+
+STREAM_CUBE = Cube("c", (Measure("s", "bigint", "sum"), Measure("mean", "double", "avg"), Measure("n", "bigint", "count")), (Attr("g"),))
+STREAM_EXPRS = {"s": "v", "mean": "v", "n": "v"}
+
+
+def _slices(spark, tmp_path, slices, late="2 hours", periods=(U.HOURLY, U.DAILY)):
+    """Rows (hour, minute, group, value) per slice through a stream that stops after each."""
+    source, path, checkpoint = (str(tmp_path / n) for n in ("in", "facts", "cp"))
+    schema = "t timestamp_ntz, g string, v bigint"
+    start = datetime(2024, 1, 30)
+    for rows in slices:
+        df = spark.createDataFrame([(start + timedelta(hours=h, minutes=m), g, v) for h, m, g, v in rows], schema)
+        df.coalesce(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(schema).parquet(source)
+        stream_rollup(stream, STREAM_CUBE, list(periods), ["g"], "t", late, path, checkpoint, STREAM_EXPRS).awaitTermination()
+    return path, schema, start
+
+
+def test_late_rows_within_the_watermark_count(spark, tmp_path):
+    slices = [
+        [(0, 5, "a", 1), (1, 0, "a", 2), (2, 30, "b", 3)],
+        [(0, 50, "a", 4), (1, 59, "b", 5), (4, 0, "a", 6)],  # late, but within two hours of 2:30
+        [(0, 1, "a", 100), (26, 0, "b", 7)],  # the first hour was closed at 4:00: left out
+        [(25, 0, "a", 8), (30, 0, "a", 9)],
+    ]
+    path, schema, start = _slices(spark, tmp_path, slices)
+    listed = stream_manifest(spark, path)
+    assert {(r["period"], r["dt"]) for r in listed.collect()} == {
+        ("HOURLY", "2024-01-30-00"), ("HOURLY", "2024-01-30-01"), ("HOURLY", "2024-01-30-02"), ("HOURLY", "2024-01-30-04"),
+        ("HOURLY", "2024-01-31-01"), ("HOURLY", "2024-01-31-02"), ("DAILY", "2024-01-30"),
+    }
+    counted = [r for rows in slices for r in rows if r[3] != 100]
+    df = spark.createDataFrame([(start + timedelta(hours=h, minutes=m), g, v) for h, m, g, v in counted], schema)
+    written = RU.read_partitions(spark, path, RU.rollup_schema(STREAM_CUBE, ["g"]))
+    for period, end in ((U.HOURLY, start + timedelta(hours=28)), (U.DAILY, start + timedelta(days=1))):
+        direct = RU.rollup(df.filter(F.col("t") < F.lit(end).cast("timestamp_ntz")), STREAM_CUBE, period, ["g"], "t", STREAM_EXPRS)
+        mine = written.filter(F.col("update_period") == period.name)
+        assert as_rows(mine.select(direct.columns)) == as_rows(direct), period
+
+
+def test_a_stream_that_fails_goes_on_from_its_checkpoint(spark, tmp_path, monkeypatch):
+    """The batch that failed between its rows and its list is run again and replaces what it wrote."""
+    from cubespark.streaming import rollup as SR
+
+    slices = [[(h, 0, "a", h) for h in range(4)], [(h, 30, "b", h) for h in range(3, 60)]]
+    _slices(spark, tmp_path, slices[:1])
+    real, calls = SR.write_partitions, []
+
+    def failing(df, path, *more):
+        real(df, path, *more)
+        calls.append(path)
+        if len(calls) == 2:  # the days of the second slice
+            raise OSError("lost")
+
+    monkeypatch.setattr(SR, "write_partitions", failing)
+    with pytest.raises(Exception, match="lost"):
+        _slices(spark, tmp_path, slices[1:])
+    monkeypatch.setattr(SR, "write_partitions", real)
+    path, schema, start = _slices(spark, tmp_path, [[(60, 0, "a", 1)]])
+    every = [r for rows in slices for r in rows] + [(60, 0, "a", 1)]
+    df = spark.createDataFrame([(start + timedelta(hours=h, minutes=m), g, v) for h, m, g, v in every], schema)
+    written = RU.read_partitions(spark, path, RU.rollup_schema(STREAM_CUBE, ["g"]))
+    listed = stream_manifest(spark, path)
+    assert listed.count() == listed.select("period", "dt").distinct().count()
+    for period, end in ((U.HOURLY, start + timedelta(hours=58)), (U.DAILY, start + timedelta(days=2))):
+        direct = RU.rollup(df.filter(F.col("t") < F.lit(end).cast("timestamp_ntz")), STREAM_CUBE, period, ["g"], "t", STREAM_EXPRS)
+        mine = written.filter(F.col("update_period") == period.name)
+        assert as_rows(mine.select(direct.columns)) == as_rows(direct), period
+
+
+def test_queries_read_what_a_stream_has_closed(spark, tmp_path):
+    """Days and hours of the stream's manifest cover a range, and what is open is told as missing."""
+    path, _, _ = _slices(spark, tmp_path, [[(h, 0, "ab"[h % 2], h) for h in range(60)]])
+    schema = RU.rollup_schema(STREAM_CUBE, ["g"])
+    storage = FactStorage("stream", lambda s: RU.read_partitions(s, path, schema), (U.HOURLY, U.DAILY), base=path, schema=schema)
+    cube = Cube("c", STREAM_CUBE.measures, (Attr("g"), Attr("t", "timestamp_ntz")), timed=("t",))
+    model = Model((cube,), (Fact("facts", "c", ("g", "s", "mean", "n"), (storage,)),), (), lambda s: stream_manifest(s, path))
+    q = Query.of(model, "c").time_range("t", "2024-01-30", "2024-02-01-09").select("g", "s", "mean", "n")
+    answer = q.answer(spark)
+    assert answer.complete and as_rows(answer.df) == [("a", 812, 28.0, 29), ("b", 784, 28.0, 28)]
+    assert {r["period"] for r in q.resolve(spark).parts} == {"DAILY", "HOURLY"}
+    part = q.time_range("t", "2024-01-30", "2024-02-01-12").answer(spark)
+    assert not part.complete and [r["dt"] for r in part.missing.collect()] == ["2024-02-01-09", "2024-02-01-10", "2024-02-01-11"]
+
+
+def test_weeks_are_no_base_for_months(spark, tmp_path):
+    rows = spark.readStream.schema("t timestamp_ntz, g string, v bigint").parquet(str(tmp_path))
+    for periods in ([U.WEEKLY, U.MONTHLY], [U.MONTHLY]):
+        with pytest.raises(CubeError):
+            stream_rollup(rows, STREAM_CUBE, periods, ["g"], "t", "1 hour", str(tmp_path / "o"), str(tmp_path / "c"), STREAM_EXPRS)
+
+
+def test_rewritten_logs_replace_their_rows(spark, tmp_path):
+    logs, out, checkpoint = tmp_path / "logs", str(tmp_path / "out"), str(tmp_path / "cp")
+    logs.mkdir()
+    row = '{"handle": "%s", "status": {"status": "S"}}\n'
+
+    def log(name, *handles):
+        (logs / name).write_text("".join(row % h for h in handles))
+
+    def handles():
+        ingest_stats(spark, str(logs), out, checkpoint)
+        return sorted(r["handle"] for r in spark.read.json(out).collect())
+
+    log("q.log.2024-01-01-00", "a", "b")
+    log("q.log.2024-01-01-01")
+    assert handles() == ["a", "b"]
+    log("q.log.2024-01-01-00", "a", "c", "d")
+    log("q 1.log.2024-01-01-02", "e")
+    assert handles() == ["a", "c", "d", "e"]
+    log("q.log.2024-01-01-01", "late")  # was empty when it was taken
+    assert handles() == ["a", "c", "d", "e", "late"]
+    log("q.log.2024-01-01-00")  # empty now
+    log("q 1.log.2024-01-01-02", "f")
+    assert handles() == ["f", "late"]
+    assert handles() == ["f", "late"]
+    assert changed_logs(spark, str(logs), checkpoint).count() == 0
