@@ -2,10 +2,11 @@
 
 A vocabulary of ranks (token bytes, number) becomes a BPE model: each byte is
 written as one printable character, and every way to split a token into two
-others is a merge, ordered by the token's rank. Texts are cut in front of a
-space that is followed by a visible character, where a match of the pattern
-always begins; each distinct cut is encoded once per worker and kept in a
-bounded cache. The tokens of a text are the tokens of its cuts in a row.
+others is a merge, ordered by the token's rank. With the pattern of the public
+vocabularies texts are cut in front of a space that is followed by a visible
+character, where a match of it always begins; each distinct cut is encoded once per
+worker and kept in a bounded cache. The tokens of a text are the tokens of its cuts in
+a row. With any other pattern a text is encoded as a whole.
 
 Null and empty texts give no tokens. Rows are independent of each other, so
 repeated rows give repeated results and empty tables empty ones; other columns
@@ -21,6 +22,7 @@ from array import array
 from collections.abc import Iterator
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +41,10 @@ WORD_AND_MARKS = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)(
 
 
 def byte_characters() -> dict[int, str]:
-    """One printable character per byte: itself if it prints, else one from 256 on."""
+    """One printable character per byte: itself if it prints, else one from 256 on.
+
+    Fixed values of this format of vocabularies.
+    """
     printable = [b for b in range(256) if 33 <= b <= 126 or (b >= 161 and b != 173)]
     hidden = [b for b in range(256) if b not in set(printable)]
     return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(hidden)}
@@ -78,7 +83,8 @@ def build(ranks: dict[bytes, int], pattern: str) -> str:
 class Codec:
     """Encodes texts to ids and decodes ids to bytes; one per worker."""
 
-    def __init__(self, model: str) -> None:
+    def __init__(self, model: str, cuts: bool = True) -> None:
+        self.cuts = cuts
         self.tokenizer = Tokenizer.from_str(model)
         self.merger = self.tokenizer.model
         self.names = byte_characters()
@@ -117,6 +123,8 @@ class Codec:
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text."""
+        if not self.cuts:
+            return np.frombuffer(self._any(text), np.uint32)
         if ODD_SPACE.search(text):
             first, *rest = CUT.split(text)
             rest = [x[1:] for x in rest]
@@ -148,14 +156,19 @@ class Codec:
 _CODECS: dict[str, Codec] = {}
 
 
-def _codec(model: str) -> Codec:
+def _codec(model: str, cuts: bool) -> Codec:
     """The worker's codec; it outlives a task."""
     key = hashlib.sha256(model.encode()).hexdigest()
     if key not in _CODECS:
-        _CODECS[key] = Codec(model)
+        _CODECS[key] = Codec(model, cuts)
     return _CODECS[key]
 
 
+def _can_cut(pattern: str) -> bool:
+    """What cuts and simple words rely on is known of this pattern only."""
+    return pattern == public_tokenizers.PATTERN
+
+
 def character_ends(text: str, byte_ends: np.ndarray) -> np.ndarray:
     """Byte offsets as offsets of characters that are complete there."""
     raw = np.frombuffer(text.encode(), np.uint8)
@@ -167,10 +180,11 @@ def character_ends(text: str, byte_ends: np.ndarray) -> np.ndarray:
 def encode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
     """Ids of each text, and where each token ends in bytes and in characters."""
     model = df.sparkSession.sparkContext.broadcast(build(read_ranks(path), pattern))
+    cuts = _can_cut(pattern)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model.value)
+        codec = _codec(model.value, cuts)
         for batch in batches:
             texts = strings(batch, "text")
             for low in range(0, len(texts), 256):
@@ -195,10 +209,11 @@ def encode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", te
 def decode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", ids: str = "ids") -> DataFrame:
     """Bytes of each sequence of ids, and their text; null is the empty sequence."""
     model = df.sparkSession.sparkContext.broadcast(build(read_ranks(path), pattern))
+    cuts = _can_cut(pattern)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model.value)
+        codec = _codec(model.value, cuts)
         for batch in batches:
             raw = [codec.decode(np.array(x or [], np.int64)) for x in batch.column("ids").to_pylist()]
             text = pa.array([x.decode(errors="replace") for x in raw], pa.string())
@@ -212,10 +227,11 @@ def digests(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", t
     """Number of tokens, digest of the ids, and digest of what they decode to."""
     spark: SparkSession = df.sparkSession
     model = spark.sparkContext.broadcast(build(read_ranks(path), pattern))
+    cuts = _can_cut(pattern)
     kind = df.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(model.value)
+        codec = _codec(model.value, cuts)
         for batch in batches:
             counts, of_ids, of_bytes = [], [], []
             for value in batch.column("text"):

@@ -11,8 +11,15 @@ chance of a miss and no cap. Candidates are decided on the shingles themselves.
 A signature of fixed length over whole documents would not do: a 30-shingle item in a
 document of 20,000 has a Jaccard similarity of 0.0015 and needs thousands of minima.
 
+An item of fewer than five words is one shingle, all of its words, and so is a text; so such an
+item is found where it is the whole text, and not inside longer ones: phrases that short are
+part of clean texts.
+
 Null texts are empty: they hold nothing and are held by nothing. Rows with the same
-id are decided each for itself and a pair is given once. Null ids are ids like others.
+id are decided each for itself and a pair is given once. Null ids are ids like others. Empty
+tables of documents or items give an empty one. Long texts are rows like others; their shingles
+are exploded, never gathered. Columns besides ids and texts are not read, and ``clean`` keeps
+them, whatever their names.
 """
 
 from __future__ import annotations
@@ -73,11 +80,15 @@ def contained(docs: DataFrame, items: DataFrame, doc_id="doc_id", text="text", i
     )
 
 
-def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """The documents that hold no item, with all their columns."""
-    held = contained(docs, items, doc_id=doc_id).select(F.col(doc_id).alias("_held")).distinct()
+def clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The documents that hold no item, with all their columns; each row is judged by its own text."""
+    # rows that share an id, or have none, are told apart by their text
+    name = F.struct(F.col(f"`{doc_id}`").alias("id"), F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("body"))
+    rows = docs.select(name.alias("name"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    named = rows.select("name", F.col("row")[text].alias("text"))
+    held = contained(named, items, doc_id="name").select(F.col("name").alias("held")).distinct()
     held = Steps(docs.sparkSession).kept(held, "held")
-    return docs.join(small(held, held.count()), docs[doc_id].eqNullSafe(held["_held"]), "left_anti")
+    return rows.join(small(held, held.count()), F.col("name") == F.col("held"), "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -12,14 +12,17 @@ Texts with equal sets are one node. Pairs within a bucket are not all listed:
 1. each member is paired with the bucket's member that shares most buckets with others;
    pairs are confirmed and give first components;
 2. pairs of members in different components so far are compared by their packed bits, in
-   blocks of bounded size, and those that may be links are confirmed as well.
+   blocks of bounded size, and those that may be links are confirmed as well. Members of a
+   bucket's largest component meet only those of others.
 
 Pairs that are already connected add nothing to a component, so none is lost.
 
-Null and empty texts have no shingles and link with nothing. Rows without an id are
-not linked: component null, kept. Rows that share an id count as linked. Repeated rows
-have one node. Columns besides id and text are not read. ``keep_one`` leaves one row of each
-group of similar texts, whatever their ids.
+Null and empty texts have no shingles and link with nothing. Ids are whole numbers; an id that
+is none counts as null. Rows without an id are not linked: component null, kept. Rows that share
+an id count as linked. Repeated rows have one node and are compared once. An empty table gives
+an empty one. Texts are hashed in pieces of some rows; a long text is a piece of its own, and
+memory grows with it. Columns besides id and text are not read. ``keep_one`` leaves one row of
+each group of similar texts, whatever their ids, with all its columns.
 """
 
 from __future__ import annotations
@@ -243,12 +246,14 @@ def near_duplicates(
     plan = banding(limit)
     most = plan.minima - plan.least_matches()
     kept = Steps(df.sparkSession).kept
-    docs = df.select(F.col(id_column).cast("long").alias("id"), F.col(text).alias("text"))
-    sketched = kept(sketches(docs, plan.bands, plan.rows), "sketches")
+    docs = df.select(F.col(id_column).try_cast("long").alias("id"), F.col(text).alias("text"))
+    # rows are numbered, so that one of several equal ones can be named
+    sketched = kept(sketches(docs, plan.bands, plan.rows).withColumn("row", F.monotonically_increasing_id()), "sketches")
     known = sketched.where("id is not null and digest is not null")
-    by_set = kept(known.groupBy("digest").agg(F.min("id").alias("node")), "sets")
-    # rows that share an id may have several sets: each is a node of that name
-    nodes = known.join(by_set, "digest").where("id = node").select("node", "bands", "bits")
+    by_set = known.groupBy("digest").agg(F.min(F.struct("id", "row")).alias("first"))
+    by_set = kept(by_set.select("digest", F.col("first.id").alias("node"), F.col("first.row").alias("first")), "sets")
+    # one row of each set; rows that share an id may have several sets, each a node of that name
+    nodes = known.join(by_set, "digest").where("row = first").select("node", "bands", "bits")
     # only numbers are shuffled per band; packed bits join the pairs that are left
     by_band = nodes.select("node", F.explode("bands").alias("band"))
     shared = by_band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -276,12 +281,20 @@ def near_duplicates(
 
     # 2. members of a bucket in different components so far
     labelled = members.join(first, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed_bands = labelled.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi")
-    left = labelled.join(mixed_bands.select("band"), "band").join(nodes, "node")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    other = F.explode(F.sequence(F.lit(0), blocks - 1))
-    spread = left.select("band", "node", "label", "bits", "bands", own.alias("block"), other.alias("other")).select(
+    counts = labelled.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n_label"))
+    # members of the bucket's largest component meet the others, not one another
+    mixed_bands = counts.groupBy("band").agg(
+        F.max_by("label", F.struct("n_label", "label")).alias("main"), F.max("n_label").alias("n_main"), F.sum("n_label").alias("n_all")
+    )
+    mixed_bands = kept(mixed_bands.where("n_all > n_main"), "mixed-buckets")
+    left = labelled.drop("n").join(mixed_bands, "band").join(nodes, "node")
+    minor = F.col("label") != F.col("main")
+    minor_blocks = F.ceil((F.col("n_all") - F.col("n_main")) / BLOCK).cast("int")
+    main_blocks = F.ceil(F.col("n_main") / BLOCK).cast("int")
+    own = F.when(minor, F.pmod(F.xxhash64("node"), minor_blocks)).otherwise(minor_blocks + F.pmod(F.xxhash64("node"), main_blocks))
+    last = F.when(minor, minor_blocks + main_blocks).otherwise(minor_blocks)
+    other = F.explode(F.sequence(F.lit(0), last - 1))
+    spread = left.select("band", "node", "label", "bits", "bands", own.cast("int").alias("block"), other.alias("other")).select(
         F.concat_ws("/", "band", F.least("block", "other"), F.greatest("block", "other")).alias("group"),
         "band",
         "block",
@@ -320,6 +333,8 @@ def _sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     """Full sets of the nodes in pairs, from their texts."""
     nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
     wanted = texts.join(small(nodes, nodes.count()), "id", "left_semi")
+    # of repeated rows one is enough
+    wanted = wanted.withColumn("body", F.xxhash64("text")).dropDuplicates(["id", "body"]).drop("body")
     return shingle_sets(wanted).withColumnRenamed("id", "node")
 
 
@@ -334,7 +349,7 @@ def keep_one(
     without an id and without shingles have nothing to compare and all stay.
     """
     kept = Steps(df.sparkSession).kept
-    own = df.select(F.col(id_column).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    own = df.select(F.col(id_column).try_cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     texts = F.xxhash64("_text")
     several = own.where("_id is not null").groupBy("_id").agg(F.min(texts).alias("lo"), F.max(texts).alias("hi"))
     several = kept(several.where("lo <> hi").select(F.col("_id").alias("_several")), "ids-of-several-texts")
@@ -343,13 +358,15 @@ def keep_one(
     def named(rows: DataFrame, id_: Column, text_: Column) -> DataFrame:
         # behind usual ids, so that the smallest name is an id if there is one
         by_text = F.xxhash64(F.lit("text"), F.coalesce(text_, F.lit(""))).bitwiseAND(F.lit((1 << 62) - 1)).bitwiseOR(F.lit(1 << 62))
-        rows = rows.withColumn("_id", id_.cast("long")).join(several, F.col("_id") == F.col("_several"), "left")
+        rows = rows.withColumn("_id", id_.try_cast("long")).join(several, F.col("_id") == F.col("_several"), "left")
         name = F.when(F.col("_id").isNull() | F.col("_several").isNotNull(), by_text).otherwise(F.col("_id"))
         return rows.withColumn("_name", name).drop("_several")
 
-    rows = named(df, F.col(id_column), F.col(text))
+    # the rows are one column, whatever their columns are called
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_row"))
+    rows = named(packed, F.col("_row")[id_column], F.col("_row")[text])
     keys = kept(rows.groupBy("_id", "_name").agg(F.count(F.lit(1)).alias("_n")), "row-names")
-    found = near_duplicates(rows.select("_name", F.col(text).alias("_text")), "_name", "_text", limit)
+    found = near_duplicates(rows.select("_name", F.col("_row")[text].alias("_text")), "_name", "_text", limit)
     # rows of one name have one text
     found = found.groupBy("_name").agg(F.max("n_shingles").alias("_size"), F.min("component_id").alias("_component"))
     keys = kept(keys.join(found, "_name").where("_id is not null or _size > 0"), "row-components")
@@ -363,7 +380,7 @@ def keep_one(
     single = rows.join(marked, same, "left_anti")
     # one of each set of repeated rows; aggregation combines them in the tasks, so none is hot
     tied = rows.join(marked.where("_stays"), same, "left_semi").dropDuplicates(["_id", "_name"])
-    return single.union(tied).select(df.columns)
+    return single.union(tied).select("_row.*")
 
 
 ORACLE_SQL = r"""

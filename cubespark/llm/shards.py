@@ -4,7 +4,7 @@ Rows are ordered by a hash of their text, so equal texts are neighbours. A sampl
 of keys, each row taken with a chance that grows with its size, gives quantile
 boundaries; they cut the rows into ranges, and ranges with many rows into cells.
 A text with more copies than a cell holds gets cells of its own, by a hash of the
-row's id. Sums per range, per cell and inside a cell give each row its exact
+row's place. Sums per range, per cell and inside a cell give each row its exact
 position in bytes and rows, and its share of the whole names its shard.
 
 Equal texts stay in one shard unless their group is larger than a tenth of a shard
@@ -36,6 +36,8 @@ def sized(df: DataFrame, id_column: str, text: str) -> DataFrame:
         (F.octet_length(raw) + 8).cast("long").alias("size"),
         F.crc32(raw.cast("binary")).alias("text_crc32"),
         F.xxhash64(raw).alias("key"),
+        # written with the row; spreads rows that are equal in every column
+        F.monotonically_increasing_id().alias("at"),
     )
 
 
@@ -92,12 +94,12 @@ def _place(steps: Steps, rows: DataFrame, cuts: list[int]) -> DataFrame:
     hot = rows.groupBy("key").agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > CELL_ROWS)
     hot = hot.select("key", F.col("key").alias("hot"), F.ceil(F.col("copies") / CELL_ROWS).alias("salts"))
     hot = steps.kept(hot, "hot-keys")  # a table, so that Spark can split the join's hot keys
-    salt = F.pmod(F.xxhash64("doc_id"), F.col("salts"))
+    salt = F.pmod(F.xxhash64("at"), F.col("salts"))
     return (
         rows.withColumn("part", F.greatest(F.lit(0), F.least(part, last)))
         .join(hot, "key", "left")
         .withColumn("cell", F.struct("part", "hot", F.when(F.col("hot").isNotNull(), salt).alias("salt")))
-        .drop("part", "hot", "salts")
+        .drop("part", "hot", "salts", "at")
     )
 
 

@@ -22,7 +22,8 @@ again gives the same ones. Ranks are 64 bits, and equal windows agree in seven o
 
 Null and empty texts have no bytes. A text that is there twice, in rows of equal or
 different ids, repeats itself and goes from both rows. Null ids are ids like others. Long
-texts are scanned in segments. Columns besides id and text are not read.
+texts are scanned in segments. An empty table gives an empty one. Columns besides id and text
+are not read, and ``rewrite`` keeps them, whatever their names.
 """
 
 from __future__ import annotations
@@ -360,27 +361,29 @@ def rewrite(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
 
     Rows of one id are told apart by their text.
     """
-    body = F.xxhash64(F.coalesce(text, F.lit("")))
-    keyed = df.withColumn("_body", body)
-    docs = keyed.select(F.col(id_column).alias("id"), F.col("_body").alias("body"), F.col(text).alias("text"))
-    runs = repeated_windows(docs).groupBy("id", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("_runs"))
-    runs = runs.withColumnsRenamed({"id": "_i", "body": "_b"})
-    joined = keyed.join(runs, F.col(id_column).eqNullSafe(F.col("_i")) & (F.col("_body") == F.col("_b")), "left")
+    # the rows are one column, whatever their columns are called
+    body = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("body")
+    keyed = df.select(F.col(f"`{id_column}`").alias("id"), body, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    runs = repeated_windows(keyed.select("id", "body", F.col("row")[text].alias("text")))
+    runs = runs.groupBy("id", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    runs = runs.select(F.col("id").alias("i"), F.col("body").alias("b"), F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi"))
+    joined = keyed.join(runs, F.col("id").eqNullSafe(F.col("i")) & (F.col("body") == F.col("b")), "left")
     names = df.columns
-    plan = joined.select(*[F.col(f"`{c}`") for c in names], F.col("_runs.lo").alias("_lo"), F.col("_runs.hi").alias("_hi"))
-    wanted = df.schema
+    # by position, next to the runs
+    plan = joined.select(*[F.col("row")[c].alias(f"c{k}") for k, c in enumerate(names)], "lo", "hi")
+    wanted, text_at, chars_at = df.schema, names.index(text), names.index("n_chars") if "n_chars" in names else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             left = []
-            for value, lo, hi in zip(batch.column(text), batch.column("_lo"), batch.column("_hi")):
+            for value, lo, hi in zip(batch.column(text_at), batch.column("lo"), batch.column("hi")):
                 raw = value.as_py()
                 runs_of = [np.array(x.as_py() or [], np.int64) for x in (lo, hi)]
                 left.append(raw if raw is None else cut(raw.encode(), *runs_of)[0].decode(errors="ignore"))
-            arrays = {c: batch.column(c) for c in names}
-            arrays[text] = pa.array(left, pa.string())
-            if "n_chars" in arrays:
-                arrays["n_chars"] = pa.array([None if x is None else len(x) for x in left], arrays["n_chars"].type)
-            yield pa.RecordBatch.from_arrays(list(arrays.values()), names=names)
+            arrays = batch.columns[: len(names)]
+            arrays[text_at] = pa.array(left, pa.string())
+            if chars_at is not None:
+                arrays[chars_at] = pa.array([None if x is None else len(x) for x in left], arrays[chars_at].type)
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
 
     return plan.mapInArrow(run, wanted)

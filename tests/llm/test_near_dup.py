@@ -1,4 +1,5 @@
 import re
+from collections import Counter
 
 import numpy as np
 from texts import corpus, prose
@@ -66,6 +67,47 @@ def test_one_group_with_members_that_do_not_link(spark, documents):
     check(documents, pairs)
 
 
+def test_rows_that_repeat(spark, documents):
+    """Ten thousand equal rows are one node, compared once."""
+    a = prose(3, 80)
+    near = a.rsplit(" ", 1)[0] + " end"
+    pairs = [(i % 3, a) for i in range(10_000)] + [(50, near)] * 2000 + [(60, prose(4, 80))]
+    got = Counter((r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in near_dup.near_duplicates(documents(pairs)).collect())
+    copies = Counter(i % 3 for i in range(10_000))
+    want = {(i, 76, 0, i == 0): n for i, n in copies.items()}
+    assert got == want | {(50, 76, 0, False): 2000, (60, 76, 60, True): 1}
+
+
+def test_a_bucket_with_one_stray(spark, documents, monkeypatch):
+    """A large component's members meet the stray, and not one another again."""
+    monkeypatch.setattr(near_dup, "BLOCK", 8)
+    words = prose(5, 120).split(" ")
+    pairs = []
+    for i in range(200):
+        own = words.copy()
+        own[60] = f"q{i}"
+        pairs.append((i, " ".join(own)))
+    stray = words.copy()
+    for at in (10, 20, 30, 40, 50):
+        stray[at] = "z"
+    check(documents, pairs + [(900, " ".join(stray))])
+
+
+def test_names_that_clash(spark, documents):
+    a = prose(3, 80)
+    df = documents([(1, a), (2, a), (3, prose(4, 80)), (None, a)])
+    odd = df.withColumnsRenamed({"lang": "_id", "source": "_name", "id": "_row", "hash": "_n"})
+    out = near_dup.keep_one(odd)
+    assert out.columns == odd.columns and out.schema["_id"].dataType == odd.schema["_id"].dataType
+    assert sorted((r["doc_id"], r["_id"], r["_name"]) for r in out.collect()) == [(1, None, "s"), (3, None, "s")]
+
+
+def test_ids_that_are_no_numbers_count_as_null(spark):
+    df = spark.createDataFrame([("x1", prose(1, 30)), ("2", prose(1, 30)), ("3", prose(1, 30))], "doc_id string, text string")
+    got = {r["doc_id"]: (r["component_id"], r["kept"]) for r in near_dup.near_duplicates(df).collect()}
+    assert got == {None: (None, True), 2: (2, True), 3: (2, False)}
+
+
 def test_rows_that_share_an_id(spark, documents):
     a, b = prose(3, 80), prose(4, 80)
     got = near_dup.near_duplicates(documents([(1, a), (5, a), (5, b), (9, b)])).collect()

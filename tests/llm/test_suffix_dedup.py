@@ -76,3 +76,14 @@ def test_rewrite_keeps_all_columns(spark, documents):
     got = [(str(r["doc_id"]), r["text"]) for r in out.collect()]
     key = lambda r: (r[0], r[1] is None, r[1])
     assert sorted(got, key=key) == sorted(want, key=key)
+
+
+def test_rewrite_with_clashing_names(spark, documents):
+    shared = prose(9, 200)
+    df = documents([(1, "x" + shared), (2, "y" + shared), (None, None)])
+    odd = df.withColumnsRenamed({"lang": "_body", "source": "_runs", "id": "lo", "hash": "c1", "n": "row"})
+    out = suffix_dedup.rewrite(odd)
+    assert out.schema == odd.schema
+    want = dict(zip((1, 2, None), (b[4] for b in brute(["x" + shared, "y" + shared, None])))) | {None: None}
+    assert {r["doc_id"]: r["text"] for r in out.collect()} == want
+    assert {r["_runs"] for r in out.collect()} == {"s"} and {r["row"] for r in out.collect()} == {1}

@@ -54,6 +54,17 @@ def test_hot_group_is_spread_over_shards(spark, documents, monkeypatch):
         assert slots == list(range(len(slots)))
 
 
+def test_equal_rows_are_spread(spark, documents, monkeypatch):
+    """Rows that are equal in every column, and without ids, still go to cells of bounded size."""
+    monkeypatch.setattr(shards, "CELL_ROWS", 20)
+    steps = shards.Steps(spark)
+    rows = steps.kept(shards.sized(documents([(None, "copy " * 20)] * 500 + [(7, "x" * 30)] * 500), "doc_id", "text"), "rows")
+    cells = shards._place(steps, rows.selectExpr("*", "0 as range"), []).groupBy("range", "cell").count().collect()
+    assert max(r["count"] for r in cells) < 60
+    got = shards.shard_by_size(documents([(None, "copy " * 20)] * 400), 4).collect()
+    assert Counter(r["shard"] for r in got) == {0: 100, 1: 100, 2: 100, 3: 100}
+
+
 def test_small_groups_stay_together(spark, documents):
     pairs = [(i, prose(i // 3, 40)) for i in range(600)]
     where = {}
@@ -108,6 +119,15 @@ def test_every_character(other):
         assert codec.encode(text).tolist() == other.encode_ordinary(text), hex(code)
 
 
+def test_other_patterns_are_not_cut(spark, documents):
+    """Ids under a pattern that joins words across spaces are those of the other library."""
+    pattern = r"[a-z]+ [a-z]+|\s|\S"
+    plain = tiktoken.Encoding("test", pat_str=pattern, mergeable_ranks=ranks(), special_tokens={})
+    texts = ["the end of it", "one two three", " lead and  two"]
+    got = bpe.encode(documents(list(enumerate(texts))), PATH, pattern).collect()
+    assert {r["doc_id"]: list(r["ids"]) for r in got} == {i: plain.encode_ordinary(t) for i, t in enumerate(texts)}
+
+
 def test_full_caches_change_nothing(other, monkeypatch):
     monkeypatch.setattr(bpe, "CACHE_ENTRIES", 10)
     codec = bpe.Codec(bpe.build(ranks(), public_tokenizers.PATTERN))
@@ -313,13 +333,31 @@ def test_containment_against_brute_force(spark, documents):
 def test_clean_and_empty_tables(spark, documents):
     docs, items = leaky()
     out = decontaminate.clean(documents(docs), items_of(spark, items))
-    bad = {r[0] for r in held(docs, items)}
     assert out.columns == documents([]).columns
-    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(i) for i, _ in docs if i not in bad)
+    # each row by its own text
+    clean = [i for i, t in docs if not held([(0, t)], items)]
+    assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(map(str, clean))
     assert decontaminate.contained(documents([]), items_of(spark, items)).collect() == []
     assert decontaminate.clean(documents(docs), items_of(spark, [])).count() == len(docs)
 
 
+def test_clean_judges_rows_and_not_ids(spark, documents):
+    item = prose(70, 40)
+    docs = [(None, "before " + item), (None, prose(1, 30)), (5, item + " after"), (5, prose(2, 30)), (6, None)]
+    odd = documents(docs).withColumnsRenamed({"lang": "_held", "source": "name", "n": "row"})
+    out = decontaminate.clean(odd, items_of(spark, [(1, item)]))
+    assert out.columns == odd.columns
+    assert sorted((str(r["doc_id"]), r["text"], r["name"]) for r in out.collect()) == sorted(
+        [("None", prose(1, 30), "s"), ("5", prose(2, 30), "s"), ("6", None, "s")], key=str
+    )
+
+
+def test_short_items_match_whole_texts_only(spark, documents):
+    docs = [(1, "one two three"), (2, "zero one two three four five six"), (3, "One  TWO three\n")]
+    got = decontaminate.contained(documents(docs), items_of(spark, [(9, "one two three")])).collect()
+    assert sorted(r["doc_id"] for r in got) == [1, 3]
+
+
 def test_no_python_on_native_paths(spark, documents):
     docs, items = leaky()
     for df in (decontaminate.contained(documents(docs), items_of(spark, items)), shards.shard_by_size(documents(docs), 4)):
