@@ -14,19 +14,26 @@ def row_index(df: DataFrame, name: str = "row") -> DataFrame:
     The rows are written once with the number of their task, so that positions
     do not change if a task runs again. Only one count per task is accumulated.
     """
+    return counted_index(df, name)[0]
+
+
+def counted_index(df: DataFrame, name: str = "row") -> tuple[DataFrame, int]:
+    """``row_index`` with the number of rows, which comes from the footers of what was written."""
     spark = df.sparkSession
     path = new_dir(spark, "row-index")
     df.withColumn("_at", F.monotonically_increasing_id()).write.parquet(path)
+    total = spark.read.parquet(path).count()
     staged = spark.read.parquet(path).withColumn("_task", F.shiftright("_at", 33))
     counts = staged.groupBy("_task").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_task", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
     # one row per task of the write: bounded by the number of its partitions
-    return (
+    placed = (
         staged.join(F.broadcast(offsets), "_task")
         .withColumn(name, F.col("_before") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)))
         .drop("_at", "_task", "_before")
     )
+    return placed, total
 
 
 def number_within(

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cubespark.model import Attr, Cube, CubeError, Dim, Expr, Measure, Model
 from cubespark.operators.joins import join_type, outer_join
+from cubespark.operators.star import merged, partials
 from cubespark.plans import partitions as P
 from cubespark.plans import resolve as R
 from cubespark.plans.names import MERGING, lift_aggregates, map_names
@@ -631,7 +632,7 @@ class Query:
             text: text if re.fullmatch(r"\w+", text) else f"_key{i}" for i, text in enumerate(keys)
         }
         calls = [
-            (_merge_column(fn, call) if eager else _call_column(fn, distinct, arg, condition, names)).alias(call)
+            (merged(fn, call) if eager else _call_column(fn, distinct, arg, condition, names)).alias(call)
             for (fn, distinct, arg, condition), call in names.calls.items()
         ]
         grouped = df.groupBy(*[F.expr(t).alias(key_name[t]) for t in keys])
@@ -688,25 +689,16 @@ def _call_column(fn: str, distinct: bool, arg: str, condition: str | None, names
 
 def _pre_aggregate(df: DataFrame, keys: list[str], names: _Names) -> DataFrame:
     """First stage: partial aggregates per join key, so joins see few rows per key."""
-    partials = []
+    parts = []
     for (fn, _, arg, _), call in names.calls.items():
-        total, n = (f"sum({arg}.sum)", f"sum({arg}.n)") if names.states.get(arg) == "avg" else (f"sum({arg})", f"count({arg})")
-        if fn == "avg":
-            partials += [F.expr(total).alias(f"{call}_sum"), F.expr(n).alias(f"{call}_n")]
-        elif arg in names.states:
-            partials.append(F.sum(arg).alias(f"{call}_part"))
+        state = names.states.get(arg)
+        if state == "avg":
+            parts += [F.expr(f"sum({arg}.sum)").alias(f"{call}_sum"), F.expr(f"sum({arg}.n)").alias(f"{call}_n")]
+        elif state == "count":
+            parts.append(F.sum(arg).alias(f"{call}_part"))
         else:
-            partials.append(F.expr(f"{fn}({arg})").alias(f"{call}_part"))
-    return df.groupBy(*keys).agg(*partials)
-
-
-def _merge_column(fn: str, call: str) -> Column:
-    """Second stage: sums add up, counts add up, an average is sum over count."""
-    if fn == "avg":
-        return F.try_divide(F.sum(f"{call}_sum"), F.sum(f"{call}_n"))
-    if fn == "count":
-        return F.coalesce(F.sum(f"{call}_part"), F.lit(0))
-    return F.expr(f"{fn}({call}_part)")
+            parts += partials(fn, arg, call)
+    return df.groupBy(*keys).agg(*parts)
 
 
 def union_all(spark: SparkSession, *queries: Query | DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cubespark.operators.ordering import row_index
+from cubespark.operators.ordering import counted_index
+from cubespark.session import new_dir
 from cubespark.sources.nested_csv import CsvOptions, nested_csv_fields, to_nested_csv
 from cubespark.sources.text import FIELD, to_hive_text
 
@@ -121,12 +122,19 @@ def _write_rows(rows: DataFrame, names: list[str], path: str, options: ResultOpt
     spark = rows.sparkSession
     if options.split:
         return _write_split(rows, names, path, options)
+    return _write_sections(rows, rows.columns, names, path, options)
+
+
+def _write_sections(
+    rows: DataFrame, columns: list[str], names: list[str], path: str, options: ResultOptions, by: str | None = None
+) -> str:
+    spark = rows.sparkSession
     # an earlier result may have other sections: empty the folder first
     spark.range(0).select(F.lit("").alias("value")).write.mode("overwrite").text(path)
     if options.header:
-        _write(_header_row(rows, names, options), f"{path}/section=0", options)
+        _write(_header_row(rows.select(columns), names, options), f"{path}/section=0", options)
     seen = Observation()
-    _write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/section=1", options)
+    _write(rows.observe(seen, F.count(F.lit(1)).alias("rows")), f"{path}/section=1", options, by)
     if options.footer:
         footer = _one_line(spark, _footer_text(options, seen.get["rows"]))
         _write(footer, f"{path}/section=2", options)
@@ -135,18 +143,21 @@ def _write_rows(rows: DataFrame, names: list[str], path: str, options: ResultOpt
 
 def _write_split(rows: DataFrame, names: list[str], path: str, options: ResultOptions) -> str:
     """Parts of ``max_rows`` rows, each with the header, the last with the footer."""
-    spark, size = rows.sparkSession, options.max_rows
-    indexed = row_index(rows, "_row").withColumn("part", F.floor(F.col("_row") / size))
-    total = indexed.count()
+    return _write_parts(*counted_index(rows, "_row"), rows.columns, names, path, options)
+
+
+def _write_parts(indexed: DataFrame, total: int, columns: list[str], names: list[str], path: str, options: ResultOptions) -> str:
+    """Parts of rows whose position is in ``_row``."""
+    spark, size = indexed.sparkSession, options.max_rows
     parts = max(1, -(-total // size))
-    pieces = indexed
+    pieces = indexed.withColumn("part", F.floor(F.col("_row") / size))
     if options.header:
-        header = _header_row(rows, names, options).first()
+        header = _header_row(indexed.select(columns), names, options).first()
         pieces = pieces.unionByName(
             spark.range(parts).select(
                 F.col("id").alias("part"),
                 F.lit(-1).cast("long").alias("_row"),
-                *[F.lit(header[c]).alias(c) for c in rows.columns],
+                *[F.lit(header[c]).alias(c) for c in columns],
             )
         )
     # parts are of equal size, so hashing them over the tasks is even
@@ -158,11 +169,12 @@ def _write_split(rows: DataFrame, names: list[str], path: str, options: ResultOp
     return path
 
 
-def merge_parts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Lines of all part files, by section or part, number of the file, and position.
+PLACE = ("part", "section", "chunk", "file", "name", "block")
 
-    Names that start with ``_`` or ``.`` are left out by Spark.
-    """
+
+def _lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Lines of all part files, with where they are from: names that start with ``_`` or ``.`` are
+    left out by Spark."""
     if encoding.upper() in ("UTF-8", "UTF8"):
         lines = spark.read.option("recursiveFileLookup", True).text(path)
     else:
@@ -182,12 +194,40 @@ def merge_parts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Data
     return lines.select(
         number(file, r"/part=(\d+)/").alias("part"),
         F.coalesce(number(file, r"/section=(\d+)/"), F.lit(1)).alias("section"),
+        F.coalesce(number(file, r"/chunk=(\d+)/"), F.lit(0)).alias("chunk"),
         number(F.col("_metadata.file_name"), r"(\d+)").alias("file"),
         F.col("_metadata.file_name").alias("name"),
         F.col("_metadata.file_block_start").alias("block"),
         F.monotonically_increasing_id().alias("line"),
         "value",
-    ).orderBy(F.col("part").asc_nulls_first(), "section", "file", "name", "block", "line")
+    )
+
+
+def _in_order() -> list[Column]:
+    return [F.col("part").asc_nulls_first(), *[F.col(c) for c in PLACE[1:]]]
+
+
+def merge_parts(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """Lines of all part files, sorted by section or part, number of the file, and position."""
+    return _lines(spark, path, encoding).orderBy(*_in_order(), "line")
+
+
+def numbered_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """``row``, the position of each line in the merged result, its file's ``chunk`` and the line.
+
+    Lines do not move and are not sorted: a task numbers the lines of a piece of a file as it
+    reads them, and the number of lines before the piece comes from one count per piece.
+    """
+    lines = _lines(spark, path, encoding).withColumn("place", F.struct(*PLACE))
+    pieces = lines.groupBy("place").agg(F.min("line").alias("first"), F.count(F.lit(1)).alias("n"))
+    # one short row per piece of a file
+    order = Window.orderBy(*[F.col("place")[c].asc_nulls_first() for c in PLACE])
+    before = F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    kept = new_dir(spark, "line-offsets")
+    ranked = pieces.select("place", (before - F.col("first")).alias("shift"), (F.row_number().over(order) - 1).alias("rank"))
+    ranked.coalesce(1).write.parquet(kept)  # a table, so that Spark knows its size
+    placed = lines.join(spark.read.parquet(kept), "place")
+    return placed.select((F.col("line") + F.col("shift")).alias("row"), F.col("rank").alias("chunk"), "value")
 
 
 def persisted_size(spark: SparkSession, path: str) -> int:
@@ -205,17 +245,42 @@ def format_persisted(
 ) -> str:
     """Turn persisted part files into a formatted result.
 
-    Above a given size threshold the directory stays as it is and is the result.
+    Above a given size threshold the directory stays as it is and is the result. Each piece of a
+    file becomes a chunk of the result, numbered in order, so lines are not sorted.
     """
     if options.size_threshold is not None and persisted_size(spark, source) > options.size_threshold:
         return source
-    return _write_rows(merge_parts(spark, source).select("value"), names, path, options)
+    lines = numbered_lines(spark, source)
+    if options.split:
+        indexed = lines.select(F.col("row").alias("_row"), "value")
+        total = lines.agg(F.coalesce(F.max("row") + 1, F.lit(0))).first()[0]
+        return _write_parts(indexed, total, ["value"], names, path, options)
+    placed = lines.sortWithinPartitions("chunk", "row").drop("row")
+    return _write_sections(placed, ["value"], names, path, options, by="chunk")
 
 
-def page(df: DataFrame, order: list[Column | str], start: int, size: int) -> DataFrame:
-    """``size`` rows from position ``start`` in an order; ties are broken by the other columns."""
+def page(df: DataFrame, order: list[Column | str], start: int, size: int, deep: int = 100_000) -> DataFrame:
+    """``size`` rows from position ``start`` in an order; ties are broken by the other columns.
+
+    Where a task would hold more than ``deep`` rows for it, rows are dealt into ranges of the order
+    by sampled splitters; the ranges' counts tell which of them the page is in, and only these
+    are sorted.
+    """
     total = [*order, *[F.col(f"`{c}`") for c in df.columns]]
-    return df.orderBy(*total).offset(start).limit(size)
+    if start + size <= deep:
+        return df.orderBy(*total).offset(start).limit(size)
+    spark, path, place = df.sparkSession, new_dir(df.sparkSession, "ranges"), "_range"
+    while place in df.columns:
+        place = "_" + place
+    df.repartitionByRange(*total).withColumn(place, F.spark_partition_id()).write.partitionBy(place).parquet(path)
+    dealt = spark.read.parquet(path)
+    wanted, before, first = [], 0, 0
+    for at, n in sorted(dealt.groupBy(place).count().collect()):  # one number per range
+        if before + n > start and before < start + size:
+            first = first if wanted else before
+            wanted.append(at)
+        before += n
+    return dealt.filter(F.col(place).isin(wanted)).orderBy(*total).offset(start - first).limit(size).select(df.columns)
 
 
 def result_schema(df: DataFrame) -> DataFrame:

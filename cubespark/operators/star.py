@@ -22,6 +22,24 @@ def reduce_fact(
     return fact
 
 
+def partials(fn: str, arg: str, label: str) -> list[Column]:
+    """What a part keeps of an aggregate, so that parts can be merged."""
+    if fn == "avg":
+        return [F.expr(f"sum({arg})").alias(f"{label}_sum"), F.expr(f"count({arg})").alias(f"{label}_n")]
+    if fn in ("sum", "min", "max", "count"):
+        return [F.expr(f"{fn}({arg})").alias(f"{label}_part")]
+    raise CubeError(f"{fn} does not merge: aggregate above the joins instead")
+
+
+def merged(fn: str, label: str) -> Column:
+    """The aggregate from its parts: counts add up, an average is sum over count."""
+    if fn == "avg":
+        return F.try_divide(F.sum(f"{label}_sum"), F.sum(f"{label}_n"))
+    if fn == "count":
+        return F.coalesce(F.sum(f"{label}_part"), F.lit(0))
+    return F.expr(f"{fn}({label}_part)")
+
+
 def eager_agg(
     fact: DataFrame,
     dims: list[tuple[DataFrame, list[tuple[str, str]]]],
@@ -36,20 +54,8 @@ def eager_agg(
     ``keys``. Averages travel as sum and count, counts are summed, so the
     result equals that of one aggregation above the joins.
     """
-    partial, final = [], []
-    for i, (fn, arg, alias) in enumerate(aggs):
-        if fn in ("sum", "min", "max"):
-            partial.append(F.expr(f"{fn}({arg})").alias(f"_p{i}"))
-            final.append(F.expr(f"{fn}(_p{i})").alias(alias))
-        elif fn == "count":
-            partial.append(F.expr(f"count({arg})").alias(f"_p{i}"))
-            final.append(F.coalesce(F.sum(f"_p{i}"), F.lit(0)).alias(alias))
-        elif fn == "avg":
-            partial.append(F.expr(f"sum({arg})").alias(f"_s{i}"))
-            partial.append(F.expr(f"count({arg})").alias(f"_n{i}"))
-            final.append(F.try_divide(F.sum(f"_s{i}"), F.sum(f"_n{i}")).alias(alias))
-        else:
-            raise CubeError(f"{fn} does not merge: aggregate above the joins instead")
+    partial = [c for i, (fn, arg, _) in enumerate(aggs) for c in partials(fn, arg, f"_p{i}")]
+    final = [merged(fn, f"_p{i}").alias(alias) for i, (fn, _, alias) in enumerate(aggs)]
     joined_by = [fk for _, pairs in dims for fk, _ in pairs]
     df = fact.groupBy(*dict.fromkeys([*joined_by, *fact_keys])).agg(*partial)
     for dim, pairs in dims:

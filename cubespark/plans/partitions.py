@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import re
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -309,15 +310,15 @@ def partition_predicate(
             runs, first = [], 0
             for i in range(len(rows)):
                 if i + 1 == len(rows) or rows[i]["end"] != rows[i + 1]["start"]:
-                    runs.append(f"{dt_col} between '{labels[first]}' and '{labels[i]}'")
+                    runs.append(F.col(dt_col).between(labels[first], labels[i]))
                     first = i + 1
-            cond = " or ".join(runs)
+            cond = reduce(Column.__or__, runs)
         elif writer == "or":
-            cond = f"{dt_col} in ({_texts(labels)})"
+            cond = F.col(dt_col).isin(labels)
         else:
             raise CubeError(f"unknown range writer: {writer}")
-        choices.append(f"({period_col} = '{name}' and ({cond}))")
-    return F.expr(" or ".join(choices) or "false")
+        choices.append((F.col(period_col) == name) & cond)
+    return reduce(Column.__or__, choices) if choices else F.lit(False)
 
 
 def _python_pattern(pattern: str) -> str:

@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cubespark.operators import results as RS
-from cubespark.operators.ordering import row_index
 from cubespark.plans import partitions as P
 from cubespark.plans.periods import UpdatePeriod
 from cubespark.registry.base import query
@@ -236,9 +235,9 @@ CSV_LINE = """'"' || o_orderkey || '","' || coalesce(nullif(o_custkey, 7)::varch
 HEADER = '"o_orderkey","o_custkey","o_orderstatus"'
 
 
-def numbered_lines(df: DataFrame) -> DataFrame:
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     """Merged lines with their place in the result."""
-    return row_index(df.select("value"), "place").withColumnRenamed("value", "line")
+    return RS.numbered_lines(spark, path).select(F.col("row").alias("place"), F.col("value").alias("line"))
 
 
 @query(
@@ -253,7 +252,7 @@ def _(spark, sf):
         new_dir(spark, "result"),
         RS.ResultOptions(header=True, footer=True),
     )
-    return numbered_lines(RS.merge_parts(spark, path))
+    return numbered_lines(spark, path)
 
 
 @query(
@@ -304,7 +303,7 @@ def _(spark, sf):
     path = new_dir(spark, "parts")
     lines = table(spark, sf, "orders").orderBy("o_orderkey")
     lines.select(F.concat_ws("|", "o_orderkey", "o_orderpriority").alias("value")).write.text(path)
-    return numbered_lines(RS.merge_parts(spark, path))
+    return numbered_lines(spark, path)
 
 
 @query(
@@ -337,6 +336,32 @@ def _(spark, sf):
     return RS.page(orders, [F.desc("o_totalprice"), F.asc("o_orderkey")], 500, 100)
 
 
+@query(
+    "result_page_deep",
+    """select l_orderkey, l_linenumber, l_extendedprice from lineitem
+       order by l_extendedprice desc, l_orderkey, l_linenumber limit 200 offset 4000""",
+)
+def _(spark, sf):
+    """A page far down: ranges before it are counted and never sorted."""
+    lines = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
+    return RS.page(lines, [F.desc("l_extendedprice"), F.asc("l_orderkey")], 4000, 200, deep=1000)
+
+
+@query(
+    "result_format_persisted",
+    """with n as (select row_number() over (order by o_orderkey) - 1 as r, o_orderkey || '|' || o_orderstatus as line from orders)
+       select r // 1000 as part, line from n union all select max(r) // 1000, 'Total rows:' || count(*) from n""",
+)
+def _(spark, sf):
+    """Persisted part files split anew: positions come from counts per piece of a file."""
+    source = new_dir(spark, "persisted")
+    lines = table(spark, sf, "orders").orderBy("o_orderkey").select(F.concat_ws("|", "o_orderkey", "o_orderstatus").alias("value"))
+    lines.write.text(source)
+    options = RS.ResultOptions(footer=True, split=True, max_rows=1000, ext="txt")
+    path = RS.format_persisted(spark, source, ["line"], new_dir(spark, "formatted"), options)
+    return RS.merge_parts(spark, path).select("part", F.col("value").alias("line"))
+
+
 @query(
     "result_metadata",
     """select * from (select unnest([0, 1, 2, 3]) as position,

@@ -258,6 +258,29 @@ def _(spark, sf):
     return rounded(q.select("customer.c_mktsegment", "quantity").to_df(spark), "quantity")
 
 
+@query(
+    "valid_dim_tables",
+    f"""select c_mktsegment, round(sum(l_quantity), 2) as quantity
+        from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey
+        where {IN_SOLD} group by 1""",
+)
+def _(spark, sf):
+    """The heavier table of customers, as asked for."""
+    q = Query.of(dumped(spark, sf), SALES).time_range("l_shipdate", *SOLD)
+    q = q.conf(valid_dim_tables=("lake_orders", "lake_customer_all"))
+    return rounded(q.select("customer.c_mktsegment", "quantity").to_df(spark), "quantity")
+
+
+@query(
+    "valid_storage_tables",
+    f"""select event_type, round(sum(value), 2) as value, count(*) as n from events where {IN_EDGES} group by 1""",
+)
+def _(spark, sf):
+    """The user fact by the name of its table on a storage, although a lighter one is there."""
+    q = activity(spark, sf, span=("2024-01-01-05", "2024-01-29-07")).conf(valid_storage_tables=("lake_activity_user",))
+    return rounded(q.select("event_type", "value", "n").to_df(spark), "value")
+
+
 @query(
     "dim_snapshot_join",
     """with history as (select o_custkey as k, count(*) as n from orders where o_orderdate < timestamp '1999-01-01' group by 1)

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 from cubespark.functions.scalar import format_number
 from cubespark.operators import results as RS
 from cubespark.operators.ordering import row_index
+from cubespark.session import settings
 from cubespark.sources import tables as TB
 from cubespark.sources.json_rows import parse_json_rows
 from cubespark.sources.nested_csv import CsvOptions, parse_nested_csv, to_nested_csv
@@ -292,3 +293,37 @@ def test_functions(spark):
     ).first()
     day = datetime.date
     assert tuple(row) == ("1,234,567.8910", "1234567.891", day(2013, 1, 28), day(2013, 1, 31))
+
+
+def test_numbered_lines_do_not_move(spark, tmp_path):
+    path = str(tmp_path / "lines")
+    spark.range(0, 20_000, 1, 7).selectExpr("cast(id as string) as value").write.text(path)
+    with settings(spark, spark_sql_files_maxPartitionBytes="5000"):  # files in pieces
+        lines = RS.numbered_lines(spark, path)
+        got = lines.collect()
+        plan = lines._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["row"], r["value"]) for r in got) == [(i, str(i)) for i in range(20_000)]
+    assert len({r["chunk"] for r in got}) > 7
+    assert "rangepartitioning" not in plan and "hashpartitioning" not in plan
+    (tmp_path / "none").mkdir()
+    assert RS.numbered_lines(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_persisted_lines_keep_their_order_when_split(spark, tmp_path):
+    source = str(tmp_path / "source")
+    spark.range(0, 1000, 1, 5).selectExpr("cast(id as string) as value").write.text(source)
+    options = RS.ResultOptions(split=True, max_rows=300, footer=True, ext="txt")
+    path = RS.format_persisted(spark, source, ["v"], str(tmp_path / "out"), options)
+    got = [(r["part"], r["value"]) for r in RS.merge_parts(spark, path).collect()]
+    assert got == [(i // 300, str(i)) for i in range(1000)] + [(3, "Total rows:1000")]
+    whole = RS.format_persisted(spark, source, ["v"], str(tmp_path / "whole"), RS.ResultOptions(header=True, footer=True, ext="txt"))
+    assert text_of(spark, whole)[1:-1] == [str(i) for i in range(1000)]
+
+
+@pytest.mark.parametrize("start,size", [(0, 10), (95, 10), (500, 300), (990, 100), (2000, 5), (0, 5000)])
+def test_deep_pages(spark, start, size):
+    df = spark.range(0, 1000, 1, 6).selectExpr("id", "id % 7 as k", "if(id % 5 = 0, null, id % 3) as _range")
+    order = [F.desc_nulls_last("k"), F.asc("_range")]
+    rows = RS.page(df, order, start, size, deep=50)
+    every = df.orderBy(*order, "id").collect()
+    assert rows.columns == df.columns and rows.collect() == every[start : start + size]
