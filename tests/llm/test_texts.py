@@ -15,7 +15,7 @@ from test_near_dup import shingle_set
 from texts import corpus, prose
 
 import corpus_pipeline
-from cubespark.llm import bpe, decontaminate, html_text, lm_score, shards
+from cubespark.llm import bpe, decontaminate, fingerprints, html_text, lm_score, shards
 
 PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -237,51 +237,63 @@ def test_extract(spark):
 
 
 def brute_scores(pairs, target):
-    texts = [((t or "").encode(), i is not None and i in target) for i, t in pairs]
-    lower = [bytes(b + 32 if 65 <= b <= 90 else b for b in r) for r, _ in texts]
-    frequent = sorted(Counter(b for r in lower for b in r).items(), key=lambda x: (-x[1], x[0]))[:62]
-    symbol = {b: i + 2 for i, (b, _) in enumerate(frequent)}
-    seqs = [[0, 0, 0] + [symbol.get(b, 1) for b in r] for r in lower]
+    """Counting words and pairs of words one by one."""
+    texts = [(bytes(b + 32 if 65 <= b <= 90 else b for b in (t or "").encode()).split(), i is not None and i in target) for i, t in pairs]
     m = lm_score.SMOOTHING
 
-    def model(keep):
-        count = Counter()
-        for s, (_, mine) in zip(seqs, texts):
-            if keep or mine:
-                for i in range(3, len(s)):
-                    count.update(tuple(s[i - k : i + 1]) for k in range(4))
-        total = Counter()
-        for g, n in count.items():
-            total[g[:-1]] += n
+    def counts(keep):
+        single, double = Counter(), Counter()
+        for words, mine in texts:
+            if words and (keep or mine):
+                single.update([None, *words])
+                double.update(zip([None, *words], words))
+        return single, double, sum(len(w) for w, mine in texts if keep or mine)
 
-        def p(gram):
-            shorter = p(gram[1:]) if len(gram) > 1 else 1 / 64
-            return (count[gram] + m * shorter) / (total[gram[:-1]] + m)
-
-        return p
-
-    both = model(False), model(True)
+    every, wanted = counts(True), counts(False)
     out = []
-    for s in seqs:
-        losses = [sum(-math.log(p(tuple(s[i - 3 : i + 1]))) for i in range(3, len(s))) / (len(s) - 3) if len(s) > 3 else None for p in both]
-        out.append((len(s) - 3, *losses, None if losses[0] is None else losses[0] - losses[1]))
+    for words, _ in texts:
+        losses = []
+        for single, double, total in (wanted, every):
+            loss = 0.0
+            for h, w in zip([None, *words], words):
+                alone = (single[w] + m * every[0][w] / every[2]) / (total + m)
+                loss -= math.log((double[h, w] + m * alone) / (single[h] + m))
+            losses.append(loss / len(words) if words else None)
+        out.append((len(words), *losses, losses[0] - losses[1] if words else None))
     return out
 
 
-def test_lm_scores_against_brute_force(spark, documents):
-    pairs = [(i, t if t is None else t[:1500]) for i, t in corpus()]
-    ids = spark.createDataFrame([(1,), (5,), (5,), (None,), (999,)], "doc_id long")
-    got = sorted(map(tuple, lm_score.score(documents(pairs), ids).collect()), key=str)
-    want = sorted(((i, *b) for (i, _), b in zip(pairs, brute_scores(pairs, {1, 5}))), key=str)
+@pytest.mark.parametrize("block,names", [(lm_score.BLOCK_BYTES, lm_score.RANGE_NAMES), (3000, 300)])
+def test_lm_scores_against_brute_force(spark, documents, monkeypatch, block, names):
+    monkeypatch.setattr(lm_score, "BLOCK_BYTES", block)
+    monkeypatch.setattr(lm_score, "RANGE_NAMES", names)
+    pairs = corpus() + [(100 + i, prose(200 + i % 30, 15 + i % 40)) for i in range(90)]
+    ids = spark.createDataFrame([(1,), (5,), (5,), (None,), (999,), (103,)], "doc_id long")
+    got = lm_score.score(documents(pairs), ids).collect()
+    want = [(i, *b) for (i, _), b in zip(pairs, brute_scores(pairs, {1, 5, 103}))]
     key = lambda r: (str(r[0]), r[1], str(r[2])[:4])
-    for g, w in zip(sorted(got, key=key), sorted(want, key=key)):
-        assert g[:2] == w[:2] and g[2:] == pytest.approx(w[2:], abs=2e-5) if w[2] is not None else g == w
+    assert len(got) == len(want)
+    for g, w in zip(sorted(map(tuple, got), key=key), sorted(want, key=key)):
+        assert g[:2] == w[:2] and (g[2:] == pytest.approx(w[2:], abs=1e-9) if w[2] is not None else g == w)
+
+
+def test_lm_words_of_long_texts(monkeypatch):
+    text = (prose(4, 2000) + " " * 500 + "x" * 700 + " end").encode()
+    flat, offsets = np.frombuffer(b"first one" + text + b"last", np.uint8), np.array([0, 9, 9 + len(text), 13 + len(text)])
+    whole = lm_score.words_of(flat, offsets)
+    monkeypatch.setattr(lm_score, "SEGMENT", 200)
+    monkeypatch.setattr(fingerprints, "SEGMENT", 200)
+    cut = lm_score.words_of(flat, offsets)
+    assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
 
 
 def test_lm_scores_of_an_empty_table(spark, documents):
     ids = spark.createDataFrame([], "doc_id long")
     assert lm_score.score(documents([]), ids).collect() == []
     assert len(lm_score.score(documents(corpus()[:9]), ids).collect()) == 9
+    assert [tuple(r) for r in lm_score.score(documents([(1, ""), (2, None)]), ids).orderBy("doc_id").collect()] == [
+        (1, 0, None, None, None), (2, 0, None, None, None)
+    ]
 
 
 # decontamination
