@@ -8,9 +8,12 @@ in no other one, with the headings beside them if they have none of the first ra
 such elements, or if no content line is in them, the smallest container that holds all content
 lines. All blocks of the region are the text, short ones too, save those that the markup itself
 names as something else: menus, page headers and footers, sidebars, notices, adverts, forms,
-scripts, styles, reader comments, and hidden parts. A class or an id names an element so only
-if it holds at most half of the page's text outside links; reader comments may hold more, but
-not all of it.
+scripts, styles, reader comments, and hidden parts. What is no text by its tag, such as ``nav``
+or ``form``, is kept all the same if it holds over four fifths of the page's text outside links,
+as a form around the page or a tag that nobody closed does. A class or an id names an element
+only if it holds at most half of that text; reader comments may hold more, but not all of it.
+On a paragraph, heading, list item or cell inside an article a name only weighs: it goes if
+its ratio says that it is no content either.
 
 Character references are decoded, white space inside a block is one space, blocks are joined
 by one space. Null and empty pages, and pages without text, give the empty text. Pages are
@@ -38,10 +41,11 @@ BLOCK = frozenset(
 )
 CONTAINER = frozenset("article body div main section table td center fieldset html blockquote".split())
 # never part of the text, wherever they stand
-DROPPED = frozenset(
-    "head script style noscript template nav aside footer form button select textarea input iframe object svg canvas "
-    "audio video map menu dialog datalist math".split()
-)
+DROPPED = frozenset("head script style noscript template select textarea input iframe object svg canvas audio video map datalist math".split())
+# no part of the text unless nearly all of it is in there
+OTHER = frozenset("nav aside footer form button menu dialog".split())
+# names of these inside an article only weigh
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figcaption".split())
 # an element of these closes an open one of the same group
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
@@ -95,6 +99,8 @@ class Blocks(HTMLParser):
         self.marks: tuple[int, ...] = ()  # elements around that their names may set aside
         self.marked = 0
         self.comments: set[int] = set()  # marks of reader comments
+        self.others: set[int] = set()  # marks of elements that are no text by their tag
+        self.doubtful: set[int] = set()  # marks of names that only weigh
         self.rank = 0  # of the heading around
         self.pieces: list[tuple[list[tuple[str, bool, tuple[int, ...]]], int, int, tuple[int, ...]]] = []
         self.text: list[tuple[str, bool, tuple[int, ...]]] = []  # text, whether in a link, marks
@@ -106,8 +112,9 @@ class Blocks(HTMLParser):
             self.tags = 0
         self.text = []
 
-    def lines(self) -> list[tuple[str, int, int, int, tuple[int, ...]]]:
-        """(text, characters in links, tags, rank of the heading, containers) of each line that is not set aside."""
+    def lines(self) -> list[tuple[str, int, int, int, tuple[int, ...], bool]]:
+        """(text, characters in links, tags, rank of the heading, containers, whether a name weighs on it)
+        of each line that is not set aside."""
         plain: dict[int, int] = {}
         total = outside = 0
         for parts, *_ in self.pieces:
@@ -117,7 +124,12 @@ class Blocks(HTMLParser):
                 outside += n if self.comments.isdisjoint(marks) else 0
                 for mark in marks:
                     plain[mark] = plain.get(mark, 0) + n
-        aside = {mark for mark, n in plain.items() if 2 * n <= total or outside and mark in self.comments}
+        aside = {
+            mark
+            for mark, n in plain.items()
+            if mark not in self.doubtful
+            and (5 * n <= 4 * total if mark in self.others else 2 * n <= total or outside and mark in self.comments)
+        }
         out = []
         before = 0  # tags of what is set aside count for the next line
         for parts, tags, rank, path in self.pieces:
@@ -125,7 +137,8 @@ class Blocks(HTMLParser):
             text = " ".join("".join(text for text, *_ in parts).split())
             before += tags
             if text:
-                out.append((text, sum(len(text) for text, link, _ in parts if link), before, rank, path))
+                doubted = any(not self.doubtful.isdisjoint(part[2]) for part in parts)
+                out.append((text, sum(len(text) for text, link, _ in parts if link), before, rank, path, doubted))
                 before = 0
         return out
 
@@ -138,14 +151,19 @@ class Blocks(HTMLParser):
             return
         # a header inside an article is its own heading, outside it is the page's
         inner = bool(attributes) and tag not in ("html", "body")
-        aside = tag in DROPPED or (tag == "header" and not self.articles) or (inner and _set_aside(attributes))
-        named = inner and _named(attributes)
+        aside = tag in DROPPED or (inner and _set_aside(attributes))
+        other = tag in OTHER or (tag == "header" and not self.articles)
+        named = other or (inner and _named(attributes))
         self.open.append((tag, aside, named))
         self.aside += aside
         if named:
             self.marks += (self.marked,)
-            if _comments(attributes):
+            if other:
+                self.others.add(self.marked)
+            elif _comments(attributes):
                 self.comments.add(self.marked)
+            elif self.articles and tag in TEXTUAL:
+                self.doubtful.add(self.marked)
             self.marked += 1
         if tag in HEADINGS:
             self.rank = int(tag[1])
@@ -167,7 +185,7 @@ class Blocks(HTMLParser):
             if name in closed:
                 self.pop_to(i)
                 return
-            if name in STOPS or name in DROPPED:
+            if name in STOPS or name in DROPPED or name in OTHER:
                 return
 
     def handle_endtag(self, tag) -> None:
@@ -218,25 +236,28 @@ def main_text(html: str | None) -> str:
         return ""
     sizes = np.array([len(text) for text, *_ in lines], float)
     plain = np.maximum(sizes - np.array([linked for _, linked, *_ in lines]), 0)
-    ratios = smoothed(plain / np.maximum(np.array([tags for _, _, tags, *_ in lines]), 1))
+    own = plain / np.maximum(np.array([tags for _, _, tags, *_ in lines]), 1)
+    ratios = smoothed(own)
     content = ratios >= ratios.std()
+    sure = content & (own >= ratios.std())  # without the neighbours' share
     weights = np.where(content, plain, 0)
     if not weights.sum():
         weights = sizes
-    return " ".join(line[0] for line, inside in zip(lines, _region(page.names, lines, weights, plain)) if inside)
+    region = _region(page.names, lines, weights, plain)
+    return " ".join(line[0] for line, inside, is_sure in zip(lines, region, sure) if inside and (is_sure or not line[-1]))
 
 
 def _region(names: list[str], lines: list, weights: np.ndarray, plain: np.ndarray) -> list[bool]:
     """Which lines are the text."""
-    paths = [path for *_, path in lines]
+    paths = [path for *_, path, _ in lines]
     # articles and mains in no other one, with any text outside links
     outer = [next((c for c in path if names[c] in ("article", "main")), None) for path in paths]
     chosen = {c for c, n in zip(outer, plain) if c is not None and n > 0}
     inside = [c in chosen for c in outer]
     if weights[inside].sum() > 0:
-        if not any(is_in and rank == 1 for is_in, (_, _, _, rank, _) in zip(inside, lines)):
+        if not any(is_in and rank == 1 for is_in, (_, _, _, rank, *_) in zip(inside, lines)):
             around = {path[: path.index(c)] for c, path in zip(outer, paths) if c in chosen}
-            inside = [is_in or (rank > 0 and path in around) for is_in, (_, _, _, rank, path) in zip(inside, lines)]
+            inside = [is_in or (rank > 0 and path in around) for is_in, (_, _, _, rank, path, _) in zip(inside, lines)]
         return inside
     content = [path for path, weight in zip(paths, weights) if weight > 0]
     root = [c for c in content[0] if all(c in path for path in content)]

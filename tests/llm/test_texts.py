@@ -219,12 +219,28 @@ LONG = "A line of text that is long enough to be content, and then some more of
         (f"<article><p>{LONG}</p></article><div class='comment-list'><article><p>{LONG * 5}</p></article></div>", LONG),
         (f"<div class='with-comments'><p>{LONG}</p><p>{LONG}</p><div class=comments>First!</div></div>", f"{LONG} {LONG}"),
         (f"<article><p>{LONG} <span class='ad'>Buy!</span>End.</p></article>", f"{LONG} End."),
+        (f"<body><form><div><article><p>{LONG}</p><button>Send</button></article></div></form></body>", LONG),
+        (f"<body><form><p>{LONG}</p><p>{LONG}</p><nav><a href='#'>Home</a></nav></form></body>", f"{LONG} {LONG}"),
+        (f"<nav><a href='#'>Home</a><article><p>{LONG}</p></article>", LONG),
+        (f"<article><button>Like<p>{LONG}</p><p>{LONG}</p></article>", f"Like {LONG} {LONG}"),
+        (f"<article><p class='social-science'>{LONG}</p><p>{LONG}</p><h2 id='share-price'>{LONG}</h2></article>", f"{LONG} {LONG} {LONG}"),
+        (f"<article><p>{LONG * 9}</p><p>{LONG * 9}</p><p class=share><a href='#'>f</a> <a href='#'>t</a></p></article>", f"{LONG * 9} {LONG * 9}"),
+        (f"<div><p>{LONG}</p></div><footer>{LONG} {LONG} long</footer>", LONG),
     ],
 )
 def test_main_text_is_whole(html, text):
     assert html_text.main_text(html) == text
 
 
+def test_ratios_decide(monkeypatch):
+    """Where the markup says nothing, lines of many tags and links are left out by their ratios."""
+    links = "".join(f"<li><a href='#'>Link {i}</a></li>" for i in range(12))
+    page = f"<body><div><ul>{links}</ul></div><div><p>{LONG * 3}</p><p>{LONG * 4}</p></div><div><ul>{links}</ul></div></body>"
+    assert html_text.main_text(page) == f"{LONG * 3} {LONG * 4}"
+    monkeypatch.setattr(html_text, "smoothed", lambda ratios: np.ones(len(ratios)))
+    assert html_text.main_text(page.replace("href", "x").replace("<a", "<b").replace("</a", "</b")) != f"{LONG * 3} {LONG * 4}"
+
+
 def test_extract(spark):
     rows = [(1, "u", "<article>a</article>", "x"), (1, "u", "<article>a</article>", "x"), (None, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")
