@@ -7,9 +7,11 @@ import gc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cubespark.session import new_dir
+from cubespark.session import new_dir, settings
 
 BROADCAST_ROWS = 1_000_000
+# texts on their way to a Python worker are held by it and, outside its heap, by the executor
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -31,7 +33,12 @@ class Steps:
 
     def kept(self, df: DataFrame, label: str) -> DataFrame:
         path = self.paths[label] = new_dir(self.spark, label)
-        df.write.parquet(path)
+        with settings(
+            self.spark,
+            spark_sql_execution_arrow_maxRecordsPerBatch=BATCH_ROWS,
+            spark_sql_execution_arrow_maxBytesPerBatch=BATCH_BYTES,
+        ):
+            df.write.parquet(path)
         del df
         gc.collect()
         self.spark.sparkContext._jvm.System.gc()
