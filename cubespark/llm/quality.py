@@ -11,8 +11,9 @@ chunks of whole texts. The model has about 6,000 numbers.
 
 Null and empty texts are one chunk of padding. Labels without a text, null labels and rows of
 other folds are not used; without any label all texts are scored by the untrained network. If
-an id has several labels, the largest counts. Repeated rows are scored alike. Other columns
-are not read.
+an id has several labels, the largest counts. Repeated rows are scored alike. All chunks of a
+long text are scored, some thousands at a time. An empty table gives an empty one. Other
+columns are not read; ``keep_good`` keeps them.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ work, so no task holds all queries or all rows.
 Vectors that are null, empty or hold null or non-finite components take no part, neither do
 null ids. Vectors meet only those of their own length. Repeated ids are rows of their own;
 a query skips every row of its id. Scores must fit a 64-bit integer; larger components
-raise an error. Other columns are not read.
+raise an error. A table without vectors or without queries gives no rows. Other columns are
+not read.
 """
 
 from __future__ import annotations

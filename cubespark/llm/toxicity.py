@@ -12,7 +12,8 @@ one task. Its model goes to the workers, which score every whole text.
 
 Null and empty texts have no feature and get the bias alone. Labels without a text, null
 labels and rows of other folds are not used; without any label the score is 0.5. If an id has
-several labels, the largest counts. Repeated rows are scored alike. Other columns are not read.
+several labels, the largest counts. Repeated rows are scored alike. Long texts are scored whole,
+each as a piece of its own. An empty table gives an empty one. Other columns are not read.
 """
 
 from __future__ import annotations

@@ -1,4 +1,6 @@
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from texts import corpus, prose
 
 from cubespark.llm import quality, toxicity
-from cubespark.llm.batches import IS_MARK, shingle_hashes, word_hashes
+from cubespark.llm.batches import IS_MARK, mixed, shingle_hashes, word_hashes
 
 LABELS = "doc_id bigint, toxic int, quality int, text string, score double"
 
@@ -144,3 +146,76 @@ def test_keep_good_keeps_all_columns(spark, documents):
     scores = {r["doc_id"]: r["score"] for r in quality.score(table, model).collect()}
     assert out.columns == table.columns
     assert {r["doc_id"] for r in out.collect()} == {i for i, s in scores.items() if s >= 0.3}
+
+
+def slow_toxicity(model, text):
+    """The score of one text from its features, listed one by one."""
+    weights = dict(zip(model[0].tolist(), model[1].tolist()))
+    words = [w for w in re.split(rb"[^A-Za-z0-9\x80-\xff]+", text.encode()) if w]
+
+    kinds, mask = [int(k) for k in toxicity.KINDS], (1 << 64) - 1
+    names = [int(word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]), IS_MARK)[0][0]) for w in words]
+    found = [n * kinds[0] for n in names]
+    found += [a * kinds[1] + b * kinds[2] for a, b in zip(names, names[1:])]
+    found += [a * kinds[3] + b * kinds[4] for a, b in zip(names, names[2:])]
+    for w in words:
+        _, _, *prefixes = word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]), IS_MARK, toxicity.PREFIXES)
+        found += [int(p[0]) * kinds[5 + i] for i, p in enumerate(prefixes)]
+    at = {int(mixed(np.array([x & mask], np.uint64))[0]) >> (64 - toxicity.SPACE_BITS) for x in found}
+    total = weights.get(1 << toxicity.SPACE_BITS, 0.0) + sum(weights.get(i, 0.0) for i in at)
+    return 1 / (1 + math.exp(-max(-35, min(35, total))))
+
+
+def slow_quality(model, raw):
+    """The score of one text's bytes, filter by filter and place by place."""
+    responses = []
+    for begin in quality.chunk_starts(len(raw)):
+        chunk = raw[begin : begin + quality.CHUNK].ljust(quality.CHUNK, b"\0")
+        embedded = [model["embedding"][b] for b in chunk]
+        best = [-math.inf] * quality.FILTERS
+        for place in range(0, quality.CHUNK - quality.WIDTH + 1, quality.STRIDE):
+            window = np.concatenate(embedded[place : place + quality.WIDTH]).astype(np.float64)
+            for f in range(quality.FILTERS):
+                best[f] = max(best[f], float(window @ model["filters"][:, f]))
+        responses.append([max(0.0, b + float(s)) for b, s in zip(best, model["shift"])])
+    features = [sum(c) / len(responses) for c in zip(*responses)] + [max(c) for c in zip(*responses)] + [1.0]
+    total = sum(x * float(w) for x, w in zip(features, model["last"]))
+    return 1 / (1 + math.exp(-max(-35, min(35, total))))
+
+
+@pytest.mark.parametrize("operator,label", [(toxicity, "toxic"), (quality, "quality")])
+def test_scores_against_brute_force(spark, documents, operator, label):
+    docs, labels = labelled_corpus(60)
+    model = operator.fit(documents(docs), spark.createDataFrame(labels, LABELS), label)
+    pairs = [(i, t if t is None else t[:1200]) for i, t in corpus()] + docs[:10]
+    got = sorted(((str(r["doc_id"]), r["score"]) for r in operator.score(documents(pairs), model).collect()))
+    slow = (lambda t: slow_toxicity(model, t)) if operator is toxicity else (lambda t: slow_quality(model, t.encode()))
+    want = sorted((str(i), slow(t or "")) for i, t in pairs)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-4)
+
+
+def test_ftrl_against_the_formulas():
+    """Training, coordinate by coordinate in plain Python."""
+    draw = np.random.default_rng(8)
+    samples = [(np.unique(draw.integers(0, 30, 6)), int(i % 3 == 0)) for i in range(40)]
+    z, n, bias = {}, {}, 1 << toxicity.SPACE_BITS
+
+    def weight(i):
+        if abs(z.get(i, 0.0)) <= toxicity.L1:
+            return 0.0
+        return (math.copysign(toxicity.L1, z[i]) - z[i]) / ((toxicity.BETA + math.sqrt(n[i])) / toxicity.ALPHA + toxicity.L2)
+
+    order = np.random.default_rng(11)
+    for _ in range(toxicity.EPOCHS):
+        for k in order.permutation(len(samples)):
+            at = [*samples[k][0].tolist(), bias]
+            w = {i: weight(i) for i in at}
+            g = 1 / (1 + math.exp(-max(-35, min(35, sum(w.values()))))) - samples[k][1]
+            for i in at:
+                rate = (math.sqrt(n.get(i, 0.0) + g * g) - math.sqrt(n.get(i, 0.0))) / toxicity.ALPHA
+                z[i] = z.get(i, 0.0) + g - rate * w[i]
+                n[i] = n.get(i, 0.0) + g * g
+    want = {i: weight(i) for i in z if weight(i)}
+    at, w = toxicity.train(samples)
+    assert dict(zip(at.tolist(), w.tolist())) == pytest.approx(want)
