@@ -1,4 +1,12 @@
-"""The corpus pipeline: five stages on documents, each written and read again."""
+"""The corpus pipeline: five stages on documents, each written and read again.
+
+Every stage works on all rows that the one before it kept, and its decisions take effect. Nulls
+in any column are allowed: a null text is scored and encoded as the empty one, is nobody's copy
+and holds no benchmark item; rows without an id are judged by their text. Repeated rows leave
+one of them. Long texts are worked on whole. Columns beside those of documents, whatever their
+names, stay up to the last stage, which gives numbers and digests. An empty table passes all
+stages. Ties: of similar documents that of the smallest id stays.
+"""
 
 from __future__ import annotations
 
