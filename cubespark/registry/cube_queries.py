@@ -721,7 +721,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     events = table(spark, sf, "events")
-    return rounded(RU.rollup(events, ACTIVITY, HOURLY, ["event_type"], "ts", ACTIVITY_EXPRS), "value")
+    hours = RU.rollup(events, ACTIVITY, HOURLY, ["event_type"], "ts", ACTIVITY_EXPRS)
+    return rounded(hours.drop("mean", "users"), "value")
 
 
 @query(
@@ -735,7 +736,8 @@ def _(spark, sf):
     fine = warehouse(spark, sf).activity(spark).facts[1].storages[0].read(spark)
     hours = fine.filter(F.col("update_period") == HOURLY.name)
     at = period_start(F.lit(HOURLY.name), F.col("dt"))
-    return rounded(RU.rollup(hours, ACTIVITY, DAILY, ["event_type"], at, merged=True), "value")
+    days = RU.rollup(hours, ACTIVITY, DAILY, ["event_type"], at, merged=True)
+    return rounded(days.drop("mean", "users"), "value")
 
 
 @query(
