@@ -378,12 +378,15 @@ def scan_partitions(
     if not rows:
         empty = spark.createDataFrame([], schema)
         return empty.withColumn("update_period", F.lit("")).withColumn("dt", F.lit(""))
-    listed = [(_local(qualified(spark, r["location"])), r["period"], r["dt"]) for r in rows]
+    names = {r["location"]: _local(qualified(spark, r["location"])) for r in rows}
+    listed = [(names[r["location"]], r["period"], r["dt"]) for r in rows]
     values = spark.createDataFrame(listed, "_location string, update_period string, dt string")
     values = values.select("_location", F.struct("update_period", "dt").alias("_at"))
     parts = None
     for fmt in sorted({r["format"] for r in rows}):
-        paths = [r["location"] for r in rows if r["format"] == fmt]
+        # a location inside another one is read with it, once
+        places = {names[r["location"]]: r["location"] for r in rows if r["format"] == fmt}
+        paths = [at for name, at in places.items() if not any(up in places for up in _above(name))]
         read = (readers or {}).get(fmt)
         df = (
             read(spark, paths, schema)
@@ -403,6 +406,12 @@ def scan_partitions(
     return found.withColumn("_at", held).select(*[f.name for f in schema], "_at.update_period", "_at.dt")
 
 
+def _above(path: str) -> list[str]:
+    """The folders around a path."""
+    parts = path.split("/")
+    return ["/".join(parts[:i]) for i in range(1, len(parts))]
+
+
 def _local(path: str) -> str:
     return re.sub("^file:/+", "file:/", path)
 
