@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cubespark.model import Cube, CubeError, Dim, DimStorage, DimTable, Fact, FactStorage, Model
 from cubespark.plans import partitions as P
-from cubespark.plans.periods import UpdatePeriod, ceil_instant, floor_instant, instant, instant_sql, shift_instant, time_range
+from cubespark.plans.periods import UpdatePeriod, ceil_instant, floor_instant, instant, shift_instant, time_range
 
 
 @dataclass(frozen=True)
@@ -196,46 +196,36 @@ def resolve_fact(
         wanted = (to - frm).total_seconds()
         return Resolution(fact, storages, None, None, wanted, wanted, to)
 
-    manifest, keep, until = model.manifest(spark), [], {}
+    manifest, best = model.manifest(spark), None
     for fact, storages in candidates:
-        name = fact.name.lower()
-        for s in storages:
-            periods = periods_of(fact, s, conf)
-            until[name] = max(until.get(name, to), look_ahead(to, periods, conf))
-            names = ", ".join(f"'{p.name}'" for p in periods)
-            keep.append(f"lower(table) = {_text(fact.name)} and lower(storage) = {_text(s.storage)} and period in ({names})")
-    # a fact that looks ahead less takes no partitions beyond its own end
-    ends = [f"lower(table) = {_text(n)} and start < {instant_sql(end)}" for n, end in until.items()]
-    usable = manifest.filter(" or ".join(f"({k})" for k in keep)).filter(" or ".join(f"({e})" for e in ends))
-    periods = sorted(
-        {p for f, ss in candidates for s in ss for p in periods_of(f, s, conf)},
-        key=lambda p: p.rank,
-    )
-    widened = [f.name for f, _ in candidates if f.time_column and not f.aggregated]
-    chosen = None
-    for end in sorted(set(until.values())):
-        mine = usable.filter(F.lower("table").isin([n for n, e in until.items() if e == end]))
-        mine = P.cover(mine, frm, end, periods, widen=widened).withColumn("until", instant(end))
-        chosen = mine if chosen is None else chosen.unionByName(mine)
-    seconds = F.expr(f"timestampdiff(microsecond, greatest(start, {instant_sql(frm)}), least(`end`, until)) / 1e6")
-    sums = chosen.groupBy(F.lower("table").alias("table")).agg(F.sum(F.greatest(seconds, F.lit(0.0))).alias("seconds"))
-    by_table = {r["table"]: r["seconds"] for r in sums.collect()}  # a number per candidate
-
-    def asked(candidate: tuple) -> float:
-        return (until[candidate[0].name.lower()] - frm).total_seconds()
-
-    def share(candidate: tuple) -> float:
-        return by_table.get(candidate[0].name.lower(), 0.0) / asked(candidate)
-
-    full = [c for c in candidates if by_table.get(c[0].name.lower(), 0.0) >= asked(c)]
-    if not full and conf.fail_if_partial:
+        found = _covered(manifest, fact, storages, frm, to, conf)
+        if best is None or found.covered / found.wanted > best.covered / best.wanted:
+            best = found
+        if found.complete:
+            return found
+    if conf.fail_if_partial:
         raise CubeError(f"no fact of {cube.name} has all partitions of {frm} .. {to}")
-    fact, storages = full[0] if full else max(candidates, key=share)
-    name = fact.name.lower()
-    mine = chosen.filter(F.lower("table") == name).drop("until")
-    # the reader needs the list of the folders it reads
-    parts = mine.collect()
-    return Resolution(fact, storages, mine, parts, by_table.get(name, 0.0), asked((fact, storages)), until[name])
+    return best
+
+
+def _covered(
+    manifest: DataFrame, fact: Fact, storages: tuple[FactStorage, ...], frm: datetime, to: datetime, conf: QueryConf
+) -> Resolution:
+    """A fact's cover of a range. Its partitions come to the driver, since a reader needs the list of
+    folders it reads; those of other facts do not, unless lighter ones are incomplete."""
+    kept, until = [], to
+    for s in storages:
+        periods = periods_of(fact, s, conf)
+        until = max(until, look_ahead(to, periods, conf))
+        names = ", ".join(f"'{p.name}'" for p in periods)
+        kept.append(f"(lower(storage) = {_text(s.storage)} and period in ({names}))")
+    mine = manifest.filter(f"lower(table) = {_text(fact.name)} and ({' or '.join(kept)})")
+    periods = sorted({p for s in storages for p in periods_of(fact, s, conf)}, key=lambda p: p.rank)
+    widened = [fact.name] if fact.time_column and not fact.aggregated else []
+    chosen = P.cover(mine, frm, until, periods, widen=widened)
+    parts = chosen.collect()
+    seconds = sum(max((min(r["end"], until) - max(r["start"], frm)).total_seconds(), 0.0) for r in parts)
+    return Resolution(fact, storages, chosen, parts, seconds, (until - frm).total_seconds(), until)
 
 
 def scan_fact(
