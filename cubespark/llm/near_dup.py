@@ -9,8 +9,8 @@ the similarity of two candidates, and pairs five standard errors below the limit
 
 Texts with equal sets are one node. Pairs within a bucket are not all listed:
 
-1. each member is paired with the bucket's member that shares most buckets with others;
-   pairs are confirmed and give first components;
+1. each member is paired with the one member of its buckets that shares most buckets with
+   others; pairs are confirmed and give first components;
 2. pairs of members in different components so far are compared by their packed bits, in
    blocks of bounded size, and those that may be links are confirmed as well. Members of a
    bucket's largest component meet only those of others.
@@ -259,14 +259,13 @@ def near_duplicates(
     shared = by_band.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = kept(by_band.join(shared, "band"), "members")
 
-    # 1. each member with the bucket's best connected one
+    # 1. each member with the best connected one of all its buckets: a pair per node, however many
+    # buckets a group of copies shares
     degrees = members.groupBy("node").agg(F.sum("n").alias("degree"))
-    best = (
-        members.join(degrees, "node")
-        .groupBy("band")
-        .agg(F.max_by("node", F.struct("degree", -F.col("node"))).alias("pivot"))
-    )
-    stars = members.join(best, "band").where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b")).distinct()
+    rank = F.struct("degree", (-F.col("node")).alias("first"))
+    best = members.join(degrees, "node").groupBy("band").agg(F.max(rank).alias("best"))
+    stars = members.join(best, "band").groupBy("node").agg(F.max("best").alias("best"))
+    stars = stars.select(F.col("node").alias("a"), (-F.col("best.first")).alias("b")).where("a <> b")
     bits = nodes.select("node", "bits")
     stars = (
         stars.join(bits.withColumnsRenamed({"node": "a", "bits": "bits_a"}), "a")
