@@ -16,7 +16,7 @@ or broadcast:
 
 1. Texts are dealt into blocks of some megabytes. A block counts its words and bigrams, which
    combines most of what repeats, and gives them as sorted lists of 64-bit names, one list
-   per range of names.
+   per range of names, written as gaps of six bytes.
 2. A range adds up the lists of all blocks, and gives each list the totals of its names.
 3. A block meets its totals again, looks up its words in them and scores its texts.
 
@@ -43,7 +43,8 @@ from cubespark.llm.batches import IS_SPACE, MIX, mixed, pieces, text_bytes, word
 from cubespark.llm.fingerprints import SEGMENT, cuts
 from cubespark.llm.steps import small
 
-BLOCK_BYTES = 1 << 23
+BLOCK_BYTES = 1 << 24
+GAP = 6  # bytes of a gap between neighbours of a sorted list
 RANGE_NAMES = 1 << 21
 SMOOTHING = 8.0
 START = np.uint64(0x5851F42D4C957F2D)
@@ -121,6 +122,23 @@ def _ranges(names: np.ndarray, n: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(names, edges), [len(names)]])
 
 
+def packed(names: np.ndarray) -> bytes:
+    """Sorted names as the first one and gaps, of six bytes where all of them fit."""
+    gaps = np.diff(names)
+    if len(gaps) and gaps.max() >> np.uint64(8 * GAP):
+        return names.astype("<u8").tobytes()
+    return names[:1].astype("<u8").tobytes() + gaps.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :GAP].tobytes()
+
+
+def unpacked(raw: bytes, n: int) -> np.ndarray:
+    """The n sorted names."""
+    if len(raw) == 8 * n:
+        return np.frombuffer(raw, "<u8")
+    wide = np.zeros((n - 1, 8), np.uint8)
+    wide[:, :GAP] = np.frombuffer(raw, np.uint8, offset=8).reshape(-1, GAP)
+    return np.cumsum(np.concatenate([np.frombuffer(raw, "<u8", 1), wide.view("<u8").ravel()]), dtype=np.uint64)
+
+
 def _sizes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bytes and words of a task's texts, and words of its target texts."""
     total = np.zeros(3, np.int64)
@@ -148,8 +166,9 @@ def _lists(n_ranges: int):
         ends = _ranges(found.names, n_ranges)
         for r in np.flatnonzero(np.diff(ends) > 0):
             at = slice(ends[r], ends[r + 1])
-            lists = [pa.array([x], pa.list_(x.type)) for x in (pa.array(found.names[at].view(np.int64)), *(pa.array(c[at].astype(np.int32)) for c in (background, wanted)))]
-            yield pa.RecordBatch.from_arrays([pa.array([r], pa.int64()), pa.array([block], pa.int64()), *lists], names=["range", "block", "names", "background", "target"])
+            lists = [pa.array([c[at].astype(np.int32)], pa.list_(pa.int32())) for c in (background, wanted)]
+            row = [pa.array([r], pa.int64()), pa.array([block], pa.int64()), pa.array([packed(found.names[at])], pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(row, names=["range", "block", "names", "background", "target"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, texts, targets = None, [], []
@@ -192,8 +211,8 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if held and held[-1][1] != place:
                 yield from give(held)
                 held = []
-            lists = [x.values.to_numpy(zero_copy_only=False) for x in row[2:]]
-            held.append((block, place, lists[0].view(np.uint64), *lists[1:]))
+            counts = [x.values.to_numpy(zero_copy_only=False) for x in row[3:]]
+            held.append((block, place, unpacked(row[2].as_py(), len(counts[0])), *counts))
     if held:
         yield from give(held)
 
@@ -236,7 +255,7 @@ def score(docs: DataFrame, target_ids: DataFrame, id_column: str = "doc_id", tex
     block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(blocks))
     dealt = marked.withColumn("block", block).repartition("block")
     lists = dealt.sortWithinPartitions("block").mapInArrow(
-        _lists(ranges), "range bigint, block bigint, names array<bigint>, background array<int>, target array<int>"
+        _lists(ranges), "range bigint, block bigint, names binary, background array<int>, target array<int>"
     )
     totals = lists.repartition("range").sortWithinPartitions("range")
     totals = totals.mapInArrow(_totals, "block bigint, range bigint, background array<int>, target array<int>")

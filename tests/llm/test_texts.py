@@ -293,6 +293,16 @@ def test_lm_scores_against_brute_force(spark, documents, monkeypatch, block, nam
         assert g[:2] == w[:2] and (g[2:] == pytest.approx(w[2:], abs=1e-9) if w[2] is not None else g == w)
 
 
+def test_lm_lists_of_names():
+    draw = np.random.default_rng(6)
+    for n in (1, 2, 5, 400, 100_000):
+        for high in (1 << 40, 1 << 63):
+            names = np.unique(draw.integers(0, high, n, np.uint64))
+            assert (lm_score.unpacked(lm_score.packed(names), len(names)) == names).all()
+    close = np.arange(1 << 60, (1 << 60) + 1000, dtype=np.uint64)
+    assert len(lm_score.packed(close)) == 8 + 999 * 6
+
+
 def test_lm_words_of_long_texts(monkeypatch):
     text = (prose(4, 2000) + " " * 500 + "x" * 700 + " end").encode()
     flat, offsets = np.frombuffer(b"first one" + text + b"last", np.uint8), np.array([0, 9, 9 + len(text), 13 + len(text)])
