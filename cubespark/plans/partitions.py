@@ -161,6 +161,15 @@ def with_locations(manifest: DataFrame, folders: DataFrame) -> DataFrame:
     )
 
 
+def write_manifest(manifest: DataFrame, path: str) -> None:
+    """One short row per partition, in one file.
+
+    The rows move to the task that writes them: what they are computed from stays in tasks of
+    its own, and none holds the joins and aggregations of all tables and periods at once.
+    """
+    manifest.repartition(1).write.parquet(path)
+
+
 # --------------------------------------------------------------------------- cover
 
 

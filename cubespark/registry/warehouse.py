@@ -29,7 +29,7 @@ from cubespark.operators.rollup import (
     read_period,
     rollup_schema,
 )
-from cubespark.plans.partitions import manifest_of_span, partition_folders, with_locations
+from cubespark.plans.partitions import manifest_of_span, partition_folders, with_locations, write_manifest
 from cubespark.plans.periods import UpdatePeriod, instant, parse_instant, period_start
 from cubespark.session import new_dir
 
@@ -199,7 +199,7 @@ class Warehouse:
                 mine = with_locations(mine, rolled)
             rows = mine if rows is None else rows.unionByName(mine)
         path = self.path(f"{name}_manifest")
-        rows.coalesce(1).write.parquet(path)  # one short row per partition
+        write_manifest(rows, path)
         schema = rows.schema
         return lambda s: s.read.schema(schema).parquet(path)
 
