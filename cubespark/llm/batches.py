@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,6 +23,16 @@ def strings(batch: pa.RecordBatch, name: str) -> list[str]:
     return [x or "" for x in batch.column(name).to_pylist()]
 
 
+def give_back() -> None:
+    """What finished batches held goes back to the system.
+
+    Workers outlive their tasks and stand by, with all they keep, while others work.
+    """
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc only
+        trim(0)
+
+
 def text_bytes(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of all texts in a row and the n + 1 offsets; null is empty."""
     column = batch.column(name)
@@ -32,8 +43,8 @@ def text_bytes(batch: pa.RecordBatch, name: str) -> tuple[np.ndarray, np.ndarray
     offsets = at[column.offset : column.offset + len(column) + 1].astype(np.int64)
     data = column.buffers()[2]
     flat = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
-    # what earlier batches held goes back before this one's arrays are made
-    pa.default_memory_pool().release_unused()
+    # before this batch's arrays are made
+    give_back()
     return flat, offsets
 
 

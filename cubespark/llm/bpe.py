@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Regex, Tokenizer, models, pre_tokenizers
 
-from cubespark.llm.batches import strings
+from cubespark.llm.batches import give_back, strings
+from cubespark.llm.steps import Steps
 
 CACHE_ENTRIES = 200_000
 CACHE_CHARS = 40
@@ -224,7 +225,11 @@ def decode(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", id
 
 
 def digests(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", text: str = "text") -> DataFrame:
-    """Number of tokens, digest of the ids, and digest of what they decode to."""
+    """Number of tokens, digest of the ids, and digest of what they decode to.
+
+    These few bytes per text are written to the shared folder, so that the texts reach the workers
+    in batches of the size that steps have.
+    """
     spark: SparkSession = df.sparkSession
     model = spark.sparkContext.broadcast(build(read_ranks(path), pattern))
     cuts = _can_cut(pattern)
@@ -241,7 +246,8 @@ def digests(df: DataFrame, path: str, pattern: str, id_column: str = "doc_id", t
                 of_bytes.append(hashlib.sha256(codec.decode(ids)).hexdigest())
             columns = [batch.column("id"), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            give_back()
 
     rows = df.select(F.col(id_column).alias("id"), F.col(text).alias("text"))
     out = rows.mapInArrow(run, f"id {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
-    return out.withColumnRenamed("id", id_column)
+    return Steps(spark).kept(out, "digests").withColumnRenamed("id", id_column)
