@@ -12,10 +12,13 @@ Texts with equal sets are one node. Pairs within a bucket are not all listed:
 1. each member is paired with the one member of its buckets that shares most buckets with
    others; pairs are confirmed and give first components;
 2. pairs of members in different components so far are compared by their packed bits, in
-   blocks of bounded size, and those that may be links are confirmed as well. Members of a
-   bucket's largest component meet only those of others.
+   blocks of bounded size. Members of a bucket's largest component meet only those of others.
+   Members that may have a link get their full sets and meet again in their blocks, where
+   pairs are confirmed, the closest first. A block gives the links that connect its
+   components and not its pairs, of which there may be as many as the square of its members.
 
-Pairs that are already connected add nothing to a component, so none is lost.
+Pairs that are already connected add nothing to a component, so none is lost. A task holds the
+sets of two blocks, 2 * ``BLOCK`` at most.
 
 Null and empty texts have no shingles and link with nothing. Ids are whole numbers; an id that
 is none counts as null. Rows without an id are not linked: component null, kept. Rows that share
@@ -189,54 +192,88 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, limit: tuple[int, int]) -> Dat
     return pairs.join(right, "b").join(left, "a").where(shared * limit[1] >= union * limit[0]).select("a", "b")
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
-    """Pairs in different components, of members of one bucket that come in a row; ``most`` packed values differ."""
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+MEMBER = ("group", "band", "block", "node", "label", "bits", "bands")
 
-    def compare(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        bits, node, label, block = rows["bits"], rows["node"], rows["label"], rows["block"]
-        left, right = block == block.min(), block == block.max()
-        unequal = np.zeros((left.sum(), right.sum()), np.uint16)
-        for i in range(bits.shape[1]):
-            d = bits[left, i][:, None] ^ bits[right, i][None, :]
-            d |= d >> np.uint64(1)
-            d |= d >> np.uint64(2)
-            unequal += np.bitwise_count(d & np.uint64(0x1111111111111111))
-        ok = (unequal <= most) & (label[left][:, None] != label[right][None, :])
-        i, j = np.nonzero(ok)
-        # a pair that shares several bands is given in the first of them
-        bands_i, bands_j = rows["bands"][left][i], rows["bands"][right][j]
-        here = bands_i[np.arange(len(i)), np.argmax(bands_i == bands_j, 1)] == rows["band"][0]
-        i, j = i[here], j[here]
-        a, b = node[left][i], node[right][j]
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], schema=schema)
 
+def _groups(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[dict[str, list]]:
+    """The named columns of two members or more that come in a row and share their group; ``set`` as arrays."""
     held: list[tuple] = []
     key = None
-
-    def flush() -> Iterator[pa.RecordBatch]:
-        if len(held) > 1:
-            cols = list(zip(*held))
-            yield compare(
-                {
-                    "bits": np.array(cols[3], np.int64).view(np.uint64),
-                    "node": np.array(cols[1], np.int64),
-                    "label": np.array(cols[2], np.int64),
-                    "block": np.array(cols[0], np.int64),
-                    "band": np.array(cols[4], np.int64),
-                    "bands": np.array(cols[5], np.int64),
-                }
-            )
-
     for batch in batches:
-        columns = [batch.column(n).to_pylist() for n in ("group", "block", "node", "label", "bits", "band", "bands")]
-        for group, *row in zip(*columns):
-            if group != key:
-                yield from flush()
-                held, key = [], group
-            held.append(tuple(row))
-    yield from flush()
+        columns = [_sets(batch.column(n)) if n == "set" else batch.column(n).to_pylist() for n in names]
+        for row in zip(*columns):
+            if row[0] != key:
+                if len(held) > 1:
+                    yield dict(zip(names, zip(*held)))
+                held, key = [], row[0]
+            held.append(row)
+    if len(held) > 1:
+        yield dict(zip(names, zip(*held)))
+
+
+def _sets(column: pa.ListArray) -> list[np.ndarray]:
+    values, at = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
+    return [values[low:high] for low, high in zip(at[:-1], at[1:])]
+
+
+def _close(rows: dict[str, list], most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Members of two blocks that are in different components, ``most`` of whose packed values differ; how many do."""
+    node, label, block, bands = (np.array(rows[n], np.int64) for n in ("node", "label", "block", "bands"))
+    bits = np.array(rows["bits"], np.int64).view(np.uint64)
+    left, right = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+    unequal = np.zeros((len(left), len(right)), np.uint16)
+    for k in range(bits.shape[1]):
+        d = bits[left, k][:, None] ^ bits[right, k][None, :]
+        d |= d >> np.uint64(1)
+        d |= d >> np.uint64(2)
+        unequal += np.bitwise_count(d & np.uint64(0x1111111111111111))
+    i, j = np.nonzero((unequal <= most) & (label[left][:, None] != label[right][None, :]))
+    n = unequal[i, j]
+    i, j = left[i], right[j]
+    # a pair that shares several bands counts in the first of them, and once in a block of its own
+    here = bands[i, np.argmax(bands[i] == bands[j], 1)] == rows["band"][0]
+    if block.min() == block.max():
+        here &= node[i] < node[j]
+    return i[here], j[here], n[here]
+
+
+def _close_members(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
+    """The members of each group that are in a close pair."""
+    kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+    for rows in _groups(batches, MEMBER):
+        i, j, _ = _close(rows, most)
+        some = np.union1d(i, j).tolist()
+        yield pa.RecordBatch.from_arrays([pa.array([rows[n][k] for k in some], t) for n, t in zip(MEMBER, kinds)], names=list(MEMBER))
+
+
+def _close_links(batches: Iterator[pa.RecordBatch], most: int, limit: tuple[int, int]) -> Iterator[pa.RecordBatch]:
+    """The links that connect the components of each group's members, confirmed on full sets."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+    for rows in _groups(batches, (*MEMBER, "set")):
+        node, label, sets = rows["node"], rows["label"], rows["set"]
+        i, j, unequal = _close(rows, most)
+        sizes = np.array([len(x) for x in sets])
+        able = np.minimum(sizes[i], sizes[j]) * limit[1] >= np.maximum(sizes[i], sizes[j]) * limit[0]
+        i, j, unequal = i[able], j[able], unequal[able]
+        order = np.argsort(unequal, kind="stable")
+        above = {x: x for x in label}
+
+        def root(x: int) -> int:
+            while above[x] != x:
+                above[x] = x = above[above[x]]
+            return x
+
+        links = []
+        for a, b in zip(i[order].tolist(), j[order].tolist()):
+            x, y = root(label[a]), root(label[b])
+            if x == y:
+                continue
+            few, many = sorted((sets[a], sets[b]), key=len)
+            shared = int((many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum())
+            if shared * limit[1] >= (len(few) + len(many) - shared) * limit[0]:
+                above[x] = y
+                links.append((node[a], node[b]))
+        yield pa.RecordBatch.from_arrays([pa.array([k[n] for k in links], pa.int64()) for n in (0, 1)], schema=schema)
 
 
 def near_duplicates(
@@ -275,7 +312,8 @@ def near_duplicates(
     )
     stars = kept(stars, "stars")
     texts = docs.where("id is not null")
-    links = kept(_confirmed(stars, _sets_of(texts, stars), limit), "links")
+    ends = stars.select(F.col("a").alias("id")).union(stars.select(F.col("b").alias("id"))).distinct()
+    links = kept(_confirmed(stars, _sets_of(texts, ends), limit), "links")
     first = components(links)
 
     # 2. members of a bucket in different components so far
@@ -302,10 +340,12 @@ def near_duplicates(
         "bits",
         "bands",
     )
-    close = spread.repartition("group").sortWithinPartitions("group")
-    close = close.mapInArrow(lambda batches: _close_pairs(batches, most), "a bigint, b bigint").distinct()
-    close = kept(close, "close")
-    more = kept(_confirmed(close, _sets_of(texts, close), limit), "more-links")
+    met = spread.repartition("group").sortWithinPartitions("group")
+    member = "group string, band bigint, block int, node bigint, label bigint, bits array<bigint>, bands array<bigint>"
+    close = kept(met.mapInArrow(lambda batches: _close_members(batches, most), member), "close")
+    full = close.join(_sets_of(texts, close.select(F.col("node").alias("id")).distinct()), "node").select(*MEMBER, "set")
+    full = full.repartition("group").sortWithinPartitions("group")
+    more = kept(full.mapInArrow(lambda batches: _close_links(batches, most, limit), "a bigint, b bigint"), "more-links")
     named_labels = first.select(F.col("node").alias("a"), F.col("label").alias("b"))
     final = components(more.union(named_labels))
 
@@ -328,9 +368,8 @@ def near_duplicates(
     )
 
 
-def _sets_of(texts: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Full sets of the nodes in pairs, from their texts."""
-    nodes = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
+def _sets_of(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Full sets of nodes, from their texts."""
     wanted = texts.join(small(nodes, nodes.count()), "id", "left_semi")
     # of repeated rows one is enough
     wanted = wanted.withColumn("body", F.xxhash64("text")).dropDuplicates(["id", "body"]).drop("body")

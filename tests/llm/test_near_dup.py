@@ -93,6 +93,36 @@ def test_a_bucket_with_one_stray(spark, documents, monkeypatch):
     check(documents, pairs + [(900, " ".join(stray))])
 
 
+def test_a_group_just_below_the_limit(spark, documents, monkeypatch):
+    """Members that look alike and hardly link: steps hold a row per member and band, not one per pair."""
+    words = prose(6, 300).split(" ")
+    draw = np.random.default_rng(3)
+    pairs = []
+    for i in range(150):
+        own = words.copy()
+        for at in draw.choice(60, 5, replace=False) * 5:
+            own[at] = f"q{i}"
+        pairs.append((i, " ".join(own)))
+    pairs.append((200, pairs[149][1] + " end"))
+    rows, kept = {}, near_dup.Steps.kept
+
+    def counted(self, df, label):
+        out = kept(self, df, label)
+        rows[label] = out.count()
+        return out
+
+    monkeypatch.setattr(near_dup.Steps, "kept", counted)
+    got = near_dup.near_duplicates(documents(pairs), limit=(80, 100)).collect()
+    sets = [(i, shingle_set(t)) for i, t in pairs]
+    linked = [(i, j) for n, (i, a) in enumerate(sets) for j, b in sets[:n] if 100 * len(a & b) >= 80 * len(a | b)]
+    want = {i: i for i, _ in pairs}
+    for _ in pairs:
+        for i, j in linked:
+            want[i] = want[j] = min(want[i], want[j])
+    assert len(set(want.values())) > 100 and {r["doc_id"]: r["component_id"] for r in got} == want
+    assert rows["members"] / 10 < rows["close"] <= rows["members"] and rows["more-links"] <= 20
+
+
 def test_names_that_clash(spark, documents):
     a = prose(3, 80)
     df = documents([(1, a), (2, a), (3, prose(4, 80)), (None, a)])
