@@ -17,6 +17,8 @@ positions are sampled by content first, without losing a repeat:
   of each kind is ranked again in parts of ten windows (391 bytes in common), and parts
   that share their rank but not their surroundings window by window (400 bytes).
 
+That is for the threshold of 400 bytes; another ``length`` takes cells of a fifth of it.
+
 A rank is the hash of what it ranks, so ranks need no global numbering and a task that runs
 again gives the same ones. Ranks are 64 bits, and equal windows agree in seven of them.
 
@@ -24,6 +26,10 @@ Null and empty texts have no bytes. A text that is there twice, in rows of equal
 different ids, repeats itself and goes from both rows. Null ids are ids like others. Long
 texts are scanned in segments. An empty table gives an empty one. Columns besides id and text
 are not read, and ``rewrite`` keeps them, whatever their names.
+
+``remove_repeats`` goes by bytes alone. ``rewrite`` can also go by words: with ``words`` it cuts
+the stretches of repeated strings of ``length`` bytes that hold more words than that, or 400
+bytes and more.
 """
 
 from __future__ import annotations
@@ -39,9 +45,7 @@ from pyspark.sql import functions as F
 from cubespark.llm.batches import BYTE_CODES, mixed, pieces, text_bytes
 from cubespark.llm.steps import Steps, small
 
-LENGTH, SEED, CELL, PART = 400, 40, 80, 10
-CORE = 4 * CELL
-KGRAMS = LENGTH - SEED + 1
+LENGTH, SEED, PART = 400, 40, 10
 SEGMENT = 1 << 19
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -80,36 +84,44 @@ def window_minima(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(backward[: n - width + 1], forward[width - 1 : n])
 
 
-def segments(offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
+def cell_of(length: int) -> int:
+    """Bytes in a cell for that threshold."""
+    if length % 5 or not 2 * SEED <= length <= 5 * 127:
+        raise ValueError(f"a length is a multiple of 5 from {2 * SEED} to {5 * 127}, not {length}")
+    return length // 5
+
+
+def segments(offsets: np.ndarray, length: int = LENGTH) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, int, int]]:
     """Parts of texts with room for windows: rows, their begins and ends in the flat bytes,
     and the part of the bytes. Parts of one long text overlap by a window less one byte."""
     for low, high in pieces(offsets, SEGMENT):
         begin, end = int(offsets[low]), int(offsets[high])
-        if high - low > 1 or end - begin <= SEGMENT + LENGTH:
+        if high - low > 1 or end - begin <= SEGMENT + length:
             rows = np.arange(low, high)
-            rows = rows[offsets[rows + 1] - offsets[rows] >= LENGTH]
+            rows = rows[offsets[rows + 1] - offsets[rows] >= length]
             if len(rows):
                 yield rows, offsets[rows], offsets[rows + 1], begin, end
             continue
-        for at in range(begin, end - LENGTH + 1, SEGMENT):
-            stop = min(at + SEGMENT + LENGTH - 1, end)
+        for at in range(begin, end - length + 1, SEGMENT):
+            stop = min(at + SEGMENT + length - 1, end)
             yield np.array([low]), np.array([at]), np.array([stop]), at, stop
 
 
-def anchors(flat: np.ndarray, offsets: np.ndarray) -> Iterator[dict[str, np.ndarray]]:
+def anchors(flat: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> Iterator[dict[str, np.ndarray]]:
     """Anchors of all windows: row, seed rank, position, first and last window, ranks of the
-    80-byte blocks around it, and a name per cell of what its windows cover besides the core."""
-    for rows, begins, ends, low, high in segments(offsets):
+    blocks of a cell's size around it, and a name per cell of what its windows cover besides the core."""
+    cell_size = cell_of(length)
+    for rows, begins, ends, low, high in segments(offsets, length):
         names = Names(flat[low:high])
         kgrams = names.all(SEED)
         top = (kgrams & ~np.uint64(0xFFFFFF)) | np.arange(len(kgrams), dtype=np.uint64)
-        least = window_minima(top, KGRAMS)
-        counts = ends - begins - LENGTH + 1
+        least = window_minima(top, length - SEED + 1)
+        counts = ends - begins - length + 1
         before = np.cumsum(counts) - counts
         p = np.arange(int(counts.sum())) + np.repeat(begins - low - before, counts)
         row = np.repeat(np.arange(len(rows)), counts)
         a = (least[p] & np.uint64(0xFFFFFF)).astype(np.int64)
-        cell = (a - p) // CELL
+        cell = (a - p) // cell_size
         change = np.ones(len(p), bool)
         change[1:] = (a[1:] != a[:-1]) | (row[1:] != row[:-1])
         first = np.flatnonzero(change)
@@ -117,14 +129,14 @@ def anchors(flat: np.ndarray, offsets: np.ndarray) -> Iterator[dict[str, np.ndar
         change[1:] |= cell[1:] != cell[:-1]
         cells = np.flatnonzero(change)
         cell_last = np.append(cells[1:], len(p)) - 1
-        x = a[cells] - CELL * cell[cells]
+        x = a[cells] - cell_size * cell[cells]
         around = mixed(
-            names.of(p[cells], x) * np.uint64(3) + names.of(x + CORE, p[cell_last] + LENGTH)
+            names.of(p[cells], x) * np.uint64(3) + names.of(x + 4 * cell_size, p[cell_last] + length)
         )
         n_blocks = cell[first] - cell[last] + 4
         block_ends = np.cumsum(n_blocks)
         step = np.arange(int(block_ends[-1])) - np.repeat(block_ends - n_blocks, n_blocks)
-        at = np.repeat(a[first] - CELL * cell[first], n_blocks) + CELL * step
+        at = np.repeat(a[first] - cell_size * cell[first], n_blocks) + cell_size * step
         # positions count from the start of the text
         shift = low - offsets[rows[row[first]]]
         yield {
@@ -133,110 +145,127 @@ def anchors(flat: np.ndarray, offsets: np.ndarray) -> Iterator[dict[str, np.ndar
             "anchor": a[first] + shift,
             "first": p[first] + shift,
             "last": p[last] + shift,
-            "blocks": names.of(at, at + CELL).view(np.int64),
+            "blocks": names.of(at, at + cell_size).view(np.int64),
             "block_ends": block_ends,
             "around": around.view(np.int64),
             "cell_ends": np.searchsorted(cells, last, "right"),
         }
 
 
-def _anchor_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        flat, offsets = text_bytes(batch, "text")
-        for found in anchors(flat, offsets):
-            row = pa.array(found["row"])
+def _anchor_rows(length: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = text_bytes(batch, "text")
+            for found in anchors(flat, offsets, length):
+                row = pa.array(found["row"])
 
-            def lists(values: str, ends: str) -> pa.Array:
-                bounds = np.concatenate([[0], found[ends]]).astype(np.int32)
-                return pa.ListArray.from_arrays(pa.array(bounds), pa.array(found[values]))
+                def lists(values: str, ends: str) -> pa.Array:
+                    bounds = np.concatenate([[0], found[ends]]).astype(np.int32)
+                    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(found[values]))
 
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column("id").take(row),
-                    batch.column("body").take(row),
-                    pa.array(found["seed"]),
-                    *(pa.array(found[n].astype(np.int32)) for n in ("anchor", "first", "last")),
-                    lists("blocks", "block_ends"),
-                    lists("around", "cell_ends"),
-                ],
-                names=["id", "body", "seed", "anchor", "first", "last", "blocks", "around"],
-            )
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column("id").take(row),
+                        batch.column("body").take(row),
+                        pa.array(found["seed"]),
+                        *(pa.array(found[n].astype(np.int32)) for n in ("anchor", "first", "last")),
+                        lists("blocks", "block_ends"),
+                        lists("around", "cell_ends"),
+                    ],
+                    names=["id", "body", "seed", "anchor", "first", "last", "blocks", "around"],
+                )
+
+    return run
 
 
-def _repeated(steps: Steps, rows: DataFrame, keys: list[str], only: str = "true") -> DataFrame:
+def _repeated(steps: Steps, rows: DataFrame, keys: list[str], only: str = "true", wide: bool = False) -> DataFrame:
     """The rows whose keys are there more than once; of them those that ``only`` names.
 
     Counts combine before the shuffle. The keys are a table of their own, so that both sides
-    of the join come straight from a shuffle and Spark can split a hot key over tasks.
+    of the join come straight from a shuffle and Spark can split a hot key over tasks. ``wide``
+    rows stay where they are if the keys are few.
     """
     several = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select(*keys)
-    return rows.where(only).join(steps.kept(several, "keys"), keys, "left_semi")
+    several = steps.kept(several, "keys")
+    if wide:
+        several = small(several, several.count())
+    return rows.where(only).join(several, keys, "left_semi")
 
 
-def _part_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _part_rows(length: int):
     """The listed cells of each text in parts of ``PART`` windows: a rank for what all windows of a
     part share, a name for what they cover besides, and a name for each window."""
-    for batch in batches:
-        flat, offsets = text_bytes(batch, "text")
-        for i, cells in enumerate(batch.column("cells")):
-            listed = np.array([(c["x"].as_py(), c["lo"].as_py(), c["hi"].as_py(), c["rank"].as_py(), c["single"].as_py()) for c in cells], np.int64)
-            for low in range(0, len(listed), 1 << 12):
-                x, lo, hi, rank, single = listed[low : low + (1 << 12)].T
-                begin, end = int(lo.min()), int(hi.max()) + LENGTH
-                names = Names(flat[offsets[i] + begin : offsets[i] + end])
-                # parts are cut by the distance to x, so equal windows fall into equal parts
-                counts = hi - lo + 1
-                before = np.cumsum(counts) - counts
-                p = np.arange(int(counts.sum())) + np.repeat(lo - before, counts)
-                cell = np.repeat(np.arange(len(x)), counts)
-                part = (x[cell] - p) // PART
-                change = np.ones(len(p), bool)
-                change[1:] = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])
-                first = np.flatnonzero(change)
-                last = np.append(first[1:], len(p)) - 1
-                of, k = cell[first], part[first]
-                core_low = x[of] - PART * k - begin
-                core_high = x[of] - PART * (k + 1) + 1 + LENGTH - begin
-                core = names.of(core_low, core_high)
-                around = mixed(
-                    names.of(p[first] - begin, core_low) * np.uint64(3) + names.of(core_high, p[last] + LENGTH - begin)
-                )
-                every = names.of(p - begin, p - begin + LENGTH)
-                take = pa.array(np.full(len(first), i))
-                bounds = pa.array(np.append(first, len(p)).astype(np.int32))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column("id").take(take),
-                        batch.column("body").take(take),
-                        pa.array(mixed(rank[of].view(np.uint64) * np.uint64(PART) + k.astype(np.uint64)).view(np.int64)),
-                        pa.array(core.view(np.int64)),
-                        pa.array(around.view(np.int64)),
-                        pa.array((x[of] - p[last]).astype(np.int32)),
-                        pa.array((x[of] - p[first]).astype(np.int32)),
-                        pa.array(p[first].astype(np.int32)),
-                        pa.array(single[of].astype(bool)),
-                        pa.ListArray.from_arrays(bounds, pa.array(every.view(np.int64))),
-                    ],
-                    names=["id", "body", "rank", "core", "u", "j0", "j1", "lo", "single", "names"],
-                )
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, offsets = text_bytes(batch, "text")
+            for i, cells in enumerate(batch.column("cells")):
+                listed = np.array([(c["x"].as_py(), c["lo"].as_py(), c["hi"].as_py(), c["rank"].as_py(), c["single"].as_py()) for c in cells], np.int64)
+                for low in range(0, len(listed), 1 << 12):
+                    x, lo, hi, rank, single = listed[low : low + (1 << 12)].T
+                    begin, end = int(lo.min()), int(hi.max()) + length
+                    names = Names(flat[offsets[i] + begin : offsets[i] + end])
+                    # parts are cut by the distance to x, so equal windows fall into equal parts
+                    counts = hi - lo + 1
+                    before = np.cumsum(counts) - counts
+                    p = np.arange(int(counts.sum())) + np.repeat(lo - before, counts)
+                    cell = np.repeat(np.arange(len(x)), counts)
+                    part = (x[cell] - p) // PART
+                    change = np.ones(len(p), bool)
+                    change[1:] = (cell[1:] != cell[:-1]) | (part[1:] != part[:-1])
+                    first = np.flatnonzero(change)
+                    last = np.append(first[1:], len(p)) - 1
+                    of, k = cell[first], part[first]
+                    core_low = x[of] - PART * k - begin
+                    core_high = x[of] - PART * (k + 1) + 1 + length - begin
+                    core = names.of(core_low, core_high)
+                    around = mixed(
+                        names.of(p[first] - begin, core_low) * np.uint64(3) + names.of(core_high, p[last] + length - begin)
+                    )
+                    every = names.of(p - begin, p - begin + length)
+                    take = pa.array(np.full(len(first), i))
+                    bounds = pa.array(np.append(first, len(p)).astype(np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            batch.column("id").take(take),
+                            batch.column("body").take(take),
+                            pa.array(mixed(rank[of].view(np.uint64) * np.uint64(PART) + k.astype(np.uint64)).view(np.int64)),
+                            pa.array(core.view(np.int64)),
+                            pa.array(around.view(np.int64)),
+                            pa.array((x[of] - p[last]).astype(np.int32)),
+                            pa.array((x[of] - p[first]).astype(np.int32)),
+                            pa.array(p[first].astype(np.int32)),
+                            pa.array(single[of].astype(bool)),
+                            pa.ListArray.from_arrays(bounds, pa.array(every.view(np.int64))),
+                        ],
+                        names=["id", "body", "rank", "core", "u", "j0", "j1", "lo", "single", "names"],
+                    )
 
-def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray) -> tuple[bytes, int]:
-    """What is left of a text without the windows from lo to hi, and the number of gaps."""
+    return run
+
+
+def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH, words: int | None = None) -> tuple[bytes, int]:
+    """What is left of a text without the windows from lo to hi, and the number of gaps.
+
+    With ``words``, gaps shorter than ``LENGTH`` that hold no more words stay in the text.
+    """
     if not len(lo):
         return raw, 0
     order = np.argsort(lo, kind="stable")
-    lo, ends = lo[order], np.maximum.accumulate(hi[order] + LENGTH)
+    lo, ends = lo[order], np.maximum.accumulate(hi[order] + length)
     new = np.ones(len(lo), bool)
     new[1:] = lo[1:] > ends[:-1]
     starts = lo[new]
     stops = ends[np.append(np.flatnonzero(new)[1:], len(lo)) - 1]
-    kept, at = [], 0
+    kept, at, gaps = [], 0, 0
     for start, stop in zip(starts.tolist(), stops.tolist()):
+        if words is not None and stop - start < LENGTH and len(raw[start:stop].split()) <= words:
+            continue
         kept.append(raw[at:start])
         at = stop
+        gaps += 1
     kept.append(raw[at:])
-    return b"".join(kept), len(starts)
+    return b"".join(kept), gaps
 
 
 def _cut_rows(with_text: bool):
@@ -259,34 +288,35 @@ def _cut_rows(with_text: bool):
     return run
 
 
-def repeated_windows(docs: DataFrame) -> DataFrame:
-    """(id, body, lo, hi): runs of window starts that repeat, of rows (id, body, text)."""
+def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+    """(id, body, lo, hi): runs of starts of windows of ``length`` bytes that repeat, of rows (id, body, text)."""
+    cell = cell_of(length)
     steps = Steps(docs.sparkSession)
     id_kind = docs.schema["id"].dataType.simpleString()
     # ranks of 40 bytes
     found = docs.mapInArrow(
-        _anchor_rows,
+        _anchor_rows(length),
         f"id {id_kind}, body bigint, seed bigint, anchor int, first int, last int, blocks array<bigint>, around array<bigint>",
     )
     found = steps.kept(found, "anchors")
-    cells = _repeated(steps, found, ["seed"]).select("*", F.posexplode("around").alias("i", "u"))
-    x = F.expr(f"anchor - {CELL} * (floor((anchor - first) / {CELL}) - i)").cast("int")
+    cells = _repeated(steps, found, ["seed"], wide=True).select("*", F.posexplode("around").alias("i", "u"))
+    x = F.expr(f"anchor - {cell} * (floor((anchor - first) / {cell}) - i)").cast("int")
     cells = cells.withColumn("x", x).select(
         "id",
         "body",
         "x",
         (F.col("x") - F.least("last", "x")).cast("tinyint").alias("j0"),
-        (F.col("x") - F.greatest(F.col("first"), F.col("x") - (CELL - 1))).cast("tinyint").alias("j1"),
+        (F.col("x") - F.greatest(F.col("first"), F.col("x") - (cell - 1))).cast("tinyint").alias("j1"),
         "u",
         *(F.get("blocks", F.col("i") + k).alias(f"b{k}") for k in range(4)),
     )
-    # ranks of 160 bytes from pairs at offset 80, at x and at x + 160
+    # ranks of 160 bytes (two cells) from pairs at offset 80, at x and at x + 160
     cells = cells.select(
         "id", "body", "x", "j0", "j1", "u", F.xxhash64("b0", "b1").alias("rank"), F.xxhash64("b2", "b3").alias("next")
     )
     cells = steps.kept(cells, "ranks-160")
     steps.drop("anchors")
-    # ranks of 320 bytes from pairs at offset 160
+    # ranks of 320 bytes (four cells) from pairs at offset 160
     cells = _repeated(steps, cells, ["rank"]).withColumn("rank", F.xxhash64("rank", "next")).drop("next")
     cells = steps.kept(cells, "ranks-320")
     steps.drop("ranks-160")
@@ -322,7 +352,7 @@ def repeated_windows(docs: DataFrame) -> DataFrame:
     same = (texts["body"] == asked["body"]) & texts["id"].eqNullSafe(asked["id"])
     texts = texts.join(asked, same).select(texts["id"], texts["body"], "text", "cells")
     parts = texts.mapInArrow(
-        _part_rows,
+        _part_rows(length),
         f"id {id_kind}, body bigint, rank bigint, core bigint, u bigint, j0 int, j1 int, lo int, single boolean, names array<bigint>",
     )
     parts = steps.kept(parts, "parts")
@@ -356,15 +386,18 @@ def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text",
     return out.withColumnsRenamed({"id": id_column, "kept": "kept_text" if with_text else "kept_sha256"})
 
 
-def rewrite(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> DataFrame:
+def rewrite(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", length: int = LENGTH, words: int | None = None
+) -> DataFrame:
     """The rows with what is left as their text and ``n_chars`` to match, other columns as they are.
 
-    Rows of one id are told apart by their text.
+    Rows of one id are told apart by their text. With ``words``, see above, repeats of no more
+    words stay if they are shorter than 400 bytes.
     """
     # the rows are one column, whatever their columns are called
     body = F.xxhash64(F.coalesce(F.col(f"`{text}`"), F.lit(""))).alias("body")
     keyed = df.select(F.col(f"`{id_column}`").alias("id"), body, F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
-    runs = repeated_windows(keyed.select("id", "body", F.col("row")[text].alias("text")))
+    runs = repeated_windows(keyed.select("id", "body", F.col("row")[text].alias("text")), length)
     runs = runs.groupBy("id", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
     runs = runs.select(F.col("id").alias("i"), F.col("body").alias("b"), F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi"))
     joined = keyed.join(runs, F.col("id").eqNullSafe(F.col("i")) & (F.col("body") == F.col("b")), "left")
@@ -379,7 +412,7 @@ def rewrite(df: DataFrame, id_column: str = "doc_id", text: str = "text") -> Dat
             for value, lo, hi in zip(batch.column(text_at), batch.column("lo"), batch.column("hi")):
                 raw = value.as_py()
                 runs_of = [np.array(x.as_py() or [], np.int64) for x in (lo, hi)]
-                left.append(raw if raw is None else cut(raw.encode(), *runs_of)[0].decode(errors="ignore"))
+                left.append(raw if raw is None else cut(raw.encode(), *runs_of, length, words)[0].decode(errors="ignore"))
             arrays = batch.columns[: len(names)]
             arrays[text_at] = pa.array(left, pa.string())
             if chars_at is not None:

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from texts import corpus, prose
 
+import corpus_pipeline
 from cubespark.llm import suffix_dedup
 
 LENGTH = suffix_dedup.LENGTH
@@ -87,3 +88,38 @@ def test_rewrite_with_clashing_names(spark, documents):
     want = dict(zip((1, 2, None), (b[4] for b in brute(["x" + shared, "y" + shared, None])))) | {None: None}
     assert {r["doc_id"]: r["text"] for r in out.collect()} == want
     assert {r["_runs"] for r in out.collect()} == {"s"} and {r["row"] for r in out.collect()} == {1}
+
+
+@pytest.mark.parametrize("length", [80, 250])
+def test_other_lengths(spark, documents, monkeypatch, length):
+    shared = prose(31, 200).encode()
+    texts = [t for _, t in corpus() if t is None or len(t) < 5000]
+    for i, size in enumerate((length - 1, length, length + 1, length + 90)):
+        part = shared[150 * i : 150 * i + size].decode(errors="ignore")
+        texts += [f"x{i}" + part + prose(40 + i, 30), prose(50 + i, 30) + part + f"{i}y"]
+    out = suffix_dedup.rewrite(documents(list(enumerate(texts))), length=length).collect()
+    monkeypatch.setattr("test_suffix_dedup.LENGTH", length)
+    assert {r["doc_id"]: r["text"] for r in out} == {i: t if t is None else b[-1] for i, (t, b) in enumerate(zip(texts, brute(texts)))}
+
+
+def test_lengths_that_have_no_cells(documents):
+    for length in (79, 252, 640):
+        with pytest.raises(ValueError):
+            suffix_dedup.rewrite(documents([]), length=length)
+
+
+def test_stage_goes_by_words(spark, documents):
+    """Passages of 51 words go, those of 50 stay unless they have 400 bytes; every copy goes."""
+    long, short = ([f"{kind}{i:04d}" for i in range(n)] for kind, n in (("a", 51), ("b", 50)))
+    wide = [f"c{i:03d}" + "x" * 20 for i in range(20)]
+    pairs, want = [], {}
+    for n, words in enumerate((long, short, wide)):
+        for i in (10 * n, 10 * n + 1):
+            own = f"{prose(60 + i, 20)} <{'pq'[i % 2]}", f"{'pq'[i % 2]}> {prose(90 + i, 20)}"
+            passage = f" {' '.join(words)} "
+            pairs.append((i, passage.join(own)))
+            want[i] = passage.join(own) if words is short else "".join(own)
+    assert len(" ".join(long)) < 400 and 250 < len(" ".join(short)) < 400 and len(" ".join(wide)) >= 400
+    out = corpus_pipeline.unrepeated(spark, documents(pairs), "").collect()
+    assert {r["doc_id"]: r["text"] for r in out} == want
+    assert all(r["n_chars"] == len(r["text"]) for r in out)
