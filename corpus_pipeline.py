@@ -20,12 +20,18 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from cubespark.llm import bpe, decontaminate, near_dup, quality, suffix_dedup  # noqa: E402
 from cubespark.llm.batches import table  # noqa: E402
+from cubespark.llm.steps import Steps  # noqa: E402
 from cubespark.session import new_dir  # noqa: E402
 
 
+def in_steps(spark: SparkSession, rows: DataFrame) -> DataFrame:
+    """The rows from the shared folder, written there with texts in batches of the size that steps have."""
+    return Steps(spark).kept(rows, "texts")
+
+
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier does not reject."""
-    return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return in_steps(spark, quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels"))))
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +41,7 @@ def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of over 50 words, or of 400 bytes, that are there more than once."""
-    return suffix_dedup.rewrite(docs, length=250, words=50)
+    return in_steps(spark, suffix_dedup.rewrite(docs, length=250, words=50))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,6 +6,7 @@ from pathlib import Path
 import public_tokenizers
 import pytest
 
+import corpus_pipeline
 from cubespark.llm import bpe
 from cubespark.llm.batches import give_back
 from cubespark.llm.steps import BATCH_ROWS
@@ -46,3 +47,25 @@ def test_what_finished_batches_held_goes_back():
     del held
     give_back()
     assert full - anonymous() > 60 and last
+
+
+def test_stages_that_keep_texts_take_batches_of_the_size_of_steps(spark, documents, monkeypatch):
+    large = spark.sparkContext.accumulator(0)
+    docs = documents([(i, f"word {i}") for i in range(2500)]).coalesce(1)
+    plain = type(docs).mapInArrow
+
+    def counted(df, run, schema, *args, **kwargs):
+        def seen(batches):
+            for batch in batches:
+                large.add(int(batch.num_rows > BATCH_ROWS))
+                yield batch
+
+        return plain(df, lambda batches: run(seen(batches)), schema, *args, **kwargs)
+
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    monkeypatch.setattr(corpus_pipeline.quality, "fit", lambda docs, labels: corpus_pipeline.quality.start())
+    monkeypatch.setattr(corpus_pipeline, "table", lambda *_: None)
+    for stage in (corpus_pipeline.good, corpus_pipeline.unrepeated):
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns and len(out.collect()) in (0, 2500)
+        assert large.value == 0
