@@ -33,8 +33,9 @@ def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the bytes of repeated 400-byte strings, as digests."""
-    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False)
+    """Every document without the bytes of repeated 400-byte strings, as digests, and its repeated
+    passages of over 50 words."""
+    return suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"), with_text=False, words=50)
 
 
 def op2_topk(spark: SparkSession, sf_dir: str) -> DataFrame:

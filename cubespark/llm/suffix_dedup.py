@@ -27,9 +27,10 @@ different ids, repeats itself and goes from both rows. Null ids are ids like oth
 texts are scanned in segments. An empty table gives an empty one. Columns besides id and text
 are not read, and ``rewrite`` keeps them, whatever their names.
 
-``remove_repeats`` goes by bytes alone. ``rewrite`` can also go by words: with ``words`` it cuts
+``remove_repeats`` removes by bytes alone. ``rewrite`` can also go by words: with ``words`` it cuts
 the stretches of repeated strings of ``length`` bytes that hold more words than that, or 400
-bytes and more.
+bytes and more. With ``words``, ``remove_repeats`` counts these stretches, at 250 bytes, in columns
+of their own and removes the same as without.
 """
 
 from __future__ import annotations
@@ -46,6 +47,7 @@ from cubespark.llm.batches import BYTE_CODES, mixed, pieces, text_bytes
 from cubespark.llm.steps import Steps, small
 
 LENGTH, SEED, PART = 400, 40, 10
+PASSAGE = 250
 SEGMENT = 1 << 19
 BASE = 0xD1342543DE82EF95
 INVERSE = pow(BASE, -1, 1 << 64)
@@ -268,11 +270,11 @@ def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH, words:
     return b"".join(kept), gaps
 
 
-def _cut_rows(with_text: bool):
+def _cut_rows(with_text: bool, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[tuple[int, int, int]] = []
-            last = []
+            last, passages = [], []
             for text, lo, hi in zip(batch.column("text"), batch.column("lo"), batch.column("hi")):
                 raw = (text.as_py() or "").encode()
                 kept, spans = cut(raw, *(np.array(x.as_py() or [], np.int64) for x in (lo, hi)))
@@ -280,10 +282,16 @@ def _cut_rows(with_text: bool):
                 # a cut between bytes may split a character, which then goes
                 last.append(kept.decode(errors="ignore") if with_text else hashlib.sha256(kept).hexdigest())
             columns = [pa.array(x, pa.int64()) for x in zip(*counts)] or [pa.array([], pa.int64())] * 3
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("id"), *columns, pa.array(last, pa.string())],
-                names=["id", "n_bytes", "n_removed", "n_spans", "kept"],
-            )
+            columns = [batch.column("id"), *columns, pa.array(last, pa.string())]
+            names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
+            if words is not None:
+                for text, lo, hi in zip(batch.column("text"), batch.column("passage_lo"), batch.column("passage_hi")):
+                    raw = (text.as_py() or "").encode()
+                    kept, found = cut(raw, *(np.array(x.as_py() or [], np.int64) for x in (lo, hi)), PASSAGE, words)
+                    passages.append((found, len(raw) - len(kept)))
+                columns += [pa.array(x, pa.int64()) for x in zip(*passages)] or [pa.array([], pa.int64())] * 2
+                names += ["n_passages", "passage_bytes"]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return run
 
@@ -373,16 +381,39 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     return steps.kept(whole.union(whole_parts).union(singles), "runs")
 
 
-def remove_repeats(df: DataFrame, id_column: str = "doc_id", text: str = "text", with_text: bool = True) -> DataFrame:
+def remove_repeats(
+    df: DataFrame, id_column: str = "doc_id", text: str = "text", with_text: bool = True, words: int | None = None
+) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans) of each row, and what is left: ``kept_text``, or without
-    text ``kept_sha256``, the digest of the remaining bytes."""
+    text ``kept_sha256``, the digest of the remaining bytes.
+
+    With ``words`` also ``n_passages`` and ``passage_bytes``: the stretches of repeated strings of 250
+    bytes that hold more words than that, or 400 bytes, and their bytes. They are removed only where
+    strings of 400 bytes cover them.
+    """
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"), F.col(text).alias("text"))
-    runs = repeated_windows(docs).groupBy("id", "body").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
-    runs = runs.select(F.col("id").alias("i"), F.col("body").alias("b"), F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi"))
+    if words is None:
+        runs = repeated_windows(docs).select("*", F.lit(True).alias("removed"))
+    else:
+        passages = repeated_windows(docs, PASSAGE)
+        # whoever holds a repeat of 400 bytes holds one of 250 at each of its first 151 bytes
+        held = passages.groupBy("id", "body").agg(F.sum(F.expr("hi - lo + 1")).alias("n")).where(f"n > {LENGTH - PASSAGE}")
+        same = docs["id"].eqNullSafe(held["id"]) & (docs["body"] == held["body"])
+        holders = Steps(df.sparkSession).kept(docs.join(held, same, "left_semi"), "holders")
+        runs = repeated_windows(holders).select("*", F.lit(True).alias("removed"))
+        runs = runs.union(passages.select("*", F.lit(False).alias("removed")))
+    run = F.struct("lo", "hi")
+    runs = runs.groupBy(F.col("id").alias("i"), F.col("body").alias("b")).agg(
+        F.collect_set(F.when(F.col("removed"), run)).alias("runs"), F.collect_set(F.when(~F.col("removed"), run)).alias("passages")
+    )
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("body") == F.col("b"))
-    joined = docs.join(runs, same, "left").select("id", "text", "lo", "hi")
+    lists = [F.col("runs.lo").alias("lo"), F.col("runs.hi").alias("hi")]
     schema = f"id {docs.schema['id'].dataType.simpleString()}, n_bytes bigint, n_removed bigint, n_spans bigint, kept string"
-    out = joined.mapInArrow(_cut_rows(with_text), schema)
+    if words is not None:
+        lists += [F.col("passages.lo").alias("passage_lo"), F.col("passages.hi").alias("passage_hi")]
+        schema += ", n_passages bigint, passage_bytes bigint"
+    joined = docs.join(runs, same, "left").select("id", "text", *lists)
+    out = joined.mapInArrow(_cut_rows(with_text, words), schema)
     return out.withColumnsRenamed({"id": id_column, "kept": "kept_text" if with_text else "kept_sha256"})
 
 

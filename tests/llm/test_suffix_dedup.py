@@ -6,7 +6,7 @@ import pytest
 from texts import corpus, prose
 
 import corpus_pipeline
-from cubespark.llm import suffix_dedup
+from cubespark.llm import queries, suffix_dedup
 
 LENGTH = suffix_dedup.LENGTH
 
@@ -123,3 +123,34 @@ def test_stage_goes_by_words(spark, documents):
     out = corpus_pipeline.unrepeated(spark, documents(pairs), "").collect()
     assert {r["doc_id"]: r["text"] for r in out} == want
     assert all(r["n_chars"] == len(r["text"]) for r in out)
+
+
+def test_query_counts_passages_by_words(spark, documents, monkeypatch):
+    """Passages of 51 words that several documents hold are counted below 400 bytes; what is removed goes by 400 bytes."""
+    long, short = ([f"{kind}{i:04d}" for i in range(n)] for kind, n in (("a", 51), ("b", 50)))
+    wide = [f"c{i:03d}" + "x" * 20 for i in range(20)]
+    pairs, want = [], {}
+    for n, words in enumerate((long, short, wide)):
+        for i in (10 * n, 10 * n + 1):
+            passage = f" {' '.join(words)} "
+            pairs.append((i, f"{prose(60 + i, 20)} <{'pq'[i % 2]}{passage}{'pq'[i % 2]}> {prose(90 + i, 20)}"))
+            want[i] = (0, 0) if words is short else (1, len(passage))
+    same = prose(9, 300)
+    pairs += [(None, same), (40, same), (41, None), (41, ""), (42, prose(77, 100))]
+    want |= {None: (1, len(same.encode())), 40: (1, len(same.encode())), 41: (0, 0), 42: (0, 0)}
+    monkeypatch.setattr(queries, "table", lambda spark, sf_dir, name: documents(pairs))
+    out = queries.op1_suffix_dedup(spark, "").collect()
+    exact = Counter((i, *b[:4]) for (i, _), b in zip(pairs, brute([t for _, t in pairs])))
+    assert Counter(tuple(r)[:5] for r in out) == exact
+    assert len(out) == len(pairs) and all((r["n_passages"], r["passage_bytes"]) == want[r["doc_id"]] for r in out)
+    assert {r["n_removed"] for r in out if r["doc_id"] in (0, 1, 10, 11)} == {0}
+
+
+def test_passages_beside_repeats(spark, documents):
+    """With passages counted, the same bytes go as without, on texts of all kinds."""
+    pairs = [(i, t if t is None else t[:9000]) for i, t in corpus()]
+    plain, counted = (suffix_dedup.remove_repeats(documents(pairs), words=w) for w in (None, 50))
+    assert counted.columns == [*plain.columns, "n_passages", "passage_bytes"]
+    rows = counted.collect()
+    assert Counter(tuple(r)[:5] for r in rows) == Counter(map(tuple, plain.collect()))
+    assert all(r["n_passages"] > 0 for r in rows if r["n_removed"]) and any(r["n_removed"] for r in rows)
