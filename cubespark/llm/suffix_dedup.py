@@ -270,14 +270,21 @@ def cut(raw: bytes, lo: np.ndarray, hi: np.ndarray, length: int = LENGTH, words:
     return b"".join(kept), gaps
 
 
+def _windows(raw: bytes, copied: bool, lo: list[int] | None, hi: list[int] | None, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The runs listed for a text; of one that is there twice, all its windows."""
+    if copied:
+        lo, hi = ([0], [len(raw) - length]) if len(raw) >= length else ([], [])
+    return np.array(lo or [], np.int64), np.array(hi or [], np.int64)
+
+
 def _cut_rows(with_text: bool, words: int | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             counts: list[tuple[int, int, int]] = []
             last, passages = [], []
-            for text, lo, hi in zip(batch.column("text"), batch.column("lo"), batch.column("hi")):
+            for text, copied, lo, hi in zip(*(batch.column(n) for n in ("text", "copied", "lo", "hi"))):
                 raw = (text.as_py() or "").encode()
-                kept, spans = cut(raw, *(np.array(x.as_py() or [], np.int64) for x in (lo, hi)))
+                kept, spans = cut(raw, *_windows(raw, copied.as_py(), lo.as_py(), hi.as_py(), LENGTH))
                 counts.append((len(raw), len(raw) - len(kept), spans))
                 # a cut between bytes may split a character, which then goes
                 last.append(kept.decode(errors="ignore") if with_text else hashlib.sha256(kept).hexdigest())
@@ -285,9 +292,9 @@ def _cut_rows(with_text: bool, words: int | None):
             columns = [batch.column("id"), *columns, pa.array(last, pa.string())]
             names = ["id", "n_bytes", "n_removed", "n_spans", "kept"]
             if words is not None:
-                for text, lo, hi in zip(batch.column("text"), batch.column("passage_lo"), batch.column("passage_hi")):
+                for text, copied, lo, hi in zip(*(batch.column(n) for n in ("text", "copied", "passage_lo", "passage_hi"))):
                     raw = (text.as_py() or "").encode()
-                    kept, found = cut(raw, *(np.array(x.as_py() or [], np.int64) for x in (lo, hi)), PASSAGE, words)
+                    kept, found = cut(raw, *_windows(raw, copied.as_py(), lo.as_py(), hi.as_py(), PASSAGE), PASSAGE, words)
                     passages.append((found, len(raw) - len(kept)))
                 columns += [pa.array(x, pa.int64()) for x in zip(*passages)] or [pa.array([], pa.int64())] * 2
                 names += ["n_passages", "passage_bytes"]
@@ -392,14 +399,20 @@ def remove_repeats(
     strings of 400 bytes cover them.
     """
     docs = df.select(F.col(id_column).alias("id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("body"), F.col(text).alias("text"))
+    # of equal texts one goes through the rounds: all windows of the others repeat, and of that one
+    steps = Steps(df.sparkSession)
+    copies = docs.groupBy("body").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id")).alias("first")).where("n > 1")
+    copies = steps.kept(copies.select(F.col("body").alias("copy"), "first"), "copies")
+    copies = small(copies, copies.count())
+    once = docs.join(copies, F.col("body") == F.col("copy"), "left").where("copy is null or first.id <=> id").select("id", "body", "text")
     if words is None:
-        runs = repeated_windows(docs).select("*", F.lit(True).alias("removed"))
+        runs = repeated_windows(once).select("*", F.lit(True).alias("removed"))
     else:
-        passages = repeated_windows(docs, PASSAGE)
+        passages = repeated_windows(once, PASSAGE)
         # whoever holds a repeat of 400 bytes holds one of 250 at each of its first 151 bytes
         held = passages.groupBy("id", "body").agg(F.sum(F.expr("hi - lo + 1")).alias("n")).where(f"n > {LENGTH - PASSAGE}")
-        same = docs["id"].eqNullSafe(held["id"]) & (docs["body"] == held["body"])
-        holders = Steps(df.sparkSession).kept(docs.join(held, same, "left_semi"), "holders")
+        same = once["id"].eqNullSafe(held["id"]) & (once["body"] == held["body"])
+        holders = steps.kept(once.join(held, same, "left_semi"), "holders")
         runs = repeated_windows(holders).select("*", F.lit(True).alias("removed"))
         runs = runs.union(passages.select("*", F.lit(False).alias("removed")))
     run = F.struct("lo", "hi")
@@ -412,7 +425,8 @@ def remove_repeats(
     if words is not None:
         lists += [F.col("passages.lo").alias("passage_lo"), F.col("passages.hi").alias("passage_hi")]
         schema += ", n_passages bigint, passage_bytes bigint"
-    joined = docs.join(runs, same, "left").select("id", "text", *lists)
+    joined = docs.join(runs, same, "left").join(copies, F.col("body") == F.col("copy"), "left")
+    joined = joined.select("id", "text", F.col("copy").isNotNull().alias("copied"), *lists)
     out = joined.mapInArrow(_cut_rows(with_text, words), schema)
     return out.withColumnsRenamed({"id": id_column, "kept": "kept_text" if with_text else "kept_sha256"})
 

@@ -154,3 +154,11 @@ def test_passages_beside_repeats(spark, documents):
     rows = counted.collect()
     assert Counter(tuple(r)[:5] for r in rows) == Counter(map(tuple, plain.collect()))
     assert all(r["n_passages"] > 0 for r in rows if r["n_removed"]) and any(r["n_removed"] for r in rows)
+
+
+def test_copies_beside_parts_of_them(spark, documents):
+    """Rows of one text, of one id, several or none, and texts that share a part with them."""
+    shared, alone, short = prose(11, 400), prose(12, 300), prose(13, 20)
+    pairs = [(None, shared), (1, shared), (1, shared), (2, shared[:450] + "x"), (3, alone), (4, alone), (4, alone)]
+    pairs += [(5, short), (6, short), (None, None), (7, ""), (8, None), (9, "y" + shared[-500:] + "z"), (1, "w" + alone[:100])]
+    check(spark, documents, pairs)
